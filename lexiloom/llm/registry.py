@@ -6,7 +6,10 @@ from importlib import import_module
 
 QUERIES = {
     "op1_mixing": "mixing",
+    "op6_media": "media",
+    "op7_token_counts": "tokencounts",
     "op9_line_dedup": "linededup",
+    "op10_packing": "packing",
 }
 
 
