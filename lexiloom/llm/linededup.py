@@ -16,6 +16,11 @@ BREAKS = r"(?i)</(?:p|div|li|h[1-6]|tr|title|nav|footer|header|article|section|u
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
+def digest(line: Column) -> Column:
+    """Stands for a line in every shuffle: 16 bytes, however long it is."""
+    return F.unhex(F.md5(line.cast("binary")))
+
+
 def drop_boilerplate(
     rows: DataFrame, page: str, host: Column, lines: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
@@ -32,14 +37,14 @@ def drop_boilerplate(
     """
     h, ls = fresh(rows, "__host"), fresh(rows, "__lines")
     rows = rows.withColumn(h, host).withColumn(ls, lines)
-    seen = rows.select(F.col(h).alias("host"), F.col(page).alias("page"), F.explode(F.array_distinct(ls)).alias("line"))
-    seen = seen.where(F.trim("line") != "").distinct()
+    worth = F.array_distinct(F.filter(ls, lambda x: F.trim(x) != ""))
+    seen = rows.select(F.col(h).alias("host"), F.col(page).alias("page"), F.explode(F.transform(worth, digest)).alias("line")).distinct()
     totals = rows.select(F.col(h).alias("host"), F.col(page).alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
     often = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > F.col("pages") * max_ratio)
     drops = often.groupBy(F.col("c.host").alias("__at")).agg(F.collect_set("line").alias("__drop"))
     joined = rows.join(drops, F.col(h).eqNullSafe(F.col("__at")), "left")
-    kept = F.when(F.col("__drop").isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col("__drop"), x)))
+    kept = F.when(F.col("__drop").isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col("__drop"), digest(x)) | (F.trim(x) == "")))
     return joined.withColumn("__kept", kept).withColumn("__lines", F.col(ls)).drop(h, "__at", "__drop", *([ls] if ls != "__lines" else []))
 
 
