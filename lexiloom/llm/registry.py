@@ -5,6 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 QUERIES = {
+    "op2_lm_scoring": "lm",
+    "op3_quality": "quality",
+    "op4_fingerprints": "fingerprints",
+    "op5_secrets": "secrets",
     "op1_mixing": "mixing",
     "op6_media": "media",
     "op7_token_counts": "tokencounts",
