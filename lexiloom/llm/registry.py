@@ -12,6 +12,7 @@ QUERIES = {
     "op1_mixing": "mixing",
     "op6_media": "media",
     "op7_token_counts": "tokencounts",
+    "op8_near_dedup": "neardedup",
     "op9_line_dedup": "linededup",
     "op10_packing": "packing",
 }
