@@ -5,11 +5,443 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lexiloom.functions import encoding, morphology, text
+from lexiloom.operators import analysis, datasets, documents, metrics, qa, vocab
+
+#: A harmless list for the word filters.
+LISTED = ("stupid", "worthless", "pathetic")
+PIECES = 2000
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+SENTENCES = "s AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS sentence, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents)"
+RE2_WORD = r"\p{L}\p{N}_"
+# How RE2, which has no class intersection, writes the unprintable characters.
+RE2_UNPRINTABLE = r"[\p{Cc}\p{Cf}\p{Co}\p{Zl}\p{Zp}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]"
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").withColumn("sentences", F.split("text", "\n"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = documents.explode_sentences(docs(spark, sf_dir).select("doc_id", "lang", "source", "sentences"))
+    return rows.withColumnRenamed("sent_idx", "i")
+
+
+@query(
+    rf"""
+WITH {SENTENCES}, kept AS (
+  SELECT * FROM s WHERE length(sentence) BETWEEN 10 AND 200 AND NOT regexp_matches(sentence, '[{RE2_WORD}\-]+@[{RE2_WORD}\-]+\.[{RE2_WORD}.\-]+')
+), d AS (SELECT doc_id, lang, count(*) AS n FROM kept GROUP BY ALL HAVING count(*) >= 5 AND NOT bool_or(regexp_matches(sentence, '[{{|}}]')))
+SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_sentences FROM d GROUP BY lang
+"""
+)
+def clean_flagship(spark, sf_dir):
+    kept = documents.clean(docs(spark, sf_dir), sentence_filters=["email", "sequence_length"], document_filters=["short_document", "script"])
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("sentences")).alias("n_sentences"))
+
+
+@query(
+    """
+SELECT (SELECT count(*) FROM documents) AS n_before, (SELECT count(*) FROM (
+  SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id
+  HAVING count(*) FILTER (WHERE length(x) BETWEEN 10 AND 200) >= 5)) AS n_after
+"""
+)
+def clean_counts(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    return documents.counts_before_and_after(rows, documents.clean(rows, sentence_filters=["sequence_length"], document_filters=["short_document"]))
+
+
+@query(rf"WITH u AS (SELECT url AS x FROM pages UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents) SELECT regexp_matches(x, '(https?|sftp?)://[{RE2_WORD}/:%#$&?()~.=+\-]+') AS has_url, count(*) AS n, sum(length(x))::BIGINT AS chars FROM u GROUP BY 1")
+def filter_url(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select(F.col("url").alias("x")).union(sentences(spark, sf_dir).select("sentence"))
+    return rows.groupBy(text.has_url(F.col("x")).alias("has_url")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("x")).alias("chars"))
+
+
+@query(rf"WITH {SENTENCES} SELECT doc_id, i::INT AS i FROM s WHERE regexp_matches(sentence, '[{RE2_WORD}\-]+@[{RE2_WORD}\-]+\.[{RE2_WORD}.\-]+')")
+def filter_email(spark, sf_dir):
+    return sentences(spark, sf_dir).where(text.has_email(F.col("sentence"))).select("doc_id", "i")
+
+
+@query(f"WITH {SENTENCES} SELECT lang, count(*) AS n FROM s WHERE length(sentence) BETWEEN 10 AND 200 GROUP BY lang")
+def filter_length(spark, sf_dir):
+    return sentences(spark, sf_dir).where(~text.bad_length(F.col("sentence"))).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id HAVING count(*) >= 5")
+def filter_short_doc(spark, sf_dir):
+    kept = documents.clean(docs(spark, sf_dir), document_filters=["short_document"])
+    return kept.select("doc_id", F.size("sentences").cast("long").alias("n"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id FROM s GROUP BY doc_id HAVING NOT bool_or(regexp_matches(sentence, '[{{|}}]'))")
+def filter_script(spark, sf_dir):
+    return documents.clean(docs(spark, sf_dir), document_filters=["script"]).select("doc_id")
+
+
+def morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sentences(spark, sf_dir).withColumn("m", analysis.regex_morphemes(F.col("sentence")))
+    return rows.select("doc_id", "lang", "i", F.posexplode("m").alias("pos", "m"))
+
+
+_MORPHEMES = rf"m AS (SELECT doc_id, lang, i, unnest(ws) AS surface, unnest(range(0, len(ws))) AS pos FROM (SELECT *, regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM s))"
+
+
+@query(f"WITH {SENTENCES}, {_MORPHEMES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m WHERE surface IN {LISTED})")
+def filter_ng_words(spark, sf_dir):
+    words = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("word"))
+    found = morphemes(spark, sf_dir).select("doc_id", F.col("m.surface").alias("surface"))
+    return documents.drop_ng_documents(read(spark, sf_dir, "documents").select("doc_id"), found, words)
+
+
+@query(f"WITH {SENTENCES}, {_MORPHEMES} SELECT DISTINCT doc_id FROM m WHERE surface IN {LISTED}")
+def filter_ng_words_exact(spark, sf_dir):
+    rows = sentences(spark, sf_dir).where(F.col("sentence").rlike(documents.ng_pattern(LISTED)))  # the cheap test comes first
+    hit = documents.has_ng_word(F.col("sentence"), analysis.regex_morphemes(F.col("sentence")), LISTED)
+    return rows.where(hit).select("doc_id").distinct()
+
+
+DECORATE = "concat('a', chr(9), ' x ', chr(160), sentence, chr(12288), '  b')"
+
+
+@query(
+    rf"""
+WITH {SENTENCES}, n AS (SELECT doc_id, i::INT AS i, regexp_replace(regexp_replace({DECORATE}, '{RE2_UNPRINTABLE}', '', 'g'), ' +', ' ', 'g') AS x FROM s)
+SELECT doc_id, i, md5(x) AS digest, length(x)::INT AS n FROM n
+"""
+)
+def norm_whitespace(spark, sf_dir):
+    dirty = F.concat(F.lit("a\t x  "), "sentence", F.lit("　  b"))
+    rows = sentences(spark, sf_dir).select("doc_id", "i", text.whitespace_normalizer(dirty).alias("x"))
+    return rows.select("doc_id", "i", F.md5(F.col("x").cast("binary")).alias("digest"), F.char_length("x").alias("n"))
+
+
+@query(
+    rf"""
+WITH {SENTENCES}, n AS (SELECT doc_id, i::INT AS i, regexp_replace(concat('[12]', left(sentence, 5), '[要出典]{{{{x', i, '}}}}', substr(sentence, 6), '[a] b?]'), '\[\p{{Nd}}+?\]|\[要.+?\]|\{{\{{+[^{{}}]+?\}}\}}+|\[(要出典|リンク切れ|.+?\?)\]', '', 'g') AS x FROM s)
+SELECT doc_id, i, md5(x) AS digest, length(x)::INT AS n FROM n
+"""
+)
+def norm_citation(spark, sf_dir):
+    rows = sentences(spark, sf_dir)
+    dirty = F.concat(F.lit("[12]"), F.substring("sentence", 1, 5), F.lit("[要出典]{{x"), F.col("i").cast("string"), F.lit("}}"), F.expr("substring(sentence, 6)"), F.lit("[a] b?]"))
+    rows = rows.select("doc_id", "i", text.citation_normalizer(dirty).alias("x"))
+    return rows.select("doc_id", "i", F.md5(F.col("x").cast("binary")).alias("digest"), F.char_length("x").alias("n"))
+
+
+@query(
+    f"""
+WITH {SENTENCES}, g AS (SELECT *, sum(CASE WHEN i = 0 OR length(sentence) > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s),
+j AS (SELECT doc_id, g, string_agg(sentence, '' ORDER BY i) AS x FROM g GROUP BY ALL)
+SELECT doc_id, count(*) AS n, md5(string_agg(x, chr(10) ORDER BY g)) AS digest FROM j GROUP BY doc_id
+"""
+)
+def concat_short(spark, sf_dir):
+    rows = documents.clean(docs(spark, sf_dir), document_normalizers=["concat_short_sentence"], concat_char_num=20)
+    return rows.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"))
+
+
+@query(
+    """
+WITH RECURSIVE e AS (SELECT doc_id, sum(len(string_split(text, chr(10))) + 1) OVER (ORDER BY doc_id) AS stop FROM documents),
+cuts AS (SELECT 0::HUGEINT AS cut UNION ALL SELECT (SELECT min(stop) FROM e WHERE stop - cut > 1000) FROM cuts WHERE (SELECT min(stop) FROM e WHERE stop - cut > 1000) IS NOT NULL)
+SELECT doc_id, (SELECT count(*) FROM cuts WHERE cut < stop) AS shard_id FROM e
+"""
+)
+def shard_greedy(spark, sf_dir):
+    return documents.shard_ids(docs(spark, sf_dir).select("doc_id", "sentences"), "doc_id", 1000).select("doc_id", F.col("shard_id").cast("long").alias("shard_id"))
+
+
+@query("SELECT doc_id, 1::INT AS n_paragraphs, len(string_split(text, chr(10)))::INT AS n_parts, md5(replace(text, chr(10), '|')) AS digest FROM documents")
+def article_paragraphs(spark, sf_dir):
+    lines = F.array(F.lit(""), F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
+    found = documents.article_paragraphs(F.array_join(lines, "\n"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", found.alias("p"))
+    return rows.select("doc_id", F.size("p").alias("n_paragraphs"), F.size(F.flatten("p")).alias("n_parts"), F.md5(F.array_join(F.flatten("p"), "|").cast("binary")).alias("digest"))
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, count(*) AS n, md5(string_agg(sentence, chr(10) ORDER BY i)) AS digest FROM s GROUP BY doc_id")
+def nest_again(spark, sf_dir):
+    rows = documents.nest_sentences(sentences(spark, sf_dir).withColumnRenamed("i", "sent_idx"), ["doc_id"])
+    return rows.select("doc_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"))
+
+
+_COUNTED = f"{_MORPHEMES}, c AS (SELECT lower(surface) AS word, count(*) AS freq, min((doc_id, i, pos)) AS first FROM m GROUP BY 1)"
+
+
+def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = morphemes(spark, sf_dir).select("doc_id", "i", "pos", F.col("m.normalized_form").alias("word"))
+    return vocab.word_counts(rows, ["doc_id", "i", "pos"])
+
+
+@query(f"WITH {SENTENCES}, {_COUNTED} SELECT row_number() OVER (ORDER BY freq DESC, first) - 1 AS rank, word, freq FROM c ORDER BY freq DESC, first LIMIT 500")
+def vocab_top(spark, sf_dir):
+    return vocab.top_words(counted(spark, sf_dir), size=500).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(
+    f"""WITH {SENTENCES}, {_COUNTED}, k AS (SELECT * FROM c WHERE freq >= 3), one AS (SELECT * FROM k WHERE length(word) = 1 ORDER BY freq DESC, first LIMIT 20),
+v AS (SELECT * FROM k WHERE length(word) <> 1 UNION ALL SELECT * FROM one) SELECT word, freq FROM v"""
+)
+def vocab_char_cap(spark, sf_dir):
+    return vocab.top_words(counted(spark, sf_dir), least=3, most_characters=20).select("word", "freq")
+
+
+@query(f"WITH {SENTENCES}, {_COUNTED} SELECT freq, count(*) AS n FROM c WHERE freq >= 2 GROUP BY freq")
+def vocab_min_freq(spark, sf_dir):
+    return vocab.top_words(counted(spark, sf_dir), least=2).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KIND = rf"CASE WHEN regexp_full_match(surface, '\p{{N}}+') THEN '[number]' WHEN regexp_matches(surface, '^[{RE2_WORD}]') THEN '[noun]' ELSE '[symbol]' END"
+_VOCAB = f"""{_COUNTED}, t AS (SELECT DISTINCT {_KIND} AS tag FROM m), w AS (SELECT word, row_number() OVER (ORDER BY freq DESC, first) AS r FROM c ORDER BY freq DESC, first LIMIT 300),
+u AS (SELECT 0 AS a, n AS b, s AS token FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[CLS]'), (3, '[SEP]'), (4, '[MASK]')) x(n, s)
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY tag), tag FROM t UNION ALL SELECT 2, r, word FROM w),
+v AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS id, token FROM u)"""
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = vocab.pos_tags(morphemes(spark, sf_dir).select(morphology.pos_tag(F.col("m.pos")).alias("tag")))
+    return vocab.assembled(spark, vocab.SPECIALS, tags, vocab.top_words(counted(spark, sf_dir), size=300))
+
+
+@query(f"WITH {SENTENCES}, {_VOCAB} SELECT id, token FROM v")
+def vocab_pos(spark, sf_dir):
+    return vocabulary(spark, sf_dir)
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, CASE WHEN lower(surface) IN (SELECT token FROM v) THEN lower(surface) ELSE {_KIND} END AS token FROM m)
+SELECT token, count(*) AS n FROM x GROUP BY token"""
+)
+def pos_substitute(spark, sf_dir):
+    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
+    rows = sentences(spark, sf_dir).select(analysis.regex_morphemes(F.col("sentence")).alias("m")).join(known)
+    tokens = encoding.pos_substituted(morphology.word_forms(F.col("m"), "normalized"), F.col("m"), F.col("vocab"))
+    return rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, coalesce(v.id, 1) AS id FROM m LEFT JOIN v ON v.token = lower(surface)),
+e AS (SELECT doc_id, i, '2,' || string_agg(id::VARCHAR, ',' ORDER BY pos) || ',3' AS ids, count(*) AS n FROM x GROUP BY ALL)
+SELECT doc_id, i::INT AS i, md5(ids) AS ids, n + 2 AS n, '1' || repeat('0', n::INT) || '1' AS mask, repeat('0', n::INT + 2) AS types FROM e WHERE n <= 20"""
+)
+def encode_ids(spark, sf_dir):
+    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
+    rows = sentences(spark, sf_dir).withColumn("w", morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized"))
+    rows = rows.where(F.size("w").between(1, 20)).join(known).withColumn("ids", encoding.to_ids(F.col("w"), F.col("vocab")))
+    return rows.select(
+        "doc_id",
+        "i",
+        F.md5(F.array_join(encoding.with_specials(F.col("ids"), cls=2, sep=3), ",").cast("binary")).alias("ids"),
+        (F.size("ids") + 2).cast("long").alias("n"),
+        F.array_join(encoding.special_mask(F.col("ids")), "").alias("mask"),
+        F.array_join(encoding.token_types(F.col("ids")), "").alias("types"),
+    )
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, ch AS (SELECT token FROM v WHERE length(token) = 1), x AS (SELECT unnest(string_split(lower(surface), '')) AS c FROM m)
+SELECT CASE WHEN c IN (SELECT token FROM ch) THEN c ELSE '[UNK]' END AS token, count(*) AS n FROM x WHERE c <> '' GROUP BY 1"""
+)
+def character_subwords(spark, sf_dir):
+    chars = vocabulary(spark, sf_dir).where(F.char_length("token") == 1)
+    rows = sentences(spark, sf_dir).join(F.broadcast(vocab.vocab_map(chars)))
+    words = morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized")
+    return rows.select(F.explode(encoding.character_subwords(words, F.col("vocab"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT doc_id, md5(translate(x, '！＂＃＄％＆＇（）＊＋，－．／０１２３４５６７８９：；＜＝＞？＠ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ［＼］＾＿｀ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ｛｜｝～',
+  '!"#$%&''()*+,-./0123456789:;<=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~')) AS digest FROM (SELECT doc_id, text || 'Ａ１～　' AS x FROM documents)""".replace("\\\\", "\\")
+)
+def half_ascii(spark, sf_dir):
+    wide = F.concat("text", F.lit("Ａ１～　"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.half_ascii(wide).cast("binary")).alias("digest"))
+
+
+@query()
+def nfkc(spark, sf_dir):
+    normal = text.input_normalizer(do_strip=True, do_lower_case=True, do_nfkc=True)
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(normal(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query()
+def wordpiece_tokens(spark, sf_dir):
+    """Pieces of every word by a vocabulary trained on all words."""
+    counts = counted(spark, sf_dir).select("word", "freq")
+    trained = vocab.train_wordpiece(counts, size=PIECES, least=2, alphabet=200)
+    pieces = vocab.wordpiece_of_words(counts, trained)
+    rows = counts.join(pieces, "word").select("freq", F.explode("pieces").alias("piece"))
+    return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN r <= n - held THEN 'train' WHEN r <= n - tests THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, ceil(n * 2 / 10.0) AS held, ceil(ceil(n * 2 / 10.0) / 2) AS tests FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer))")
+def split_ratio(spark, sf_dir):
+    return datasets.split_by_ratio(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), F.col("id"), "8/1/1")
+
+
+@query("SELECT CASE WHEN d < '1994' THEN 'train' WHEN d < '1996' THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) GROUP BY 1")
+def split_range(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("d"))
+    return rows.groupBy(datasets.split_by_range(F.col("d"), "1994", "1996").alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+def conversation_docs(spark, sf_dir):
+    from lexiloom.sources.readers import conversations
+
+    rows = conversations(read(spark, sf_dir, "conversations").where("text IS NOT NULL"))
+    return rows.select("conv_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"))
+
+
+@query(
+    """
+WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, v, len(v) AS n FROM e),
+s AS (SELECT vec_id, k - 1 AS s, v[k] AS l, row_number() OVER (PARTITION BY vec_id ORDER BY v[k] DESC, k) AS r FROM (SELECT vec_id, v, unnest(range(1, n + 1)) AS k FROM x) QUALIFY r <= 20),
+t AS (SELECT vec_id, k - 1 AS e, v[n + 1 - k] AS l, row_number() OVER (PARTITION BY vec_id ORDER BY v[n + 1 - k] DESC, k) AS r FROM (SELECT vec_id, v, n, unnest(range(1, n + 1)) AS k FROM x) QUALIFY r <= 20),
+p AS (SELECT s.vec_id, s, e, s.l + t.l AS score FROM s JOIN t USING (vec_id) WHERE e >= s AND e - s + 1 <= 30 AND s >= 1 AND e >= 1),
+b AS (SELECT vec_id, max_by({'s': s, 'e': e, 'score': score}, (score, -s, -e)) AS b FROM p GROUP BY vec_id)
+SELECT vec_id AS id, CASE WHEN b IS NULL OR v[1] + v[n] - b.score > 0 THEN '' ELSE b.s || '-' || b.e END AS chosen FROM x LEFT JOIN b USING (vec_id)
+"""
+)
+def qa_nbest(spark, sf_dir):
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    n = F.size("embedding")
+    width = 8  # every token is a piece of the context so wide that its text tells its place
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i > 0, F.struct((i * width).alias("start"), ((i + 1) * width).alias("end"))))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("feature_idx"), logits.alias("start_logits"), F.reverse(logits).alias("end_logits"), places.alias("offsets"), n.alias("n"))
+    context = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lpad(i.cast("string"), width, " ")), "")
+    found = qa.answers(rows.drop("n"), rows.select("id", context.alias("context")))
+    first, last = F.trim(F.substring("chosen", 1, width)), F.trim(F.expr(f"right(chosen, {width})"))
+    return found.select("id", F.when(F.col("chosen") == "", "").otherwise(F.concat(first, F.lit("-"), last)).alias("chosen")).distinct()
+
+
+_PREDICTED = "p AS (SELECT l.doc_id, l.quality AS label, CASE WHEN regexp_matches(text, '[|!*]') THEN 0 ELSE 1 END AS prediction, source AS setting, CASE WHEN doc_id % 2 = 0 THEN 'Dev' ELSE 'Test' END AS stage FROM labels l JOIN documents USING (doc_id))"
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
+    return rows.select(
+        "doc_id",
+        F.col("quality").alias("label"),
+        F.when(F.col("text").rlike("[|!*]"), 0).otherwise(1).alias("prediction"),
+        F.col("source").alias("setting"),
+        F.when(F.col("doc_id") % 2 == 0, "Dev").otherwise("Test").alias("stage"),
+    )
+
+
+@query(
+    f"""WITH {_PREDICTED} SELECT setting, round(avg((label = prediction)::DOUBLE) FILTER (WHERE stage = 'Dev'), 9) AS dev_accuracy, round(avg((label = prediction)::DOUBLE) FILTER (WHERE stage = 'Test'), 9) AS test_accuracy,
+round(avg((label - prediction) ** 2), 9)::DOUBLE AS mse, round(avg(abs(label - prediction)), 9)::DOUBLE AS mae FROM p GROUP BY setting"""
+)
+def metric_summary(spark, sf_dir):
+    rows = predictions(spark, sf_dir)
+    hit = rows.withColumn("hit", (F.col("label") == F.col("prediction")).cast("double"))
+    wide = metrics.summary(hit, ["setting"], "stage", ["Dev", "Test"], ["hit"]).toDF("setting", "dev_accuracy", "test_accuracy")
+    errors = rows.groupBy("setting").agg(metrics.squared_error(F.col("label"), F.col("prediction")).alias("mse"), metrics.absolute_error(F.col("label"), F.col("prediction")).alias("mae"))
+    rounded = [F.round(c, 9).alias(c) for c in ("dev_accuracy", "test_accuracy", "mse", "mae")]
+    return wide.join(errors, "setting").select("setting", *rounded)
+
+
+@query(f"WITH {_PREDICTED}, a AS (SELECT setting, round(avg((label = prediction)::DOUBLE), 9) AS value FROM p WHERE stage = 'Dev' GROUP BY setting) SELECT setting, value FROM a ORDER BY value DESC, setting LIMIT 1")
+def best_model(spark, sf_dir):
+    rows = predictions(spark, sf_dir).where("stage = 'Dev'").groupBy("setting").agg(F.round(metrics.accuracy(F.col("label"), F.col("prediction")), 9).alias("value"))
+    return metrics.best_setting(rows, "setting", "value")
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, left(text, 40) AS a, substr(text, 11, 40) AS b FROM documents), n AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(a), '。+$', ''), '[\\s\\x{A0}]+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(b), '。+$', ''), '[\\s\\x{A0}]+', ' ', 'g')) AS b FROM d
+), c AS (SELECT doc_id, 'a' AS k, unnest(string_split(a, '')) AS ch FROM n UNION ALL SELECT doc_id, 'b', unnest(string_split(b, '')) FROM n),
+m AS (SELECT doc_id, ch, count(*) FILTER (WHERE k = 'a') AS x, count(*) FILTER (WHERE k = 'b') AS y FROM c WHERE ch <> '' GROUP BY ALL),
+f AS (SELECT doc_id, sum(least(x, y)) AS same, sum(x) AS x, sum(y) AS y FROM m GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN x = 0 OR y = 0 THEN (x = y)::DOUBLE WHEN same = 0 THEN 0.0 ELSE 2.0 * (same / y) * (same / x) / (same / y + same / x) END, 9)::DOUBLE AS f1 FROM f
+""".replace("\\\\", "\\")
+)
+def char_f1(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 11, 40).alias("b"))
+    return rows.select("doc_id", F.round(metrics.overlap_f1(F.col("a"), F.col("b"), metrics.answer_characters), 9).alias("f1"))
+
+
+@query("SELECT lang AS label, row_number() OVER (ORDER BY lang) - 1 AS id FROM (SELECT DISTINCT lang FROM documents)")
+def label_ids(spark, sf_dir):
+    rows = datasets.label_ids(read(spark, sf_dir, "documents").select(F.col("lang").alias("label")))
+    return rows.withColumn("id", F.col("id").cast("long"))
+
+
+@query(
+    """
+WITH r AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id), q AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k, text, turn FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id || lpad(k::VARCHAR, 4, '0') AS id, CASE WHEN turn < 1 THEN 0 ELSE 1 END AS n_answers, CASE WHEN turn < 1 THEN -1 ELSE 0 END AS answer_start, split
+FROM q JOIN (SELECT conv_id, CASE WHEN conv_id::VARCHAR < '2' THEN 'train' WHEN conv_id::VARCHAR < '3' THEN 'dev' ELSE 'test' END AS split FROM r) USING (conv_id)
+"""
+)
+def convert_reading(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    nested = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    nested = F.transform(nested, lambda t: F.struct(t["text"].alias("text"), F.when(t["turn"] < 1, 1).otherwise(2).alias("score")))
+    rows = turns.groupBy("conv_id").agg(nested.alias("documents")).select(F.col("conv_id").cast("string").alias("qid"), F.lit("who").alias("question"), F.lit("").alias("answer"), F.when(F.col("conv_id").cast("string") < "2", "2008").when(F.col("conv_id").cast("string") < "3", "2009").otherwise("2010").alias("timestamp"), "documents")
+    out = datasets.convert_reading(rows)
+    return out.select("id", F.size("answers.text").alias("n_answers"), F.coalesce(F.get("answers.answer_start", F.lit(0)), F.lit(-1)).alias("answer_start"), "split")
+
+
+@query(
+    """
+WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+')) AS n FROM documents), f AS (SELECT doc_id, n, unnest(range(0, greatest(ceil((n - 59) / 39.0), 0)::INT + 1)) AS k FROM w)
+SELECT doc_id, k::INT AS feature_idx, greatest(least(59, n - k * 39), 0)::INT AS n FROM f
+""".replace("\\\\", "\\")
+)
+def qa_features(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit("[^ \n]+"), F.lit(0))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("what"), F.lit("?")).alias("q"), words.alias("c"), F.transform(words, lambda w, i: i).alias("o"))
+    out = qa.overflow_features(rows, "q", "c", "o", length=64, stride=20)
+    return out.select("doc_id", "feature_idx", F.size("chunk").alias("n"))
+
+
+@query("SELECT b.x || '_' || l.x || '_' || e.x AS setting FROM (VALUES (16), (32)) b(x), (VALUES ('5e-5'), ('3e-5'), ('2e-5')) l(x), (VALUES (3), (4), (5)) e(x)")
+def parameter_grid(spark, sf_dir):
+    grid = datasets.parameter_grid(spark, batch=(16, 32), rate=("5e-5", "3e-5", "2e-5"), epochs=(3, 4, 5))
+    return grid.select(F.concat_ws("_", "batch", "rate", "epochs").alias("setting"))
+
+
+@query("WITH s AS (SELECT conv_id, turn, role, text FROM conversations) SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'a' ELSE 'b' END AS choice, position(CASE WHEN role = 'user' THEN 'a' ELSE 'b' END IN 'abcd')::INT - 1 AS label FROM s")
+def letter_labels(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", "a").otherwise("b").alias("choice"))
+    return rows.withColumn("label", datasets.letter_index(F.col("choice")))
+
+
+@query("WITH t AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, strlen(left(text, 1000)) AS n, length(left(text, 1000)) AS chars FROM documents WHERE strlen(text) = length(text)")
+def truncate_bytes(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text"))
+    cut = text.truncate_utf8(F.col("text"), 1000)
+    return rows.select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
