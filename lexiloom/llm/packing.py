@@ -34,7 +34,7 @@ ROUNDS = 600
 RATE = 1.0
 #: Entries of a worker's memory of words already encoded.
 REMEMBERED = 250_000
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 22
 
 class Encoder:
     """Token ids of whole texts as little-endian bytes.
@@ -51,7 +51,6 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.line = self.encoded(["\n"])[0]
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
@@ -60,34 +59,40 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def split(self, text: str) -> list[str] | None:
-        """The words, each but a line's first with its space, or None if the text must stay whole."""
+        """The text's words, or None if it must stay whole. A word stands for itself after a space; a line's first has a mark before it."""
         out: list[str] = []
-        for line in text.split("\n"):
+        for i, line in enumerate(text.split("\n")):
             parts = line.split(" ")
             if parts != line.split():
                 return None
-            out.append(parts[0])
-            out += [" " + x for x in parts[1:]]
-            out.append("\n")
-        return out[:-1]
+            parts[0] = (NEXT_LINE if i else BARE) + parts[0]
+            out += parts
+        return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > REMEMBERED:  # words not met for so long that as many others came are forgotten
             self.older, self.words = self.words, {}
         split = [self.split(x) for x in texts]
-        met = {w for ws in split if ws for w in ws} - self.words.keys()
+        met = set().union(*(ws for ws in split if ws)) - self.words.keys()
         self.words.update((w, self.older[w]) for w in met & self.older.keys())
         cores = {w: core(w) for w in met - self.older.keys()}
-        parts = {x for w, c in cores.items() for x in (c, w[len(c) :]) if x}
+        parts = {x for w, c in cores.items() for x in ((c,) if c == w else (c, BARE + w[len(c) :]))}
         new = list(parts - self.words.keys())
-        self.words.update(zip(new, self.encoded(new)))
-        self.words.update((w, self.words[c] + self.words[w[len(c) :]]) for w, c in cores.items() if c != w)
-        self.words["\n"] = self.line
+        self.words.update(zip(new, self.encoded([spelled(w) for w in new])))
+        self.words.update((w, self.words[c] + self.words[BARE + w[len(c) :]]) for w, c in cores.items() if c != w)
         whole = iter(self.encoded([x for x, ws in zip(texts, split) if ws is None]))
         get = self.words.__getitem__
         return [next(whole) if ws is None else b"".join(map(get, ws)) for ws in split]
 
 
+#: What stands before a word that follows no space: it begins a later line, or the text or a word's marks.
+NEXT_LINE, BARE = "\n", "\r"
+
+
+def spelled(word: str) -> str:
+    return word if word[0] == NEXT_LINE else word[1:] if word[0] == BARE else " " + word
+
+
 #: Marks that the splitting rule takes apart from a letter before them, and keeps together.
 MARKS = ".,!?;:|*#$%&"
 
