@@ -186,7 +186,7 @@ def simple_block(frames: list[bytes], relative: int, lacing: int) -> bytes:
     sizes, laced = [len(f) for f in frames], bytes([len(frames) - 1])
     if lacing == 1:
         laced += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == 3:
+    elif lacing == 3 and len(sizes) > 1:
         laced += to_vint(sizes[0])
         for a, b in zip(sizes, sizes[1:-1]):
             length = next(n for n in range(1, 9) if abs(b - a) < (1 << 7 * n - 1) - 1)
