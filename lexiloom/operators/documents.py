@@ -50,7 +50,7 @@ def documents_of_lines(whole: Column) -> Column:
     it, so runs of blanks give empty documents; what follows the last blank line
     is no document.
     """
-    lines = F.transform(F.split(whole, "\n"), text.strip)
+    lines = F.transform(F.split(whole, "\n"), lambda x: text.strip(x))
     marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", "\0").otherwise(x)), "\n")
     ended = F.split(marked, "\0")  # stripped lines hold no such character unless the text does
     kept = F.slice(ended, F.lit(1), F.size(ended) - 1)

@@ -46,11 +46,16 @@ def token_offsets(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([_aligned(t, list(k)) if t is not None and k is not None else None for t, k in zip(text, tokens)])
 
 
+def _folded(s: str) -> str:
+    """Lower case where that keeps every character's place."""
+    return "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
+
+
 def _aligned(text: str, tokens: list[str]) -> list[dict]:
     plain = ["" if t.startswith("[") and t.endswith("]") and len(t) > 2 else t.removeprefix("##") for t in tokens]
-    joined = "".join(plain)
+    joined = _folded("".join(plain))
     place: dict[int, int] = {}
-    for a, b, n in difflib.SequenceMatcher(None, joined, text, autojunk=False).get_matching_blocks():
+    for a, b, n in difflib.SequenceMatcher(None, joined, _folded(text), autojunk=False).get_matching_blocks():
         place.update({a + i: b + i for i in range(n)})
     spans: list[tuple[int, int] | None] = []
     at = 0
