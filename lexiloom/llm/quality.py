@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.common import fresh, table
+from lexiloom.llm.common import fresh, materialize, table
 
 FEATURES = (
     "word_length", "long_words", "upper", "digits", "symbols", "pipes", "exclamations", "commas", "stops",
@@ -143,21 +143,37 @@ def in_training(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Discriminant | float:
-    """Fit on all labelled rows of docs (doc_id, text) and labels (doc_id, quality).
+def described(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) -> (doc_id, statistics), the statistics as the bytes of their doubles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = pa.array([x.tobytes() for x in vectors(batch, "text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], ["doc_id", "statistics"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, statistics binary")
+
+
+def unpacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(-1, len(FEATURES))
+
+
+def train(described: DataFrame, labels: DataFrame) -> Discriminant | float:
+    """Fit on all labelled rows of described (doc_id, statistics) and labels (doc_id, quality).
 
     A doc_id with several labels is used once a label; null ids, and labels that
-    are neither 0 nor 1, aren't used. The labels go by a join, which shuffles ids
-    and the labelled texts alone; tasks return one row of sums a class.
+    are neither 0 nor 1, aren't used. Labels meet statistics, not texts, in a join;
+    tasks return one row of sums a class.
     """
     wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).distinct()
-    rows = docs.select("doc_id", "text").where(in_training()).join(wanted, F.col("doc_id") == F.col("__id")).select("text", "quality")
+    rows = described.where(in_training()).join(wanted, F.col("doc_id") == F.col("__id")).select("statistics", "quality")
     dims = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
         for batch in batches:
-            x, y = vectors(batch, "text"), batch.column("quality").to_numpy(zero_copy_only=False)
+            x, y = unpacked(batch.column("statistics")), batch.column("quality").to_numpy(zero_copy_only=False)
             for k in np.unique(y):
                 part = x[y == k]
                 s = sums.setdefault(int(k), [0.0, np.zeros(dims), np.zeros((dims, dims))])
@@ -176,30 +192,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Discriminant | float:
     return fitted(found, dims)
 
 
-def score(docs: DataFrame, model: Discriminant | float, name: str = "__score") -> DataFrame:
-    """docs with a score column; needs text. Null and empty texts are scored as empty."""
-    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    columns = [*docs.columns, name]
+def score(rows: DataFrame, model: Discriminant | float, name: str = "__score") -> DataFrame:
+    """rows with a score column, from their statistics or else their text. Null and empty texts are scored as empty."""
+    schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
+    columns, ready = [*rows.columns, name], "statistics" in rows.columns and dict(rows.dtypes)["statistics"] == "binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = vectors(batch, "text")
+            x = unpacked(batch.column("statistics")) if ready else vectors(batch, "text")
             got = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], columns)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier doesn't reject; learnt from their labels."""
     name = fresh(docs, "__score")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")), name).where(F.col(name) >= threshold).drop(name)
+    model = train(described(docs), table(spark, sf_dir, "labels"))
+    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score(docs, train(docs, table(spark, sf_dir, "labels")), "score")
+    """doc_id, held_out, score, predicted of every document; statistics are computed once and written."""
+    rows = materialize(described(table(spark, sf_dir, "documents")), "statistics")
+    scored = score(rows, train(rows, table(spark, sf_dir, "labels")), "score")
     return scored.select(
         "doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )

@@ -26,11 +26,11 @@ def test_score_is_the_density_difference():
 
 def test_odd_rows(spark, odd, odd_rows, none):
     labels = spark.createDataFrame([(3, 1), (4, 1), (4, 0), (None, 1), (9, None), (11, 5), (5, 0)], "doc_id long, quality int")
-    model = quality.train(odd, labels)
+    model = quality.train(quality.described(odd), labels)
     got = quality.score(odd, model, "p").collect()
     assert len(got) == len(odd_rows) and all(0 <= r.p <= 1 for r in got)
     assert got[0].p == got[1].p == quality.score(odd, model, "p").where("doc_id = 0").first().p
-    assert quality.train(none, labels) == 0.5 and quality.score(none, 0.5).count() == 0
+    assert quality.train(quality.described(none), labels) == 0.5 and quality.score(none, 0.5).count() == 0
 
 
 def test_statistics_are_finite():
