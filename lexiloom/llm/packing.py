@@ -31,7 +31,7 @@ CAPACITY = 2048
 END_ID = 0
 #: Rounds of multiplicative weights and how fast weights of covered lengths fall.
 ROUNDS = 600
-RATE = 1.0
+RATE = 0.1
 #: Entries of a worker's memory of words already encoded.
 REMEMBERED = 250_000
 GROUP_BYTES = 1 << 22
