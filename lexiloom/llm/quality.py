@@ -192,10 +192,10 @@ def train(described: DataFrame, labels: DataFrame) -> Discriminant | float:
     return fitted(found, dims)
 
 
-def score(rows: DataFrame, model: Discriminant | float, name: str = "__score") -> DataFrame:
-    """rows with a score column, from their statistics or else their text. Null and empty texts are scored as empty."""
+def score(rows: DataFrame, model: Discriminant | float, name: str = "__score", ready: bool = False) -> DataFrame:
+    """rows with a score column, from their text or, if ready, from the statistics that described() gives. Null and empty texts are scored as empty."""
     schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
-    columns, ready = [*rows.columns, name], "statistics" in rows.columns and dict(rows.dtypes)["statistics"] == "binary"
+    columns = [*rows.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +216,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: floa
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; statistics are computed once and written."""
     rows = materialize(described(table(spark, sf_dir, "documents")), "statistics")
-    scored = score(rows, train(rows, table(spark, sf_dir, "labels")), "score")
+    scored = score(rows, train(rows, table(spark, sf_dir, "labels")), "score", ready=True)
     return scored.select(
         "doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
