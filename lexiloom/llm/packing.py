@@ -126,9 +126,12 @@ def cut(tokens: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, min(head, tokens))] + [(a, capacity) for a in range(head, tokens, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False, keep_words: bool = True) -> DataFrame:
     """(doc_id, text) -> doc_id, piece, start, length, ids_crc32 and, if asked for, ids.
 
+    A worker keeps the words it has encoded from task to task, unless told not to
+    because other work follows on the same workers.
+
     A null or empty text is its end token alone. Rows of one doc_id, equal or not, are cut each by itself.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -137,23 +140,27 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(path)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
-            for first, group in grouped(texts):
-                rows, at, ids = [], [], []
-                for i, raw in enumerate(encoder.ids(group), first):
-                    raw += end
-                    for n, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
-                        part = raw[4 * start : 4 * (start + length)]
-                        at.append(i)
-                        rows.append((n, start, length, zlib.crc32(part)))
-                        if with_ids:
-                            ids.append(np.frombuffer(part, "<u4").astype(np.int32))
-                columns = [np.array(c) for c in zip(*rows)]
-                arrays = [keys.take(pa.array(at)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
-                if with_ids:
-                    arrays.append(pa.array(ids, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(arrays, names)
+        try:
+            for batch in batches:
+                keys, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
+                for first, group in grouped(texts):
+                    rows, at, ids = [], [], []
+                    for i, raw in enumerate(encoder.ids(group), first):
+                        raw += end
+                        for n, (start, length) in enumerate(cut(len(raw) // 4, capacity)):
+                            part = raw[4 * start : 4 * (start + length)]
+                            at.append(i)
+                            rows.append((n, start, length, zlib.crc32(part)))
+                            if with_ids:
+                                ids.append(np.frombuffer(part, "<u4").astype(np.int32))
+                    columns = [np.array(c) for c in zip(*rows)]
+                    arrays = [keys.take(pa.array(at)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+                    if with_ids:
+                        arrays.append(pa.array(ids, pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+        finally:
+            if not keep_words:
+                encoder.words, encoder.older = {}, {}
 
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -314,9 +321,10 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS)
     return rows.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, keep_words: bool = True) -> DataFrame:
     """Tokenize, cut and pack; pieces are written once, so that nothing is tokenized twice."""
-    return pack(materialize(pieces(docs, path or public_tokenizers.path(TOKENIZER), capacity), "pieces"), capacity)
+    cut_pieces = pieces(docs, path or public_tokenizers.path(TOKENIZER), capacity, keep_words=keep_words)
+    return pack(materialize(cut_pieces, "pieces"), capacity)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
