@@ -7,27 +7,35 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.common import materialize
 
-MOST_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) -> (v, l): each vertex with the least vertex of its component. No edge, no row.
 
-    Union-find in rounds: every vertex takes the least label among its neighbours',
-    then the label of its label, so that chains halve. Minima are pre-aggregated
-    before each shuffle, which spreads a hub's neighbours; each round's labels are
-    written, so lineage doesn't grow. Links and labels stay distributed.
+    Large and small stars in turn, on links (hi, lo) with lo < hi. Let m(v) be the least
+    of v and its neighbours. A large star hands each vertex's higher neighbours to m, a
+    small star its lower ones and itself, so links of a component stay links of that
+    component, their number doesn't grow, and paths shorten by a factor each round
+    whatever the order of their vertices. It ends when the links are stars, and only
+    then. Minima are pre-aggregated before each shuffle, which spreads a hub's
+    neighbours; each round's links are written, so lineage doesn't grow.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("l")).withColumn("l", F.least("v", "l")), "labels")
-    for _ in range(MOST_ROUNDS):
-        near = both.join(labels, F.col("a") == F.col("v")).select(F.col("b").alias("v"), "l")
-        least = near.union(labels).groupBy("v").agg(F.min("l").alias("l"))
-        least = least.alias("x").join(labels.alias("y"), "v").select("v", "x.l", F.col("y.l").alias("was"))
-        far = labels.select(F.col("v").alias("at"), F.col("l").alias("further"))
-        jumped = least.join(far, F.col("l") == F.col("at"), "left").select("v", F.least("l", "further").alias("l"), "was")
-        labels = materialize(jumped, "labels")
-        if not labels.where("l <> was").limit(1).count():
-            return labels.select("v", "l")
-        labels = labels.select("v", "l")
-    raise RuntimeError("components have not settled")
+    edges = materialize(edges.select("a", "b"), "edges")
+    links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
+    links = materialize(links, "links")
+    while not stars(links):
+        lower = links.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        large = links.join(lower, F.col("lo") == F.col("v"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        links = materialize(large.distinct(), "links")
+        lower = links.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        small = links.join(lower, F.col("hi") == F.col("v")).where("lo <> m").select("lo", "m")
+        links = materialize(small.union(lower).distinct().toDF("hi", "lo"), "links")
+    vertices = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
+    return materialize(vertices.join(links, F.col("v") == F.col("hi"), "left").select("v", F.coalesce("lo", "v").alias("l")), "labels")
+
+
+def stars(links: DataFrame) -> bool:
+    """Whether every hi has one lo that is itself no hi."""
+    twice = links.groupBy("hi").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least <> most")
+    if twice.limit(1).count():
+        return False
+    return not links.select("lo").distinct().join(links.select("hi"), F.col("lo") == F.col("hi"), "left_semi").limit(1).count()

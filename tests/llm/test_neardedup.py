@@ -95,3 +95,22 @@ def test_components(spark):
     got = {r.v: r.l for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [300, 2000])
+def test_components_of_shuffled_paths(spark, n):
+    """Keys are hashes, so a chain's vertices stand in no order."""
+    names = list(range(n))
+    random.Random(n).shuffle(names)
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long")
+    assert {r.v: r.l for r in connected_components(edges).collect()} == dict.fromkeys(range(n), 0)
+
+
+def test_components_of_any_graph(spark):
+    r = random.Random(7)
+    edges = [(r.randrange(600), r.randrange(600)) for _ in range(280)] + [(900, r.randrange(600)) for _ in range(20)]
+    least = {v: v for e in edges for v in e}
+    for _ in least:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {x.v: x.l for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == least
