@@ -68,7 +68,7 @@ def blocks(data: bytes) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def features(data: bytes, rarity: np.ndarray) -> list[bytes]:
-    """The selected windows of a text, in order; a text shorter than a window is its only feature."""
+    """The selected windows of a text, in order; a text shorter than a window is its only feature. Only an empty text has none."""
     if len(data) < WINDOW:
         return [data] if data else []
     marks: dict[int, int] = {}
@@ -85,6 +85,9 @@ def features(data: bytes, rarity: np.ndarray) -> list[bytes]:
         for i, k in zip((at + start).tolist(), n.tolist()):
             marks[i] = marks.get(i, 0) + k
     least = min(MARKS, max(1, len(data) - WINDOW - NEIGHBOURS + 2))
+    most = max(marks.values())
+    if most < least:  # marks lie too evenly: the most-marked windows, each content once
+        return list(dict.fromkeys(data[i : i + WINDOW] for i in sorted(marks) if marks[i] == most))
     return [data[i : i + WINDOW] for i in sorted(marks) if marks[i] >= least]
 
 

@@ -67,3 +67,15 @@ def test_odd_rows(odd, odd_rows, none):
     dealt = fp.with_next(odd).collect()
     assert sum(not r["__lead"] for r in dealt) == len(odd_rows)
     assert fp.with_next(none).count() == 0
+
+
+def test_every_text_has_a_feature():
+    """Short texts whose runs mark different windows, and texts that repeat, which spread their marks evenly."""
+    periodic = ["a" * 500, "ab" * 250, "xyz" * 200, "0123456789" * 50, "0123456789abcde" * 40, "a" * (fp.BLOCK + 500)]
+    cut = [prose(seed, 80)[: 100 + seed % 61] for seed in range(300)]
+    for text in periodic + cut:
+        assert fp.features(text.encode(), RANKS)
+    a, b = (fp.filters(fp.features(x.encode(), RANKS)) for x in ("a" * 500, "xyz" * 200))
+    assert fp.likeness(a, b) < 0.1
+    turned = fp.filters(fp.features(("yzx" * 200).encode(), RANKS))
+    assert fp.likeness(b, turned) == 1.0
