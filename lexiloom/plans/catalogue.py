@@ -439,6 +439,49 @@ def truncate_bytes(spark, sf_dir):
     return rows.select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
 
 
+_WHOLE_TEXTS = "d AS (SELECT d.doc_id, d.text AS a, coalesce(e.text, '') AS b FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, coalesce(v.id, 1) AS id FROM m LEFT JOIN v ON v.token = lower(surface)),
+e AS (SELECT doc_id, i, string_agg(id::VARCHAR, ',' ORDER BY pos) || ',' AS ids, count(*) AS n FROM x GROUP BY ALL),
+a AS (SELECT s.doc_id, s.i, coalesce(ids, '') AS ids, coalesce(n, 0) AS n FROM s LEFT JOIN e ON e.doc_id = s.doc_id AND e.i = s.i)
+SELECT doc_id, i::INT AS i, md5('2,' || ids || '3') AS ids, n + 2 AS n, '1' || repeat('0', n::INT) || '1' AS mask, repeat('0', n::INT + 2) AS types FROM a"""
+)
+def encode_ids_whole(spark, sf_dir):
+    """encode_ids over all sentences, however long, and over those without a token."""
+    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
+    rows = sentences(spark, sf_dir).withColumn("w", morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized"))
+    rows = rows.join(known).withColumn("ids", encoding.to_ids(F.col("w"), F.col("vocab")))
+    return rows.select(
+        "doc_id",
+        "i",
+        F.md5(F.array_join(encoding.with_specials(F.col("ids"), cls=2, sep=3), ",").cast("binary")).alias("ids"),
+        (F.size("ids") + 2).cast("long").alias("n"),
+        F.array_join(encoding.special_mask(F.col("ids")), "").alias("mask"),
+        F.array_join(encoding.token_types(F.col("ids")), "").alias("types"),
+    )
+
+
+@query(SQL["char_f1"].replace("d AS (SELECT doc_id, left(text, 40) AS a, substr(text, 11, 40) AS b FROM documents)", _WHOLE_TEXTS))
+def char_f1_whole(spark, sf_dir):
+    """Characters of each whole text against those of the next document's."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    rows = rows.join(after, "doc_id", "left").select("doc_id", "a", F.coalesce("b", F.lit("")).alias("b"))
+    return rows.select("doc_id", F.round(metrics.overlap_f1(F.col("a"), F.col("b"), metrics.answer_characters), 9).alias("f1"))
+
+
+@query(
+    """WITH k AS (SELECT doc_id, text, list_max(list_filter(range(0, 1001), lambda k: strlen(left(text, k)) <= 1000)) AS k FROM documents)
+SELECT doc_id, strlen(left(text, k)) AS n, length(left(text, k)) AS chars FROM k"""
+)
+def truncate_bytes_whole(spark, sf_dir):
+    """truncate_bytes over all documents, cut on bytes."""
+    cut = text.truncate_utf8(F.col("text"), 1000)
+    return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
