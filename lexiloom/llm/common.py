@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,11 +18,45 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def in_slices(batches: Batches, column: int | str, most: int = 1 << 22) -> Batches:
+    """Batches cut so that a text or binary column has about `most` bytes in each; a longer value is one by itself."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def thrifty(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for mapInArrow, whose task returns the memory it no longer uses: workers stay idle between stages, next to the executor's heap."""
+
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; only where that is unset, one in the warehouse, which a cluster's machines share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lexiloom-checkpoints"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
@@ -29,7 +66,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing will read it again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -53,7 +99,7 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str,
     so that a few counts per (partition, group) turn positions into ranks.
     Group columns may be null.
     """
-    pid, pos, base = fresh(df, "__pid"), fresh(df, "__pos"), fresh(df, "__base")
+    pid, pos = fresh(df, "__pid"), fresh(df, "__pos")
     keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
     rows = (
         df.repartitionByRange(*keys)
@@ -62,15 +108,15 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str,
         .withColumn(pos, F.monotonically_increasing_id())
     )
     rows = materialize(rows, label)
-    runs = rows.groupBy(pid, *group).agg(F.min(pos).alias("__first"), F.count(F.lit(1)).alias("__rows"))
-    before = Window.partitionBy(*group).orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        F.col(pid).alias("__p"),
-        *[F.col(c).alias(f"__g{i}") for i, c in enumerate(group)],
-        (F.coalesce(F.sum("__rows").over(before), F.lit(0)) - F.col("__first") + 1).alias(base),
-    )
-    same: Column = F.col(pid) == F.col("__p")
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
-    out = rows.join(runs, same).withColumn(name, F.col(pos) + F.col(base))
-    return out.select(*df.columns, name)
+    of = [F.col(c).alias(f"g{i}") for i, c in enumerate(group)]
+    runs = rows.select(F.col(pid).alias("p"), *of, F.col(pos).alias("at"))
+    names = [f"g{i}" for i in range(len(group))]
+    runs = runs.groupBy("p", *names).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
+    before = Window.partitionBy(*names).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1)
+    here, there = rows.alias("here"), runs.alias("there")
+    same: Column = F.col(f"here.{pid}") == F.col("there.p")
+    for c, n in zip(group, names):
+        same = same & F.col(f"here.`{c}`").eqNullSafe(F.col(f"there.{n}"))
+    place = (F.col(f"here.{pos}") + F.col("there.base")).alias(name)
+    return here.join(there, same).select(*[F.col(f"here.`{c}`") for c in df.columns], place)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialize
+from lexiloom.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -25,12 +25,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not stars(links):
         lower = links.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
         large = links.join(lower, F.col("lo") == F.col("v"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        links = materialize(large.distinct(), "links")
-        lower = links.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
-        small = links.join(lower, F.col("hi") == F.col("v")).where("lo <> m").select("lo", "m")
+        halfway = materialize(large.distinct(), "links")
+        discard(links)
+        lower = halfway.groupBy(F.col("hi").alias("v")).agg(F.min("lo").alias("m"))
+        small = halfway.join(lower, F.col("hi") == F.col("v")).where("lo <> m").select("lo", "m")
         links = materialize(small.union(lower).distinct().toDF("hi", "lo"), "links")
+        discard(halfway)
     vertices = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
-    return materialize(vertices.join(links, F.col("v") == F.col("hi"), "left").select("v", F.coalesce("lo", "v").alias("l")), "labels")
+    labels = materialize(vertices.join(links, F.col("v") == F.col("hi"), "left").select("v", F.coalesce("lo", "v").alias("l")), "labels")
+    discard(edges, links)
+    return labels
 
 
 def stars(links: DataFrame) -> bool:

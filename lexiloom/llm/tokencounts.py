@@ -20,7 +20,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import in_slices, table, thrifty
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -110,12 +110,12 @@ def loaded(path: str) -> Pieces:
 
 
 def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_bytes, n_tokens). Null and empty texts have no tokens; rows may repeat."""
+    """(doc_id, text) -> (doc_id, n_bytes, n_tokens). Null and empty texts have no tokens; rows may repeat, ids may be null; an empty table stays empty; extra columns don't matter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = loaded(path)
-        for batch in batches:
+        for batch in in_slices(batches, 1):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             small = [i for i, x in enumerate(texts) if len(x) <= chunk]
             counts = dict(zip(small, pieces.counts([texts[i] for i in small])))
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
             sizes = [len(x.encode()) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind}, n_bytes long, n_tokens long")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
