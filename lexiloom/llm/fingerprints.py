@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lexiloom.llm.common import fresh, table
+from lexiloom.llm.common import fresh, in_slices, table, thrifty
 
 WINDOW = 32
 NEIGHBOURS = 64
@@ -28,13 +28,14 @@ LEVELS = 512
 BITS, HASHES, PER_FILTER = 2048, 5, 128
 #: Bytes of text handled at a time; longer texts go in overlapping parts.
 BLOCK = 1 << 18
-#: Documents a range of ids should hold where ranges are cut for the next-document step, and most ranges.
-PER_RANGE, MOST_RANGES = 2000, 2048
+#: Documents a range of ids should hold where ranges are cut for the next-document step, and most ranges: their bounds come to the driver.
+PER_RANGE, MOST_RANGES = 2000, 32_768
 
 # What the sum over a window of count * log2(count) gains when a byte already there k times comes, as integers so that sums are exact.
 _UNIT = 1 << 16
 _K = np.arange(WINDOW + 1, dtype=float)
 _GAIN = np.rint(_UNIT * ((_K + 1) * np.log2(_K + 1) - np.where(_K > 0, _K * np.log2(np.maximum(_K, 1)), 0))).astype(np.int64)
+_OF_COUNT = np.concatenate(([0], np.cumsum(_GAIN)))  # what all k copies of a byte come to
 
 
 def entropy_levels(data: np.ndarray) -> np.ndarray:
@@ -52,7 +53,7 @@ def entropy_levels(data: np.ndarray) -> np.ndarray:
         np.add(before[lag:], hit, out=before[lag:])
         np.add(after[:-lag], hit, out=after[:-lag])
     counts = np.bincount(data[:WINDOW], minlength=256)
-    first = int(sum(_GAIN[:c].sum() for c in counts))
+    first = int(_OF_COUNT[counts].sum())
     steps = _GAIN[before[WINDOW:]] - _GAIN[after[: n - WINDOW]]
     total = np.concatenate(([first], first + np.cumsum(steps)))
     most = WINDOW * int(np.log2(WINDOW)) * _UNIT
@@ -71,7 +72,7 @@ def features(data: bytes, rarity: np.ndarray) -> list[bytes]:
     """The selected windows of a text, in order; a text shorter than a window is its only feature. Only an empty text has none."""
     if len(data) < WINDOW:
         return [data] if data else []
-    marks: dict[int, int] = {}
+    places, marks = [], []
     for part, start in blocks(data):
         ranks = rarity[entropy_levels(part)]
         width = min(NEIGHBOURS, len(ranks))
@@ -82,13 +83,16 @@ def features(data: bytes, rarity: np.ndarray) -> list[bytes]:
             keys = np.minimum(keys[:-more], keys[more:])
             have += more
         at, n = np.unique(keys & (1 << 40) - 1, return_counts=True)
-        for i, k in zip((at + start).tolist(), n.tolist()):
-            marks[i] = marks.get(i, 0) + k
+        places.append(at + start)
+        marks.append(n)
+    at, n = places[0], marks[0]
+    if len(places) > 1:
+        at, of = np.unique(np.concatenate(places), return_inverse=True)
+        n = np.bincount(of, weights=np.concatenate(marks))
     least = min(MARKS, max(1, len(data) - WINDOW - NEIGHBOURS + 2))
-    most = max(marks.values())
-    if most < least:  # marks lie too evenly: the most-marked windows, each content once
-        return list(dict.fromkeys(data[i : i + WINDOW] for i in sorted(marks) if marks[i] == most))
-    return [data[i : i + WINDOW] for i in sorted(marks) if marks[i] >= least]
+    if n.max() < least:  # marks lie too evenly: the most-marked windows, each content once
+        return list(dict.fromkeys(data[i : i + WINDOW] for i in at[n == n.max()].tolist()))
+    return [data[i : i + WINDOW] for i in at[n >= least].tolist()]
 
 
 def filters(found: list[bytes]) -> np.ndarray:
@@ -123,13 +127,13 @@ def rarity_of(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(LEVELS, np.int64)
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             for data in joined(batch.column(0).cast(pa.binary()).to_pylist()):
                 counts += np.bincount(data, minlength=LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(LEVELS), pa.int32()), pa.array(counts, pa.int64())], ["level", "n"])
 
     counts = np.zeros(LEVELS, np.int64)
-    for level, n in docs.select("text").mapInArrow(run, "level int, n long").groupBy("level").agg(F.sum("n")).collect():
+    for level, n in docs.select("text").mapInArrow(thrifty(run), "level int, n long").groupBy("level").agg(F.sum("n")).collect():
         counts[level] = n
     order = np.lexsort((np.arange(LEVELS), counts))
     ranks = np.empty(LEVELS, np.int64)
@@ -165,12 +169,12 @@ def fingerprint(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     name = fresh(docs, "fingerprint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             out = [encoded(filters(features(x or b"", rarity))) for x in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, StringType())]))
+    return docs.mapInArrow(thrifty(run), StructType([*docs.schema.fields, StructField(name, StringType())]))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -221,10 +225,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.repartition("__range").sortWithinPartitions("__range", "__lead", F.col("doc_id").asc_nulls_last(), "text")
 
 
-def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rarity = rarity_of(docs)
+def fingerprints_with_edits(docs: DataFrame, rarity: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each of docs (doc_id long, text).
+
+    The edited text ends in the next document's beginning, by ascending id; after the
+    last comes the first. Null texts are empty. Rows of one id follow one another in
+    the order of their texts; null ids come last, and where no id is there at all
+    nothing follows the last. An empty table stays empty.
+    """
+    docs = docs.select("doc_id", "text")
+    rarity = rarity_of(docs) if rarity is None else rarity
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +250,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         nothing = (None, "", filters([]))
         held: tuple | None = None  # the document before, with its fingerprint
         held_range, done = None, False
-        for batch in batches:
+        for batch in in_slices(batches, 2):
             out = []
             for where, doc_id, text, lead in zip(*(c.to_pylist() for c in batch.columns)):
                 if where != held_range:
@@ -260,4 +270,9 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(described(held, nothing), kinds)], names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(run, schema)
+    return with_next(docs).mapInArrow(thrifty(run), schema)
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
+    return fingerprints_with_edits(table(spark, sf_dir, "documents"))
