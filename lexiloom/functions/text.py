@@ -21,6 +21,7 @@ SPACES = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{202
 TRIMMED = r"\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"\p{L}\p{N}_"
 
+# What URLs and e-mail addresses look like, and which characters scripts have.
 URL = rf"(https?|sftp?)://[{WORD}/:%#$&?()~.=+\-]+"
 EMAIL = rf"[{WORD}\-]+@[{WORD}\-]+\.[{WORD}.\-]+"
 SCRIPT = r"[{|}]"
@@ -64,6 +65,10 @@ def strip(s: Column, chars: str = SPACES) -> Column:
     return F.regexp_replace(s, rf"\A[{chars}]+|[{chars}]+\z", "")
 
 
+def strip_right(s: Column, chars: str = SPACES) -> Column:
+    return F.regexp_replace(s, rf"[{chars}]+\z", "")
+
+
 @F.pandas_udf(T.StringType())
 def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, the one normalization that Spark has no function for."""
@@ -92,6 +97,11 @@ def full_width(s: Column) -> Column:
     return F.translate(s, " " + HALF_WIDTH, "　" + FULL_WIDTH)
 
 
+def drop_surrogates(s: Column) -> Column:
+    """Without halves of surrogate pairs that stand alone, which no UTF-8 has; decoders leave a replacement or the code point itself."""
+    return F.regexp_replace(s, r"[\x{D800}-\x{DFFF}]", "")
+
+
 def drop_spaces(s: Column) -> Column:
     return F.regexp_replace(s, f"[{SPACES}]", "")
 

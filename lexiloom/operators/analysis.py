@@ -2,18 +2,22 @@
 
 A morpheme is struct<surface, dictionary_form, normalized_form, reading_form: string,
 pos: array<string> of six levels, '*' where unset, begin, end: int>, offsets in
-characters. The two analyzers here need no dictionary; one with a dictionary is a
-pandas UDF that returns the same array.
+characters. The analyzers here need no dictionary; one with a dictionary is a
+pandas UDF that returns the same array. An analyzer that knows several split modes
+takes one as `mode` (see `in_mode`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from enum import Enum
+from functools import partial
+from inspect import signature
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiloom.functions.encoding import running_sums
 from lexiloom.functions.text import WORD
 
 MORPHEMES = "array<struct<surface:string,dictionary_form:string,normalized_form:string,reading_form:string,pos:array<string>,begin:int,end:int>>"
@@ -34,25 +38,64 @@ def split_mode(name: str) -> SplitMode:
         raise ValueError(f"invalid split mode {name!r}: A, B or C") from None
 
 
-def regex_morphemes(s: Column) -> Column:
-    """Runs of word characters and single other characters; lower case stands for dictionary and normalized forms."""
-    gaps, found = F.split(s, PIECE), F.regexp_extract_all(s, F.lit(PIECE), F.lit(0))
-    sizes = F.zip_with(gaps, found, lambda g, f: F.char_length(g) + F.coalesce(F.char_length(f), F.lit(0)))
-    # Where pieces end; only numbers pass through the fold.
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n)))
+Analyzer = Callable[[Column], Column]
+
+
+def in_mode(analyzer: Callable[..., Column], name: str = "C") -> Analyzer:
+    """The analyzer in a split mode: A gives the shortest units, C the longest. One without modes must be asked for none but C, its only one."""
+    mode = split_mode(name)
+    if "mode" in signature(analyzer).parameters:
+        return partial(analyzer, mode=mode)
+    if mode is not SplitMode.C:
+        raise ValueError(f"the analyzer has no split mode {mode.value}")
+    return analyzer
+
+
+def regex_words(s: Column) -> Column:
+    """The surfaces that regex_morphemes gives, alone: all that counting needs, and built of Spark's own functions."""
+    return F.regexp_extract_all(s, F.lit(PIECE), F.lit(0))
+
+
+def regex_kind(surface: Column) -> Column:
+    """The part of speech of a surface, as far as its characters tell."""
+    return F.when(surface.rlike(r"^\p{N}+$"), "number").when(surface.rlike(rf"^[{WORD}]"), "noun").otherwise("symbol")
+
+
+def morphemes_of(s: Column, piece: str) -> Column:
+    """Morphemes at the matches of a pattern; lower case stands for dictionary and normalized forms."""
+    gaps, found = F.split(s, piece), F.regexp_extract_all(s, F.lit(piece), F.lit(0))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.char_length(g) + F.char_length(f))
 
     def morpheme(surface: Column, end: Column) -> Column:
-        kind = F.when(surface.rlike(r"^\p{N}+$"), "number").when(surface.rlike(rf"^[{WORD}]"), "noun").otherwise("symbol")
         low = F.lower(surface)
         forms = [low.alias(f) for f in ("dictionary_form", "normalized_form", "reading_form")]
-        pos = F.array(kind, *[F.lit("*")] * 5)
+        pos = F.array(regex_kind(surface), *[F.lit("*")] * 5)
         return F.struct(surface.alias("surface"), *forms, pos.alias("pos"), (end - F.char_length(surface)).alias("begin"), end.alias("end"))
 
-    return F.zip_with(found, F.slice(ends, F.lit(1), F.size(found)), morpheme).cast(MORPHEMES)
+    return F.zip_with(found, running_sums(sizes), morpheme).cast(MORPHEMES)
+
+
+def regex_morphemes(s: Column) -> Column:
+    """Runs of word characters and single other characters."""
+    return morphemes_of(s, PIECE)
+
+
+#: What mode A finds in a run of word characters: small letters with the capital before them, runs of capitals, of digits, underscores.
+SHORT = r"\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+|_"
+#: What each mode finds; C is the base.
+PIECES = {SplitMode.A: rf"{SHORT}|[^{WORD}\s]", SplitMode.B: rf"[\p{{L}}_]+|\p{{N}}+|[^{WORD}\s]", SplitMode.C: PIECE}
+
+
+def split_morphemes(s: Column, mode: SplitMode = SplitMode.C) -> Column:
+    """regex_morphemes in split modes: C as it is; B parts letters from digits; A also parts compounds at underscores and capitals."""
+    return morphemes_of(s, PIECES[mode])
+
 
+def lexicon_morphemes(lexicon: Column, base: Analyzer = regex_morphemes) -> Analyzer:
+    """The base analyzer with forms and parts of speech from lexicon, a map from surface to struct<dictionary_form, normalized_form, reading_form, pos>.
 
-def lexicon_morphemes(lexicon: Column, base: Callable[[Column], Column] = regex_morphemes) -> Callable[[Column], Column]:
-    """The base analyzer with forms and parts of speech from lexicon, a map from surface to struct<dictionary_form, normalized_form, reading_form, pos>."""
+    For small lexicons: a map is searched entry by entry. Large ones meet exploded surfaces in a join.
+    """
 
     def apply(s: Column) -> Column:
         def known(m: Column) -> Column:

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexiloom.functions.text import SPACES, drop_spaces
 from lexiloom.operators.documents import flatten_documents
+from lexiloom.storage import fresh, ranked
 
 
 def select_columns(rows: DataFrame, names: Mapping[str, str]) -> DataFrame:
@@ -27,6 +32,13 @@ def shuffled_order(key: Column, seed: int | None) -> Column:
     return key if seed is None else F.xxhash64(key, F.lit(seed))
 
 
+def shuffled(rows: DataFrame, key: str, seed: int | None) -> DataFrame:
+    """Add place, from 0: rows in an order that the seed and a unique key alone decide; in the key's own without a seed."""
+    order = fresh(rows, "order")
+    out = ranked(rows.withColumn(order, shuffled_order(F.col(key), seed)), [], [order, key], "place", "shuffled")
+    return out.withColumn("place", F.col("place") - 1).drop(order)
+
+
 def ratios(spec: str) -> tuple[int, int, int]:
     parts = [int(x) for x in spec.split("/")]
     if len(parts) != 3 or parts[0] <= 0 or parts[1] < 0 or parts[2] <= 0:
@@ -34,18 +46,16 @@ def ratios(spec: str) -> tuple[int, int, int]:
     return parts[0], parts[1], parts[2]
 
 
-def split_by_ratio(rows: DataFrame, order: Column, spec: str = "8/1/1") -> DataFrame:
-    """Add split: contiguous parts of the order, train first; a dev part of 0 leaves two splits. Shares of the held part round up for test.
-
-    For evaluation sets: exact contiguous parts need every row's place, and the
-    window that gives it is one task.
-    """
+def split_by_ratio(rows: DataFrame, order: str, spec: str = "8/1/1") -> DataFrame:
+    """Add split: contiguous parts of the order, train first; a dev part of 0 leaves two splits. Shares of the held part round up for test."""
     train, dev, test = ratios(spec)
-    rows = rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("__place", F.row_number().over(Window.orderBy(order)))
-    held = F.ceil(F.col("__n") * (dev + test) / (train + dev + test))
-    tests = F.ceil(held * test / (dev + test))
-    split = F.when(F.col("__place") <= F.col("__n") - held, "train").when(F.col("__place") <= F.col("__n") - tests, "dev").otherwise("test")
-    return rows.withColumn("split", split).drop("__n", "__place")
+    place = fresh(rows, "place")
+    out = ranked(rows, [], [order], place, "ratio")
+    n = out.count()
+    held = -(-n * (dev + test) // (train + dev + test))
+    tests = -(-held * test // (dev + test))
+    split = F.when(F.col(place) <= n - held, "train").when(F.col(place) <= n - tests, "dev").otherwise("test")
+    return out.withColumn("split", split).drop(place)
 
 
 def letter_index(label: Column, letters: str = "abcd") -> Column:
@@ -91,15 +101,33 @@ def convert_reading(rows: DataFrame) -> DataFrame:
     )
 
 
+def shortest_run(surfaces: Sequence[str], answer: str) -> tuple[int, int] | None:
+    """The first of the shortest runs of parts whose concatenation holds an answer: (first, end)."""
+    whole, ends = "".join(surfaces), list(accumulate(map(len, surfaces)))
+    best, at = None, whole.find(answer)
+    while at >= 0:
+        run = bisect_right(ends, at), bisect_left(ends, at + len(answer)) + 1
+        if best is None or run[1] - run[0] < best[1] - best[0]:
+            best = run
+        at = whole.find(answer, at + 1)
+    return best
+
+
+@F.pandas_udf(T.StringType())
+def run_forms(surfaces: pd.Series, forms: pd.Series, answer: pd.Series) -> pd.Series:
+    def one(own: Sequence[str] | None, other: Sequence[str] | None, text: str | None) -> str | None:
+        run = shortest_run(own, text) if own is not None and text else None
+        return None if run is None else "".join(other[run[0] : run[1]])
+
+    return pd.Series(list(map(one, surfaces, forms, answer)), dtype="object")
+
+
 def relocated_answer(answer: Column, context: Column, normalized_answer: Column, surfaces: Column, forms: Column) -> Column:
     """The answer as it stands in a normalized context: the raw one if it is there, else the normalized one, else the
     word forms of the shortest run of morphemes whose surfaces hold it, the first of equals; null if none does."""
-    n = F.size(surfaces)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.struct(at.alias("at"), size.alias("size")))))
-    holding = F.filter(runs, lambda r: F.contains(F.array_join(F.slice(surfaces, r["at"], r["size"]), ""), answer))
-    best = F.get(holding, F.lit(0))
-    window = F.when(n > 0, F.array_join(F.slice(forms, best["at"], best["size"]), ""))
-    return F.when(F.contains(context, answer), answer).when(F.contains(context, normalized_answer), normalized_answer).otherwise(window)
+    there, also = F.contains(context, answer), F.contains(context, normalized_answer)
+    missing = F.when(~(there | also), surfaces)  # only rows that need it are searched
+    return F.when(there, answer).when(also, normalized_answer).otherwise(run_forms(missing, forms, answer))
 
 
 def spaced_span(context: Column, answer: Column) -> Column:
@@ -144,14 +172,15 @@ def regroup_choices(rows: DataFrame, keys: Sequence[str], encoded: Sequence[str]
     return grouped.select(*keys, *[F.col("__all")[c].alias(c) for c in encoded])
 
 
-def padded_batches(rows: DataFrame, order: Column, ids: str, size: int, pad: int = 0, drop_remainder: bool = False) -> DataFrame:
-    """Add batch, and pad ids to its batch's longest row."""
-    placed = rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("long"))
+def padded_batches(rows: DataFrame, order: str, ids: str, size: int, pad: int = 0, drop_remainder: bool = False, length: int | None = None) -> DataFrame:
+    """Add batch, and pad ids to its batch's longest row or, where given, to a constant length. order must be unique."""
+    place, longest, n = fresh(rows, "place"), fresh(rows, "longest"), fresh(rows, "n")
+    placed = ranked(rows, [], [order], place, "batches").withColumn("batch", F.floor((F.col(place) - 1) / size).cast("long")).drop(place)
     own = Window.partitionBy("batch")
-    longest, n = F.max(F.size(ids)).over(own), F.count(F.lit(1)).over(own)
-    placed = placed.withColumn("__longest", longest).withColumn("__n", n)
-    placed = placed.where(F.col("__n") == size) if drop_remainder else placed
-    return placed.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), F.col("__longest") - F.size(ids)))).drop("__longest", "__n")
+    placed = placed.withColumn(longest, F.max(F.size(ids)).over(own)).withColumn(n, F.count(F.lit(1)).over(own))
+    placed = placed.where(F.col(n) == size) if drop_remainder else placed
+    most = F.col(longest) if length is None else F.lit(length)
+    return placed.withColumn(ids, F.concat(ids, F.array_repeat(F.lit(pad), F.greatest(most - F.size(ids), F.lit(0))))).drop(longest, n)
 
 
 def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text
+from lexiloom.functions.encoding import joined_runs
+from lexiloom.operators.analysis import regex_morphemes
 
 ARTICLE, PARAGRAPH, NEWLINE = "_START_ARTICLE_", "_START_PARAGRAPH_", "_NEWLINE_"  # fixed values: the markers of article sources
 
@@ -37,6 +39,12 @@ def split_sentences(s: Column) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
+def article_lines(article: Column, splitter: Callable[[Column], Column] = split_sentences) -> Column:
+    """Lines of a raw corpus: the article's marker, then for each paragraph its marker and the sentences of its parts; empty sentences go."""
+    one = lambda p: F.concat(F.array(F.lit(PARAGRAPH)), F.filter(F.flatten(F.transform(p, splitter)), lambda x: x != ""))
+    return F.concat(F.array(F.lit(ARTICLE)), F.flatten(F.transform(article_paragraphs(article), one)))
+
+
 def strip_markers(lines: Column) -> Column:
     """Lines of an article source without markers, runs of blank lines squeezed to one."""
     plain = F.transform(lines, lambda x: F.regexp_replace(x, f"^({ARTICLE}|{PARAGRAPH})$", ""))
@@ -82,13 +90,7 @@ def flatten_documents(rows: DataFrame, nested: str = "documents") -> DataFrame:
 
 def concat_short_sentences(sentences: Column, n: int = 2) -> Column:
     """Join each sentence of at most n characters to the one before it; the first stays first however short."""
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.size(acc)
-        joined = F.concat(F.slice(acc, 1, last - 1), F.array(F.concat(F.element_at(acc, -1), s)))
-        return F.when((last > 0) & (F.char_length(s) <= n), joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(sentences, F.array().cast("array<string>"), step)
+    return joined_runs(sentences, lambda s, i: F.char_length(s) > n)
 
 
 DOCUMENT_NORMALIZERS: dict[str, Callable[..., Column]] = {"concat_short_sentence": concat_short_sentences}
@@ -140,16 +142,27 @@ def has_ng_word(sentence: Column, morphemes: Column, words: Sequence[str]) -> Co
     return sentence.rlike(pattern) & F.arrays_overlap(spans, own)
 
 
+def any_ng_word(sentences: Column, words: Sequence[str], analyzer: Callable[[Column], Column] = regex_morphemes) -> Column:
+    """Whether any sentence has a listed word as one morpheme; words don't match line breaks. Only documents in which the pattern matches at all are analysed."""
+    joined = F.array_join(sentences, "\n")
+    worth = F.when(joined.rlike(ng_pattern(words)), joined).otherwise("")
+    return has_ng_word(worth, analyzer(worth), words)
+
+
 def drop_ng_documents(docs: DataFrame, morphemes: DataFrame, words: DataFrame, key: str = "doc_id") -> DataFrame:
     """The join form: documents none of whose morphemes (key, surface) is in words (word). Overlapping words don't hide each other here."""
-    listed = words.select(F.rtrim("word").alias("surface")).where("surface <> ''").distinct()
+    listed = words.select(text.strip_right(F.col("word")).alias("surface")).where("surface <> ''").distinct()
     hit = morphemes.join(listed, "surface", "left_semi").select(key).distinct()
     return docs.join(hit, key, "left_anti")
 
 
-def document_filter(names: Sequence[str], least: int = 5) -> Callable[[Column], Column]:
-    """True where any of the named filters says drop."""
-    known = {"short_document": lambda s: is_short(s, least), "script": any_script}
+def document_filter(
+    names: Sequence[str], least: int = 5, ng_words: Sequence[str] | None = None, analyzer: Callable[[Column], Column] = regex_morphemes
+) -> Callable[[Column], Column]:
+    """True where any of the named filters says drop; ng_words needs its list."""
+    if "ng_words" in names and ng_words is None:
+        raise ValueError("the filter ng_words needs a word list")
+    known = {"short_document": lambda s: is_short(s, least), "script": any_script, "ng_words": lambda s: any_ng_word(s, ng_words, analyzer)}
     steps = [text._named(known, n, "document filter") for n in names]
     return lambda sentences: reduce(lambda a, b: a | b, [f(sentences) for f in steps], F.lit(False))
 
@@ -167,12 +180,14 @@ def clean(
     most_chars: int = 200,
     least_sentences: int = 5,
     concat_char_num: int = 2,
+    ng_words: Sequence[str] | None = None,
+    analyzer: Callable[[Column], Column] = regex_morphemes,
 ) -> DataFrame:
     """Sentence normalizers, document normalizers, sentence filters, document filters, in this order; needs `sentences`."""
     tidy = text.sentence_normalizer(sentence_normalizers)
     whole = document_normalizer(document_normalizers, concat_char_num)
     bad = text.sentence_filter(sentence_filters, least_chars, most_chars)
-    drop = document_filter(document_filters, least_sentences)
+    drop = document_filter(document_filters, least_sentences, ng_words, analyzer)
     steps = [lambda s: F.transform(s, tidy)] if sentence_normalizers else []
     steps += [whole] if document_normalizers else []
     steps += [lambda s: F.filter(s, lambda x: ~bad(x))] if sentence_filters else []

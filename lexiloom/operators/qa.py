@@ -87,15 +87,17 @@ def answers(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_leng
     """
     by_feature = Window.partitionBy("id", "feature_idx")
 
-    def best(logits: str, name: str) -> DataFrame:
-        rows = features.select("id", "feature_idx", "offsets", F.posexplode(logits).alias(name, f"{name}_logit"))
-        ranked = rows.withColumn("__rank", F.row_number().over(by_feature.orderBy(F.desc(f"{name}_logit"), name)))
-        return ranked.where(F.col("__rank") <= n_best).drop("__rank")
-
-    starts, ends = best("start_logits", "s"), best("end_logits", "e").drop("offsets")
+    def best(logits: str, at: str) -> DataFrame:
+        # Each token takes its own logit and offsets along, not the feature's arrays.
+        tokens = F.arrays_zip(F.col(logits).alias("logit"), F.col("offsets").alias("place"))
+        rows = features.select("id", "feature_idx", F.posexplode(tokens).alias(at, "token"))
+        rows = rows.select("id", "feature_idx", at, F.col("token.logit").alias(f"{at}l"), F.col("token.place").alias(f"{at}_place"))
+        return rows.withColumn("place", F.row_number().over(by_feature.orderBy(F.desc(f"{at}l"), at))).where(F.col("place") <= n_best).drop("place")
+
+    starts, ends = best("start_logits", "s"), best("end_logits", "e")
     pairs = starts.join(ends, ["id", "feature_idx"]).where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") + 1 <= max_length))
-    pairs = pairs.select("id", "s", "e", F.get("offsets", F.col("s")).alias("a"), F.get("offsets", F.col("e")).alias("b"), (F.col("s_logit") + F.col("e_logit")).alias("score"), F.col("s_logit").alias("sl"), F.col("e_logit").alias("el"))
-    pairs = pairs.where("a IS NOT NULL AND b IS NOT NULL")
+    pairs = pairs.where("s_place IS NOT NULL AND e_place IS NOT NULL")
+    pairs = pairs.select("id", "s", "e", F.col("s_place").alias("a"), F.col("e_place").alias("b"), (F.col("sl") + F.col("el")).alias("score"))
     nulls = features.groupBy("id").agg(F.min(F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))).alias("null_score"))
     spans = pairs.join(contexts, "id").select("id", "s", "e", F.substring("context", F.col("a.start") + 1, F.col("b.end") - F.col("a.start")).alias("text"), "score", F.lit(False).alias("is_null"))
     nobody = nulls.select("id", F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("text"), F.col("null_score").alias("score"), F.lit(True).alias("is_null"))

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexiloom.functions import encoding, morphology, text
-from lexiloom.operators.analysis import regex_morphemes
-from lexiloom.operators.vocab import greedy_pieces
+from lexiloom.functions.encoding import Lookup
+from lexiloom.operators.analysis import in_mode, regex_morphemes
+from lexiloom.operators.vocab import CONTINUED, MOST_WORD_CHARS, SPECIALS, greedy_pieces
+from lexiloom.storage import fresh
 
 SUBWORDS = ("wordpiece", "character", "pos_substitution", "none")
 #: Words whose pieces a task remembers.
 REMEMBERED = 200_000
+#: Characters of a text that are encoded where a maximum length is asked for.
+MOST_CHARS = 1 << 14
 
 
 @dataclass
@@ -25,7 +31,7 @@ class Tokenizer:
 
     vocab lists the tokens; a token's id is its place, of duplicates the last. It is
     of bounded size and travels with the plan. The analyzer is any function from a
-    text column to morphemes.
+    text column to morphemes; split_mode is for one that knows several.
     """
 
     vocab: Sequence[str] | None = None
@@ -39,6 +45,7 @@ class Tokenizer:
     cls: str = "[CLS]"
     sep: str = "[SEP]"
     pad: str = "[PAD]"
+    split_mode: str = "C"
     tables: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -50,30 +57,39 @@ class Tokenizer:
         if self.vocab is not None and self.unk not in self.ids:
             raise ValueError(f"the vocabulary lacks {self.unk}")
         self.form = morphology.word_form(self.word_form, **self.tables)
+        self.analyze = in_mode(self.analyzer, self.split_mode)
+        self.lookup = Lookup(self.ids, self.unk)
 
     @property
     def vocab_size(self) -> int:
         """Distinct tokens."""
         return len(self.ids)
 
+    @property
+    def specials(self) -> list[str]:
+        """The special tokens that the vocabulary has."""
+        return [t for t in SPECIALS if t in self.ids]
+
+    def config(self) -> dict:
+        """What describes the tokenizer, for other programs to read; the analyzer isn't part of it."""
+        model = {"type": "WordPiece", "unk_token": self.unk, "continuing_subword_prefix": CONTINUED, "max_input_chars_per_word": MOST_WORD_CHARS, "vocab": self.ids}
+        normal = {"strip": self.do_strip, "lowercase": self.do_lower_case, "nfkc": self.do_nfkc}
+        return {"normalizer": normal, "pre_tokenizer": None, "word_form": self.word_form, "subword": self.subword, "special_tokens": self.specials, "model": model}
+
     def words(self, s: Column) -> Column:
         tidy = text.input_normalizer(self.do_strip, self.do_lower_case, self.do_nfkc)
-        return F.transform(self.analyzer(tidy(s)), self.form)
+        return F.transform(self.analyze(tidy(s)), self.form)
 
     def tokens(self, s: Column) -> Column:
         if self.subword == "none":
             return self.words(s)
         if self.subword == "wordpiece":
             return self._pieces(self.words(s))
-        known = self._known()
         if self.subword == "character":
-            return encoding.character_subwords(self.words(s), known, self.unk)
+            return encoding.character_subwords(self.words(s), self.lookup)
         tidy = text.input_normalizer(self.do_strip, self.do_lower_case, self.do_nfkc)
-        found = self.analyzer(tidy(s))
-        return encoding.pos_substituted(F.transform(found, self.form), found, known, self.unk)
-
-    def _known(self) -> Column:
-        return F.map_from_arrays(F.lit(list(self.ids)), F.lit(list(self.ids.values())))
+        found = self.analyze(tidy(s))
+        return encoding.pos_substituted(F.transform(found, self.form), found, self.lookup)
 
     def _pieces(self, words: Column) -> Column:
         vocab, unk = frozenset(self.ids), self.unk
@@ -97,23 +113,20 @@ class Tokenizer:
     def encode(self, rows: DataFrame, a: str, b: str | None = None, max_length: int | None = None, padded: bool = False) -> DataFrame:
         """Add input_ids, token_type_ids, attention_mask and special_tokens_mask of one text column or a pair.
 
-        With max_length the second text, or the only one, is cut to fit; padded
-        fills up to max_length.
+        With max_length the longer text gives way until both fit, of equals the
+        second; padded fills up to max_length.
         """
         for name in (self.cls, self.sep):
             if name not in self.ids:
                 raise ValueError(f"the vocabulary lacks {name}")
-        known = self._known()
-        rows = rows.withColumn("__a", encoding.to_ids(self.tokens(F.col(a)), known, self.unk))
+        first_ids, second_ids = fresh(rows, "first_ids"), fresh(rows, "second_ids")
+        names = rows.columns
+        rows = rows.withColumn(first_ids, self.lookup.ids(self.tokens(F.col(a))))
         if b is not None:
-            rows = rows.withColumn("__b", encoding.to_ids(self.tokens(F.col(b)), known, self.unk))
-        first, second = F.col("__a"), None if b is None else F.col("__b")
+            rows = rows.withColumn(second_ids, self.lookup.ids(self.tokens(F.col(b))))
+        first, second = F.col(first_ids), None if b is None else F.col(second_ids)
         if max_length is not None:
-            if second is None:
-                first = F.slice(first, 1, max_length - 2)
-            else:
-                first = F.slice(first, 1, max_length - 3)
-                second = F.slice(second, F.lit(1), F.lit(max_length - 3) - F.size(first))
+            first, second = (F.slice(first, 1, max_length - 2), None) if second is None else fitting(first, second, max_length - 3)
         ids = encoding.with_specials(first, second, F.lit(self.ids[self.cls]), F.lit(self.ids[self.sep]))
         out = {
             "input_ids": (ids, self.ids.get(self.pad, 0)),
@@ -123,13 +136,25 @@ class Tokenizer:
         }
         fill = padded and max_length is not None
         columns = [(encoding.padded(c, max_length, pad) if fill else c).alias(n) for n, (c, pad) in out.items()]
-        return rows.select(*[c for c in rows.columns if c not in ("__a", "__b")], *columns)
+        return rows.select(*[F.col(f"`{c}`") for c in names], *columns)
 
 
-def normalize_columns(rows: DataFrame, columns: Sequence[str], word_form: str, analyzer: Callable[[Column], Column] = regex_morphemes, **tables: Column) -> DataFrame:
+def fitting(first: Column, second: Column, room: int) -> tuple[Column, Column]:
+    """Two arrays cut to `room` together, item by item from the longer, of equals from the second."""
+    a, b = F.size(first), F.size(second)
+    over = F.greatest(a + b - room, F.lit(0))
+    longer = F.least(over, F.abs(a - b))
+    rest = over - longer
+    less_a = F.when(a > b, longer).otherwise(0) + F.floor(rest / 2)
+    less_b = F.when(b > a, longer).otherwise(0) + F.ceil(rest / 2)
+    return F.slice(first, F.lit(1), (a - less_a).cast("int")), F.slice(second, F.lit(1), (b - less_b).cast("int"))
+
+
+def normalize_columns(rows: DataFrame, columns: Sequence[str], word_form: str, analyzer: Callable[[Column], Column] = regex_morphemes, mode: str = "C", **tables: Column) -> DataFrame:
     """Text columns in a word form without separators, NFKC first; surface changes nothing."""
     if word_form == "surface":
         return rows
+    analyzer = in_mode(analyzer, mode)
     form = morphology.word_form(word_form, **tables)
     for c in columns:
         rows = rows.withColumn(c, F.array_join(F.transform(analyzer(text.nfkc(F.col(c))), form), ""))
@@ -139,7 +164,7 @@ def normalize_columns(rows: DataFrame, columns: Sequence[str], word_form: str, a
 SEGMENTERS: dict[str | None, Callable[[Column, Callable[[Column], Column]], Column]] = {
     None: lambda s, analyzer: s,
     "spaced": lambda s, analyzer: morphology.segmented(analyzer(s)),
-    "wide": lambda s, analyzer: F.replace(morphology.segmented(analyzer(text.full_width(s))), F.lit("　"), F.lit(" ")),
+    "wide": lambda s, analyzer: text.drop_surrogates(F.replace(morphology.segmented(analyzer(text.full_width(s))), F.lit("　"), F.lit(" "))),
 }
 
 
@@ -152,17 +177,32 @@ def segment_columns(rows: DataFrame, columns: Sequence[str], name: str | None, a
     return rows
 
 
-def classification_features(rows: DataFrame, tokenizer: Tokenizer, texts: Sequence[str], label: str, labels: Sequence[str], max_length: int = 512) -> DataFrame:
-    """Encoded text columns, one or two, and the label's id in `labels`; unlabelled rows, -1, stay -1."""
+def classification_features(
+    rows: DataFrame, tokenizer: Tokenizer, texts: Sequence[str], label: str, labels: Sequence[str], max_length: int = 512, most_chars: int = MOST_CHARS
+) -> DataFrame:
+    """Encoded text columns, one or two, and the label's id in `labels`; unlabelled rows, -1, stay -1. Texts are cut to most_chars first."""
     known = F.array(*[F.lit(x) for x in labels])
     number = F.when(F.col(label).cast("string") == "-1", -1).otherwise(F.array_position(known, F.col(label).cast("string")) - 1)
-    out = tokenizer.encode(rows.withColumn("label_id", number.cast("int")), texts[0], texts[1] if len(texts) > 1 else None, max_length)
-    return out
+    cut = rows.withColumn("label_id", number.cast("int")).withColumns({t: F.left(F.col(t), F.lit(most_chars)) for t in texts})
+    return tokenizer.encode(cut, texts[0], texts[1] if len(texts) > 1 else None, max_length)
 
 
-def choice_features(rows: DataFrame, tokenizer: Tokenizer, keys: Sequence[str], choices: Sequence[str], context: str = "context", max_length: int = 512) -> DataFrame:
+def choice_features(
+    rows: DataFrame, tokenizer: Tokenizer, keys: Sequence[str], choices: Sequence[str], context: str = "context", max_length: int = 512, most_chars: int = MOST_CHARS
+) -> DataFrame:
     """For each question, arrays with one encoding a choice, context first."""
     from lexiloom.operators.datasets import explode_choices, regroup_choices
 
     pairs = explode_choices(rows.select(*keys, context, *choices), choices, context)
+    pairs = pairs.withColumns({t: F.left(F.col(t), F.lit(most_chars)) for t in ("text_a", "text_b")})
     return regroup_choices(tokenizer.encode(pairs, "text_a", "text_b", max_length), keys, ["input_ids", "token_type_ids", "attention_mask"])
+
+
+def write_tokenizer(spark: SparkSession, tokenizer: Tokenizer, path: str, overwrite: bool = False) -> None:
+    """A tokenizer's configuration, one JSON document, under path/config, and its vocabulary, a token a line, under path/vocab."""
+    from lexiloom.sources.sinks import write_vocabulary
+
+    mode = "overwrite" if overwrite else "errorifexists"
+    one = spark.createDataFrame([(json.dumps(tokenizer.config(), ensure_ascii=False),)], "value string")
+    one.coalesce(1).write.mode(mode).text(f"{path}/config")
+    write_vocabulary(spark.createDataFrame(list(tokenizer.ids.items()), "token string, id long"), f"{path}/vocab", overwrite)

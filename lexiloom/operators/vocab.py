@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexiloom.functions.encoding import Lookup
+from lexiloom.storage import ranked
+
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 UNK, CONTINUED = "[UNK]", "##"
 MOST_WORD_CHARS = 100
@@ -34,9 +38,11 @@ def top_words(counts: DataFrame, size: int | None = None, least: int = 1, most_c
         single = F.char_length("word") == 1
         capped = kept.where(single).orderBy(F.desc("freq"), "first").limit(most_characters)
         kept = kept.where(~single).unionByName(capped)
-    ordered = kept.orderBy(F.desc("freq"), "first")
-    ordered = ordered.limit(size) if size is not None else ordered
-    return ordered.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), "first")) - 1).select("rank", "word", "freq")
+    if size is None:  # as many words as there are: no task sees them all
+        out = ranked(kept, [], [F.desc("freq"), F.asc("first")], "rank", "words")
+        return out.select((F.col("rank") - 1).alias("rank"), "word", "freq")
+    ordered = kept.orderBy(F.desc("freq"), "first").limit(size)
+    return ordered.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("freq"), "first")).cast("long") - 1).select("rank", "word", "freq")
 
 
 def assembled(spark: SparkSession, specials: Sequence[str], tags: DataFrame, words: DataFrame) -> DataFrame:
@@ -55,13 +61,9 @@ def first_ids(vocab: DataFrame, n: int) -> DataFrame:
     return vocab.where(F.col("id") < n)
 
 
-def vocab_map(vocab: DataFrame) -> DataFrame:
-    """One row with `vocab`, a map token -> id where of duplicate tokens the last id counts, for a cross join with texts.
-
-    A vocabulary is bounded by its chosen size, tens of thousands of tokens.
-    """
-    last = vocab.groupBy("token").agg(F.max("id").cast("int").alias("id"))
-    return last.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("vocab"))
+def lookup(vocab: DataFrame, unk: str = UNK) -> Lookup:
+    """The vocabulary (id, token) to look tokens up in; of duplicate tokens the last id counts. It has a chosen size, tens of thousands of tokens."""
+    return Lookup({r.token: r.id for r in vocab.groupBy("token").agg(F.max("id").cast("int").alias("id")).collect()}, unk)
 
 
 def greedy_pieces(word: str, vocab: set[str], unk: str = UNK) -> list[str]:
@@ -132,19 +134,22 @@ def train_wordpiece(counts: DataFrame, size: int = 32000, least: int = 1, alphab
         for p in zip(word, word[1:]):
             pairs[p] += freqs[k]
             where[p].add(k)
-    while len(vocab) < size and pairs:
-        best = min(pairs, key=lambda p: (-pairs[p], p))
-        if pairs[best] < max(least, 1):
+    heap = [(-n, p) for p, n in pairs.items()]  # entries whose count has changed since are passed over
+    heapify(heap)
+    while len(vocab) < size and heap:
+        n, best = heappop(heap)
+        if pairs.get(best) != -n:
+            continue
+        if -n < max(least, 1):
             break
-        right = vocab[best[1]]
-        merged = name(vocab[best[0]] + right.removeprefix(CONTINUED))
+        merged = name(vocab[best[0]] + vocab[best[1]].removeprefix(CONTINUED))
+        changed = set()
         for k in list(where[best]):
             word = split[k]
             for p in zip(word, word[1:]):
                 pairs[p] -= freqs[k]
                 where[p].discard(k)
-                if pairs[p] <= 0:
-                    del pairs[p]
+                changed.add(p)
             out, i = [], 0
             while i < len(word):
                 if i + 1 < len(word) and (word[i], word[i + 1]) == best:
@@ -157,7 +162,12 @@ def train_wordpiece(counts: DataFrame, size: int = 32000, least: int = 1, alphab
             for p in zip(out, out[1:]):
                 pairs[p] += freqs[k]
                 where[p].add(k)
-        pairs.pop(best, None)
+                changed.add(p)
+        for p in changed:
+            if pairs[p] <= 0 or p == best:
+                del pairs[p]
+            else:
+                heappush(heap, (-pairs[p], p))
     return vocab[: max(size, len(specials))]
 
 

@@ -6,14 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
 from lexiloom.functions import encoding, morphology, text
 from lexiloom.operators import analysis, datasets, documents, metrics, qa, vocab
+from lexiloom.storage import materialize
 
 #: A harmless list for the word filters.
 LISTED = ("stupid", "worthless", "pathetic")
-PIECES = 2000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -100,8 +98,8 @@ def filter_script(spark, sf_dir):
 
 
 def morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sentences(spark, sf_dir).withColumn("m", analysis.regex_morphemes(F.col("sentence")))
-    return rows.select("doc_id", "lang", "i", F.posexplode("m").alias("pos", "m"))
+    """A row a morpheme, with what the counts need of it."""
+    return sentences(spark, sf_dir).select("doc_id", "lang", "i", F.posexplode(analysis.regex_words(F.col("sentence"))).alias("pos", "surface"))
 
 
 _MORPHEMES = rf"m AS (SELECT doc_id, lang, i, unnest(ws) AS surface, unnest(range(0, len(ws))) AS pos FROM (SELECT *, regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM s))"
@@ -110,7 +108,7 @@ _MORPHEMES = rf"m AS (SELECT doc_id, lang, i, unnest(ws) AS surface, unnest(rang
 @query(f"WITH {SENTENCES}, {_MORPHEMES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM m WHERE surface IN {LISTED})")
 def filter_ng_words(spark, sf_dir):
     words = spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED))).alias("word"))
-    found = morphemes(spark, sf_dir).select("doc_id", F.col("m.surface").alias("surface"))
+    found = morphemes(spark, sf_dir).select("doc_id", "surface")
     return documents.drop_ng_documents(read(spark, sf_dir, "documents").select("doc_id"), found, words)
 
 
@@ -190,13 +188,13 @@ _COUNTED = f"{_MORPHEMES}, c AS (SELECT lower(surface) AS word, count(*) AS freq
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = morphemes(spark, sf_dir).select("doc_id", "i", "pos", F.col("m.normalized_form").alias("word"))
+    rows = morphemes(spark, sf_dir).select("doc_id", "i", "pos", F.lower("surface").alias("word"))
     return vocab.word_counts(rows, ["doc_id", "i", "pos"])
 
 
 @query(f"WITH {SENTENCES}, {_COUNTED} SELECT row_number() OVER (ORDER BY freq DESC, first) - 1 AS rank, word, freq FROM c ORDER BY freq DESC, first LIMIT 500")
 def vocab_top(spark, sf_dir):
-    return vocab.top_words(counted(spark, sf_dir), size=500).withColumn("rank", F.col("rank").cast("long"))
+    return vocab.top_words(counted(spark, sf_dir), size=500)
 
 
 @query(
@@ -220,8 +218,11 @@ v AS (SELECT (row_number() OVER (ORDER BY a, b) - 1)::INT AS id, token FROM u)""
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tags = vocab.pos_tags(morphemes(spark, sf_dir).select(morphology.pos_tag(F.col("m.pos")).alias("tag")))
-    return vocab.assembled(spark, vocab.SPECIALS, tags, vocab.top_words(counted(spark, sf_dir), size=300))
+    """Specials, tags, and the 300 most frequent words; the corpus is analysed once, to its distinct words."""
+    counts = materialize(counted(spark, sf_dir), "counts")
+    kind = F.array(analysis.regex_kind(F.col("word")), *[F.lit("*")] * 5)
+    tags = vocab.pos_tags(counts.select(morphology.pos_tag(kind).alias("tag")))
+    return vocab.assembled(spark, vocab.SPECIALS, tags, vocab.top_words(counts, size=300))
 
 
 @query(f"WITH {SENTENCES}, {_VOCAB} SELECT id, token FROM v")
@@ -234,21 +235,24 @@ def vocab_pos(spark, sf_dir):
 SELECT token, count(*) AS n FROM x GROUP BY token"""
 )
 def pos_substitute(spark, sf_dir):
-    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
-    rows = sentences(spark, sf_dir).select(analysis.regex_morphemes(F.col("sentence")).alias("m")).join(known)
-    tokens = encoding.pos_substituted(morphology.word_forms(F.col("m"), "normalized"), F.col("m"), F.col("vocab"))
-    return rows.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    known = vocab.lookup(vocabulary(spark, sf_dir))
+    words = sentences(spark, sf_dir).select(analysis.regex_words(F.col("sentence")).alias("w"))
+    found = F.transform("w", lambda w: F.struct(F.array(analysis.regex_kind(w), *[F.lit("*")] * 5).alias("pos")))
+    tokens = encoding.pos_substituted(F.transform("w", F.lower), found, known)
+    return words.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, coalesce(v.id, 1) AS id FROM m LEFT JOIN v ON v.token = lower(surface)),
-e AS (SELECT doc_id, i, '2,' || string_agg(id::VARCHAR, ',' ORDER BY pos) || ',3' AS ids, count(*) AS n FROM x GROUP BY ALL)
-SELECT doc_id, i::INT AS i, md5(ids) AS ids, n + 2 AS n, '1' || repeat('0', n::INT) || '1' AS mask, repeat('0', n::INT + 2) AS types FROM e WHERE n <= 20"""
+e AS (SELECT doc_id, i, string_agg(id::VARCHAR, ',' ORDER BY pos) || ',' AS ids, count(*) AS n FROM x GROUP BY ALL),
+a AS (SELECT s.doc_id, s.i, coalesce(ids, '') AS ids, coalesce(n, 0) AS n FROM s LEFT JOIN e ON e.doc_id = s.doc_id AND e.i = s.i)
+SELECT doc_id, i::INT AS i, md5('2,' || ids || '3') AS ids, n + 2 AS n, '1' || repeat('0', n::INT) || '1' AS mask, repeat('0', n::INT + 2) AS types FROM a"""
 )
 def encode_ids(spark, sf_dir):
-    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
-    rows = sentences(spark, sf_dir).withColumn("w", morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized"))
-    rows = rows.where(F.size("w").between(1, 20)).join(known).withColumn("ids", encoding.to_ids(F.col("w"), F.col("vocab")))
+    """Every sentence, however long, and those without a token."""
+    known = vocab.lookup(vocabulary(spark, sf_dir))
+    words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
+    rows = sentences(spark, sf_dir).withColumn("ids", known.ids(words))
     return rows.select(
         "doc_id",
         "i",
@@ -259,15 +263,18 @@ def encode_ids(spark, sf_dir):
     )
 
 
+QUERIES["encode_ids_whole"], SQL["encode_ids_whole"] = encode_ids, SQL["encode_ids"]
+
+
 @query(
     f"""WITH {SENTENCES}, {_VOCAB}, ch AS (SELECT token FROM v WHERE length(token) = 1), x AS (SELECT unnest(string_split(lower(surface), '')) AS c FROM m)
 SELECT CASE WHEN c IN (SELECT token FROM ch) THEN c ELSE '[UNK]' END AS token, count(*) AS n FROM x WHERE c <> '' GROUP BY 1"""
 )
 def character_subwords(spark, sf_dir):
-    chars = vocabulary(spark, sf_dir).where(F.char_length("token") == 1)
-    rows = sentences(spark, sf_dir).join(F.broadcast(vocab.vocab_map(chars)))
-    words = morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized")
-    return rows.select(F.explode(encoding.character_subwords(words, F.col("vocab"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    chars = vocab.lookup(vocabulary(spark, sf_dir).where(F.char_length("token") == 1))
+    words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
+    rows = sentences(spark, sf_dir).select(F.explode(encoding.character_subwords(words, chars)).alias("token"))
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -287,9 +294,9 @@ def nfkc(spark, sf_dir):
 
 @query()
 def wordpiece_tokens(spark, sf_dir):
-    """Pieces of every word by a vocabulary trained on all words."""
-    counts = counted(spark, sf_dir).select("word", "freq")
-    trained = vocab.train_wordpiece(counts, size=PIECES, least=2, alphabet=200)
+    """Pieces of every word by a vocabulary trained on all words, of the trainer's own size and alphabet."""
+    counts = materialize(counted(spark, sf_dir).select("word", "freq"), "counts")
+    trained = vocab.train_wordpiece(counts)
     pieces = vocab.wordpiece_of_words(counts, trained)
     rows = counts.join(pieces, "word").select("freq", F.explode("pieces").alias("piece"))
     return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
@@ -297,7 +304,7 @@ def wordpiece_tokens(spark, sf_dir):
 
 @query("SELECT c_custkey AS id, CASE WHEN r <= n - held THEN 'train' WHEN r <= n - tests THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, ceil(n * 2 / 10.0) AS held, ceil(ceil(n * 2 / 10.0) / 2) AS tests FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer))")
 def split_ratio(spark, sf_dir):
-    return datasets.split_by_ratio(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), F.col("id"), "8/1/1")
+    return datasets.split_by_ratio(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", "8/1/1")
 
 
 @query("SELECT CASE WHEN d < '1994' THEN 'train' WHEN d < '1996' THEN 'dev' ELSE 'test' END AS split, count(*) AS n FROM (SELECT strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders) GROUP BY 1")
@@ -369,21 +376,30 @@ def best_model(spark, sf_dir):
     return metrics.best_setting(rows, "setting", "value")
 
 
+_WHOLE_TEXTS = "d AS (SELECT d.doc_id, d.text AS a, coalesce(e.text, '') AS b FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"
+
+
 @query(
-    """
-WITH d AS (SELECT doc_id, left(text, 40) AS a, substr(text, 11, 40) AS b FROM documents), n AS (
-  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(a), '。+$', ''), '[\\s\\x{A0}]+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(b), '。+$', ''), '[\\s\\x{A0}]+', ' ', 'g')) AS b FROM d
+    f"""
+WITH {_WHOLE_TEXTS}, n AS (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(lower(a), '。+$', ''), '[\\s\\x{{A0}}]+', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(b), '。+$', ''), '[\\s\\x{{A0}}]+', ' ', 'g')) AS b FROM d
 ), c AS (SELECT doc_id, 'a' AS k, unnest(string_split(a, '')) AS ch FROM n UNION ALL SELECT doc_id, 'b', unnest(string_split(b, '')) FROM n),
 m AS (SELECT doc_id, ch, count(*) FILTER (WHERE k = 'a') AS x, count(*) FILTER (WHERE k = 'b') AS y FROM c WHERE ch <> '' GROUP BY ALL),
 f AS (SELECT doc_id, sum(least(x, y)) AS same, sum(x) AS x, sum(y) AS y FROM m GROUP BY doc_id)
 SELECT doc_id, round(CASE WHEN x = 0 OR y = 0 THEN (x = y)::DOUBLE WHEN same = 0 THEN 0.0 ELSE 2.0 * (same / y) * (same / x) / (same / y + same / x) END, 9)::DOUBLE AS f1 FROM f
-""".replace("\\\\", "\\")
+"""
 )
 def char_f1(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("a"), F.substring("text", 11, 40).alias("b"))
+    """Characters of each whole text against those of the next document's."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
+    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
+    rows = rows.join(after, "doc_id", "left").select("doc_id", "a", F.coalesce("b", F.lit("")).alias("b"))
     return rows.select("doc_id", F.round(metrics.overlap_f1(F.col("a"), F.col("b"), metrics.answer_characters), 9).alias("f1"))
 
 
+QUERIES["char_f1_whole"], SQL["char_f1_whole"] = char_f1, SQL["char_f1"]
+
+
 @query("SELECT lang AS label, row_number() OVER (ORDER BY lang) - 1 AS id FROM (SELECT DISTINCT lang FROM documents)")
 def label_ids(spark, sf_dir):
     rows = datasets.label_ids(read(spark, sf_dir, "documents").select(F.col("lang").alias("label")))
@@ -432,56 +448,19 @@ def letter_labels(spark, sf_dir):
     return rows.withColumn("label", datasets.letter_index(F.col("choice")))
 
 
-@query("WITH t AS (SELECT doc_id, encode(text) AS b FROM documents) SELECT doc_id, strlen(left(text, 1000)) AS n, length(left(text, 1000)) AS chars FROM documents WHERE strlen(text) = length(text)")
-def truncate_bytes(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").where(F.octet_length("text") == F.char_length("text"))
-    cut = text.truncate_utf8(F.col("text"), 1000)
-    return rows.select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
-
-
-_WHOLE_TEXTS = "d AS (SELECT d.doc_id, d.text AS a, coalesce(e.text, '') AS b FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1)"
-
-
-@query(
-    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, coalesce(v.id, 1) AS id FROM m LEFT JOIN v ON v.token = lower(surface)),
-e AS (SELECT doc_id, i, string_agg(id::VARCHAR, ',' ORDER BY pos) || ',' AS ids, count(*) AS n FROM x GROUP BY ALL),
-a AS (SELECT s.doc_id, s.i, coalesce(ids, '') AS ids, coalesce(n, 0) AS n FROM s LEFT JOIN e ON e.doc_id = s.doc_id AND e.i = s.i)
-SELECT doc_id, i::INT AS i, md5('2,' || ids || '3') AS ids, n + 2 AS n, '1' || repeat('0', n::INT) || '1' AS mask, repeat('0', n::INT + 2) AS types FROM a"""
-)
-def encode_ids_whole(spark, sf_dir):
-    """encode_ids over all sentences, however long, and over those without a token."""
-    known = F.broadcast(vocab.vocab_map(vocabulary(spark, sf_dir)))
-    rows = sentences(spark, sf_dir).withColumn("w", morphology.word_forms(analysis.regex_morphemes(F.col("sentence")), "normalized"))
-    rows = rows.join(known).withColumn("ids", encoding.to_ids(F.col("w"), F.col("vocab")))
-    return rows.select(
-        "doc_id",
-        "i",
-        F.md5(F.array_join(encoding.with_specials(F.col("ids"), cls=2, sep=3), ",").cast("binary")).alias("ids"),
-        (F.size("ids") + 2).cast("long").alias("n"),
-        F.array_join(encoding.special_mask(F.col("ids")), "").alias("mask"),
-        F.array_join(encoding.token_types(F.col("ids")), "").alias("types"),
-    )
-
-
-@query(SQL["char_f1"].replace("d AS (SELECT doc_id, left(text, 40) AS a, substr(text, 11, 40) AS b FROM documents)", _WHOLE_TEXTS))
-def char_f1_whole(spark, sf_dir):
-    """Characters of each whole text against those of the next document's."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"))
-    after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
-    rows = rows.join(after, "doc_id", "left").select("doc_id", "a", F.coalesce("b", F.lit("")).alias("b"))
-    return rows.select("doc_id", F.round(metrics.overlap_f1(F.col("a"), F.col("b"), metrics.answer_characters), 9).alias("f1"))
-
-
 @query(
     """WITH k AS (SELECT doc_id, text, list_max(list_filter(range(0, 1001), lambda k: strlen(left(text, k)) <= 1000)) AS k FROM documents)
 SELECT doc_id, strlen(left(text, k)) AS n, length(left(text, k)) AS chars FROM k"""
 )
-def truncate_bytes_whole(spark, sf_dir):
-    """truncate_bytes over all documents, cut on bytes."""
+def truncate_bytes(spark, sf_dir):
+    """All documents, cut on bytes, so that cuts fall inside characters too."""
     cut = text.truncate_utf8(F.col("text"), 1000)
     return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
 
 
+QUERIES["truncate_bytes_whole"], SQL["truncate_bytes_whole"] = truncate_bytes, SQL["truncate_bytes"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from lexiloom.operators.documents import documents_of_lines
+from lexiloom.functions.text import strip_right
+from lexiloom.operators.documents import ARTICLE, documents_of_lines
+from lexiloom.storage import ranked
 
 CHOICE_SCHEMA = "context string, choice_a string, choice_b string, choice_c string, choice_d string, label string"
 READING_SCHEMA = "qid string, question string, answer string, timestamp string, documents array<struct<text:string,score:int>>"
@@ -19,6 +20,13 @@ def blank_line_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.posexplode(documents_of_lines(F.col("value"))).alias("doc_idx", "sentences"))
 
 
+def articles(spark: SparkSession, path: str) -> DataFrame:
+    """(path, article_idx, article) of marked-up text files: each article from its marker's line to the next; a file is read whole."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    parts = F.filter(F.split("value", f"(?m)^(?={ARTICLE}$)"), lambda x: x.startswith(ARTICLE))
+    return files.select("path", F.posexplode(parts).alias("article_idx", "article")).withColumn("article", F.concat(F.lit("\n"), F.regexp_replace("article", "\n+\\z", "")))
+
+
 def lines(spark: SparkSession, path: str | None = None, directory: str | None = None) -> DataFrame:
     """(value) lines of one file or, if none is named, of a directory's text files."""
     if not path and not directory:
@@ -41,12 +49,25 @@ def json_rows(spark: SparkSession, path: str, schema: str | T.StructType = READI
     return spark.read.schema(schema).json(path)
 
 
-def evaluation_splits(spark: SparkSession, directory: str, kind: str, steps: tuple[str, ...] = ("train", "dev", "test")) -> dict[str, DataFrame]:
-    """{split: rows} of files train*, dev*, test* of one kind, csv or json; only the splits that steps name. dev is named validation."""
-    if kind not in ("csv", "json"):
-        raise ValueError(f"unknown kind {kind!r}: csv or json")
-    read = lambda p: spark.read.csv(p, header=True) if kind == "csv" else spark.read.json(p)
-    return {("validation" if s == "dev" else s): read(f"{directory}/{s}*.{kind}") for s in steps}
+def first_match(spark: SparkSession, pattern: str) -> str | None:
+    """The first path by name that matches a pattern, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(path)
+    return min((str(x.getPath()) for x in found or []), default=None)
+
+
+def evaluation_splits(spark: SparkSession, directory: str, steps: tuple[str, ...] = ("train", "dev", "test"), **files: str) -> dict[str, DataFrame]:
+    """{split: rows} of a directory's first train*, dev* and test* file by name, or of files named by split; dev is called validation.
+
+    All files must be of one kind, csv or json, which their names tell, also those
+    of splits that steps leaves out; a split without a file is left out.
+    """
+    paths = {s: files.get(s) or first_match(spark, f"{directory}/{s}*") for s in ("train", "dev", "test")}
+    kinds = {p.rsplit("/", 1)[-1].rpartition(".")[2].lower() for p in paths.values() if p}
+    if len(kinds) != 1 or not kinds <= {"csv", "json"}:
+        raise ValueError(f"the files of {directory} must be of one kind, csv or json, not {sorted(kinds)}")
+    read = (lambda p: spark.read.csv(p, header=True, multiLine=True, escape='"')) if kinds == {"csv"} else spark.read.json
+    return {("validation" if s == "dev" else s): read(p) for s, p in paths.items() if p and s in steps}
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
@@ -58,7 +79,7 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 def word_list(spark: SparkSession, path: str) -> DataFrame:
     """(word) lines of a list, right-trimmed, blanks gone."""
-    return spark.read.text(path).select(F.rtrim("value").alias("word")).where("word <> ''")
+    return spark.read.text(path).select(strip_right(F.col("value")).alias("word")).where("word <> ''")
 
 
 def rule_table(spark: SparkSession, path: str, value: str) -> DataFrame:
@@ -87,5 +108,5 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str, name: str = "doc_id") -> DataFrame:
-    """Dense ids in an order, for small tables."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(order)) - 1)
+    """Dense ids from 0 in a unique order."""
+    return ranked(rows, [], [order], name, "numbered").withColumn(name, F.col(name) - 1)

@@ -13,7 +13,7 @@ def _mode(overwrite: bool) -> str:
 
 
 def write_corpus(docs: DataFrame, path: str, order: Sequence[str], overwrite: bool = False) -> None:
-    """Sentences on lines, documents apart by a blank line; part files in order."""
+    """Sentences on lines, a blank line after each document, the last of a part file too, so that reading back loses none; part files in order."""
     text = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.array_join("sentences", "\n").alias("value"))
     text.write.mode(_mode(overwrite)).text(path, lineSep="\n\n")
 
@@ -49,7 +49,12 @@ def write_vocabulary(vocab: DataFrame, path: str, overwrite: bool = False) -> No
     vocabulary_lines(vocab).coalesce(1).sortWithinPartitions("id").select(F.col("token").alias("value")).write.mode(_mode(overwrite)).text(path)
 
 
-def write_predictions(rows: DataFrame, path: str, order: Sequence[str], overwrite: bool = False) -> None:
+def write_predictions(rows: DataFrame, path: str, order: Sequence[str], overwrite: bool = False, labels: Sequence[str] | None = None) -> None:
+    """Prediction logs with a header; with labels, the ids in label and prediction become the labels they stand for."""
+    if labels is not None:
+        known = F.array(*[F.lit(x) for x in labels])
+        named = lambda c: F.when(F.col(c).cast("int") >= 0, F.get(known, F.col(c).cast("int"))).otherwise(F.col(c).cast("string"))
+        rows = rows.withColumns({c: named(c) for c in ("label", "prediction")})
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode(_mode(overwrite)).csv(path, sep="\t", header=True)
 
 

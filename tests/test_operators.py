@@ -75,9 +75,9 @@ def test_reading(spark):
 
 def test_ratio_split(spark):
     rows = spark.range(101)
-    counts = {r.split: r["count"] for r in datasets.split_by_ratio(rows, F.col("id"), "8/1/1").groupBy("split").count().collect()}
+    counts = {r.split: r["count"] for r in datasets.split_by_ratio(rows, "id", "8/1/1").groupBy("split").count().collect()}
     assert counts == {"train": 80, "dev": 10, "test": 11} and sum(counts.values()) == 101
-    assert set(r.split for r in datasets.split_by_ratio(rows, F.col("id"), "8/0/2").collect()) == {"train", "test"}
+    assert set(r.split for r in datasets.split_by_ratio(rows, "id", "8/0/2").collect()) == {"train", "test"}
     for bad in ("0/1/1", "8/1/0", "8/1"):
         with pytest.raises(ValueError):
             datasets.ratios(bad)
@@ -108,9 +108,9 @@ def test_roles():
 
 def test_batches(spark):
     df = spark.createDataFrame([(i, [1] * (i + 1)) for i in range(5)], "id int, ids array<int>")
-    got = datasets.padded_batches(df, F.col("id"), "ids", 2).orderBy("id").collect()
+    got = datasets.padded_batches(df, "id", "ids", 2).orderBy("id").collect()
     assert [len(r.ids) for r in got] == [2, 2, 4, 4, 5]
-    assert datasets.padded_batches(df, F.col("id"), "ids", 2, drop_remainder=True).count() == 4
+    assert datasets.padded_batches(df, "id", "ids", 2, drop_remainder=True).count() == 4
 
 
 def test_wordpiece(spark):
@@ -201,7 +201,7 @@ def test_splits_round_trip(spark, tmp_path):
     assert {(r.x, r.split) for r in spark.read.json(str(tmp_path / "d")).collect()} == {("a", "train"), ("b", "test")}
     for kind in ("train", "dev"):
         (tmp_path / f"{kind}_0.csv").write_text("a,b\n1,2\n")
-    got = readers.evaluation_splits(spark, str(tmp_path), "csv", ("train", "dev"))
+    got = readers.evaluation_splits(spark, str(tmp_path), ("train", "dev"))
     assert set(got) == {"train", "validation"} and got["validation"].first().b == "2"
 
 

@@ -136,13 +136,45 @@ def test_pretokens_and_texts(analysed):
 
 
 def test_encoding(spark):
-    df = spark.createDataFrame([(["a", "##b", "zz"], ["c"], {"a": 5, "##b": 6, "[UNK]": 1, "c": 7})], "a array<string>, b array<string>, v map<string,int>")
-    a, b, v = F.col("a"), F.col("b"), F.col("v")
+    df = spark.createDataFrame([(["a", "##b", "zz"], ["c"])], "a array<string>, b array<string>")
+    a, b, v = F.col("a"), F.col("b"), encoding.Lookup({"a": 5, "##b": 6, "[UNK]": 1, "c": 7})
     row = df.select(
-        encoding.to_ids(a, v), encoding.to_text(a), encoding.with_specials(a, b), encoding.special_mask(a, b), encoding.token_types(a, b),
-        encoding.padded(encoding.to_ids(a, v), 5), encoding.padded(encoding.to_ids(a, v), 2), encoding.word_index(a), encoding.to_tokens(F.array(F.lit(5), F.lit(99)), F.map_from_arrays(F.map_values(v), F.map_keys(v))),
+        v.ids(a), encoding.to_text(a), encoding.with_specials(a, b), encoding.special_mask(a, b), encoding.token_types(a, b),
+        encoding.padded(v.ids(a), 5), encoding.padded(v.ids(a), 2), encoding.word_index(a), v.tokens(F.array(F.lit(5), F.lit(99))),
         encoding.merge_space_tokens(F.array(F.lit(" "), F.lit("x"), F.lit(" "), F.lit("y"))),
     ).first()
     assert row[0] == [5, 6, 1] and row[1] == "ab zz" and row[2] == ["[CLS]", "a", "##b", "zz", "[SEP]", "c", "[SEP]"]
     assert row[3] == [1, 0, 0, 0, 1, 0, 1] and row[4] == [0, 0, 0, 0, 0, 1, 1] and row[5] == [5, 6, 1, 0, 0] and row[6] == [5, 6]
-    assert row[7] == [0, 0, 1] and row[8] == ["a", "[UNK]"] and "".join(row[9]) == " x y"
+    assert row[7] == [0, 0, 1] and row[8] == ["a", "[UNK]"] and row[9] == [" x ", "y"]
+
+
+def test_lookups_of_odd_arrays(spark):
+    """Null and empty arrays, null tokens, arrays that begin amid a batch."""
+    rows = [(1, ["a", None, "b"]), (2, None), (3, []), (4, ["zz"]), (5, ["b", "b"])]
+    df = spark.createDataFrame(rows, "id int, a array<string>").coalesce(1)
+    known = encoding.Lookup.of(["[UNK]", "a", "b"])
+    got = df.orderBy("id").select(known.ids(F.col("a")), known.kept(F.col("a")), encoding.running_sums(F.transform("a", lambda x: F.char_length(F.coalesce(x, F.lit("")))))).collect()
+    assert [r[0] for r in got] == [[1, 0, 2], None, [], [0], [2, 2]]
+    assert [r[1] for r in got] == [["a", "[UNK]", "b"], None, [], ["[UNK]"], ["b", "b"]]
+    assert [r[2] for r in got] == [[1, 1, 2], None, [], [2], [1, 2]]
+    tags = spark.createDataFrame([(["a", "x", "y"], ["t", "b", "u"]), ([], [])], "w array<string>, t array<string>")
+    assert [r[0] for r in tags.select(known.either(F.col("w"), F.col("t"))).collect()] == [["a", "b", "[UNK]"], []]
+
+
+def test_joined_runs_by_a_model(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(i, ["".join(r.choice(" ab") for _ in range(r.randint(0, 2))) for _ in range(r.randint(0, 8))]) for i in range(200)]
+
+    def model(tokens):
+        out = []
+        for t in tokens:
+            if out and (not t.strip(" ") or not out[-1].strip(" ")):
+                out[-1] += t
+            else:
+                out.append(t)
+        return out
+
+    got = spark.createDataFrame(rows, "id int, t array<string>").select("id", encoding.merge_space_tokens(F.col("t"))).collect()
+    assert {x[0]: x[1] for x in got} == {i: model(t) for i, t in rows}
