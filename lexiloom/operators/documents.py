@@ -56,9 +56,11 @@ def documents_of_lines(whole: Column) -> Column:
 
     Lines are stripped. A blank line ends a document even if nothing stands before
     it, so runs of blanks give empty documents; what follows the last blank line
-    is no document.
+    is no document. What follows the last line break is no line if it is empty.
     """
-    lines = F.transform(F.split(whole, "\n"), lambda x: text.strip(x))
+    parts = F.split(whole, "\n")
+    parts = F.slice(parts, F.lit(1), F.size(parts) - F.when(F.get(parts, F.size(parts) - 1) == "", 1).otherwise(0))
+    lines = F.transform(parts, lambda x: text.strip(x))
     marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", "\0").otherwise(x)), "\n")
     ended = F.split(marked, "\0")  # stripped lines hold no such character unless the text does
     kept = F.slice(ended, F.lit(1), F.size(ended) - 1)

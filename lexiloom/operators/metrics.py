@@ -44,14 +44,19 @@ def answer_words(s: Column) -> Column:
     return F.filter(F.split(_squeezed(F.regexp_replace(bare, r"\b(a|an|the)\b", " ")), " "), lambda w: w != "")
 
 
+def answer_text(s: Column) -> Column:
+    """An answer lower-cased, white space squeezed, the final full stop gone."""
+    return _squeezed(F.regexp_replace(F.lower(s), "。+$", ""))
+
+
 def answer_characters(s: Column) -> Column:
-    """Characters of an answer, lower-cased, white space squeezed, the final full stop gone."""
-    return F.filter(F.split(_squeezed(F.regexp_replace(F.lower(s), "。+$", "")), ""), lambda c: c != "")
+    """Characters of an answer's text."""
+    return F.filter(F.split(answer_text(s), ""), lambda c: c != "")
 
 
 @F.pandas_udf(T.IntegerType())
 def common_parts(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many parts two bags share, each as often as both have it; two counts and a minimum, whatever the bags' sizes."""
+    """How many parts two bags share - strings, of characters, or arrays -, each as often as both have it; two counts and a minimum, whatever the bags' sizes."""
     return pd.Series([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="Int32")
 
 
@@ -61,11 +66,13 @@ def exact_match(gold: Column, predicted: Column, parts: Callable[[Column], Colum
 
 def overlap_f1(gold: Column, predicted: Column, parts: Callable[[Column], Column] = answer_words) -> Column:
     """F1 of two bags of parts; where either is empty, whether both are."""
-    a, b = parts(gold), parts(predicted)
+    whole = parts is answer_characters  # a text stands for the bag of its characters
+    a, b = (answer_text(gold), answer_text(predicted)) if whole else (parts(gold), parts(predicted))
+    size = F.char_length if whole else F.size
     same = common_parts(a, b)
-    precision, recall = same / F.size(b), same / F.size(a)
-    empty = (F.size(a) == 0) | (F.size(b) == 0)
-    return F.when(empty, (F.size(a) == F.size(b)).cast("double")).when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    precision, recall = same / size(b), same / size(a)
+    empty = (size(a) == 0) | (size(b) == 0)
+    return F.when(empty, (size(a) == size(b)).cast("double")).when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
 def summary(rows: DataFrame, keys: Sequence[str], stage: str, stages: Sequence[str], metrics: Sequence[str]) -> DataFrame:

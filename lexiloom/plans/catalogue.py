@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from lexiloom.functions import encoding, morphology, text
-from lexiloom.operators import analysis, datasets, documents, metrics, qa, vocab
+from lexiloom.operators import analysis, datasets, documents, metrics, qa, tokenizer, vocab
 from lexiloom.storage import materialize
 
 #: A harmless list for the word filters.
@@ -461,6 +461,358 @@ def truncate_bytes(spark, sf_dir):
 QUERIES["truncate_bytes_whole"], SQL["truncate_bytes_whole"] = truncate_bytes, SQL["truncate_bytes"]
 
 
+# -- word forms, over morphemes made of the parts table ---------------------------
+
+_FORMS = """m AS (SELECT p_partkey AS id, p_size, p_name || 'Ａ１' AS surface, p_brand || 'Ｂ' AS dict, p_type || 'る' AS norm,
+  CASE p_size % 4 WHEN 0 THEN '動詞' WHEN 1 THEN '形容詞' WHEN 2 THEN '助動詞' ELSE '名詞' END AS c0,
+  CASE p_size % 3 WHEN 0 THEN 'サ行変格' WHEN 1 THEN '五段' ELSE '*' END AS c4,
+  CASE p_size % 5 WHEN 0 THEN '終止形-一般' WHEN 1 THEN '連用形-一般' WHEN 2 THEN '仮定形-一般' ELSE '*' END AS c5 FROM part),
+p AS (SELECT *, c0 <> '名詞' AS conj, c0 <> '名詞' AND (c4 = 'サ行変格' OR c5 <> '終止形-一般') AS needs FROM m)"""
+_HALF = "translate({}, 'Ａ１Ｂ', 'A1B')"
+_RULES = {"動詞": {"五段|連用形-一般": [["xx", "y"], ["る", "り"]], "サ行変格|終止形-一般": [["る", "す"]], "五段|仮定形-一般": [["", ""]]}, "形容詞": {"*|連用形-一般": [["Yる", "Yく"]]}}
+
+
+def made_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    pick = lambda by, *values: F.element_at(F.array(*map(F.lit, values)), (size % by + 1).cast("int"))
+    pos = F.array(
+        pick(4, "動詞", "形容詞", "助動詞", "名詞"), *[F.lit("*")] * 3, pick(3, "サ行変格", "五段", "*"), pick(5, "終止形-一般", "連用形-一般", "仮定形-一般", "*", "*")
+    )
+    fields = {"surface": F.concat("p_name", F.lit("Ａ１")), "dictionary_form": F.concat("p_brand", F.lit("Ｂ")), "normalized_form": F.concat("p_type", F.lit("る")), "reading_form": F.col("p_name")}
+    one = F.struct(*[v.alias(k) for k, v in fields.items()], pos.alias("pos"), F.lit(0).alias("begin"), F.char_length(fields["surface"]).alias("end"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array(one.cast(analysis.MORPHEMES[6:-1])).alias("m"))
+
+
+@query(
+    f"""WITH {_FORMS} SELECT id, surface, dict AS dictionary, norm AS normalized, CASE WHEN conj THEN surface ELSE dict END AS dictionary_and_surface,
+CASE WHEN conj THEN surface ELSE norm END AS normalized_and_surface, CASE WHEN c5 = '*' THEN norm ELSE surface END AS normalized_nouns, {_HALF.format('surface')} AS surface_half_ascii,
+{_HALF.format('dict')} AS dictionary_half_ascii, CASE WHEN conj THEN {_HALF.format('surface')} ELSE {_HALF.format('dict')} END AS dictionary_and_surface_half_ascii FROM p"""
+)
+def word_forms(spark, sf_dir):
+    return made_morphemes(spark, sf_dir).select("id", *[morphology.word_forms(F.col("m"), name)[0].alias(name) for name in morphology.WORD_FORMS])
+
+
+@query(
+    f"""WITH {_FORMS} SELECT id, CASE WHEN NOT needs THEN norm WHEN c0 = '動詞' AND c4 = '五段' AND c5 = '連用形-一般' THEN left(norm, -1) || 'り'
+WHEN c0 = '動詞' AND c4 = 'サ行変格' AND c5 = '終止形-一般' THEN left(norm, -1) || 'す' WHEN c0 = '形容詞' AND c4 = '*' AND c5 = '連用形-一般' AND norm LIKE '%Yる' THEN left(norm, -1) || 'く' ELSE norm END AS form FROM p"""
+)
+def conjugated_forms(spark, sf_dir):
+    rules, types = morphology.inflection_rules(_RULES), morphology.conjugation_types({})
+    return made_morphemes(spark, sf_dir).select("id", morphology.word_forms(F.col("m"), "normalized_conjugation", rules=rules, types=types)[0].alias("form"))
+
+
+@query(
+    f"""WITH {_FORMS} SELECT id, CASE WHEN NOT needs THEN norm WHEN c0 = '動詞' AND c4 = 'サ行変格' AND c5 IN ('連用形-一般', '仮定形-一般', '*') THEN
+  CASE c5 WHEN '連用形-一般' THEN left(norm, -1) || 'り' ELSE norm END WHEN c0 = '動詞' AND c4 = '五段' AND c5 = '連用形-一般' THEN left(norm, -1) || 'り' ELSE norm END AS form
+FROM p WHERE NOT (c0 = '動詞' AND c5 = '終止形-一般')"""
+)
+def conjugated_types(spark, sf_dir):
+    """Verbs of one type that conjugate as another; where that lacks a form, its general kind."""
+    parts = read(spark, sf_dir, "part").where("p_size % 12 = 0").select("p_name", "p_type").distinct().orderBy("p_name", "p_type").collect()
+    types = {"動詞": {f"{r.p_name}Ａ１|{r.p_name}|{r.p_type}る|サ行変格": "五段" for r in parts}}  # as many as there are names and types
+    rows = made_morphemes(spark, sf_dir).where(~((F.col("m")[0]["pos"][0] == "動詞") & (F.col("m")[0]["pos"][5] == "終止形-一般")))
+    rules = morphology.inflection_rules({"動詞": {"五段|連用形-一般": [["る", "り"]]}})
+    return rows.select("id", morphology.word_forms(F.col("m"), "normalized_conjugation", rules=rules, types=morphology.conjugation_types(types))[0].alias("form"))
+
+
+@query(f"WITH {_FORMS} SELECT conj, c5 = '*' AS plain, needs, count(*) AS n FROM p GROUP BY ALL")
+def pos_predicates(spark, sf_dir):
+    pos = F.col("m")[0]["pos"]
+    rows = made_morphemes(spark, sf_dir).select(morphology.is_conjugative(pos).alias("conj"), morphology.has_no_form(pos).alias("plain"), morphology.needs_inflection(pos).alias("needs"))
+    return rows.groupBy("conj", "plain", "needs").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- analysis ---------------------------------------------------------------------
+
+_SPANS = rf"""g AS (SELECT doc_id, i, unnest(regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS w, unnest(list_slice(regexp_split_to_array(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]'), 1, -2)) AS gap,
+  unnest(range(0, len(regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')))) AS pos FROM s),
+o AS (SELECT doc_id, i, pos, w, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id, i ORDER BY pos) AS stop FROM g)"""
+
+
+@query(f"WITH {SENTENCES}, {_SPANS} SELECT doc_id, i::INT AS i, count(*) AS n, sum(stop - length(w))::BIGINT AS begins, sum(stop)::BIGINT AS ends, sum(pos * stop)::BIGINT AS places FROM o GROUP BY doc_id, i")
+def morpheme_spans(spark, sf_dir):
+    """Where every morpheme of every sentence begins and ends."""
+    rows = sentences(spark, sf_dir).select("doc_id", "i", F.posexplode(analysis.regex_morphemes(F.col("sentence"))).alias("pos", "m"))
+    sums = [F.sum(F.col(c).cast("long")).alias(n) for c, n in (("m.begin", "begins"), ("m.end", "ends"))]
+    return rows.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(F.col("pos").cast("long") * F.col("m.end")).alias("places"))
+
+
+_MODES = {"a": r"\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+|_|[^\p{L}\p{N}_\s]", "b": r"[\p{L}_]+|\p{N}+|[^\p{L}\p{N}_\s]", "c": r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"}
+
+
+@query("WITH w AS (SELECT doc_id, " + ", ".join(f"regexp_extract_all(text, '{p}') AS {m}" for m, p in _MODES.items()) + " FROM documents) SELECT doc_id, " + ", ".join(f"len({m}) AS n_{m}, md5(array_to_string({m}, ' ')) AS {m}" for m in _MODES) + " FROM w")
+def split_modes(spark, sf_dir):
+    """Units of whole texts, short, middle and long."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", *[F.transform(analysis.in_mode(analysis.split_morphemes, m)(F.col("text")), lambda x: x["surface"]).alias(m) for m in _MODES])
+    parts = [(F.size(m).cast("long").alias(f"n_{m}"), F.md5(F.array_join(m, " ").cast("binary")).alias(m)) for m in _MODES]
+    return rows.select("doc_id", *[c for pair in parts for c in pair])
+
+
+@query(f"WITH {SENTENCES}, {_MORPHEMES} SELECT CASE WHEN surface IN ('the', 'la') THEN 'ART' ELSE lower(surface) END AS form, CASE WHEN surface IN ('the', 'la') THEN '[article-common]' ELSE '[other]' END AS tag, count(*) AS n FROM m GROUP BY ALL")
+def lexicon_forms(spark, sf_dir):
+    """A small lexicon over the regular-expression analyzer."""
+    entry = "named_struct('dictionary_form', 'ART', 'normalized_form', 'ART', 'reading_form', 'ART', 'pos', array('article', 'common', '*', '*', '*', '*'))"
+    lexicon = F.expr(f"map('the', {entry}, 'la', {entry})")
+    rows = sentences(spark, sf_dir).select(F.explode(analysis.lexicon_morphemes(lexicon)(F.col("sentence"))).alias("m"))
+    tag = F.when(F.col("m.pos")[0] == "article", morphology.pos_tag(F.col("m.pos"))).otherwise("[other]")
+    return rows.groupBy(F.col("m.normalized_form").alias("form"), tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_WORDS = rf"w AS (SELECT doc_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM documents)"
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, md5(array_to_string(ws, ' ')) AS spaced, md5(array_to_string(list_transform(ws, lambda x: lower(x)), '|')) AS pretokens, md5(array_to_string(ws, '|')) AS slices FROM w")
+def segmented(spark, sf_dir):
+    """Space-separated texts, and pretokens: lower-cased ones, and slices of the text by the offsets."""
+    rows = tokenizer.segment_columns(read(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("spaced")), ["spaced"], "spaced")
+    found = analysis.regex_morphemes(F.col("text"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    forms = {n: digest(F.array_join(morphology.pretokens(found, F.col("text"), f), "|")).alias(n) for n, f in (("pretokens", "normalized"), ("slices", "surface"))}
+    return rows.select("doc_id", digest(F.col("spaced")).alias("spaced"), *forms.values())
+
+
+# -- documents --------------------------------------------------------------------
+
+_CUT = r"""regexp_replace(regexp_replace({}, '([。！？!?]+)\s*', '\1' || chr(10), 'g'), '\.(\s+|$)', '.' || chr(10), 'g')"""
+
+
+@query(f"WITH p AS (SELECT doc_id, list_filter(string_split({_CUT.format('text')}, chr(10)), lambda x: x <> '') AS parts FROM documents) SELECT doc_id, len(parts) AS n, md5(array_to_string(parts, '|')) AS digest FROM p")
+def sentence_bounds(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", documents.split_sentences(F.col("text")).alias("parts"))
+    return rows.select("doc_id", F.size("parts").cast("long").alias("n"), F.md5(F.array_join("parts", "|").cast("binary")).alias("digest"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split({_CUT.format('l')}, chr(10)))), lambda x: x <> '') AS parts FROM documents)
+SELECT doc_id, len(parts) + 2 AS n_raw, len(parts) + 1 AS n, md5(chr(10) || array_to_string(parts, chr(10))) AS digest FROM p"""
+)
+def article_corpus(spark, sf_dir):
+    """Articles to the lines of a raw corpus, and these without markers."""
+    lines = F.array(F.lit(""), F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
+    rows = read(spark, sf_dir, "documents").select("doc_id", documents.article_lines(F.array_join(lines, "\n")).alias("raw"))
+    rows = rows.withColumn("plain", documents.strip_markers(F.col("raw")))
+    return rows.select("doc_id", F.size("raw").cast("long").alias("n_raw"), F.size("plain").cast("long").alias("n"), F.md5(F.array_join("plain", "\n").cast("binary")).alias("digest"))
+
+
+@query(
+    f"""WITH {SENTENCES}, {_MORPHEMES}, b AS (SELECT DISTINCT doc_id FROM m WHERE surface IN {LISTED}), k AS (SELECT doc_id, lang, count(*) FILTER (WHERE length(sentence) BETWEEN 10 AND 200) AS n FROM s GROUP BY doc_id, lang)
+SELECT lang, count(*) AS n_docs, sum(n)::BIGINT AS n_sentences FROM k WHERE n >= 5 AND doc_id NOT IN (
+  SELECT m.doc_id FROM m JOIN s ON s.doc_id = m.doc_id AND s.i = m.i WHERE surface IN {LISTED} AND length(sentence) BETWEEN 10 AND 200) GROUP BY lang"""
+)
+def clean_ng_words(spark, sf_dir):
+    kept = documents.clean(docs(spark, sf_dir), sentence_filters=["sequence_length"], document_filters=["short_document", "ng_words"], ng_words=LISTED)
+    return kept.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.size("sentences")).alias("n_sentences"))
+
+
+# -- encoding ---------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, CASE WHEN lower(surface) IN (SELECT token FROM v) THEN lower(surface) ELSE '[UNK]' END AS token FROM m)
+SELECT doc_id, i::INT AS i, md5(string_agg(token, ' ' ORDER BY pos)) AS digest FROM x GROUP BY doc_id, i"""
+)
+def decode_ids(spark, sf_dir):
+    """Ids back to tokens, and tokens to text."""
+    known = vocab.lookup(vocabulary(spark, sf_dir))
+    words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
+    rows = sentences(spark, sf_dir).withColumn("ids", known.ids(words)).where(F.size("ids") > 0)
+    return rows.select("doc_id", "i", F.md5(encoding.to_text(known.tokens(F.col("ids"))).cast("binary")).alias("digest"))
+
+
+@query(f"WITH {SENTENCES}, {_VOCAB} SELECT id, token FROM v WHERE id < 120")
+def character_vocabulary(spark, sf_dir):
+    return vocab.first_ids(vocabulary(spark, sf_dir), 120)
+
+
+ROOM = 40
+_PAIRS = rf"""t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(coalesce(text, ''), '[{RE2_WORD}]+|[^{RE2_WORD}\s]'), lambda x: lower(x)) AS ws FROM conversations),
+p AS (SELECT x.conv_id, x.turn, x.ws AS a, y.ws AS b, len(x.ws) AS na, len(y.ws) AS nb FROM t x JOIN t y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1)"""
+
+
+def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each turn and of the next."""
+    words = F.transform(analysis.regex_words(F.coalesce("text", F.lit(""))), F.lower)
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"))
+    return rows.join(rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+
+
+@query(
+    f"""WITH {_PAIRS} SELECT conv_id, turn, md5(array_to_string(list_concat(['[CLS]'], a, ['[SEP]'], b, ['[SEP]']), ' ')) AS tokens,
+'1' || repeat('0', na::INT) || '1' || repeat('0', nb::INT) || '1' AS mask, repeat('0', na::INT + 2) || repeat('1', nb::INT + 1) AS types FROM p"""
+)
+def encode_pairs(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    return turn_pairs(spark, sf_dir).select(
+        "conv_id",
+        "turn",
+        F.md5(F.array_join(encoding.with_specials(a, b), " ").cast("binary")).alias("tokens"),
+        F.array_join(encoding.special_mask(a, b), "").alias("mask"),
+        F.array_join(encoding.token_types(a, b), "").alias("types"),
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, c AS (SELECT conv_id, turn, na, nb FROM p UNION ALL SELECT conv_id, turn, CASE WHEN na > nb THEN na - 1 ELSE na END, CASE WHEN na > nb THEN nb ELSE nb - 1 END FROM c WHERE na + nb > {ROOM})
+SELECT p.conv_id, p.turn, md5(array_to_string(list_slice(a, 1, c.na), ' ')) AS a, md5(array_to_string(list_slice(b, 1, c.nb), ' ')) AS b FROM p JOIN c ON c.conv_id = p.conv_id AND c.turn = p.turn WHERE c.na + c.nb <= {ROOM}"""
+)
+def fit_pairs(spark, sf_dir):
+    """Pairs cut to a length, word by word from the longer."""
+    a, b = tokenizer.fitting(F.col("a"), F.col("b"), ROOM)
+    return turn_pairs(spark, sf_dir).select("conv_id", "turn", *[F.md5(F.array_join(c, " ").cast("binary")).alias(n) for c, n in ((a, "a"), (b, "b"))])
+
+
+@query(
+    f"""WITH {SENTENCES}, {_VOCAB}, x AS (SELECT doc_id, i, pos, coalesce(v.id, 1) AS id FROM m LEFT JOIN v ON v.token = lower(surface)),
+e AS (SELECT doc_id, i, list(id ORDER BY pos)[1:22] AS ids FROM x GROUP BY ALL), a AS (SELECT s.doc_id, s.i, coalesce(ids, []) AS ids FROM s LEFT JOIN e ON e.doc_id = s.doc_id AND e.i = s.i)
+SELECT doc_id, i::INT AS i, array_to_string(list_concat([2], ids, [3], list_transform(range(0, 22 - len(ids)), lambda z: 0)), ',') AS input_ids, (len(ids) + 2)::BIGINT AS attended FROM a"""
+)
+def tokenizer_ids(spark, sf_dir):
+    """The whole tokenizer: words looked up by WordPiece, cut and padded to 24 ids."""
+    rows = vocabulary(spark, sf_dir).orderBy("id").collect()
+    found = tokenizer.Tokenizer([r.token for r in rows], word_form="normalized").encode(sentences(spark, sf_dir).select("doc_id", "i", "sentence"), "sentence", max_length=24, padded=True)
+    return found.select("doc_id", "i", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, list_position(['de', 'en', 'es', 'fr'], lang)::BIGINT - 1 AS label_id, least(len(ws), 14) + 2 AS n FROM documents JOIN w USING (doc_id)")
+def class_features(spark, sf_dir):
+    known = tokenizer.Tokenizer([*vocab.SPECIALS, "the", "la"], word_form="normalized")
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = tokenizer.classification_features(rows, known, ["text"], "lang", ["de", "en", "es", "fr"], max_length=16)
+    return found.select("doc_id", F.col("label_id").cast("long").alias("label_id"), F.size("input_ids").cast("long").alias("n"))
+
+
+@query(
+    rf"""WITH {_WORDS}, k AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS k FROM w)
+SELECT doc_id, sum(CASE WHEN length(w) > 3 THEN 2 ELSE 1 END)::BIGINT AS n, sum(k * CASE WHEN length(w) > 3 THEN 2 ELSE 1 END)::BIGINT AS total FROM k GROUP BY doc_id"""
+)
+def subword_index(spark, sf_dir):
+    """Each subword's word, where words of over three characters are cut in two."""
+    two = lambda w: F.when(F.char_length(w) > 3, F.array(F.substring(w, 1, 3), F.concat(F.lit("##"), F.substring(w, F.lit(4), F.char_length(w))))).otherwise(F.array(w))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.flatten(F.transform(analysis.regex_words(F.col("text")), two)).alias("t")).where(F.size("t") > 0)
+    rows = rows.withColumn("k", encoding.word_index(F.col("t")))
+    return rows.select("doc_id", F.size("k").cast("long").alias("n"), F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT item_id, len(regexp_extract_all(text, '^ *[^ ] *|[^ ] *')) AS n, md5(array_to_string(regexp_extract_all('  ' || text, '^ *[^ ] *|[^ ] *'), '|')) AS digest FROM benchmark")
+def merge_spaces(spark, sf_dir):
+    """Characters as tokens, white space glued to them."""
+    chars = F.filter(F.split(F.concat(F.lit("  "), "text"), ""), lambda c: c != "")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", encoding.merge_space_tokens(chars).alias("t"))
+    return rows.select("item_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|").cast("binary")).alias("digest"))
+
+
+# -- evaluation data --------------------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS label FROM customer")
+def project_rename(spark, sf_dir):
+    return datasets.select_columns(read(spark, sf_dir, "customer"), {"c_custkey": "id", "c_mktsegment": "label"})
+
+
+@query("SELECT o_orderpriority AS sentence1, o_orderstatus AS label, count(*) AS n FROM orders GROUP BY ALL")
+def convert_reviews(spark, sf_dir):
+    rows = datasets.convert_reviews(read(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+    return rows.groupBy("sentence1", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NO_SPACE = r"regexp_replace({}, '[\x{{09}}-\x{{0D}}\x{{1C}}-\x{{20}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]', '', 'g')"
+
+
+@query(f"SELECT p_partkey AS id, {_NO_SPACE.format('p_name')} AS context, {_NO_SPACE.format(chr(39) + ' ' + chr(39) + ' || p_type')} AS choice_0, {_NO_SPACE.format('p_brand')} AS choice_1, 'x' AS choice_2, '' AS choice_3, (p_size % 4)::INT AS label FROM part")
+def convert_choices(spark, sf_dir):
+    letter = F.substring(F.lit("abcd"), F.col("p_size") % 4 + 1, F.lit(1))
+    rows = read(spark, sf_dir, "part").select(F.col("p_name").alias("context"), F.concat(F.lit(" "), "p_type").alias("choice_a"), F.col("p_brand").alias("choice_b"), F.lit("x").alias("choice_c"), F.lit("\t").alias("choice_d"), letter.alias("label"), "p_partkey")
+    out = datasets.convert_choices(rows.withColumn("context", F.concat("context", F.lit(" #"), F.col("p_partkey").cast("string"))))
+    return out.select(F.regexp_extract("context", "#([0-9]+)$", 1).cast("long").alias("id"), F.regexp_replace("context", "#[0-9]+$", "").alias("context"), *[f"choice_{i}" for i in range(4)], "label")
+
+
+@query(f"SELECT doc_id, md5({_NO_SPACE.format('text')}) AS digest FROM documents")
+def drop_spaces(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(text.drop_spaces(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query("SELECT c_custkey AS id, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer")
+def ordered_places(spark, sf_dir):
+    """The shuffle without a seed: the key's own order."""
+    return datasets.shuffled(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", None)
+
+
+@query()
+def seeded_shuffle(spark, sf_dir):
+    return datasets.shuffled(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", 42)
+
+
+@query("SELECT c_custkey AS id FROM customer ORDER BY c_custkey LIMIT 7")
+def limit_rows(spark, sf_dir):
+    return datasets.limit_rows(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), ["id"], 7)
+
+
+@query(
+    rf"""WITH b AS (SELECT item_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM benchmark), a AS (SELECT *, substr(array_to_string(ws, ''), 6, 9) AS answer FROM b),
+r AS (SELECT item_id, ws, answer, x.k AS k, y.size AS size FROM a, range(1, 200) x(k), range(1, 12) y(size) WHERE x.k + y.size - 1 <= len(ws)),
+h AS (SELECT item_id, lower(array_to_string(ws[k:k + size - 1], '')) AS form FROM r WHERE contains(array_to_string(ws[k:k + size - 1], ''), answer) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY size, k) = 1)
+SELECT item_id, form FROM h"""
+)
+def relocated_answers(spark, sf_dir):
+    """Answers that a normalized context lacks, by the shortest run of words that holds them."""
+    words = analysis.regex_words(F.col("text"))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", words.alias("w"), F.substring(F.array_join(words, ""), 6, 9).alias("answer"))
+    form = datasets.relocated_answer(F.col("answer"), F.lit(""), F.lit("?"), F.col("w"), F.transform("w", F.lower))
+    return rows.select("item_id", form.alias("form"))
+
+
+_SOLID = r"list_filter(range(1, length(text) + 1), lambda k: NOT regexp_matches(text[k], '[\s\x{A0}]'))"
+
+
+@query(
+    f"""WITH b AS (SELECT item_id, text, {_NO_SPACE.format('text')} AS bare, {_SOLID} AS solid FROM benchmark), a AS (SELECT *, substr(bare, 11, 20) AS answer, strpos(bare, substr(bare, 11, 20)) AS k FROM b)
+SELECT item_id, (solid[k] - 1)::INT AS start, solid[k + length(answer) - 1]::INT AS stop FROM a"""
+)
+def spaced_spans(spark, sf_dir):
+    answer = F.substring(text.drop_spaces(F.col("text")), 11, 20)
+    spaced = F.array_join(F.split(answer, ""), " ")
+    rows = read(spark, sf_dir, "benchmark").select("item_id", datasets.spaced_span(F.col("text"), spaced).alias("s"))
+    return rows.select("item_id", F.col("s.start").alias("start"), F.col("s.end").alias("stop"))
+
+
+@query(
+    f"""WITH {SENTENCES.replace("string_split(text, chr(10))", "[text]")}, {_SPANS}, n AS (SELECT doc_id, count(*) AS n FROM o GROUP BY doc_id), f AS (SELECT doc_id, n, unnest(range(0, greatest(ceil((n - 59) / 39.0), 0)::INT + 1)) AS k FROM n),
+c AS (SELECT f.doc_id, k, count(*) FILTER (WHERE stop - length(w) <= 40) - 1 AS a, count(*) FILTER (WHERE stop < 60) AS b, min(stop - length(w)) AS first, max(stop) AS last FROM f JOIN o ON o.doc_id = f.doc_id AND pos >= k * 39 AND pos < k * 39 + 59 GROUP BY f.doc_id, k)
+SELECT doc_id, k::INT AS feature_idx, CASE WHEN 40 >= first AND 60 <= last THEN a + 3 ELSE 0 END AS start_position, CASE WHEN 40 >= first AND 60 <= last THEN b + 3 ELSE 0 END AS end_position FROM c"""
+)
+def span_labels(spark, sf_dir):
+    """Characters 40 to 60 of every text as the answer: its first and last token in each overlapping chunk."""
+    found = F.transform(analysis.regex_morphemes(F.col("text")), lambda m: F.struct(m["begin"].alias("start"), m["end"].alias("end")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("what"), F.lit("?")).alias("q"), found.alias("o")).where(F.size("o") > 0)
+    out = qa.overflow_features(rows, "q", "o", "o", length=64, stride=20)
+    label = qa.span_labels(F.col("chunk_offsets"), F.lit(40), F.lit(60), shift=3)
+    return out.select("doc_id", "feature_idx", label["start_position"].cast("long").alias("start_position"), label["end_position"].cast("long").alias("end_position"))
+
+
+@query(
+    """WITH b AS (SELECT c_custkey AS id, (row_number() OVER (ORDER BY c_custkey) - 1) // 16 AS batch, c_custkey % 9 + 1 AS n FROM customer), c AS (SELECT *, max(n) OVER (PARTITION BY batch) AS most, count(*) OVER (PARTITION BY batch) AS size FROM b)
+SELECT id, batch, repeat('7', n::INT) || repeat('0', (most - n)::INT) AS ids FROM c WHERE size = 16"""
+)
+def padded_batches(spark, sf_dir):
+    """Batches of 16, the remainder dropped, padded to their longest row."""
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.array_repeat(F.lit(7), (F.col("c_custkey") % 9 + 1).cast("int")).alias("ids"))
+    return datasets.padded_batches(rows, "id", "ids", 16, drop_remainder=True).withColumn("ids", F.array_join("ids", ""))
+
+
+_PLAIN = r"list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[!-/:-@\[-`{{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '')"
+
+
+@query(
+    f"""WITH d AS (SELECT p_partkey AS id, {_PLAIN.format("'The ' || p_name || '!'")} AS a, {_PLAIN.format("CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'a red ' || p_name || ' red' END")} AS b FROM part),
+w AS (SELECT id, 'a' AS k, unnest(a) AS x FROM d UNION ALL SELECT id, 'b', unnest(b) FROM d), m AS (SELECT id, x, count(*) FILTER (WHERE k = 'a') AS p, count(*) FILTER (WHERE k = 'b') AS q FROM w GROUP BY ALL), f AS (SELECT id, sum(least(p, q)) AS same FROM m GROUP BY id)
+SELECT id, (a = b)::INT AS exact, round(CASE WHEN same = 0 THEN 0.0 ELSE 2.0 * same / (len(a) + len(b)) END, 9)::DOUBLE AS f1 FROM d JOIN f USING (id)"""
+)
+def answer_match(spark, sf_dir):
+    """Exact match and F1 of words, without case, punctuation and articles."""
+    gold, guess = F.concat(F.lit("The "), "p_name", F.lit("!")), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.concat(F.lit("a red "), "p_name", F.lit(" red")))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), metrics.exact_match(gold, guess).alias("exact"), F.round(metrics.overlap_f1(gold, guess), 9).alias("f1"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
