@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import fresh, table
+from lexiloom.llm.common import fresh, materialize, table
 
 #: A line that more than this part of a host's pages contain is boilerplate ...
 MAX_RATIO = 0.1
-#: ... if at least so many pages do: on a small host one page proves nothing.
-MIN_PAGES = 5
+#: ... if so many pages do: a line of one page alone isn't repeated, however few pages its host has.
+MIN_PAGES = 2
+#: Bytes of line digests that are broadcast to every task; beyond, rows meet them in a join, a host's dealt to SALTS tasks.
+MOST_BROADCAST = 8 << 20
+SALTS = 64
 #: Where HTML begins a new line: after these tags and at line breaks.
 BREAKS = r"(?i)</(?:p|div|li|h[1-6]|tr|title|nav|footer|header|article|section|ul|ol|script|style)>|<br ?/?>|\n"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -21,63 +24,90 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line.cast("binary")))
 
 
+def boilerplate(rows: DataFrame, page: str, host: Column, lines: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, drop): each host's boilerplate lines, as digests; hosts without any have no row.
+
+    Rows of one page id count as one page, and a page that repeats a line counts
+    once. Only digests are shuffled. A host's array is short by itself: each line is
+    on max_ratio of its pages, so there are at most (mean lines a page) / max_ratio.
+    """
+    of = rows.select(host.alias("host"), F.col(page).alias("page"), lines.alias("lines"))
+    worth = F.array_distinct(F.filter("lines", lambda x: F.trim(x) != ""))
+    seen = of.select("host", "page", F.explode(F.transform(worth, digest)).alias("line")).distinct()
+    totals = of.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")).alias("t")
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).alias("c")
+    often = counts.join(totals, F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > F.col("pages") * max_ratio)
+    return often.groupBy(F.col("c.host").alias("host")).agg(F.collect_set("line").alias("drop"))
+
+
 def drop_boilerplate(
-    rows: DataFrame, page: str, host: Column, lines: Column, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
-) -> DataFrame:
-    """Add __lines and __kept, the lines of a row before and after dedup, to rows.
-
-    `lines` gives a row's array of lines, null for a null text (whose __kept is
-    null too); blank lines are never boilerplate. Rows of one page id count as
-    one page, and a page that repeats a line counts once. Null hosts are a host
-    of their own. Extra columns pass through. A host's array of boilerplate lines
-    stays short by itself: each is on max_ratio of its pages, so there are at most
-    (mean lines a page) / max_ratio of them. The table of arrays is joined by
-    host: broadcast when its measured size allows, else by a sort-merge join
-    whose hot host adaptive execution splits.
+    rows: DataFrame, page: str, host: Column, lines: Column, names: tuple[str, str] = ("lines", "kept"),
+    max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, most_broadcast: int = MOST_BROADCAST,
+) -> DataFrame:
+    """Add two columns, called `names`, to rows: the lines of a row before and after dedup.
+
+    `lines` gives a row's array of lines, null for a null text (whose kept lines are
+    null too); blank lines are never boilerplate. Null hosts are a host of their
+    own. Rows may repeat; an empty table stays empty; extra columns pass through,
+    whatever their names, but for ones called like the two. The hosts' digests are
+    written and measured: up to most_broadcast bytes go to every task, and no text
+    is shuffled; beyond, rows meet them by host and a salt, so that no host is one task's.
     """
-    h, ls = fresh(rows, "__host"), fresh(rows, "__lines")
-    rows = rows.withColumn(h, host).withColumn(ls, lines)
-    worth = F.array_distinct(F.filter(ls, lambda x: F.trim(x) != ""))
-    seen = rows.select(F.col(h).alias("host"), F.col(page).alias("page"), F.explode(F.transform(worth, digest)).alias("line")).distinct()
-    totals = rows.select(F.col(h).alias("host"), F.col(page).alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = counts.alias("c").join(totals.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host"))).where(F.col("n") > F.col("pages") * max_ratio)
-    drops = often.groupBy(F.col("c.host").alias("__at")).agg(F.collect_set("line").alias("__drop"))
-    joined = rows.join(drops, F.col(h).eqNullSafe(F.col("__at")), "left")
-    kept = F.when(F.col("__drop").isNull(), F.col(ls)).otherwise(F.filter(ls, lambda x: ~F.array_contains(F.col("__drop"), digest(x)) | (F.trim(x) == "")))
-    return joined.withColumn("__kept", kept).withColumn("__lines", F.col(ls)).drop(h, "__at", "__drop", *([ls] if ls != "__lines" else []))
+    drops = materialize(boilerplate(rows, page, host, lines, max_ratio, min_pages), "drops")
+    size = drops.agg(F.sum(F.size("drop") * 16 + F.coalesce(F.octet_length("host"), F.lit(0)))).first()[0] or 0
+    at, salt = fresh(rows, "at"), fresh(rows, "salt")
+    mine = rows.withColumn(names[0], lines).withColumn(at, host)
+    if size <= most_broadcast:
+        there, same = F.broadcast(drops).alias("there"), F.lit(True)
+    else:
+        mine = mine.withColumn(salt, F.pmod(F.xxhash64(page, names[0]), F.lit(SALTS)))
+        there = drops.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).alias("there")
+        same = F.col(f"here.{salt}") == F.col("there.salt")
+    joined = mine.alias("here").join(there, F.col(f"here.{at}").eqNullSafe(F.col("there.host")) & same, "left")
+    own, drop = F.col(f"here.`{names[0]}`"), F.col("there.drop")
+    kept = F.when(drop.isNull(), own).otherwise(F.filter(own, lambda x: ~F.array_contains(drop, digest(x)) | (F.trim(x) == "")))
+    return joined.select(*[F.col(f"here.`{c}`") for c in rows.columns if c not in names], own.alias(names[0]), kept.alias(names[1]))
 
 
 def dedup_lines(docs: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Documents without their source's boilerplate lines; the source is the host.
 
-    Returns the columns of docs: text loses its boilerplate lines and n_chars, if
-    there, is the new length where a line went. A document may become empty; none goes.
+    Returns the columns of docs, whatever their names: text loses its boilerplate
+    lines and n_chars, if there, is the new length where a line went. A null text
+    stays null, a document may become empty, and none goes.
     """
-    rows = drop_boilerplate(docs, "doc_id", F.col("source"), F.split("text", "\n"), max_ratio, min_pages)
-    changed = F.size("__kept") < F.size("__lines")
-    rows = rows.withColumn("text", F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("text")))
+    before, after = names = fresh(docs, "lines"), fresh(docs, "kept")
+    rows = drop_boilerplate(docs, "doc_id", F.col("source"), F.split("text", "\n"), names, max_ratio, min_pages)
+    changed = F.size(after) < F.size(before)
+    rows = rows.withColumn("text", F.when(changed, F.array_join(after, "\n")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, host, n_lines, n_dropped, kept_chars, kept_sha256 of every page, host by URL, lines by HTML's line breaks."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+def page_lines(pages: DataFrame) -> DataFrame:
+    """page_id, host, n_lines, n_dropped, kept_chars, kept_sha256 of each of pages (page_id, url, html): host by URL, lines by HTML's line breaks.
+
+    A null page has no lines; a null URL is a host of its own.
+    """
     host = F.lower(F.regexp_extract("url", HOST, 1))
-    rows = drop_boilerplate(pages.withColumn("host", host), "page_id", F.col("host"), F.split("html", BREAKS))
-    kept = F.array_join("__kept", "\n")
+    rows = drop_boilerplate(pages.select("page_id", "html", host.alias("host")), "page_id", F.col("host"), F.split("html", BREAKS))
+    kept = F.array_join("kept", "\n")
     return rows.select(
         "page_id",
         "host",
-        F.coalesce(F.size("__lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__lines") - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long").alias("n_dropped"),
         F.char_length(kept).cast("long").alias("kept_chars"),
         F.sha2(kept, 256).alias("kept_sha256"),
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, n_lines, n_dropped, kept_chars, kept_sha256 of every page."""
+    return page_lines(table(spark, sf_dir, "pages"))
+
+
 SQL = {
     "op9_line_dedup": rf"""
 WITH p AS (
