@@ -13,8 +13,6 @@ from lexiloom.llm.common import WORD, fresh, ranked, table
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 SEED = 17
-#: Random offsets drawn for a source; the one whose words taken come nearest the target is used.
-DRAWS = 16
 
 
 def word_count(text: Column) -> Column:
@@ -22,14 +20,14 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Targets of sources: (source, source_size) -> (source, source_size, target, rate, starts).
+    """Targets of sources: (source, source_size) -> (source, source_size, target, rate, start).
 
     Sources in code-point order, null last, take the weights in turn and share
     the sum of all sizes. No target exceeds `most` times its source's size: with
     sources sorted by cap over weight, capped ones come first, so the common
     level of the others is the largest of (total - caps before) / (weights from
     here on). One row per source is all these windows see. `rate` is the number
-    of copies expected of each document; `starts` are random offsets in [0, 1).
+    of copies expected of each document; `start` is one random offset in [0, 1).
     """
     turn = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
@@ -44,65 +42,62 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     rows = rows.withColumn("level", left.cast("double") / F.sum("weight").over(rest))
     rows = rows.withColumn("level", F.max("level").over(every))
     rows = rows.withColumn("target", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")))
-    seeds = [F.concat(F.lit(f"{SEED}:{k}:"), F.coalesce("source", F.lit("\0"))) for k in range(DRAWS)]
-    starts = F.array(*[F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0 for x in seeds])
+    seed = F.concat(F.lit(f"{SEED}:"), F.coalesce("source", F.lit("\0")))
     return rows.select(
         "source",
         "source_size",
         "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("rate"),
-        starts.alias("starts"),
+        (F.conv(F.substring(F.md5(seed.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0).alias("start"),
     )
 
 
-def with_copies(docs: DataFrame, size: str, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """Add __source_size, __target and __copies to rows with doc_id, source and the column named by size.
+def with_copies(
+    docs: DataFrame, size: str, names: Sequence[str] = ("source_size", "target", "copies"), weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES
+) -> DataFrame:
+    """Add three columns, called `names`, to rows with doc_id, source and the column named by size: the source's size and target, and the row's copies.
 
     Within a source, rows in a fixed order are given the prefix sum of their
-    expected copies, rate * rank, plus one random offset, the best of DRAWS; a row
-    is emitted once for each integer boundary that its step crosses. The order rises through the
+    expected copies, rate * rank, plus one random offset; a row is emitted once for
+    each integer boundary that its step crosses. The order rises through the
     sizes of one half of the rows, by hash of doc_id, and falls through those of
     the other, so each stretch of equal sizes contributes its share and what the
     offset adds on the way up it takes on the way down. Rows may repeat; null and
-    empty texts have size 0; an empty table stays empty.
+    empty texts have size 0; an empty table stays empty; extra columns pass
+    through, whatever their names, but for ones called like the three.
     """
-    tie, wave = fresh(docs, "__tie"), fresh(docs, "__wave")
-    rank = fresh(docs, "__rank")
+    tie, wave = fresh(docs, "tie"), fresh(docs, "wave")
+    rank = fresh(docs, "rank")
     rows = docs.withColumn(tie, F.coalesce(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("")))
     rows = rows.withColumn(wave, F.when(F.col(tie) < "8", F.col(size) - (1 << 60)).otherwise(-F.col(size)))
     rows = ranked(rows, ["source"], [wave, tie], rank, "mix")
-    plan = source_targets(rows.groupBy("source").agg(F.sum(size).alias("source_size")), weights, most)
-    plan = plan.toDF("__of", "__source_size", "__target", "__rate", "__starts")
-
-    def copies(start: Column) -> Column:
-        step = lambda r: F.floor(start + F.col("__rate") * r)
-        return F.least(step(F.col(rank)) - step(F.col(rank) - 1), F.lit(most)).cast("long")
-
-    tried = rows.select("source", size, rank).join(plan, F.col("source").eqNullSafe(F.col("__of")))
-    off = F.array(*[F.abs(F.sum(copies(F.get("__starts", F.lit(k))) * F.col(size)) - F.first("__target")) for k in range(DRAWS)])
-    best = tried.groupBy(F.col("source").alias("__by")).agg(off.alias("__off"))
-    best = best.select("__by", (F.array_position("__off", F.array_min("__off")) - 1).cast("int").alias("__draw"))
-    plan = plan.join(best, F.col("__of").eqNullSafe(F.col("__by"))).drop("__by")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__of")))
-    copies = copies(F.get("__starts", F.col("__draw")))
-    return rows.withColumn("__copies", copies).select(*docs.columns, "__source_size", "__target", "__copies")
+    plan = source_targets(rows.groupBy("source").agg(F.sum(size).alias("source_size")), weights, most).alias("plan")
+    here = rows.alias("here")
+    joined = here.join(plan, F.col("here.source").eqNullSafe(F.col("plan.source")))
+    step = lambda r: F.floor(F.col("plan.start") + F.col("plan.rate") * r)
+    at = F.col(f"here.{rank}")
+    copies = F.least(step(at) - step(at - 1), F.lit(most)).cast("long")
+    kept = [F.col(f"here.`{c}`") for c in docs.columns if c not in names]
+    return joined.select(*kept, F.col("plan.source_size").alias(names[0]), F.col("plan.target").alias(names[1]), copies.alias(names[2]))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """The mixed corpus: each row of docs as often as the sampling emits it, with the same columns."""
-    size = fresh(docs, "__size")
-    rows = with_copies(docs.withColumn(size, word_count(F.col("text"))), size, weights, most)
-    rows = rows.where("__copies > 0").withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.select(*docs.columns)
+    """The mixed corpus: each row of docs as often as the sampling emits it, with the columns of docs, whatever their names.
+
+    Rows without words, of null or empty texts, cost nothing and are drawn like the others of their source.
+    """
+    size, copies, nth = fresh(docs, "size"), fresh(docs, "copies"), fresh(docs, "nth")
+    names = (fresh(docs, "source_size"), fresh(docs, "target"), copies)
+    rows = with_copies(docs.withColumn(size, word_count(F.col("text"))), size, names, weights, most).where(F.col(copies) > 0)
+    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document."""
     docs = table(spark, sf_dir, "documents")
     rows = with_copies(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "size")
-    return rows.select(
-        "doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("size")).alias("taken")
-    )
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 _SIZED = """
@@ -123,19 +118,15 @@ sized AS (
   FROM (SELECT *, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS tie FROM sized)
 ), rates AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM targets
-), draws AS (
-  SELECT rates.*, k, ('0x' || substr(md5('17:' || k || ':' || coalesce(source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM rates, range(16) t(k)
-), tried AS (
-  SELECT doc_id, size, source_size, target, k, r, draws.source,
-    CAST(least(floor(start + rate * r) - floor(start + rate * (r - 1)), 3) AS BIGINT) * size AS taken
-  FROM ranks JOIN draws ON ranks.source IS NOT DISTINCT FROM draws.source
-), offs AS (SELECT source, k, abs(sum(taken)::DOUBLE - any_value(target)) AS off FROM tried GROUP BY source, k),
-best AS (SELECT source, k FROM offs QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+), starts AS (
+  SELECT *, ('0x' || substr(md5('17:' || coalesce(source, chr(0))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS start FROM rates
+)
 """
 
 SQL = {
     "op1_mixing": f"""
 WITH {_SIZED}
-SELECT doc_id, size, source_size, target, taken FROM tried JOIN best ON tried.source IS NOT DISTINCT FROM best.source AND tried.k = best.k
+SELECT doc_id, size, source_size, target, CAST(least(floor(start + rate * r) - floor(start + rate * (r - 1)), 3) AS BIGINT) * size AS taken
+FROM ranks JOIN starts ON ranks.source IS NOT DISTINCT FROM starts.source
 """
 }

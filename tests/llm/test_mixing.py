@@ -3,40 +3,34 @@ from collections import Counter
 import pytest
 
 from lexiloom.llm import mixing
-
-
-def filled(sizes, weights, most):
-    """Targets by repeated resharing."""
-    names = sorted([s for s in sizes if s is not None]) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    capped, total = {}, sum(sizes.values())
-    while True:
-        free = [s for s in names if s not in capped]
-        left = total - sum(capped.values())
-        share = {s: left * weight[s] / sum(weight[f] for f in free) for s in free}
-        over = {s: most * sizes[s] for s in free if share[s] > most * sizes[s]}
-        if not over:
-            return capped | share
-        capped |= over
+from tests.llm import brute
 
 
 def test_targets(spark):
     sizes = {"a": 10, "b": 1000, "c": 50, "d": 1, "e": 300, None: 7, "zero": 0}
     rows = mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
-    want = filled(sizes, mixing.WEIGHTS, 3)
+    want = brute.targets(sizes)
     assert {r.source: pytest.approx(r.target) for r in rows} == want
     assert sum(r.target for r in rows) == pytest.approx(sum(sizes.values()))
 
 
 def test_mix_of_odd_rows(spark, odd, odd_rows):
-    size = mixing.fresh(odd, "__size")
-    rows = mixing.with_copies(odd.withColumn(size, mixing.word_count(odd.text)), size).collect()
+    size = mixing.fresh(odd, "size")
+    rows = mixing.with_copies(odd.withColumn(size, mixing.word_count(odd.text)), size, ("a_size", "a_target", "a_copies")).collect()
     assert len(rows) == len(odd_rows)
-    assert all(0 <= x["__copies"] <= 3 for x in rows)
-    assert all(x["__copies"] * x[size] <= 3 * x[size] for x in rows)
+    assert all(0 <= x.a_copies <= 3 for x in rows)
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
-    assert mixed.count() == sum(x["__copies"] for x in rows) == mixing.mix(odd).count()
+    assert mixed.count() == sum(x.a_copies for x in rows) == mixing.mix(odd).count()
+
+
+def test_copies_follow_the_prefix_sums(spark, sf):
+    """The query against a walk over each source's documents: one offset, one copy for each integer boundary."""
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    copies, words, sizes, target = brute.mixed_copies(docs)
+    got = mixing.op1_mixing(spark, sf).collect()
+    assert {r.doc_id: (r["size"], r.source_size, r.taken) for r in got} == {d: (words[d], sizes[s], copies[d] * words[d]) for d, _, s in docs}
+    assert {r.doc_id: pytest.approx(r.target) for r in got} == {d: target[s] for d, _, s in docs}
 
 
 def test_taken_words_come_near_the_target(spark):
@@ -45,8 +39,8 @@ def test_taken_words_come_near_the_target(spark):
     got = mixing.with_copies(docs.withColumn("size", mixing.word_count(docs.text)), "size").collect()
     taken, target = Counter(), {}
     for r in got:
-        taken[r.source] += r["__copies"] * r["size"]
-        target[r.source] = r["__target"]
+        taken[r.source] += r.copies * r["size"]
+        target[r.source] = r.target
     assert all(abs(taken[s] - target[s]) < 2 * 37 for s in target)
 
 
