@@ -58,3 +58,61 @@ def test_query_of_every_document(spark, sf):
         padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest())
         assert r.tail_crc32 == zlib.crc32(padded[-64:])
+
+
+def live(clusters, payload=b"x" * 20):
+    """A live file: a segment and clusters of unknown size, some with a tag after them."""
+    unknown = b"\x01\xff\xff\xff\xff\xff\xff\xff"
+    body = media.TRACK_LIST
+    for i in range(clusters):
+        body += media.CLUSTER.to_bytes(4, "big") + unknown + media.number(media.CLUSTER_TIME, i) + media.simple_block([payload], 0, 0)
+        body += media.element(0x1254C367, b"") if i % 3 == 0 else b""
+    return media.HEADER + media.SEGMENT.to_bytes(4, "big") + unknown + body
+
+
+def test_live_files():
+    found = media.read_matroska(live(2000))
+    assert len(found["clusters"]) == len(found["packets"]) == 2000 and [p[2] for p in found["packets"]] == list(range(2000))
+
+
+def test_cues_lead_to_clusters_by_position():
+    data = media.write_matroska(b"y" * 40000)
+    found = media.read_matroska(data)
+    assert media.cued_clusters(found) == set(range(len(found["clusters"]))) and "cues=3" in media.feature(data, found)
+    for cue in found["cues"]:
+        cue[media.CUE_CLUSTER] += 1
+    assert media.cued_clusters(found) == set() and "cues=0" in media.feature(data, found)
+
+
+def test_broken_files_raise_value_errors_alone():
+    r = random.Random(11)
+    whole = [media.write_matroska(r.randbytes(n)) for n in (64, 5000, 9000)] + [live(20)]
+    frames = [bytes([i]) * n for i, n in enumerate((500, 20, 700, 3))]
+    whole.append(media.HEADER + media.element(media.SEGMENT, media.element(media.CLUSTER, media.number(media.CLUSTER_TIME, 1) + media.simple_block(frames, 0, 3) + media.simple_block(frames, 0, 1))))
+    for i in range(10_000):
+        data = bytearray(r.choice(whole))
+        for _ in range(r.randint(1, 6)):
+            k = r.randrange(min(len(data), 400)) if r.random() < 0.7 else r.randrange(len(data))
+            data[k] = r.choice((0, 255, 127, 128, r.randrange(256)))
+        if r.random() < 0.2:
+            del data[r.randrange(len(data)) :]
+        try:
+            found = media.read_matroska(bytes(data))
+            assert all(p[0] < 1 << 31 and p[2] < 1 << 63 for p in found["packets"])
+        except ValueError:
+            pass
+    bad = media.to_vint(1) + b"\x00\x00" + bytes([128 | 3 << 1]) + b"\x02" + b"\xff" + b"\x81" + b"zz"  # an EBML lace whose first size is unknown
+    with pytest.raises(ValueError):
+        media.read_matroska(media.HEADER + media.element(media.SEGMENT, media.element(media.CLUSTER, media.number(media.CLUSTER_TIME, 1) + media.element(media.SIMPLE_BLOCK, bad))))
+
+
+def test_odd_and_empty_tables(spark, odd, odd_rows, none):
+    got = media.media_digests(odd).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in got) == sorted((str(x[0]), len((x[1] or "").encode())) for x in odd_rows)
+    empties = [r for r in got if not r.n_bytes]
+    assert len({tuple(r)[1:] for r in empties}) == 1 and empties[0].payload_bytes == 64 and empties[0].tail_crc32 == zlib.crc32(bytes(64))
+    assert media.media_digests(none).count() == 0
+    files = spark.createDataFrame([(None, None), (None, live(3)), (7, b""), (7, b"")], "error long, timestamp binary")
+    packets = media.media_packets(files.toDF("key", "file"), "key", "file").collect()
+    assert len(packets) == 5 and sum(r.error is not None for r in packets) == 2 and not any(r.cued for r in packets)
+    assert media.media_packets(files.toDF("key", "file").limit(0), "key", "file").count() == 0
