@@ -1,8 +1,8 @@
 """Operator 5: secret scans with a trigram inverted index, in DataFrame functions only.
 
 Each rule's pattern is read once, on the driver, for the trigrams that any match must
-hold: a set of alternatives, each a set of trigrams. The index has a posting
-(trigram, text) for every trigram that some rule asks for. Postings are intersected
+hold: a set of alternatives, each a set of trigrams. The index, which may be stored,
+has a posting (trigram, text) for every trigram that some rule asks for. Postings are intersected
 by counting, per alternative, how many of its trigrams a text has; texts with all of
 them are candidates and alone are matched against the rule. Rules without mandatory
 trigrams are matched against every text.
@@ -10,8 +10,6 @@ trigrams are matched against every text.
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser as parser
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import product
@@ -19,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import table
+from lexiloom.llm.common import fresh, materialize, table
 
 
 def either_case(word: str) -> str:
@@ -52,47 +50,99 @@ ADDED = (
 )
 RULES = BASE + ADDED
 
-_MOST = 64
-
-
-def _exact(items: list, limit: int = _MOST) -> list[tuple[set[str] | None, bool]]:
-    """Runs of a pattern: a set of lower-cased strings that the run must be one of, or None where anything may stand."""
-    out: list[tuple[set[str] | None, bool]] = []
-    for op, arg in items:
-        if op is sre.LITERAL:
-            out.append(({chr(arg).lower()}, True))
-        elif op is sre.IN:
-            chars: set[str] = set()
-            for kind, value in arg:
-                if kind is sre.LITERAL:
-                    chars.add(chr(value).lower())
-                elif kind is sre.RANGE and value[1] - value[0] < limit:
-                    chars |= {chr(c).lower() for c in range(value[0], value[1] + 1)}
-                else:
-                    chars = set()
-                    break
-            out.append((chars, True) if 0 < len(chars) <= 8 else (None, True))
-        elif op is sre.SUBPATTERN:
-            out += _exact(list(arg[3]), limit)
-        elif op is sre.BRANCH:
-            whole: set[str] | None = set()
-            for branch in arg[1]:
-                strings = _strings(_exact(list(branch), limit), limit)
-                whole = None if whole is None or strings is None else whole | strings
-            out.append((whole, True))
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and tuple(arg[:2]) == (0, 1):
-            inner = _strings(_exact(list(arg[2]), limit), limit)
-            out.append((None if inner is None else inner | {""}, True))
-        else:
-            out.append((None, True))
-    return out
-
-
-def _strings(runs: list[tuple[set[str] | None, bool]], limit: int = _MOST) -> set[str] | None:
+#: Strings, and characters of a class, that are spelled out at most.
+_MOST, _MOST_CHARACTERS = 64, 8
+
+Run = set[str] | None  # the lower-cased strings that a part of a pattern must be one of, or None where much may stand
+
+
+class Pattern:
+    """Reads the parts of a pattern: literals, classes, groups, alternatives and repeats, as any dialect has them."""
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern, 0
+        self.runs = self.alternatives()
+        if self.at < len(pattern):
+            raise ValueError(f"unmatched parenthesis in {pattern!r}")
+
+    def alternatives(self) -> list[Run]:
+        branches = [self.sequence()]
+        while self.take("|"):
+            branches.append(self.sequence())
+        if len(branches) == 1:
+            return branches[0]
+        whole = [product_of(x) for x in branches]
+        return [None if None in whole else set().union(*whole)]
+
+    def sequence(self) -> list[Run]:
+        out: list[Run] = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            part = self.atom()
+            if self.take("?"):
+                strings = product_of(part)
+                part = [None if strings is None else strings | {""}]
+            elif self.text[self.at : self.at + 1] in ("*", "+", "{"):
+                self.at = self.text.index("}", self.at) + 1 if self.text[self.at] == "{" else self.at + 1
+                part = [None]
+            out += part
+        return out
+
+    def atom(self) -> list[Run]:
+        if self.take("("):
+            self.take("?:")
+            part = self.alternatives()
+            if not self.take(")"):
+                raise ValueError(f"unclosed group in {self.text!r}")
+            return part
+        if self.take("["):
+            return [self.characters()]
+        if self.take("."):
+            return [None]
+        c = self.character()
+        return [None if c is None else {c.lower()}]
+
+    def character(self) -> str | None:
+        """A literal character; None for a class like \\d."""
+        c = self.text[self.at]
+        self.at += 1
+        if c != "\\":
+            return c
+        c = self.text[self.at]
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return chr(int(self.text[self.at - 2 : self.at], 16))
+        return None if c.isalnum() else c
+
+    def characters(self) -> Run:
+        """A class's characters, if they are few."""
+        found: set[str] = set()
+        open_ = self.take("^")
+        first = True
+        while first or self.text[self.at] != "]":
+            low, first = self.character(), False
+            high = low
+            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+                self.at += 1
+                high = self.character()
+            if low is None or high is None:
+                open_ = True
+            else:
+                found |= {chr(c).lower() for c in range(ord(low), min(ord(high), ord(low) + 2 * _MOST_CHARACTERS) + 1)}
+        self.at += 1
+        return None if open_ or len(found) > _MOST_CHARACTERS else found
+
+    def take(self, text: str) -> bool:
+        there = self.text.startswith(text, self.at)
+        self.at += len(text) if there else 0
+        return there
+
+
+def product_of(runs: list[Run]) -> Run:
     """All the strings of a sequence of runs, None if one is open or there are too many."""
     found = {""}
-    for strings, _ in runs:
-        if strings is None or len(found) * len(strings) > limit:
+    for strings in runs:
+        if strings is None or len(found) * len(strings) > _MOST:
             return None
         found = {a + b for a, b in product(found, strings)}
     return found
@@ -113,7 +163,7 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
         if all(sets) and (not best or min(map(len, sets)) > min(map(len, best))):
             best = sorted({a for a in sets if not any(b < a for b in sets)}, key=sorted)
 
-    for strings, _ in _exact(list(parser.parse(pattern))):
+    for strings in Pattern(pattern).runs:
         if strings is not None and len(joined) * len(strings) <= _MOST:
             joined = {a + b for a, b in product(joined, strings)}
         else:
@@ -123,29 +173,32 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return best
 
 
-def candidates(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
-    """(key, text) -> (key, rules): which rules' queries a text's postings satisfy; None if no rule has a query.
-
-    Postings of equal keys merge, which can only add candidates.
-    """
-    queries = {r.kind: trigram_query(r.pattern) for r in rules}
-    grams = sorted({g for q in queries.values() for s in q for g in s})
+def postings(keyed: DataFrame, rules: Sequence[Rule]) -> DataFrame | None:
+    """(key, text) -> (key, trigram): the index, of the trigrams that the rules ask for; None if they ask for none. It can be written and used again."""
+    grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for g in clause})
     if not grams:
         return None
     lowered = keyed.select("key", F.lower("text").alias("text"))
     holds = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(g)), F.lit(g)) for g in grams]))
-    postings = lowered.select("key", F.explode(holds).alias("trigram"))
+    return lowered.select("key", F.explode(holds).alias("trigram"))
+
+
+def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(key, trigram) -> (key, kinds): which rules' queries a text's postings satisfy.
+
+    Postings of equal keys merge, which can only add candidates.
+    """
     asked = [
-        F.struct(F.lit(k).alias("kind"), F.lit(f"{k}{i}").alias("clause"), F.lit(g).alias("trigram"), F.lit(len(s)).alias("needed"))
-        for k, q in queries.items()
-        for i, s in enumerate(q)
-        for g in sorted(s)
+        F.struct(F.lit(r.kind).alias("kind"), F.lit(f"{r.kind}{i}").alias("clause"), F.lit(g).alias("trigram"), F.lit(len(clause)).alias("needed"))
+        for r in rules
+        for i, clause in enumerate(trigram_query(r.pattern))
+        for g in sorted(clause)
     ]
-    clauses = keyed.sparkSession.range(1).select(F.inline(F.array(*asked)))  # as many rows as the rules ask for
-    met = postings.join(F.broadcast(clauses), "trigram").groupBy("key", "clause").agg(
+    clauses = index.sparkSession.range(1).select(F.inline(F.array(*asked)))  # as many rows as the rules ask for
+    met = index.join(F.broadcast(clauses), "trigram").groupBy("key", "clause").agg(
         F.count_distinct("trigram").alias("have"), F.first("needed").alias("needed"), F.first("kind").alias("kind")
     )
-    return met.where("have = needed").groupBy("key").agg(F.collect_set("kind").alias("__kinds"))
+    return met.where("have = needed").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def spans_of(text: Column, rule: Rule) -> Column:
@@ -177,29 +230,42 @@ def _named(rank: int, kind: str) -> Callable[[Column], Column]:
     return lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind"))
 
 
-def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
-    """docs with __spans, array<struct<start, rank, end, kind>> sorted by start, then by the order of the rules; needs doc_id and text.
+def key_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """What stands for a row in the index: a hash of its id and text."""
+    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")))
+
+
+def indexed(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame | None:
+    """The index of docs (doc_id, text)."""
+    return postings(docs.select(key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text")), rules)
+
+
+def find_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, name: str = "spans", index: DataFrame | None = None) -> DataFrame:
+    """docs with a column `name`, array<struct<start, rank, end, kind>> sorted by start, then by the order of the rules; needs doc_id and text.
 
-    A null text counts as empty. Rows may repeat, ids may be null. The key that
-    candidates go by is a hash of id and text: rows that share one share
-    candidates, and every candidate is verified on its own text. Texts cross one
-    shuffle, to meet their candidates; hot keys are identical rows, which the
-    join's skew handling splits.
+    A null text counts as empty. Rows may repeat, ids may be null; an empty table
+    stays empty; extra columns pass through, whatever their names, but for one
+    called `name`. The key that candidates go by is a hash of id and text: rows that
+    share one share candidates, and every candidate is verified on its own text.
+    Texts cross one shuffle, to meet their candidates; hot keys are identical rows,
+    which the join's skew handling splits. index is what indexed() gave for the
+    same docs and rules, if it is at hand.
     """
-    keyed = docs.withColumn("__text", F.coalesce("text", F.lit(""))).withColumn("__key", F.xxhash64("doc_id", "__text"))
-    found = candidates(keyed.select(F.col("__key").alias("key"), F.col("__text").alias("text")), rules)
-    if found is None:
-        keyed = keyed.withColumn("__kinds", F.array().cast("array<string>"))
-    else:
-        keyed = keyed.join(found, F.col("__key") == F.col("key"), "left").drop("key")
+    text, key = fresh(docs, "whole"), fresh(docs, "key")
+    keyed = docs.withColumn(text, F.coalesce("text", F.lit(""))).withColumn(key, key_of()).alias("here")
+    index = indexed(docs, rules) if index is None else index
+    whole, kinds = F.col(f"here.{text}"), F.array().cast("array<string>")
+    if index is not None:
+        found = candidates(index, rules).alias("there")
+        keyed, kinds = keyed.join(found, F.col(f"here.{key}") == F.col("there.key"), "left"), F.col("there.kinds")
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     parts = []
     for rank, rule in enumerate(rules):
-        spans = F.transform(spans_of(F.col("__text"), tight(rule)), _named(rank, rule.kind))
+        spans = F.transform(spans_of(whole, tight(rule)), _named(rank, rule.kind))
         if trigram_query(rule.pattern):
-            spans = F.when(F.coalesce(F.array_contains("__kinds", rule.kind), F.lit(False)), spans).otherwise(none)
+            spans = F.when(F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)), spans).otherwise(none)
         parts.append(spans)
-    return keyed.withColumn("__spans", F.array_sort(F.concat(*parts))).drop("__text", "__key", "__kinds")
+    return keyed.select(*[F.col(f"here.`{c}`") for c in docs.columns if c != name], F.array_sort(F.concat(*parts)).alias(name))
 
 
 def spelled(spans: Column) -> Column:
@@ -208,10 +274,11 @@ def spelled(spans: Column) -> Column:
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document."""
-    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda kind: F.size(F.filter("__spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("__spans", lambda s: s["rank"] < len(BASE))
-    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("__spans")).alias("spans"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, index=materialize(indexed(docs), "postings"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+    return found.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
 
 
 def _sql_spans(rule: Rule, rank: int) -> str:

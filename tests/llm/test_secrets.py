@@ -15,7 +15,7 @@ def test_spans_by_brute_force(spark):
         want = []
         for rank, rule in enumerate(secrets.RULES):
             want += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern, g.text or "") if len(m.group(rule.group)) >= rule.least]
-        assert [tuple(s) for s in g["__spans"]] == sorted(want)
+        assert [tuple(s) for s in g.spans] == sorted(want)
 
 
 def test_queries_are_mandatory():
@@ -36,6 +36,12 @@ def test_no_python_in_the_plan(spark, sf):
 
 
 def test_odd_rows(odd, odd_rows, none):
-    got = secrets.find_secrets(odd)
-    assert got.columns == [*odd.columns, "__spans"] and got.count() == len(odd_rows)
+    got = secrets.find_secrets(odd, name="found")
+    assert got.columns == [*odd.columns, "found"] and got.count() == len(odd_rows)
     assert secrets.find_secrets(none).count() == 0
+
+
+def test_pattern_parts():
+    assert secrets.Pattern("a(b|cd)?[xy]\\x20").runs == [{"a"}, {"b", "cd", ""}, {"x", "y"}, {" "}]
+    assert secrets.Pattern("[a-z]\\d.[^a][A-]k{2,}").runs == [None, None, None, None, {"a", "-"}, None]
+    assert secrets.Pattern("[]x](?:q)").runs == [{"]", "x"}, {"q"}]
