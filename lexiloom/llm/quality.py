@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiloom.llm.common import fresh, materialize, table
+from lexiloom.llm.common import discard, fresh, in_slices, materialize, table, thrifty
 
 FEATURES = (
     "word_length", "long_words", "upper", "digits", "symbols", "pipes", "exclamations", "commas", "stops",
@@ -148,11 +148,11 @@ def described(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "text"):
             rows = pa.array([x.tobytes() for x in vectors(batch, "text")], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], ["doc_id", "statistics"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, statistics binary")
+    return docs.select("doc_id", "text").mapInArrow(thrifty(run), f"doc_id {kind}, statistics binary")
 
 
 def unpacked(column: pa.Array) -> np.ndarray:
@@ -166,8 +166,8 @@ def train(described: DataFrame, labels: DataFrame) -> Discriminant | float:
     are neither 0 nor 1, aren't used. Labels meet statistics, not texts, in a join;
     tasks return one row of sums a class.
     """
-    wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("quality")).distinct()
-    rows = described.where(in_training()).join(wanted, F.col("doc_id") == F.col("__id")).select("statistics", "quality")
+    wanted = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
+    rows = described.where(in_training()).join(wanted, F.col("doc_id") == F.col("id")).select("statistics", "quality")
     dims = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +182,7 @@ def train(described: DataFrame, labels: DataFrame) -> Discriminant | float:
             flat = [[s[0], *s[1], *s[2].ravel()] for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(flat, pa.list_(pa.float64()))], ["quality", "sums"])
 
-    parts = rows.mapInArrow(run, "quality int, sums array<double>")
+    parts = rows.mapInArrow(thrifty(run), "quality int, sums array<double>")
     width = 1 + dims + dims * dims
     summed = parts.groupBy("quality").agg(F.array(*[F.sum(F.col("sums")[i]) for i in range(width)]).alias("sums"))
     found = {}
@@ -192,25 +192,36 @@ def train(described: DataFrame, labels: DataFrame) -> Discriminant | float:
     return fitted(found, dims)
 
 
-def score(rows: DataFrame, model: Discriminant | float, name: str = "__score", ready: bool = False) -> DataFrame:
-    """rows with a score column, from their text or, if ready, from the statistics that described() gives. Null and empty texts are scored as empty."""
+def score(rows: DataFrame, model: Discriminant | float, name: str = "score", ready: bool = False) -> DataFrame:
+    """rows with a score column, from their text or, if ready, from the statistics that described() gives.
+
+    Null and empty texts are scored as empty; rows may repeat; an empty table stays
+    empty; extra columns pass through, but for one called `name`.
+    """
     schema = StructType([*rows.schema.fields, StructField(name, DoubleType())])
     columns = [*rows.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches, "statistics" if ready else "text"):
             x = unpacked(batch.column("statistics")) if ready else vectors(batch, "text")
             got = np.full(len(x), model) if isinstance(model, float) else model.score(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], columns)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(thrifty(run), schema)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
-    """The documents that the classifier doesn't reject; learnt from their labels."""
-    name = fresh(docs, "__score")
-    model = train(described(docs), table(spark, sf_dir, "labels"))
-    return score(docs, model, name).where(F.col(name) >= threshold).drop(name)
+    """The documents that the classifier doesn't reject, with the columns of docs; learnt from their labels.
+
+    Statistics for the training are written first, so that no task runs two Python
+    stages, each with a worker of its own, at once. Rows that repeat stay or go
+    together; null and empty texts are scored as empty; an empty table stays empty.
+    """
+    name = fresh(docs, "score")
+    rows = materialize(described(docs), "statistics")
+    model = train(rows, table(spark, sf_dir, "labels"))
+    discard(rows)
+    return score(docs, model, name).where(F.col(name) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,3 +79,76 @@ def test_every_text_has_a_feature():
     assert fp.likeness(a, b) < 0.1
     turned = fp.filters(fp.features(("yzx" * 200).encode(), RANKS))
     assert fp.likeness(b, turned) == 1.0
+
+
+def brute_features(data, ranks):
+    if len(data) < fp.WINDOW:
+        return [data] if data else []
+    level = ranks[fp.entropy_levels(np.frombuffer(data, np.uint8))].tolist()
+    width = min(fp.NEIGHBOURS, len(level))
+    marks = Counter(min(range(a, a + width), key=lambda i: (level[i], i)) for a in range(len(level) - width + 1))
+    least = min(fp.MARKS, len(level) - width + 1, max(marks.values()))
+    return [data[i : i + fp.WINDOW] for i in sorted(marks) if marks[i] >= least]
+
+
+def brute_chain(found):
+    """Sets of bits, a filter each."""
+    found = list(dict.fromkeys(found))
+    bits = lambda x: [int.from_bytes(hashlib.sha1(x).digest()[4 * i : 4 * i + 4], "big") % fp.BITS for i in range(fp.HASHES)]
+    return [{b for x in found[i : i + fp.PER_FILTER] for b in bits(x)} for i in range(0, len(found), fp.PER_FILTER)]
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    best = []
+    for x in a:
+        chance = [len(x) * len(y) / fp.BITS for y in b]
+        best.append(max(min(1, max(0, (len(x & y) - c) / (min(len(x), len(y)) - c))) for y, c in zip(b, chance)))
+    return sum(best) / len(best)
+
+
+def brute_rows(rows):
+    """What the query gives for (doc_id, text) in their order, each followed by the next."""
+    counts = Counter()
+    for _, text in rows:
+        if len(text.encode()) >= fp.WINDOW:
+            counts.update(fp.entropy_levels(np.frombuffer(text.encode(), np.uint8)).tolist())
+    ranks = np.zeros(fp.LEVELS, np.int64)
+    ranks[sorted(range(fp.LEVELS), key=lambda k: (counts[k], k))] = range(fp.LEVELS)
+    spelled = lambda chain: fp.encoded(np.array([np.packbits(np.isin(np.arange(fp.BITS), list(x))) for x in chain], np.uint8).reshape(-1, fp.BITS // 8))
+    chains = [brute_chain(brute_features(t.encode(), ranks)) for _, t in rows]
+    out = []
+    for i, (d, text) in enumerate(rows):
+        j, half = (i + 1) % len(rows), len(text) // 2
+        edited = (text[: len(text) - half] + rows[j][1][:half]).encode()
+        new = brute_chain(brute_features(edited, ranks))
+        out.append((d, len(text), hashlib.sha256(edited).hexdigest(), spelled(chains[i]), spelled(new), round(brute_likeness(chains[i], new), 4), round(brute_likeness(chains[i], chains[j]), 4)))
+    return out
+
+
+def as_rows(df):
+    return [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 4), round(r.near_next, 4)) for r in df.collect()]
+
+
+def test_query_by_a_walk(spark, sf, monkeypatch):
+    monkeypatch.setattr(fp, "PER_RANGE", 30)
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
+    assert sorted(as_rows(fp.op4_fingerprints(spark, sf))) == brute_rows(rows)
+
+
+def test_query_of_odd_tables(spark, odd, odd_rows, none):
+    """Repeated ids in the order of their texts; a null id comes last of all, and nothing follows it."""
+    got = as_rows(fp.fingerprints_with_edits(odd))
+    known = sorted((r[0], r[1] or "") for r in odd_rows if r[0] is not None)
+    assert len(got) == len(odd_rows)
+    assert sorted((g[0], g[1]) for g in got if g[0] is not None) == [(d, len(t)) for d, t in known]
+    after = {}
+    for (d, t), (_, n) in zip(known, known[1:]):
+        half = len(t) // 2
+        after.setdefault(d, set()).add(hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest())
+    assert all(g[2] in after[g[0]] for g in got if g[0] is not None and g[0] != known[-1][0])
+    assert fp.fingerprints_with_edits(none).count() == 0

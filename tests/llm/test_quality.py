@@ -1,3 +1,4 @@
+import zlib
 import numpy as np
 
 from lexiloom.llm import quality
@@ -37,3 +38,24 @@ def test_statistics_are_finite():
     for text in ("", " ", "\n\n", "a", "***", prose(1, 3000), "é" * 5000):
         assert np.isfinite(quality.statistics(text.encode())).all()
     assert len(quality.statistics(b"")) == len(quality.FEATURES)
+
+
+def test_query_by_the_textbook_formula(spark, sf):
+    from tests.llm import brute
+
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want = brute.quality_scores(docs, {(r.doc_id, r.quality) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()})
+    got = quality.op3_quality(spark, sf).collect()
+    assert len(got) == len(docs) and all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+    assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+
+
+def test_query_of_odd_and_empty_tables(spark, odd, odd_rows, none, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (9, 1, 0), (10, 0, 0), (8, 0, 1), (11, 0, 0), (3, 1, 0), (None, 1, 0), (12, 7, 0)], "doc_id long, quality int, toxic int")
+    for name, docs, marks in (("odd", odd, labels), ("unmarked", odd, labels.limit(0)), ("none", none, labels)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        marks.write.parquet(str(tmp_path / name / "labels.parquet"))
+        got = quality.op3_quality(spark, str(tmp_path / name)).collect()
+        assert len(got) == (0 if name == "none" else len(odd_rows)) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+        kept = quality.keep_good(spark, docs, str(tmp_path / name))
+        assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)

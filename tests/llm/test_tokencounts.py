@@ -34,3 +34,14 @@ def test_odd_rows(odd, odd_rows, none):
     want = [(r[0], len((r[1] or "").encode()), pieces.counts([r[1] or ""])[0]) for r in odd_rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert tokencounts.token_counts(none, PATH).count() == 0
+
+
+def test_query_of_every_document(spark, sf, none):
+    import public_tokenizers
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(tokencounts.MODEL))
+    want = {r.doc_id: (len((r.text or "").encode()), len(model.encode(r.text or ""))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = tokencounts.op7_token_counts(spark, sf).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_tokens) for r in got} == want and all(r.over_limit == (r.n_tokens > 4096) for r in got)
+    assert tokencounts.token_counts(none, public_tokenizers.path(tokencounts.MODEL)).count() == 0
