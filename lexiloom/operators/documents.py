@@ -41,7 +41,7 @@ def split_sentences(s: Column) -> Column:
 
 def article_lines(article: Column, splitter: Callable[[Column], Column] = split_sentences) -> Column:
     """Lines of a raw corpus: the article's marker, then for each paragraph its marker and the sentences of its parts; empty sentences go."""
-    one = lambda p: F.concat(F.array(F.lit(PARAGRAPH)), F.filter(F.flatten(F.transform(p, splitter)), lambda x: x != ""))
+    one = lambda p: F.concat(F.array(F.lit(PARAGRAPH)), F.filter(F.flatten(F.transform(p, lambda x: splitter(x))), lambda x: x != ""))
     return F.concat(F.array(F.lit(ARTICLE)), F.flatten(F.transform(article_paragraphs(article), one)))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from lexiloom.functions import encoding, morphology, text
 from lexiloom.operators import analysis, datasets, documents, metrics, qa, tokenizer, vocab
-from lexiloom.storage import materialize
+from lexiloom.sources import readers, sinks
+from lexiloom.storage import checkpoint_dir, materialize
 
 #: A harmless list for the word filters.
 LISTED = ("stupid", "worthless", "pathetic")
@@ -315,12 +317,29 @@ def split_range(spark, sf_dir):
 
 @query("SELECT conv_id, count(*) AS n, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS digest FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def conversation_docs(spark, sf_dir):
-    from lexiloom.sources.readers import conversations
-
-    rows = conversations(read(spark, sf_dir, "conversations").where("text IS NOT NULL"))
+    rows = readers.conversations(read(spark, sf_dir, "conversations").where("text IS NOT NULL"))
     return rows.select("conv_id", F.size("sentences").cast("long").alias("n"), F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"))
 
 
+#: Tokens of the made contexts are so wide, and spell their places.
+WIDTH = 8
+
+
+def nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logits = F.transform("embedding", lambda x: x.cast("double"))
+    n = F.size("embedding")
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i > 0, F.struct((i * WIDTH).alias("start"), ((i + 1) * WIDTH).alias("end"))))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("feature_idx"), logits.alias("start_logits"), F.reverse(logits).alias("end_logits"), places.alias("offsets"), n.alias("n"))
+    context = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lpad(i.cast("string"), WIDTH, " ")), "")
+    return qa.answers(rows.drop("n"), rows.select("id", context.alias("context")))
+
+
+def token_range(chosen: Column) -> Column:
+    """An answer's text as its first and last token's places."""
+    first, last = F.trim(F.substring(chosen, 1, WIDTH)), F.trim(F.right(chosen, F.lit(WIDTH)))
+    return F.when(chosen == "", "").otherwise(F.concat(first, F.lit("-"), last))
+
+
 @query(
     """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT vec_id, v, len(v) AS n FROM e),
@@ -332,15 +351,7 @@ SELECT vec_id AS id, CASE WHEN b IS NULL OR v[1] + v[n] - b.score > 0 THEN '' EL
 """
 )
 def qa_nbest(spark, sf_dir):
-    logits = F.transform("embedding", lambda x: x.cast("double"))
-    n = F.size("embedding")
-    width = 8  # every token is a piece of the context so wide that its text tells its place
-    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i > 0, F.struct((i * width).alias("start"), ((i + 1) * width).alias("end"))))
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.lit(0).alias("feature_idx"), logits.alias("start_logits"), F.reverse(logits).alias("end_logits"), places.alias("offsets"), n.alias("n"))
-    context = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.lpad(i.cast("string"), width, " ")), "")
-    found = qa.answers(rows.drop("n"), rows.select("id", context.alias("context")))
-    first, last = F.trim(F.substring("chosen", 1, width)), F.trim(F.expr(f"right(chosen, {width})"))
-    return found.select("id", F.when(F.col("chosen") == "", "").otherwise(F.concat(first, F.lit("-"), last)).alias("chosen")).distinct()
+    return nbest(spark, sf_dir).select("id", token_range(F.col("chosen")).alias("chosen")).distinct()
 
 
 _PREDICTED = "p AS (SELECT l.doc_id, l.quality AS label, CASE WHEN regexp_matches(text, '[|!*]') THEN 0 ELSE 1 END AS prediction, source AS setting, CASE WHEN doc_id % 2 = 0 THEN 'Dev' ELSE 'Test' END AS stage FROM labels l JOIN documents USING (doc_id))"
@@ -813,6 +824,154 @@ def answer_match(spark, sf_dir):
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), metrics.exact_match(gold, guess).alias("exact"), F.round(metrics.overlap_f1(gold, guess), 9).alias("f1"))
 
 
+# -- files: written to the shared folder, and read back ------------------------------
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/lexiloom/files-{uuid.uuid4().hex}"
+
+
+_STRIPPED = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\A[\s\x{A0}]+|[\s\x{A0}]+\z', '', 'g')), lambda x: x <> '')"
+
+
+def stripped_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: text.strip(x)), lambda x: x != "")
+    return read(spark, sf_dir, "documents").select("doc_id", lines.alias("sentences")).where(F.size("sentences") > 0)
+
+
+@query(f"SELECT md5(array_to_string({_STRIPPED}, chr(10))) AS digest, len({_STRIPPED}) AS n, count(*) AS docs FROM documents WHERE len({_STRIPPED}) > 0 GROUP BY ALL")
+def corpus_files(spark, sf_dir):
+    path = folder(spark)
+    sinks.write_corpus(stripped_docs(spark, sf_dir), path, ["doc_id"])
+    rows = readers.blank_line_documents(spark, path)
+    return rows.groupBy(F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"), F.size("sentences").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(
+    f"""
+WITH RECURSIVE d AS (SELECT doc_id, len({_STRIPPED}) AS n FROM documents), e AS (SELECT doc_id, sum(n + 1) OVER (ORDER BY doc_id) AS stop FROM d WHERE n > 0),
+cuts AS (SELECT 0::HUGEINT AS cut UNION ALL SELECT (SELECT min(stop) FROM e WHERE stop - cut > 1000) FROM cuts WHERE (SELECT min(stop) FROM e WHERE stop - cut > 1000) IS NOT NULL)
+SELECT shard_id, count(*) AS docs FROM (SELECT (SELECT count(*) FROM cuts WHERE cut < stop) AS shard_id FROM e) GROUP BY shard_id
+"""
+)
+def shard_files(spark, sf_dir):
+    path = folder(spark)
+    sinks.write_shards(documents.shard_ids(stripped_docs(spark, sf_dir), "doc_id", 1000), path, ["doc_id"])
+    rows = readers.blank_line_documents(spark, f"{path}/*")
+    return rows.groupBy(F.regexp_extract("path", "shard_id=([0-9]+)", 1).cast("long").alias("shard_id")).agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(f"WITH {SENTENCES}, {_VOCAB} SELECT token, max(id) AS id FROM v GROUP BY token")
+def vocabulary_files(spark, sf_dir):
+    path = folder(spark)
+    sinks.write_vocabulary(vocabulary(spark, sf_dir), path)
+    return readers.vocabulary(spark, f"{path}/part-*").select("token", F.col("id").cast("int").alias("id"))
+
+
+@query(SQL["split_ratio"])
+def split_files(spark, sf_dir):
+    path = folder(spark)
+    sinks.write_splits(split_ratio(spark, sf_dir), path, "json")
+    return readers.json_splits(spark, path, "id long", {s: f"split={s}" for s in ("train", "dev", "test")})
+
+
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+def evaluation_files(spark, sf_dir):
+    """The first file of each split by name, with line breaks in its fields."""
+    path, rows = folder(spark), read(spark, sf_dir, "documents").select("doc_id", "text")
+    for name, part in (("train_a", "doc_id % 2 = 1"), ("train_b", "doc_id < 3"), ("dev", "doc_id % 2 = 0")):
+        rows.where(part).write.csv(f"{path}/{name}.csv", header=True, escape='"', lineSep="\n")
+    found = readers.evaluation_splits(spark, path)
+    counts = [df.agg(F.lit(s).alias("split"), F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")) for s, df in found.items()]
+    return counts[0].union(counts[1])
+
+
+@query(f"WITH {_PREDICTED} SELECT stage AS setting, round(avg((label = prediction)::DOUBLE), 9) AS accuracy, max(round(label / 2.0, 3))::DOUBLE AS exact FROM p GROUP BY stage")
+def prediction_files(spark, sf_dir):
+    """Logs with labels in place of ids, and metrics, a directory a setting."""
+    path, rows = folder(spark), materialize(predictions(spark, sf_dir), "predictions")
+    for setting in ("Dev", "Test"):
+        own = rows.where(F.col("stage") == setting).select(F.col("doc_id").alias("index"), "label", "prediction")
+        sinks.write_predictions(own, f"{path}/{setting}/dev_predictions.tsv", ["index"], labels=["bad", "good"])
+        own.agg(F.max(F.round(F.col("label") / 2, 3)).alias("exact"), F.lit(0.0).alias("f1")).coalesce(1).write.json(f"{path}/{setting}/dev_metrics.json")
+    logs = readers.prediction_logs(spark, path, "dev").groupBy("setting").agg(F.round(metrics.accuracy(F.col("label"), F.col("prediction")), 9).alias("accuracy"))
+    return logs.join(readers.metric_files(spark, path, "dev").select("setting", "exact"), "setting")
+
+
+@query(
+    f"""WITH p AS (SELECT list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split({_CUT.format('l')}, chr(10)))), lambda x: x <> '') AS parts FROM documents)
+SELECT md5(chr(10) || array_to_string(parts, chr(10))) AS digest, count(*) AS n FROM p GROUP BY 1"""
+)
+def article_files(spark, sf_dir):
+    """Marked-up articles written, read, cut into sentences and stripped of their markers."""
+    path = folder(spark)
+    lines = F.array(F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
+    read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")).write.text(path)
+    rows = readers.articles(spark, path).select(documents.strip_markers(documents.article_lines(F.col("article"))).alias("x"))
+    return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT word, count(*) AS n FROM (VALUES {', '.join(f'({w!r})' for w in LISTED)}) v(word) GROUP BY word")
+def word_list_files(spark, sf_dir):
+    path = folder(spark)
+    ends = F.array(*[F.lit(w + end) for w, end in zip([*LISTED, "", ""], ["\t ", "　", "", " ", "\t"])])
+    spark.range(1).select(F.explode(ends).alias("value")).write.text(path)
+    return readers.word_list(spark, path).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('V', 't|f', 'a>b'), ('V', 't|g', '>'), ('A', 'x|f', 'c>')) v(class, key, rules)")
+def rule_files(spark, sf_dir):
+    path = folder(spark)
+    spark.range(1).select(F.lit('{"V": {"t|f": [["a", "b"]], "t|g": [["", ""]]}, "A": {"x|f": [["c", ""]]}}').alias("value")).write.text(path)
+    rows = readers.rule_table(spark, f"{path}/part-*", "array<array<string>>").where("class IS NOT NULL")
+    return rows.select("class", "key", F.array_join(F.transform("value", lambda r: F.concat_ws(">", r)), ",").alias("rules"))
+
+
+@query(SQL["qa_nbest"])
+def answer_files(spark, sf_dir):
+    """Chosen answers written and read back."""
+    path = folder(spark)
+    sinks.write_answers(nbest(spark, sf_dir), path)
+    rows = spark.read.schema("id long, prediction string").json(f"{path}/predictions")
+    return rows.select("id", token_range(F.col("prediction")).alias("chosen"))
+
+
+# -- normalization of whole columns ---------------------------------------------------
+
+
+@query("SELECT c_custkey AS id, lower(c_name) AS name, lower(c_name) AS stripped FROM customer")
+def normalize_columns(spark, sf_dir):
+    """Word forms of a column of names, and the input normalizer on decorated ones."""
+    dirty = text.input_normalizer(do_strip=True, do_lower_case=True, do_nfkc=True)(F.concat(F.lit("\t　"), "c_name", F.lit(" \n")))
+    rows = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), dirty.alias("stripped"))
+    return tokenizer.normalize_columns(rows, ["name"], "normalized")
+
+
+@query(
+    rf"""
+WITH {SENTENCES}, n AS (SELECT doc_id, i::INT AS i, regexp_replace(concat('[12]', chr(9), sentence, '[a] b?]', chr(160)), '\[\p{{Nd}}+?\]|\[要.+?\]|\{{\{{+[^{{}}]+?\}}\}}+|\[(要出典|リンク切れ|.+?\?)\]', '', 'g') AS x FROM s)
+SELECT doc_id, i, md5(regexp_replace(regexp_replace(x, '{RE2_UNPRINTABLE}', '', 'g'), ' +', ' ', 'g')) AS digest FROM n
+"""
+)
+def norm_sequence(spark, sf_dir):
+    """Two normalizers by name, in the order given."""
+    dirty = F.concat(F.lit("[12]\t"), "sentence", F.lit("[a] b?]\u00a0"))
+    both = text.sentence_normalizer(["citation", "whitespace"])
+    return sentences(spark, sf_dir).select("doc_id", "i", F.md5(both(dirty).cast("binary")).alias("digest"))
+
+
+@query(
+    rf"""WITH w AS (SELECT p_partkey AS id, len(regexp_extract_all(p_name, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS a, len(regexp_extract_all(p_brand, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS b, len(regexp_extract_all(p_type, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS c FROM part)
+SELECT id, a + b + 3 AS n_0, a + c + 3 AS n_1 FROM w"""
+)
+def choice_features(spark, sf_dir):
+    """Two choices a question, each encoded with its context."""
+    known = tokenizer.Tokenizer([*vocab.SPECIALS, "red", "small"])
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("context"), F.col("p_brand").alias("choice_0"), F.col("p_type").alias("choice_1"))
+    out = tokenizer.choice_features(rows, known, ["id"], ["choice_0", "choice_1"], max_length=64)
+    return out.select("id", *[F.size(F.col("input_ids")[i]).cast("long").alias(f"n_{i}") for i in range(2)])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,15 +90,20 @@ def rule_table(spark: SparkSession, path: str, value: str) -> DataFrame:
 
 
 def prediction_logs(spark: SparkSession, root: str, stage: str, schema: str = "index string, label string, prediction string") -> DataFrame:
-    """Rows of every setting's prediction file under a root, with setting, its directory's name, and stage."""
+    """Rows of every setting's prediction file, or directory of part files, under a root, with setting, its directory's name, and stage."""
     rows = spark.read.schema(schema).csv(f"{root}/*/{stage}_predictions.tsv", sep="\t", header=True)
-    return rows.withColumn("setting", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).withColumn("stage", F.lit(stage))
+    return rows.withColumn("setting", setting_of(f"{stage}_predictions.tsv")).withColumn("stage", F.lit(stage))
+
+
+def setting_of(file: str) -> Column:
+    """The name of the directory that holds a file, or a directory of part files, of the given name."""
+    return F.regexp_extract(F.col("_metadata.file_path"), rf"([^/]+)/{file.replace('.', '[.]')}(/|$)", 1)
 
 
 def metric_files(spark: SparkSession, root: str, stage: str) -> DataFrame:
     """exact and f1 of every setting's metrics file."""
     rows = spark.read.schema("exact double, f1 double").json(f"{root}/*/{stage}_metrics.json", multiLine=True)
-    return rows.withColumn("setting", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)).withColumn("stage", F.lit(stage))
+    return rows.withColumn("setting", setting_of(f"{stage}_metrics.json")).withColumn("stage", F.lit(stage))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
