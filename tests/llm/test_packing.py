@@ -13,10 +13,22 @@ PATH = public_tokenizers.path(packing.TOKENIZER)
 
 def test_encoder_gives_the_library_ids():
     model, encoder, r = Tokenizer.from_file(PATH), packing.Encoder(PATH), random.Random(0)
-    texts = ["".join(r.choice("ab  \n\t'sé的\x1c\x85　 1!?.,|*b") for _ in range(r.randint(0, 60))) for _ in range(1500)]
-    texts += ["a <|endoftext|> b", "x<|endoftext|>y", "x<|endoftext|>. z|", "", "the *** end\nNew line."]
+    texts = ["".join(r.choice("ab  \n\t'sé的\x1c\x85　 1!?.,|*b\r'll've") for _ in range(r.randint(0, 60))) for _ in range(3000)]
+    texts += ["".join(chr(r.choice([r.randrange(1, 0xD800), r.randrange(0xE000, 0x11000), r.randrange(32, 300), 32])) for _ in range(40)) for _ in range(2000)]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y", "x<|endoftext|>. z|", "", "the *** end\nNew line.", "a" * 20000, " " * 3000]
     want = [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.ids(texts) == want == encoder.ids(texts)
+    assert list(map(encoder.ids, texts)) == want
+
+
+def test_other_files_are_the_library_s(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "t.json").write_text(json.dumps(spec))
+    ids = Tokenizer.from_file(str(tmp_path / "t.json")).encode("Some TEXT", add_special_tokens=False).ids
+    assert packing.Encoder(str(tmp_path / "t.json")).ids("Some TEXT") == np.array(ids, "<u4").tobytes()
 
 
 def placed(plan, hist):
@@ -75,8 +87,41 @@ def test_price_is_the_best_knapsack():
     values = np.zeros(13)
     values[[3, 4, 5, 7]] = 1.0, 1.5, 1.9, 2.6
     best = max(sum(values[list(c)]) for n in range(1, 5) for c in combinations_with_replacement([3, 4, 5, 7], n) if sum(c) <= 12)
-    got = packing.price(values, 12)
-    assert sum(got) <= 12 and values[got].sum() == pytest.approx(best)
+    worth, took = packing.knapsack(values, 12)
+    got = packing.filling(took.tolist(), 12)
+    assert sum(got) <= 12 and values[got].sum() == pytest.approx(best) == worth[12]
+
+
+@pytest.mark.parametrize("times", [1, 10, 100])
+def test_the_program_packs_documents(spark, times):
+    """On the documents' own lengths, at three sizes: no more sequences than best fit alone, nearly all of them from configurations."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = [r.length for r in packing.pieces(docs, PATH).select("length").collect()]
+    hist = np.bincount(lengths, minlength=packing.CAPACITY + 1) * times
+    plain = packing.Plan(hist, packing.CAPACITY)
+    plain.best_fit()
+    plan = packing.packing_plan(hist)
+    placed(plan, hist)
+    assert plan.sequences <= plain.sequences and plan.programmed >= 0.95 * plan.sequences
+
+
+def test_query_against_the_library(spark, sf):
+    """Every document's pieces by the library's ids, and sequences that hold them without gaps, few more than tokens need."""
+    model = Tokenizer.from_file(PATH)
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        ids = np.array(model.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")
+        for n, (a, k) in enumerate(packing.cut(len(ids))):
+            want[r.doc_id, n] = (a, k, zlib.crc32(ids[a : a + k].tobytes()))
+    rows = packing.op10_packing(spark, sf).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        parts.sort()
+        assert [a for a, _ in parts] == [sum(k for _, k in parts[:i]) for i in range(len(parts))] and sum(parts[-1]) <= packing.CAPACITY
+    assert len(sequences) <= -(-sum(k for _, k, _ in want.values()) // packing.CAPACITY) * 1.01 + 1
 
 
 def test_pieces_of_odd_rows(odd, odd_rows, none):
