@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import DataFrame, SparkSession
+
+from lexiloom.storage import discard, fresh, materialize, ranked
+
+__all__ = ["Batches", "WORD", "discard", "fresh", "give_back", "in_slices", "materialize", "ranked", "table", "thrifty"]
 
 #: Words are runs of anything but these characters.
 WORD = r"[^\x20\x09-\x0D]+"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 Batches = Iterator[pa.RecordBatch]
@@ -52,71 +52,5 @@ def give_back() -> None:
         trim(0)
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, one in the warehouse, which a cluster's machines share too."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lexiloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: lineage ends there, and lost executors take nothing along."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/lexiloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete what materialize() wrote, once nothing will read it again."""
-    for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that df doesn't have yet, whatever extra columns it carries."""
-    taken, name = {c.lower() for c in df.columns}, base
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, label: str) -> DataFrame:
-    """Rank rows 1, 2, ... within each group without ever holding a group in one task.
-
-    A range exchange on (group, order) deals rows out evenly however large one
-    group is; ties that fill a range are still split by the order's last columns
-    as far as those differ. The sorted rows are written once with their position,
-    so that a few counts per (partition, group) turn positions into ranks.
-    Group columns may be null.
-    """
-    pid, pos = fresh(df, "__pid"), fresh(df, "__pos")
-    keys = [F.col(c).asc_nulls_last() for c in [*group, *order]]
-    rows = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn(pid, F.spark_partition_id())
-        .withColumn(pos, F.monotonically_increasing_id())
-    )
-    rows = materialize(rows, label)
-    of = [F.col(c).alias(f"g{i}") for i, c in enumerate(group)]
-    runs = rows.select(F.col(pid).alias("p"), *of, F.col(pos).alias("at"))
-    names = [f"g{i}" for i in range(len(group))]
-    runs = runs.groupBy("p", *names).agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
-    before = Window.partitionBy(*names).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("base", F.coalesce(F.sum("rows").over(before), F.lit(0)) - F.col("first") + 1)
-    here, there = rows.alias("here"), runs.alias("there")
-    same: Column = F.col(f"here.{pid}") == F.col("there.p")
-    for c, n in zip(group, names):
-        same = same & F.col(f"here.`{c}`").eqNullSafe(F.col(f"there.{n}"))
-    place = (F.col(f"here.{pos}") + F.col("there.base")).alias(name)
-    return here.join(there, same).select(*[F.col(f"here.`{c}`") for c in df.columns], place)

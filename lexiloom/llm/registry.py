@@ -1,29 +1,26 @@
-"""Queries of the training-data operators and their SQL."""
+"""Queries of the training-data operators and their SQL. All modules are imported here, so that whoever imports this knows whether they can be."""
 
 from __future__ import annotations
 
-from importlib import import_module
+from lexiloom.llm import fingerprints, linededup, lm, media, mixing, neardedup, packing, quality, secrets, tokencounts
 
 QUERIES = {
-    "op2_lm_scoring": "lm",
-    "op3_quality": "quality",
-    "op4_fingerprints": "fingerprints",
-    "op5_secrets": "secrets",
-    "op1_mixing": "mixing",
-    "op6_media": "media",
-    "op7_token_counts": "tokencounts",
-    "op8_near_dedup": "neardedup",
-    "op9_line_dedup": "linededup",
-    "op10_packing": "packing",
+    "op2_lm_scoring": lm.op2_lm_scoring,
+    "op3_quality": quality.op3_quality,
+    "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_secrets": secrets.op5_secrets,
+    "op1_mixing": mixing.op1_mixing,
+    "op6_media": media.op6_media,
+    "op7_token_counts": tokencounts.op7_token_counts,
+    "op8_near_dedup": neardedup.op8_near_dedup,
+    "op9_line_dedup": linededup.op9_line_dedup,
+    "op10_packing": packing.op10_packing,
 }
 
 
 def queries() -> dict:
-    return {name: getattr(import_module(f"lexiloom.llm.{module}"), name) for name, module in QUERIES.items()}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    found: dict[str, str] = {}
-    for module in QUERIES.values():
-        found |= getattr(import_module(f"lexiloom.llm.{module}"), "SQL", {})
-    return found
+    return mixing.SQL | secrets.SQL | linededup.SQL
