@@ -71,6 +71,52 @@ def test_chains_meet_in_the_second_look(spark):
     check(spark, rows, 3)
 
 
+def test_large_buckets_are_split(spark, monkeypatch):
+    """Groups of copies of copies that share words with each other, in blocks of four members."""
+    monkeypatch.setattr(neardedup, "BLOCK", 4)
+    monkeypatch.setattr(neardedup, "SPLIT", 6)
+    monkeypatch.setattr(neardedup, "BLOCK_BYTES", 2000)
+    r = random.Random(5)
+    rows, common = [], [f"w{i}" for i in range(70)]
+    for g in range(8):
+        words = common + [f"g{g}x{i}" for i in range(30)]
+        for i in range(12):
+            rows.append((900 - len(rows), " ".join(words)))
+            words[r.randrange(100)] = f"new{g}x{i}"
+    for depth in (1, 3):
+        monkeypatch.setattr(neardedup, "DEPTH", depth)
+        check(spark, rows, 3)
+
+
+def test_query_of_every_document(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    want, sizes = brute(rows, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardedup.op8_near_dedup(spark, sf).collect()}
+    assert got == {d: (sizes[d, t], want[d, t], want[d, t] == d) for d, t in rows}
+
+
+def test_recall_on_a_larger_table(spark):
+    """Links of a thousand documents, found through the rarest shingles, against the groups."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    sets = {}
+    for d, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(0, len(w) - 4))} or ({tuple(w)} if w else set())
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    pairs = set()
+    for d, s in sets.items():
+        # Two sets at 0.8 share one of any fifth of either's shingles, and one more.
+        rare = sorted(s, key=lambda x: (len(holders[x]), x))[: len(s) - (4 * len(s) + 4) // 5 + 1]
+        pairs |= {(min(d, e), max(d, e)) for x in rare for e in holders[x] if e != d}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    group = {r.doc_id: r.component_id for r in neardedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(group[a] == group[b] for a, b in links)
+    assert len(links) > 50 and found >= 0.99 * len(links)
+
+
 def test_odd_rows(spark, odd, odd_rows, none):
     check(spark, [r[:2] for r in odd_rows], 5)
     kept = neardedup.keep_one(odd)
