@@ -1,40 +1,49 @@
 """Operator 2: language-model scoring with a log-bilinear model.
 
-Tokens fall into CLASSES classes: the end, each of the most frequent words by itself,
-and the rest by their last two bytes. The model predicts a token's class from the two
-before it - q = sum of C_i r_i, score = q . r + b - and is trained in numpy by
-noise-contrastive estimation on the class triples of the whole training corpus, which
-Spark counts. Batched matrix products then normalise it over all contexts at once. A
-word's share within its class comes from the corpus counts by absolute discounting,
-which leaves unseen words of a class a share too, so that all probabilities sum to 1.
+The model predicts a token from the two before it: h = sum of C_i r_i, first the
+token's class by q . h + b over all classes, then the token by v . h + b over the
+words of its class. Every word that stands often enough in the training corpus is a
+word of the model, so its vocabulary and the number of its updates grow with the
+corpus; the others share learnt unknown tokens, one a suffix. Classes are runs of the
+words by frequency, of about equal mass. It is trained in numpy by noise-contrastive
+estimation inside tasks, on every training row, in rounds after each of which the
+tasks' parameters are averaged. Batched matrix products normalise it over all classes
+and over a class's words. A word's share of its unknown token comes from the corpus
+counts by absolute discounting, which leaves unseen words a share too, so that all
+probabilities sum to 1.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import materialize, table
-
-#: Classes in all; those of suffixes; the rest are the end and single words. Triples of classes are at most CLASSES ** 3.
-CLASSES, SUFFIXES = 160, 64
-SUFFIX = 2
-#: Frequent words, of at most HEAD_BYTES each, that every task knows; counts of others are joined.
-HEAD, HEAD_BYTES = 50_000, 48
-DIMS, NOISE, BATCH, STEPS, LEARNING = 24, 10, 4096, 1000, 0.25
+from lexiloom.llm.common import in_slices, materialize, table, thrifty
+
+#: Words of the model: seen this often at least and, of the training tokens, one in LEAST_SHARE, so there are at most as
+#: many; of HEAD_BYTES at most. Every task knows them; counts of others are joined.
+LEAST_COUNT, LEAST_SHARE, HEAD_BYTES = 2, 200_000, 48
+#: Unknown tokens: one for each of the most frequent suffixes of other words, the last for all else.
+SUFFIXES, SUFFIX = 32, 2
+#: Numbers a vector; noise classes a batch, and noise words a token; how far a step goes; tokens a batch.
+DIMS, NOISE, WORD_NOISE, LEARNING, BATCH = 12, 32, 2, 0.15, 8192
+#: The parts of the training rows, in eighths, that the rounds take: each row is in one. Small corpora are gone over until so many tokens are.
+PARTS, LEAST_UPDATES, MOST_PASSES = (1, 3, 4), 1_500_000, 60
 SEED = 5
-#: Distinct words a task counts before it passes its counts on.
+#: Distinct words a task counts before it passes its counts on, and words it remembers.
 HELD = 400_000
+#: Tokens scored, and tokens trained on, at a time; rows of parameters averaged at a time.
+CHUNK, STRETCH, ROWS = 16_384, 1 << 18, 4096
 
 END = b"\0end"
-#: Documents handled at a time where each gives many rows.
-SLICE = 2000
+#: Bytes of text handled at a time where each document gives many rows.
+SLICE = 1 << 20
 
 
 def token_key(word: bytes) -> bytes:
@@ -61,7 +70,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
 
-        for batch in batches:
+        for batch in in_slices(batches, 0):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 counts.update(tokens(text))
                 if len(counts) > HELD:
@@ -69,206 +78,331 @@ def count_words(docs: DataFrame) -> DataFrame:
                     counts = Counter()
         yield out()
 
-    return docs.where(~held_out()).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.where(~held_out()).select("text").mapInArrow(thrifty(run), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass
-class Classes:
-    """How tokens fall into classes: 0 is the end, then single words, then suffixes, the last for all others."""
+class Vocabulary:
+    """The model's tokens: 0, 1, ... its words by falling frequency, then the unknown tokens. Classes are runs of words, then each unknown token."""
 
-    singles: dict[bytes, int]
+    words: dict[bytes, int]
+    counts: np.ndarray
     suffixes: dict[bytes, int]
-    count: int
-
-    def of(self, word: bytes) -> int:
-        k = self.singles.get(word)
-        return self.suffixes.get(word[-SUFFIX:], self.count - 1) if k is None else k
-
-
-def choose_classes(counts: DataFrame, head: list[tuple[bytes, int]]) -> Classes:
-    """Single words by frequency; of the other words' suffixes the most frequent."""
-    singles = {END: 0}
-    for word, _ in head:
-        if len(singles) == CLASSES - SUFFIXES:
-            break
-        singles.setdefault(word, len(singles))
-    tail = F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})")
-    common = {w: c for w, c in head if w in singles}
-    by_suffix = counts.groupBy(tail.alias("s")).agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(SUFFIXES - 1 + len(common)).collect()
-    sums = Counter({bytes(r.s): r.c for r in by_suffix})
-    for w, c in common.items():
-        if w[-SUFFIX:] in sums:
-            sums[w[-SUFFIX:]] -= c
-    best = sorted(sums, key=lambda s: (-sums[s], s))[: SUFFIXES - 1]
-    return Classes(singles, {s: len(singles) + i for i, s in enumerate(best)}, len(singles) + len(best) + 1)
+    starts: np.ndarray  # of the classes of words, and the number of words last
+
+    @property
+    def n_words(self) -> int:
+        return len(self.counts)
+
+    @property
+    def n_classes(self) -> int:
+        return len(self.starts) - 1 + SUFFIXES
+
+    def unknown(self, word: bytes) -> int:
+        return self.n_words + self.suffixes.get(word[-SUFFIX:], SUFFIXES - 1)
+
+    def class_of(self) -> np.ndarray:
+        """The class of each token."""
+        runs = len(self.starts) - 1
+        return np.concatenate([np.repeat(np.arange(runs), np.diff(self.starts)), runs + np.arange(SUFFIXES)])
 
 
 class Ids(dict):
-    """Remembers classes of words, up to HELD of them."""
+    """Tokens of words: the model's words, and others as they come, HELD of them remembered."""
 
-    def __init__(self, classes: Classes):
-        super().__init__()
-        self.classes = classes
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__(vocabulary.words)
+        self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD:
+        if len(self) > HELD + self.vocabulary.n_words:
             self.clear()
-        k = self[word] = self.classes.of(word)
+            self.update(self.vocabulary.words)
+        k = self[word] = self.vocabulary.unknown(word)
         return k
 
 
-def triples(ids: np.ndarray, count: int) -> np.ndarray:
-    """Each token's class with the two before it, as one number; the end stands before a text's beginning."""
-    before = np.concatenate(([0, 0], ids))
-    return (before[:-2] * count + before[1:-1]) * count + ids
-
+def vocabulary_of(head: list[tuple[bytes, int]], suffixes: list[bytes]) -> Vocabulary:
+    """Classes of about equal mass, as many as the square root of the number of words: a token then meets few classes and few words."""
+    counts = np.array([c for _, c in head], np.int64)
+    n = max(1, round(len(counts) ** 0.5))
+    at = (np.cumsum(counts) - counts) * n // max(1, counts.sum())
+    starts = np.concatenate([np.unique(np.searchsorted(at, np.arange(n))), [len(counts)]])
+    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, counts, {x: i for i, x in enumerate(suffixes)}, np.unique(starts))
+
+
+def contexts(found: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(token before the last, last, token) of texts' tokens, one after the other; ends stand before a text's beginning."""
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    pad = np.array([end, end])
+    flat = np.concatenate([x for ids in found for x in (pad, ids)])
+    firsts = np.cumsum([0, *(len(ids) + 2 for ids in found[:-1])])
+    keep = np.ones(len(flat), bool)
+    keep[firsts] = keep[firsts + 1] = False
+    at = np.flatnonzero(keep)
+    return flat[at - 2], flat[at - 1], flat[at]
+
+
+class Parameters:
+    """All parameters as rows of one matrix, the last column the biases: context vectors of tokens, vectors of classes, of words, and the two context matrices."""
+
+    def __init__(self, vocabulary: Vocabulary, rows: np.ndarray | None = None):
+        v, k, t = vocabulary.n_words, vocabulary.n_classes, vocabulary.n_words + SUFFIXES
+        self.places = {"r": slice(0, t), "q": slice(t, t + k), "v": slice(t + k, t + k + v), "c1": slice(t + k + v, t + k + v + DIMS), "c2": slice(t + k + v + DIMS, t + k + v + 2 * DIMS)}
+        if rows is None:
+            rng = np.random.default_rng(SEED)
+            rows = rng.normal(0, 0.1, (t + k + v + 2 * DIMS, DIMS + 1)).astype(np.float32)
+            rows[:, -1] = 0
+            rows[self.places["c1"], :-1], rows[self.places["c2"], :-1] = np.eye(DIMS) * 0.5, np.eye(DIMS)
+        self.rows = rows
+
+    def of(self, name: str) -> np.ndarray:
+        return self.rows[self.places[name]]
+
+
+class Trainer:
+    """Noise-contrastive estimation of a task's rows, from given parameters; Adagrad scales the steps of each row."""
+
+    def __init__(self, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, seed: int):
+        self.parameters = Parameters(vocabulary, rows.copy())
+        self.squares = np.full(len(rows), 1e-3, np.float32)
+        self.touched = np.zeros(len(rows), np.float32)
+        self.rng = np.random.default_rng([SEED, seed])
+        self.class_of, self.n_words, self.starts = vocabulary.class_of(), vocabulary.n_words, vocabulary.starts
+        share = (class_tokens + 1.0) / (class_tokens + 1.0).sum()
+        self.class_sums, self.class_noise = np.cumsum(share), np.log(NOISE * share).astype(np.float32)
+        ends = np.concatenate([[0.0], np.cumsum(vocabulary.counts + 0.5)])
+        self.word_sums, self.low, self.high = ends[1:], ends[self.starts[:-1]], ends[self.starts[1:]]
+        inside = np.log((vocabulary.counts + 0.5) / np.repeat(self.high - self.low, np.diff(self.starts)))
+        self.word_noise = (np.log(WORD_NOISE) + inside).astype(np.float32)
+
+    def move(self, name: str, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        """Move rows by their summed gradients; a row may come several times."""
+        order = np.argsort(at, kind="stable")
+        rows = at[order]
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
+        sums = np.add.reduceat(grads[order], begins, axis=0)
+        rows = rows[begins] + self.parameters.places[name].start
+        self.squares[rows] += np.einsum("nd,nd->n", sums, sums) / sums.shape[1]
+        self.touched[rows] += np.diff(begins, append=len(at))
+        self.parameters.rows[rows] += (rate / np.sqrt(self.squares[rows]))[:, None] * sums
+
+    def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rate: float) -> None:
+        """One batch: contexts (a, b) and their tokens."""
+        p, n = self.parameters, len(w)
+        r, q, v, c1, c2 = (p.of(x) for x in ("r", "q", "v", "c1", "c2"))
+        ra, rb = r[a, :-1], r[b, :-1]
+        hidden = ra @ c1[:, :-1] + rb @ c2[:, :-1]
+        one = np.ones((n, 1), np.float32)
+        known = np.concatenate([hidden, one], axis=1)  # the last column meets the biases
+        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        # classes: the token's own against noise that the batch shares
+        k = self.class_of[w]
+        noise = np.searchsorted(self.class_sums, self.rng.random(NOISE) * self.class_sums[-1]).clip(max=len(self.class_sums) - 1)
+        own = 1 - sigmoid((known * q[k]).sum(axis=1) - self.class_noise[k])
+        other = -sigmoid(known @ q[noise].T - self.class_noise[noise])
+        to_hidden = own[:, None] * q[k] + other @ q[noise]
+        moves = [("q", np.concatenate([k, noise]), np.concatenate([own[:, None] * known, other.T @ known]))]
+        # words within their class, against noise words of the same class
+        some = np.flatnonzero((w < self.n_words) & (np.diff(self.starts, append=self.starts[-1] + 1)[np.minimum(k, len(self.starts) - 1)] > 1))
+        if len(some):
+            ks, spread = k[some], self.rng.random((len(some), WORD_NOISE))
+            drawn = np.searchsorted(self.word_sums, self.low[ks][:, None] + spread * (self.high - self.low)[ks][:, None], "right")
+            drawn = drawn.clip(self.starts[ks][:, None], self.starts[ks + 1][:, None] - 1)
+            both = np.concatenate([w[some][:, None], drawn], axis=1)
+            vectors = v[both]
+            score = (vectors @ known[some][:, :, None])[:, :, 0] - self.word_noise[both]
+            delta = -sigmoid(score)
+            delta[:, 0] += 1
+            to_hidden[some] += (delta[:, None, :] @ vectors)[:, 0]
+            moves.append(("v", both.ravel(), (delta[:, :, None] * known[some][:, None, :]).reshape(-1, DIMS + 1)))
+        to_hidden = to_hidden[:, :-1]
+        zero = np.zeros((n, 1), np.float32)
+        moves.append(("r", np.concatenate([a, b]), np.concatenate([np.concatenate([to_hidden @ c[:, :-1].T, zero], axis=1) for c in (c1, c2)])))
+        for name, x in (("c1", ra), ("c2", rb)):
+            moves.append((name, np.arange(DIMS), np.concatenate([x.T @ to_hidden, zero[:1].repeat(DIMS, axis=0)], axis=1)))
+        for name, at, grads in moves:
+            self.move(name, at, grads, rate)
+
+    def train(self, found: list[np.ndarray], end: int, passes: int) -> None:
+        a, b, w = contexts(found, end)
+        size = min(BATCH, max(256, len(w) // 8))
+        for turn in range(passes):
+            order = self.rng.permutation(len(w))
+            for i in range(0, len(w), size):
+                at = order[i : i + size]
+                self.step(a[at], b[at], w[at], LEARNING * (1 - 0.7 * turn / passes))
+
+
+def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, passes: int) -> np.ndarray:
+    """One round over all rows of docs (text): each task trains from the same parameters, whose rows are averaged, weighted by how often a task moved them.
+
+    Sums are added up in two steps, by run of rows and a share of the tasks, then by
+    run alone; a table as large as the parameters comes to the driver.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((vocabulary, class_tokens, rows))
+    width = rows.shape[1]
 
-def count_triples(docs: DataFrame, classes: Classes) -> DataFrame:
-    """(triple, c) over all training rows, at most classes ** 3 of them."""
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(classes)
-        for batch in batches:
-            found = []
+        vocabulary, class_tokens, rows = known.value
+        task = TaskContext.get().partitionId()
+        trainer, ids, end = Trainer(vocabulary, class_tokens, rows, task), Ids(vocabulary), vocabulary.words[END]
+        found, size = [], 0
+        for batch in in_slices(batches, 0, SLICE):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
-                found.append(triples(np.fromiter(map(ids.__getitem__, tokens(text)), np.int64), classes.count).astype(np.int32))
-            seen, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int32), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(n, pa.int64())], ["triple", "c"])
-
-    return docs.where(~held_out()).select("text").mapInArrow(run, "triple int, c long").groupBy("triple").agg(F.sum("c").alias("c"))
+                found.append(np.fromiter(map(ids.__getitem__, tokens(text)), np.int64))
+                size += len(found[-1])
+                if size >= STRETCH:
+                    trainer.train(found, end, passes)
+                    found, size = [], 0
+        if found:
+            trainer.train(found, end, passes)
+        for i in range(0, len(rows), ROWS):
+            n = trainer.touched[i : i + ROWS]
+            if n.any():
+                sums = (trainer.parameters.rows[i : i + ROWS] - rows[i : i + ROWS]) * n[:, None]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
+
+    names = ["first", "share", "n", "sums"]
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
 
-def train(triple: np.ndarray, c: np.ndarray, count: int, steps: int = STEPS, seed: int = SEED) -> np.ndarray:
-    """log10 probabilities (count, count, count): of each class after each pair of classes.
+        def out() -> pa.RecordBatch:
+            (first, share), n, sums = held
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([share], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
 
-    Noise-contrastive estimation: each step draws triples by their counts and noise
-    classes from the unigram distribution, and moves the parameters so that data
-    and noise are told apart; Adagrad scales the moves.
-    """
-    rng = np.random.default_rng(seed)
-    a, b, w = triple // count**2, triple // count % count, triple % count
-    unigram = np.bincount(w, weights=c, minlength=count) + 1.0
-    unigram /= unigram.sum()
-    log_noise = np.log(NOISE * unigram).astype(np.float32)
-    cumulative, noise_cumulative = np.cumsum(c, dtype=float), np.cumsum(unigram)
-    params = {
-        "r": rng.normal(0, 0.1, (count, DIMS)), "q": rng.normal(0, 0.1, (count, DIMS)),
-        "c1": np.eye(DIMS) * 0.5, "c2": np.eye(DIMS), "bias": np.log(unigram),
-    }
-    params = {k: v.astype(np.float32) for k, v in params.items()}
-    squares = {k: np.full_like(v, 1e-4) for k, v in params.items()}
-    for step in range(steps if len(triple) else 0):
-        at = np.searchsorted(cumulative, rng.random(BATCH) * cumulative[-1], "right").clip(max=len(c) - 1)
-        noise = np.searchsorted(noise_cumulative, rng.random((BATCH, NOISE)), "right").clip(max=count - 1)
-        x, y = a[at], b[at]
-        target = np.concatenate([w[at][:, None], noise], axis=1)
-        rx, ry = params["r"][x], params["r"][y]
-        hidden = rx @ params["c1"] + ry @ params["c2"]
-        out = params["q"][target]
-        score = np.einsum("nd,nkd->nk", hidden, out) + params["bias"][target] - log_noise[target]
-        delta = -1 / (1 + np.exp(-score))
-        delta[:, 0] += 1
-        delta /= BATCH
-        to_hidden = np.einsum("nk,nkd->nd", delta, out)
-        flat = target.ravel()
-        grads = {"c1": rx.T @ to_hidden, "c2": ry.T @ to_hidden, "bias": np.bincount(flat, weights=delta.ravel(), minlength=count)}
-        # Sums by class as one product: delta spread out over (batch, classes).
-        spread = np.bincount((np.arange(BATCH)[:, None] * count + target).ravel(), weights=delta.ravel(), minlength=BATCH * count)
-        grads["q"] = spread.reshape(BATCH, count).astype(np.float32).T @ hidden
-        to_x, to_y = to_hidden @ params["c1"].T, to_hidden @ params["c2"].T
-        grads["r"] = np.stack([np.bincount(x, weights=to_x[:, d], minlength=count) + np.bincount(y, weights=to_y[:, d], minlength=count) for d in range(DIMS)], axis=1)
-        rate = LEARNING * (1 - 0.9 * step / steps)
-        for k, g in grads.items():
-            g = g.astype(np.float32)
-            squares[k] += g * g
-            params[k] += rate * g / np.sqrt(squares[k])
-    return normalised(params)
-
-
-def normalised(params: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 softmax over classes for all pairs of context classes, one batched product for each first class."""
-    first, second = params["r"] @ params["c1"], params["r"] @ params["c2"]
-    out = np.empty((len(first),) * 3, np.float32)
-    for i, v in enumerate(first):
-        s = (v + second) @ params["q"].T + params["bias"]
-        s -= s.max(axis=1, keepdims=True)
-        out[i] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+        for batch in in_slices(batches, 3):
+            for first, share, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[0] != (first, share):
+                    yield out()
+                    held = []
+                n, sums = np.frombuffer(n, np.float32), np.frombuffer(sums, np.float32)
+                held = [held[0], held[1] + n, held[2] + sums] if held else [(first, share), n, sums]
+        if held:
+            yield out()
+
+    schema = "first int, share int, n binary, sums binary"
+    parts = docs.mapInArrow(thrifty(learn), schema)
+    parts = parts.repartition("first", "share").sortWithinPartitions("first", "share").mapInArrow(thrifty(add), schema)
+    parts = parts.select("first", F.lit(0).alias("share"), "n", "sums").repartition("first").sortWithinPartitions("first").mapInArrow(thrifty(add), schema)
+    out = rows.copy()
+    for first, _, n, sums in parts.collect():  # as large as the parameters
+        n, sums = np.frombuffer(n, np.float32), np.frombuffer(sums, np.float32).reshape(-1, width)
+        out[first : first + len(n)] += sums / np.maximum(n, 1)[:, None]
     return out
 
 
 @dataclass
 class Model:
-    classes: Classes
-    table: np.ndarray
-    head: dict[bytes, int]
+    """The trained model, and what the corpus counts give to the base score and to the words behind the unknown tokens."""
+
+    vocabulary: Vocabulary
+    rows: np.ndarray
     n: int
     v: int
     discount: float
-    class_tokens: np.ndarray
-    class_words: np.ndarray
+    unknown_tokens: np.ndarray
+    unknown_words: np.ndarray
+    first: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        p = Parameters(self.vocabulary, self.rows)
+        r = p.of("r")[:, :-1]
+        # The last column of a context meets the biases in the product: 1 for the first token's, 0 for the second's.
+        self.first = np.hstack([r @ p.of("c1")[:, :-1], np.ones((len(r), 1), np.float32)])
+        self.second = np.hstack([r @ p.of("c2")[:, :-1], np.zeros((len(r), 1), np.float32)])
+        self.q, self.words, self.class_of = p.of("q"), p.of("v"), self.vocabulary.class_of()
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1.0) / (self.n + self.v + 1.0))
 
-    def within(self, k: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 share of a word in its class, of the class's unseen words together if c is 0; a single word has all of its class."""
-        total, words = self.class_tokens[k], self.class_words[k]
+    def behind(self, unknown: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 share of words with training count c in their unknown token, of its unseen words together if c is 0."""
+        total, words = self.unknown_tokens[unknown], self.unknown_words[unknown]
         share = np.where(c > 0, c - self.discount, self.discount * words) / np.maximum(total, 1)
-        return np.log10(np.where((k < len(self.classes.singles)) | (words == 0), 1.0, share))
-
-
-def gathered(df: DataFrame, kinds: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
-    """Two number columns of a table of bounded size as arrays: each task sends its rows as two runs of bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [batch.column(i).to_numpy(zero_copy_only=False).astype(kinds[i]).tobytes() for i in range(2)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in raw], ["a", "b"])
-
-    rows = df.mapInArrow(run, "a binary, b binary").collect()
-    return tuple(np.concatenate([np.frombuffer(r[i], kinds[i]) for r in rows]) if rows else np.zeros(0, kinds[i]) for i in range(2))
+        return np.log10(np.where((words == 0) | (share <= 0), 1.0, share))
+
+    def log_probabilities(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 probability of each token w after (a, b): of its class among all, and of a word among its class."""
+        out, starts = np.empty(len(w)), self.vocabulary.starts
+        for i in range(0, len(w), CHUNK):
+            token = w[i : i + CHUNK]
+            hidden = self.first[a[i : i + CHUNK]] + self.second[b[i : i + CHUNK]]
+            k = self.class_of[token]
+            found = picked(hidden, self.q, k)
+            order = np.argsort(k, kind="stable")
+            ends = np.searchsorted(k[order], np.arange(len(starts)))
+            for c in np.flatnonzero(np.diff(ends) * (np.diff(starts) > 1)).tolist():
+                at = order[ends[c] : ends[c + 1]]
+                found[at] += picked(hidden[at], self.words[starts[c] : starts[c + 1]], token[at] - starts[c])
+            out[i : i + CHUNK] = found
+        return out / np.log(10)
+
+
+def picked(hidden: np.ndarray, outputs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax over the outputs, at one of them each: a batched product, normalised."""
+    score = hidden @ outputs.T
+    own = score[np.arange(len(at)), at]
+    with np.errstate(over="ignore"):
+        total = np.exp(score, out=score).sum(axis=1)
+    if np.isfinite(total).all() and total.all():
+        return own - np.log(total)
+    score = hidden @ outputs.T  # rare: scores so large or small that they must be shifted first
+    most = score.max(axis=1)
+    return own - most - np.log(np.exp(score - most[:, None]).sum(axis=1))
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of docs' training rows, and their word counts, written once."""
+    """The model of docs' training rows, and their word counts, written once. Null texts are empty; an empty table gives a model that knows the end alone."""
     counts = materialize(count_words(docs), "words")
     total = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("c") == 1, 1)), F.sum(F.when(F.col("c") == 2, 1))).first()
     n, v, once, twice = (x or 0 for x in total)
-    top = counts.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD)
-    top = top.agg(F.collect_list(F.struct("word", "c")).alias("rows")).select(F.expr("transform(rows, r -> r.word)"), F.expr("transform(rows, r -> r.c)"))
-    words, times = top.first()  # at most HEAD short words
-    head = sorted(zip(map(bytes, words), times), key=lambda x: (-x[1], x[0]))
-    classes = choose_classes(counts, head)
-    sums = class_sums(counts, classes)
-    triple, c = gathered(count_triples(docs, classes), ("<i4", "<i8"))  # at most classes ** 3 rows
-    order = np.argsort(triple)
-    probabilities = train(triple[order].astype(np.int64), c[order].astype(float), classes.count)
+    least = max(LEAST_COUNT, -(-n // LEAST_SHARE))
+    often = (F.col("c") >= least) & (F.length("word") <= HEAD_BYTES) | (F.col("word") == F.lit(END))
+    rows = counts.where(often).agg(F.collect_list(F.struct("word", "c")).alias("rows")).select(F.expr("transform(rows, r -> r.word)"), F.expr("transform(rows, r -> r.c)"))
+    words, times = rows.first()  # LEAST_SHARE short words at most
+    head = sorted(zip(map(bytes, words), times), key=lambda x: (-x[1], x[0])) or [(END, 0)]
+    other = counts.where(~often)
+    tail = other.groupBy(F.expr(f"substring(word, -{SUFFIX}, {SUFFIX})").alias("s")).agg(F.sum("c").alias("tokens"), F.count(F.lit(1)).alias("words"))
+    best = tail.orderBy(F.desc("tokens"), "s").limit(SUFFIXES - 1).collect()
+    all_tokens, all_words = (x or 0 for x in tail.agg(F.sum("tokens"), F.sum("words")).first())
+    unknown = np.zeros((2, SUFFIXES))
+    unknown[:, : len(best)] = np.array([(r.tokens, r.words) for r in best], float).reshape(-1, 2).T
+    unknown[:, -1] += (all_tokens, all_words) - unknown.sum(axis=1)
+    vocabulary = vocabulary_of(head, [bytes(r.s) for r in best])
+    class_tokens = np.concatenate([np.add.reduceat(vocabulary.counts, vocabulary.starts[:-1]), unknown[0]])
+    weights = trained(docs, vocabulary, class_tokens, n)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    return Model(classes, probabilities, dict(head), n, v, discount, sums[0], sums[1]), counts
-
+    return Model(vocabulary, weights, n, v, discount, unknown[0], unknown[1]), counts
 
-def class_sums(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens and distinct words of each class."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k = np.fromiter(map(classes.of, batch.column(0).to_pylist()), np.int64, batch.num_rows)
-            c = batch.column(1).to_numpy(zero_copy_only=False)
-            sums = np.bincount(k, weights=c, minlength=classes.count).astype(np.int64), np.bincount(k, minlength=classes.count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.count), pa.int32()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64())], ["k", "tokens", "words"])
 
-    out = np.zeros((2, classes.count))
-    for k, t, w in counts.select("word", "c").mapInArrow(run, "k int, tokens long, words long").groupBy("k").agg(F.sum("tokens"), F.sum("words")).collect():
-        out[:, k] = t, w
-    return out[0], out[1]
+def trained(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, n: int) -> np.ndarray:
+    """Parameters after all rounds; biases begin as the logarithms of the counted shares."""
+    start = Parameters(vocabulary)
+    start.of("q")[:, -1] = np.log((class_tokens + 1.0) / (class_tokens + 1.0).sum())
+    inside = np.repeat(np.add.reduceat(vocabulary.counts + 0.5, vocabulary.starts[:-1]), np.diff(vocabulary.starts))
+    start.of("v")[:, -1] = np.log((vocabulary.counts + 0.5) / inside)
+    rows, before = start.rows, 0
+    passes = int(np.clip(LEAST_UPDATES // max(1, n), 1, MOST_PASSES))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(PARTS)))
+    for size in PARTS if n else ():
+        own = docs.where(~held_out() & part.between(before, before + size - 1)).select("text")
+        rows, before = averaged(own, vocabulary, class_tokens, rows, passes), before + size
+    return rows
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score and held_out of each row of docs (doc_id, text).
 
-    One pass gives a row for each of a document's words beyond the head, the first
-    of them with the sums over the head; the words meet their counts in a join, and
-    documents are added up again by a key of their own, so ids may repeat or be null.
+    One pass gives a row for each of a document's words that the model has no token
+    of their own for, the first of them with the sums over all tokens; the words meet
+    their counts in a join, and documents are added up again by a key of their own, so
+    ids may repeat or be null. Documents without such words don't enter the join. Null
+    texts are empty; an empty table stays empty; extra columns don't matter.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -276,50 +410,55 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = known.value
-        ids, flat, size = Ids(m.classes), m.table.ravel(), m.classes.count
-        get_head = m.head.get
-        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            keys, flags = batch.column("doc_id"), batch.column("held_out")
-            rows, at, words, tf = [], [], [], []
+        ids, size, end = Ids(m.vocabulary), m.vocabulary.n_words, m.vocabulary.words[END]
+        base = m.base(m.vocabulary.counts.astype(float))
+        for batch in in_slices(batches, "text", SLICE):
+            found, at, words, tf = [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                found = tokens(text)
-                k = np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
-                c = np.fromiter((get_head(w, 0) for w in found), np.int64, len(found))
-                inside = c > 0
-                ch, kh = c[inside], k[inside]
-                total = float(flat[triples(k, size)].sum(dtype=float)) + float(m.within(kh, ch).sum())
-                rest = Counter(w for w, x in zip(found, inside.tolist()) if not x)
-                rows.append((len(found), len(ch), float(m.base(ch).sum()), total))
+                spelled = tokens(text)
+                own = np.fromiter(map(ids.__getitem__, spelled), np.int64, len(spelled))
+                rest = Counter(spelled[j] for j in np.flatnonzero(own >= size).tolist())
+                found.append(own)
                 at += [i] * max(1, len(rest))
                 words += list(rest) or [None]
                 tf += list(rest.values()) or [0]
+            a, b, w = contexts(found, end)
+            doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            add = lambda x: np.bincount(doc, weights=x, minlength=len(found))
+            inside = w < size
+            bases = np.where(inside, base[np.minimum(w, size - 1)], 0)
+            rows = (add(np.ones(len(w))), add(inside), add(bases), add(m.log_probabilities(a, b, w)))
             where = np.array(at, np.int64)
             lead = np.ones(len(where), bool)
             lead[1:] = where[1:] != where[:-1]
-            sums = [np.array(x)[where] * lead for x in zip(*rows)] if rows else [np.zeros(0)] * 4
+            sums = [x[where] * lead for x in rows]
             take = pa.array(where)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("uid").take(take), keys.take(take), flags.take(take), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()),
-                 pa.array(sums[2], pa.float64()), pa.array(sums[3], pa.float64()), pa.array(words, pa.binary()), pa.array(tf, pa.int64())], names,
+                [batch.column("uid").take(take), batch.column("doc_id").take(take), batch.column("held_out").take(take), pa.array(sums[0].astype(np.int64)),
+                 pa.array(sums[1].astype(np.int64)), pa.array(sums[2]), pa.array(sums[3]), pa.array(words, pa.binary()), pa.array(tf, pa.int64())], names,
             )
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out().alias("held_out"), "text")
-    rows = keyed.mapInArrow(run, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, tf long")
-    met = rows.join(counts.select(F.col("word").alias("w"), "c"), F.col("word") == F.col("w"), "left")
+    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    rows = keyed.mapInArrow(thrifty(run), f"{schema}, word binary, tf long")
+    # A null word would be one key of all documents without other words: they get keys of their own, which no word has.
+    key = F.coalesce("word", F.concat(F.lit(b"\0none"), F.col("uid").cast("string").cast("binary")))
+    met = rows.withColumn("key", key).join(counts.select(F.col("word").alias("w"), "c"), F.col("key") == F.col("w"), "left")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = known.value
+        first = m.vocabulary.n_words
         for batch in batches:
             col = lambda x: batch.column(x).to_numpy(zero_copy_only=False)
             times, c = col("tf"), np.nan_to_num(col("c").astype(float)).astype(np.int64)
-            ids = np.fromiter((m.classes.of(w) if w is not None else 0 for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
+            unknown = np.fromiter((m.vocabulary.unknown(w) - first if w is not None else 0 for w in batch.column("word").to_pylist()), np.int64, batch.num_rows)
             some = times > 0
             base = col("base_score") + np.where(some, times * m.base(c), 0)
-            total = col("score") + np.where(some, times * m.within(ids, c), 0)
+            total = col("score") + np.where(some, times * m.behind(unknown, c), 0)
             out = [batch.column(x) for x in ("uid", "doc_id", "held_out", "n_tokens")]
             yield pa.RecordBatch.from_arrays([*out, pa.array(col("n_known") + np.where(c > 0, times, 0), pa.int64()), pa.array(base), pa.array(total)], names[:7])
 
-    added = met.select(*names, "c").mapInArrow(add, f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    added = met.select(*names, "c").mapInArrow(thrifty(add), schema)
     return added.groupBy("uid").agg(
         F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", "score")]
     ).drop("uid")

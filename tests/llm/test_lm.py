@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from lexiloom.llm import lm
 
@@ -22,8 +23,12 @@ def expected(rows):
     return n, [(r[0], len(words(r[1])), sum(train[w] > 0 for w in words(r[1])), round(base(r[1]), 6)) for r in rows]
 
 
-def test_counts_and_base_of_odd_rows(odd, odd_rows, monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 20)
+@pytest.fixture(autouse=True)
+def few_updates(monkeypatch):
+    monkeypatch.setattr(lm, "LEAST_UPDATES", 20_000)
+
+
+def test_counts_and_base_of_odd_rows(odd, odd_rows):
     model, counts = lm.fit(odd)
     got = lm.score(odd, model, counts).collect()
     n, want = expected(odd_rows)
@@ -32,32 +37,77 @@ def test_counts_and_base_of_odd_rows(odd, odd_rows, monkeypatch):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
-def test_head_and_joined_words_agree(odd, monkeypatch):
-    """A word's score doesn't depend on whether tasks know it or a join brings its count."""
-    monkeypatch.setattr(lm, "STEPS", 5)
+def by_hand(model, text, train):
+    """The score of one text, token by token, straight from the parameters."""
+    v, p = model.vocabulary, lm.Parameters(model.vocabulary, model.rows)
+    r, q, words = p.of("r")[:, :-1], p.of("q"), p.of("v")
+    ids = [v.words[lm.END]] * 2
+    total = 0.0
+    for word in lm.tokens((text or "").encode()):
+        k = v.words.get(word)
+        k = v.unknown(word) if k is None else k
+        h = np.append(r[ids[-2]] @ p.of("c1")[:, :-1] + r[ids[-1]] @ p.of("c2")[:, :-1], 1)
+        runs = len(v.starts) - 1
+        of = next(i for i in range(runs) if k < v.starts[i + 1]) if k < v.n_words else runs + k - v.n_words
+        share = np.exp(q @ h)
+        total += math.log10(share[of] / share.sum())
+        if k < v.n_words:
+            own = np.exp(words[v.starts[of] : v.starts[of + 1]] @ h)
+            total += math.log10(own[k - v.starts[of]] / own.sum())
+        else:
+            c, j = train[word], k - v.n_words
+            if model.unknown_words[j]:
+                total += math.log10((c - model.discount if c else model.discount * model.unknown_words[j]) / model.unknown_tokens[j])
+        ids.append(k)
+    return total
+
+
+def test_score_by_hand(odd, odd_rows, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK", 500)
     model, counts = lm.fit(odd)
-    key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 5))
-    whole = sorted(map(key, lm.score(odd, model, counts).collect()))
-    model.head = dict(list(model.head.items())[:3])
-    assert sorted(map(key, lm.score(odd, model, counts).collect())) == whole
+    train = Counter({bytes(r.word): r.c for r in counts.collect()})
+    got = sorted((str(r.doc_id), round(r.score, 3)) for r in lm.score(odd, model, counts).collect())
+    want = sorted((str(r[0]), round(by_hand(model, r[1], train), 3)) for r in odd_rows)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-4, atol=2e-2)
+
 
+def test_query_of_every_document(spark, sf):
+    """Counts and base score of the query by brute force; its score beats the base on rows that it hasn't learnt from."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    n, want = expected(rows)
+    got = lm.op2_lm_scoring(spark, sf).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 3)) for r in got) == [(d, t, k, round(x, 3)) for d, t, k, x in sorted(want)]
+    assert {r.train_tokens for r in got} == {n} and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in got)
+    new = [r for r in got if r.held_out]
+    assert sum(r.score for r in new) > sum(r.base_score for r in new)
 
-def test_probabilities_sum_to_one(odd, monkeypatch):
-    monkeypatch.setattr(lm, "STEPS", 20)
+
+def test_probabilities_sum_to_one(odd):
     model, counts = lm.fit(odd)
-    assert np.allclose((10.0 ** model.table.astype(float)).sum(axis=2), 1, atol=1e-4)
-    rows = [(bytes(r.word), r.c) for r in counts.collect()]
-    k = np.array([model.classes.of(w) for w, _ in rows])
-    share = 10 ** model.within(k, np.array([c for _, c in rows]))
-    sums = np.bincount(k, weights=share, minlength=model.classes.count)
+    v = model.vocabulary
+    every = np.arange(v.n_words + lm.SUFFIXES)
+    for a, b in ((0, 1), (v.words[lm.END],) * 2, (v.n_words, 2)):
+        assert math.isclose((10 ** model.log_probabilities(np.full(len(every), a), np.full(len(every), b), every)).sum(), 1, rel_tol=1e-4)
+    rows = [(bytes(r.word), r.c) for r in counts.collect() if bytes(r.word) not in v.words]
+    k = np.array([v.unknown(w) - v.n_words for w, _ in rows])
+    sums = np.bincount(k, weights=10 ** model.behind(k, np.array([c for _, c in rows])), minlength=lm.SUFFIXES)
     for i in set(k.tolist()):
-        unseen = 0 if i < len(model.classes.singles) else 10 ** model.within(np.array([i]), np.array([0]))[0]
-        assert math.isclose(sums[i] + unseen, 1, rel_tol=1e-6)
+        assert math.isclose(sums[i] + 10 ** model.behind(np.array([i]), np.array([0]))[0], 1, rel_tol=1e-6)
+
+
+def test_what_is_learnt_grows_with_the_corpus(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 900}" for k in range(30))) for i in range(200)]
+    sizes = []
+    for n in (20, 200):
+        docs = spark.createDataFrame(rows[:n], "doc_id long, text string")
+        sizes.append(lm.fit(docs)[0].vocabulary.n_words)
+    assert sizes[1] > 2 * sizes[0]
 
 
-def test_context_helps_on_held_out_texts(spark):
+def test_context_helps_on_held_out_texts(spark, monkeypatch):
     import random
 
+    monkeypatch.setattr(lm, "LEAST_UPDATES", 400_000)
     r = random.Random(0)
     sides = [[f"x{i}" for i in range(50)], [f"y{i}" for i in range(50)]]
     rows = [(i, " ".join(r.choice(sides[i % 2]) for _ in range(40))) for i in range(400)]
@@ -67,7 +117,7 @@ def test_context_helps_on_held_out_texts(spark):
     assert len(got) > 20 and sum(x.score for x in got) > sum(x.base_score for x in got) + 0.1 * sum(x.n_tokens for x in got)
 
 
-def test_empty(none, monkeypatch):
+def test_empty(none):
     model, counts = lm.fit(none)
     assert lm.score(none, model, counts).count() == 0
 
