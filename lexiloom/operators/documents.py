@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from lexiloom.functions import text
 from lexiloom.functions.encoding import joined_runs
 from lexiloom.operators.analysis import regex_morphemes
+from lexiloom.storage import materialize, placed, running_total
 
 ARTICLE, PARAGRAPH, NEWLINE = "_START_ARTICLE_", "_START_PARAGRAPH_", "_NEWLINE_"  # fixed values: the markers of article sources
 
@@ -208,20 +209,38 @@ def shard_ids(docs: DataFrame, key: str, lines_per_shard: int, sentences: str =
 
     A document takes its sentences and a blank line; a shard closes at the first
     blank line after strictly more than lines_per_shard lines. Where a shard closes
-    depends on where the one before closed, so the fold over documents is
-    sequential; only the key and line count of each pass through it, and texts
-    meet their shard in a join on the key.
+    depends on where the one before closed: each document's end knows the cut that
+    would follow it, and the cuts are those reached from 0, found by leaps of doubled
+    length. Only keys and line counts pass through this, in ranges, no task holds
+    them all, and texts meet their shard in a join on the key.
     """
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    ends = docs.select(F.col(key).alias("__key"), F.sum(F.size(sentences) + 1).over(w).alias("__end"))
-
-    def step(acc: Column, end: Column) -> Column:
-        return F.when(end - F.element_at(acc, -1) > lines_per_shard, F.concat(acc, F.array(end))).otherwise(acc)
-
-    cuts = ends.agg(F.aggregate(F.sort_array(F.collect_list("__end")), F.array(F.lit(0).cast("long")), step).alias("__cuts"))
-    closed = cuts.select(F.explode("__cuts").alias("__cut"))
-    # A document's shard is the number of cuts before its end: a running count over ends and cuts together.
-    both = ends.select("__key", "__end", F.lit(0).alias("__cut")).union(closed.select(F.lit(None), "__cut", F.lit(1)))
-    order = Window.orderBy("__end", "__cut").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = both.withColumn("shard_id", F.sum("__cut").over(order)).where("__cut = 0").select("__key", "shard_id")
-    return docs.join(numbered, F.col(key) == F.col("__key")).drop("__key")
+    sizes = docs.select(F.col(key).alias("key"), (F.size(sentences) + 1).cast("long").alias("lines"))
+    ends = materialize(running_total(sizes, ["key"], "lines", "end", "ends").select("key", "end"), "ends")
+    cuts = closing_ends(ends, lines_per_shard)
+    # A document's shard is one more than the number of cuts before its end; a cut at its own end comes after it.
+    both = ends.select("key", F.col("end").alias("at"), F.lit(0).cast("long").alias("cut")).union(cuts.select(F.lit(None), "end", F.lit(1).cast("long")))
+    numbered = running_total(both, ["at", "cut"], "cut", "before", "shards").where("cut = 0")
+    named = numbered.select(F.col("key").alias("of"), (F.col("before") + 1).alias("shard_id"))
+    return docs.join(named, docs[key] == named["of"]).drop("of")
+
+
+def closing_ends(ends: DataFrame, lines_per_shard: int) -> DataFrame:
+    """(end) at which shards close: the first end over lines_per_shard after 0, the first over as many after that, and so on."""
+    starts = ends.select("end").union(ends.sparkSession.range(1).select(F.lit(0).cast("long")))
+    points = ends.select(F.col("end").alias("at"), F.lit(0).alias("asks"), "end", F.lit(None).cast("long").alias("start"))
+    points = points.union(starts.select(F.col("end") + lines_per_shard, F.lit(1), F.lit(None).cast("long"), F.col("end")))
+    rows = placed(points, ["at", "asks", "start"], "points")
+    after = Window.partitionBy("pid").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    firsts = rows.groupBy(F.col("pid").alias("of")).agg(F.min("end").alias("first"))
+    later = Window.orderBy("of").rowsBetween(1, Window.unboundedFollowing)
+    firsts = firsts.select("of", F.first("first", ignorenulls=True).over(later).alias("beyond"))  # a row a range
+    asked = rows.withColumn("next", F.first("end", ignorenulls=True).over(after)).join(firsts, F.col("pid") == F.col("of")).where("asks = 1")
+    leaps = materialize(asked.select("start", F.coalesce("next", "beyond").alias("next")).where("next IS NOT NULL"), "leaps")
+    found = materialize(leaps.where("start = 0").select(F.col("next").alias("end")), "cuts")
+    while True:
+        more = materialize(found.join(leaps, F.col("end") == F.col("start")).select(F.col("next").alias("end")), "cuts")
+        if not more.limit(1).count():
+            return found
+        found = found.union(more)
+        two = leaps.alias("a").join(leaps.alias("b"), F.col("a.next") == F.col("b.start")).select("a.start", "b.next")
+        leaps = materialize(two, "leaps")

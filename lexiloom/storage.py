@@ -73,3 +73,21 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], n
         same = same & F.col(f"here.`{c}`").eqNullSafe(F.col(f"there.{n}"))
     place = (F.col(f"here.{pos}") + F.col("there.base")).alias(name)
     return here.join(there, same).select(*[F.col(f"here.`{c}`") for c in df.columns], place)
+
+
+def placed(df: DataFrame, order: Sequence[str | Column], label: str) -> DataFrame:
+    """df with pid and pos, written: rows in ranges of the order, one range a pid, and by pos in order within; neither name may be df's."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(rows.withColumn("pid", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id()), label)
+
+
+def running_total(df: DataFrame, order: Sequence[str], value: str, name: str, label: str) -> DataFrame:
+    """Add the sum of value over all rows up to each, in a unique order; a task sees one range of rows, and one row a range is all that meets."""
+    rows = placed(df, order, label)
+    sums = rows.groupBy(F.col("pid").alias("of")).agg(F.sum(value).alias("own"))
+    before = Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("of", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn(name, F.sum(value).over(within)).join(sums, F.col("pid") == F.col("of"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(name) + F.col("base")).alias(name))
