@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.llm.common import WORD, fresh, ranked, table
+from lexiloom.llm.common import WORD, fresh, materialize, ranked, table
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -84,13 +84,25 @@ def with_copies(
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """The mixed corpus: each row of docs as often as the sampling emits it, with the columns of docs, whatever their names.
 
-    Rows without words, of null or empty texts, cost nothing and are drawn like the others of their source.
+    Rows without words, of null or empty texts, cost nothing and are drawn like the
+    others of their source. Ranks go by size, which would bring the longest texts
+    together: so only keys and sizes are ranked, and texts meet their copies in a
+    join by doc_id and a hash of the row. Rows that are equal in all columns share
+    what is drawn for them together.
     """
-    size, copies, nth = fresh(docs, "size"), fresh(docs, "copies"), fresh(docs, "nth")
-    names = (fresh(docs, "source_size"), fresh(docs, "target"), copies)
-    rows = with_copies(docs.withColumn(size, word_count(F.col("text"))), size, names, weights, most).where(F.col(copies) > 0)
-    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    row = F.xxhash64(*same)
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("row"))
+    drawn = with_copies(slim, "size", weights=weights, most=most).groupBy("doc_id", "row")
+    drawn = materialize(drawn.agg(F.sum("copies").cast("int").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0"), "drawn")
+    mine, nth = fresh(docs, "row"), fresh(docs, "nth")
+    copies, rows = fresh(docs, "copies"), fresh(docs, "rows")
+    keyed, found = docs.withColumn(mine, row), drawn.select(F.col("doc_id").alias("of"), "row", F.col("copies").alias("n"), F.col("rows").alias("m")).alias("found")
+    met = keyed.alias("here").join(found, F.col("here.doc_id").eqNullSafe(F.col("found.of")) & (F.col(f"here.{mine}") == F.col("found.row")))
+    met = met.select(*[F.col(f"here.`{c}`") for c in docs.columns], F.col(f"here.{mine}"), F.col("found.n").alias(copies), F.col("found.m").alias(rows))
+    if drawn.where("rows > 1").limit(1).count():
+        met = met.where(F.col(rows) == 1).union(met.where(F.col(rows) > 1).dropDuplicates(["doc_id", mine]))
+    return met.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*same)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
