@@ -38,8 +38,8 @@ PARTS, LEAST_UPDATES, MOST_PASSES = (1, 3, 4), 1_500_000, 60
 SEED = 5
 #: Distinct words a task counts before it passes its counts on, and words it remembers.
 HELD = 400_000
-#: Tokens scored, and tokens trained on, at a time; rows of parameters averaged at a time.
-CHUNK, STRETCH, ROWS = 16_384, 1 << 18, 4096
+#: Tokens scored at a time, by words and by classes, and tokens trained on; rows of parameters averaged at a time.
+CHUNK, PIECE, STRETCH, ROWS = 32_768, 1024, 1 << 18, 4096
 
 END = b"\0end"
 #: Bytes of text handled at a time where each document gives many rows.
@@ -179,7 +179,7 @@ class Trainer:
 
     def move(self, name: str, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
         """Move rows by their summed gradients; a row may come several times."""
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at)
         rows = at[order]
         begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
         sums = np.add.reduceat(grads[order], begins, axis=0)
@@ -333,8 +333,9 @@ class Model:
             token = w[i : i + CHUNK]
             hidden = self.first[a[i : i + CHUNK]] + self.second[b[i : i + CHUNK]]
             k = self.class_of[token]
-            found = picked(hidden, self.q, k)
-            order = np.argsort(k, kind="stable")
+            # classes in pieces that stay in a processor's cache
+            found = np.concatenate([picked(hidden[j : j + PIECE], self.q, k[j : j + PIECE]) for j in range(0, len(k), PIECE)])
+            order = np.argsort(k)
             ends = np.searchsorted(k[order], np.arange(len(starts)))
             for c in np.flatnonzero(np.diff(ends) * (np.diff(starts) > 1)).tolist():
                 at = order[ends[c] : ends[c + 1]]
