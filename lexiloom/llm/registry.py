@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import fingerprints, linededup, lm, media, mixing, neardedup, packing, quality, secrets, tokencounts
+from lexiloom.llm import fingerprints, linededup, lm, media, merkle, mixing, neardedup, packing, pii, quality, search, secrets, tokencounts
 
 QUERIES = {
     "op2_lm_scoring": lm.op2_lm_scoring,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_near_dedup": neardedup.op8_near_dedup,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_lexical_search": search.op11_lexical_search,
+    "op12_merkle": merkle.op12_merkle,
+    "op13_pii": pii.op13_pii,
 }
 
 
@@ -23,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return mixing.SQL | secrets.SQL | linededup.SQL
+    return mixing.SQL | secrets.SQL | linededup.SQL | search.SQL | merkle.SQL
