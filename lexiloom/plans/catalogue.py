@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from lexiloom.functions import encoding, morphology, text
-from lexiloom.operators import analysis, datasets, documents, metrics, qa, tokenizer, vocab
-from lexiloom.sources import readers, sinks
+from lexiloom.operators import analysis, datasets, documents, metrics, pretraining, qa, tokenizer, vocab
+from lexiloom.sources import corpus, readers, sinks
 from lexiloom.storage import checkpoint_dir, materialize
 
 #: A harmless list for the word filters.
@@ -265,7 +265,6 @@ def encode_ids(spark, sf_dir):
     )
 
 
-QUERIES["encode_ids_whole"], SQL["encode_ids_whole"] = encode_ids, SQL["encode_ids"]
 
 
 @query(
@@ -408,7 +407,6 @@ def char_f1(spark, sf_dir):
     return rows.select("doc_id", F.round(metrics.overlap_f1(F.col("a"), F.col("b"), metrics.answer_characters), 9).alias("f1"))
 
 
-QUERIES["char_f1_whole"], SQL["char_f1_whole"] = char_f1, SQL["char_f1"]
 
 
 @query("SELECT lang AS label, row_number() OVER (ORDER BY lang) - 1 AS id FROM (SELECT DISTINCT lang FROM documents)")
@@ -469,7 +467,6 @@ def truncate_bytes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.octet_length(cut).cast("long").alias("n"), F.char_length(cut).cast("long").alias("chars"))
 
 
-QUERIES["truncate_bytes_whole"], SQL["truncate_bytes_whole"] = truncate_bytes, SQL["truncate_bytes"]
 
 
 # -- word forms, over morphemes made of the parts table ---------------------------
@@ -847,6 +844,15 @@ def corpus_files(spark, sf_dir):
     return rows.groupBy(F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"), F.size("sentences").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs"))
 
 
+@query(SQL["corpus_files"])
+def corpus_ranges(spark, sf_dir):
+    """corpus_files with part files read in byte ranges, several a file."""
+    path = folder(spark)
+    sinks.write_corpus(stripped_docs(spark, sf_dir), path, ["doc_id"])
+    rows = corpus.read_corpus(spark, path, split_bytes=1 << 17)
+    return rows.groupBy(F.md5(F.array_join("sentences", "\n").cast("binary")).alias("digest"), F.size("sentences").cast("long").alias("n")).agg(F.count(F.lit(1)).alias("docs"))
+
+
 @query(
     f"""
 WITH RECURSIVE d AS (SELECT doc_id, len({_STRIPPED}) AS n FROM documents), e AS (SELECT doc_id, sum(n + 1) OVER (ORDER BY doc_id) AS stop FROM d WHERE n > 0),
@@ -875,15 +881,18 @@ def split_files(spark, sf_dir):
     return readers.json_splits(spark, path, "id long", {s: f"split={s}" for s in ("train", "dev", "test")})
 
 
-@query("SELECT CASE WHEN doc_id % 2 = 0 THEN 'validation' ELSE 'train' END AS split, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
+_QUOTED = "CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 11 = 0 THEN NULL ELSE concat(chr(34), text, chr(44), chr(34), chr(92), chr(34), chr(10)) END"
+
+
+@query(f"SELECT CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split, doc_id::VARCHAR AS doc_id, md5({_QUOTED}) AS digest FROM documents")
 def evaluation_files(spark, sf_dir):
-    """The first file of each split by name, with line breaks in its fields."""
-    path, rows = folder(spark), read(spark, sf_dir, "documents").select("doc_id", "text")
-    for name, part in (("train_a", "doc_id % 2 = 1"), ("train_b", "doc_id < 3"), ("dev", "doc_id % 2 = 0")):
-        rows.where(part).write.csv(f"{path}/{name}.csv", header=True, escape='"', lineSep="\n")
-    found = readers.evaluation_splits(spark, path)
-    counts = [df.agg(F.lit(s).alias("split"), F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")) for s, df in found.items()]
-    return counts[0].union(counts[1])
+    """Whole texts with quotes, separators, backslashes and line breaks, empty ones and nulls, written as splits and read again."""
+    path, rows = folder(spark), read(spark, sf_dir, "documents")
+    part = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "dev").otherwise("test")
+    quoted = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 11 == 0, None).otherwise(F.concat(F.lit('"'), "text", F.lit(',"\\"\n')))
+    sinks.write_splits(rows.select("doc_id", quoted.alias("text"), part.alias("split")), path, "csv")
+    found = [df.select(F.lit(s).alias("split"), "doc_id", F.md5(F.col("text").cast("binary")).alias("digest")) for s, df in readers.evaluation_splits(spark, path).items()]
+    return found[0].union(found[1]).union(found[2])
 
 
 @query(f"WITH {_PREDICTED} SELECT stage AS setting, round(avg((label = prediction)::DOUBLE), 9) AS accuracy, max(round(label / 2.0, 3))::DOUBLE AS exact FROM p GROUP BY stage")
@@ -911,6 +920,16 @@ def article_files(spark, sf_dir):
     return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(SQL["article_files"])
+def article_ranges(spark, sf_dir):
+    """article_files read in byte ranges, several a file."""
+    path = folder(spark)
+    lines = F.array(F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
+    read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")).write.text(path)
+    rows = corpus.read_corpus(spark, path, "articles", split_bytes=1 << 17).select(documents.strip_markers(documents.article_lines(F.col("article"))).alias("x"))
+    return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"SELECT word, count(*) AS n FROM (VALUES {', '.join(f'({w!r})' for w in LISTED)}) v(word) GROUP BY word")
 def word_list_files(spark, sf_dir):
     path = folder(spark)
@@ -972,6 +991,61 @@ def choice_features(spark, sf_dir):
     return out.select("id", *[F.size(F.col("input_ids")[i]).cast("long").alias(f"n_{i}") for i in range(2)])
 
 
+#: Sequences of the masked examples: their length, and what they ask for at most.
+MASKED = {"max_length": 64, "most": 8, "dupes": 2}
+_ROOM = MASKED["max_length"] - 2
+_PIECES = "flatten(list_transform(ws, lambda w: list_transform(regexp_extract_all(lower(w), '(?s).{1,3}'), lambda p, k: CASE WHEN k > 1 THEN '##' || p ELSE p END)))"
+
+
+@query(
+    f"""
+WITH RECURSIVE {SENTENCES}, {_VOCAB}, ids AS (SELECT token, max(id) AS id FROM v GROUP BY token), n_ids AS (SELECT max(id) + 1 AS n_ids FROM v),
+p AS (SELECT doc_id, i, {_PIECES} AS ts FROM (SELECT *, regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM s)),
+placed AS (
+  SELECT doc_id, i, len(ts) AS n, 0::BIGINT AS c, 0::BIGINT AS f FROM p WHERE i = 0
+  UNION ALL
+  SELECT doc_id, i, n, CASE WHEN f > 0 AND f + n > {_ROOM} THEN c + 1 ELSE c END, CASE WHEN f > 0 AND f + n > {_ROOM} THEN 0 ELSE f END FROM (
+    SELECT p.doc_id, p.i, len(p.ts) AS n, CASE WHEN o.n = 0 THEN o.c ELSE o.c + (o.f + o.n - 1) // {_ROOM} END AS c, CASE WHEN o.n = 0 THEN o.f ELSE (o.f + o.n - 1) % {_ROOM} + 1 END AS f
+    FROM placed o JOIN p ON p.doc_id = o.doc_id AND p.i = o.i + 1)
+),
+tok AS (SELECT doc_id, c + (f + j) // {_ROOM} AS q, (f + j) % {_ROOM} AS pos, token FROM (
+  SELECT p.doc_id, c, f, unnest(ts) AS token, unnest(range(len(ts))) AS j FROM p JOIN placed ON p.doc_id = placed.doc_id AND p.i = placed.i)),
+grouped AS (SELECT *, sum(CASE WHEN pos = 0 OR NOT starts_with(token, '##') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, q ORDER BY pos) - 1 AS k FROM tok),
+own_ids AS (SELECT doc_id, q, list(coalesce(id, 1) ORDER BY pos) AS ids FROM tok LEFT JOIN ids USING (token) GROUP BY doc_id, q),
+g AS (SELECT doc_id, q, k, list(pos ORDER BY pos) AS places FROM grouped GROUP BY doc_id, q, k),
+drawn AS (
+  SELECT doc_id, q, dupe, list({{'n': len(places)::BIGINT, 'places': places}} ORDER BY md5('12345:' || doc_id || ':' || dupe || ':' || q || ':word:' || k), places[1]) AS groups
+  FROM g CROSS JOIN (SELECT unnest(range({MASKED["dupes"]})) AS dupe) GROUP BY doc_id, q, dupe
+),
+wanted AS (SELECT *, least({MASKED["most"]}, greatest(1, floor((len(ids) + 2) * 0.15::DOUBLE + 0.5)))::BIGINT AS most FROM drawn JOIN own_ids USING (doc_id, q)),
+chosen AS (
+  SELECT doc_id, q, dupe, ids, list_sort(list_reduce([{{'n': 0::BIGINT, 'places': []::BIGINT[]}}] || groups,
+    lambda a, b: CASE WHEN a.n + b.n <= most THEN {{'n': a.n + b.n, 'places': list_concat(a.places, b.places)}} ELSE a END).places) AS places FROM wanted
+),
+shown AS (
+  SELECT *, list_transform(ids, lambda x, k: CASE WHEN NOT list_contains(places, k - 1) THEN x
+    WHEN ('0x' || substr(md5('12345:' || doc_id || ':' || dupe || ':' || q || ':token:' || (k - 1)), 1, 8))::BIGINT % 10 < 8 THEN 4
+    WHEN ('0x' || substr(md5('12345:' || doc_id || ':' || dupe || ':' || q || ':token:' || (k - 1)), 1, 8))::BIGINT % 10 = 8 THEN x
+    ELSE (('0x' || substr(md5('12345:' || doc_id || ':' || dupe || ':' || q || ':token:' || (k - 1)), 9, 8))::BIGINT % n_ids)::INT END) AS inputs FROM chosen, n_ids
+)
+SELECT doc_id, dupe::INT AS dupe, q::INT AS sequence_idx, '2,' || list_aggregate(inputs, 'string_agg', ',') || ',3' AS input_ids,
+  coalesce(list_aggregate(list_transform(places, lambda p: p + 1), 'string_agg', ','), '') AS masked_positions, coalesce(list_aggregate(list_transform(places, lambda p: ids[p + 1]), 'string_agg', ','), '') AS masked_ids
+FROM shown
+"""
+)
+def masked_examples(spark, sf_dir):
+    """Every document's sequences, masked twice; words stand in pieces of three characters, so that most have continuations."""
+    known = vocab.lookup(vocabulary(spark, sf_dir))
+
+    def pieces(word: Column) -> Column:
+        return F.transform(F.regexp_extract_all(F.lower(word), F.lit("(?s).{1,3}"), F.lit(0)), lambda p, k: F.when(k > 0, F.concat(F.lit("##"), p)).otherwise(p))
+
+    tokens = F.transform("sentences", lambda s: F.flatten(F.transform(analysis.regex_words(s), pieces)))
+    rows = pretraining.masked_examples(docs(spark, sf_dir).select("doc_id", tokens.alias("tokens")), "doc_id", known, **MASKED)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return rows.select("doc_id", "dupe", "sequence_idx", *map(joined, ("input_ids", "masked_positions", "masked_ids")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions.text import strip_right
 from lexiloom.operators.documents import ARTICLE, documents_of_lines
+from lexiloom.sources.sinks import CSV
 from lexiloom.storage import ranked
 
 CHOICE_SCHEMA = "context string, choice_a string, choice_b string, choice_c string, choice_d string, label string"
@@ -56,20 +57,32 @@ def first_match(spark: SparkSession, pattern: str) -> str | None:
     return min((str(x.getPath()) for x in found or []), default=None)
 
 
+def kind_of(spark: SparkSession, path: str) -> str:
+    """What a file's name ends in, or that of a directory's first part file."""
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return (name if "." in name else first_match(spark, f"{path}/part-*") or name).rpartition(".")[2].lower()
+
+
 def evaluation_splits(spark: SparkSession, directory: str, steps: tuple[str, ...] = ("train", "dev", "test"), **files: str) -> dict[str, DataFrame]:
-    """{split: rows} of a directory's first train*, dev* and test* file by name, or of files named by split; dev is called validation.
+    """{split: rows} of a directory's first train*, dev* and test* file by name, of the directories of part files that write_splits makes, or of files or directories named by split; dev is called validation.
 
-    All files must be of one kind, csv or json, which their names tell, also those
-    of splits that steps leaves out; a split without a file is left out.
+    All must be of one kind, csv or json, which file names tell, also those of splits
+    that steps leaves out; a split without a file is left out.
     """
-    paths = {s: files.get(s) or first_match(spark, f"{directory}/{s}*") for s in ("train", "dev", "test")}
-    kinds = {p.rsplit("/", 1)[-1].rpartition(".")[2].lower() for p in paths.values() if p}
+    found = lambda s: first_match(spark, f"{directory}/{s}*") or first_match(spark, f"{directory}/split={s}")
+    paths = {s: files.get(s) or found(s) for s in ("train", "dev", "test")}
+    kinds = {kind_of(spark, p) for p in paths.values() if p}
     if len(kinds) != 1 or not kinds <= {"csv", "json"}:
         raise ValueError(f"the files of {directory} must be of one kind, csv or json, not {sorted(kinds)}")
-    read = (lambda p: spark.read.csv(p, header=True, multiLine=True, escape='"')) if kinds == {"csv"} else spark.read.json
+    read = (lambda p: csv_rows(spark, p)) if kinds == {"csv"} else spark.read.json
     return {("validation" if s == "dev" else s): read(p) for s, p in paths.items() if p and s in steps}
 
 
+def csv_rows(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """CSV with a header as write_splits gives it: quotes within fields doubled, fields with separators and line breaks; an empty field is null, a quoted empty one is an empty string."""
+    return spark.read.csv(path, multiLine=True, nullValue="\0", **{k: v for k, v in CSV.items() if k not in ("emptyValue", "lineSep")}, emptyValue="")
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(token, id) of a vocabulary file: a token a line, up to the first tab; the line number is its id; of duplicates the last line counts."""
     whole = spark.read.text(path, wholetext=True)

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: How csv is written and read: a quote within quotes is doubled.
+CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
@@ -31,11 +35,11 @@ def write_lines_and_info(lines: DataFrame, info: DataFrame, path: str, overwrite
 
 
 def write_splits(rows: DataFrame, path: str, kind: str, overwrite: bool = False) -> None:
-    """A directory a split, as csv or JSON lines."""
+    """A directory a split, as csv or JSON lines. Fields of csv may hold quotes, separators and line breaks; an empty string stays apart from null."""
     if kind not in ("csv", "json"):
         raise ValueError(f"unknown kind {kind!r}: csv or json")
     writer = rows.write.mode(_mode(overwrite)).partitionBy("split")
-    writer.csv(path, header=True) if kind == "csv" else writer.json(path)
+    writer.csv(path, **CSV) if kind == "csv" else writer.json(path)
 
 
 def vocabulary_lines(vocab: DataFrame) -> DataFrame:
@@ -69,4 +73,4 @@ def write_answers(nbest: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_summary(rows: DataFrame, path: str, overwrite: bool = False) -> None:
-    rows.write.mode(_mode(overwrite)).csv(path, header=True)
+    rows.write.mode(_mode(overwrite)).csv(path, **CSV)
