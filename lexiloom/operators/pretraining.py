@@ -132,5 +132,6 @@ def masked_examples(
         return F.when(~F.array_contains(F.col("at"), i), x).when(kind < 8, F.lit(vocab.known[mask])).when(kind == 8, x).otherwise(other)
 
     ids = encoding.with_specials(F.transform("ids", shown), cls=vocab.known[cls], sep=vocab.known[sep])
-    hidden = F.transform("at", lambda p: F.get("ids", p))
-    return rows.select(F.col("of").alias(key), "dupe", "sequence_idx", ids.alias("input_ids"), F.transform("at", lambda p: p + 1).alias("masked_positions"), hidden.alias("masked_ids"))
+    rows = rows.withColumns({"shown": ids, "places": F.transform("at", lambda p: p + 1), "hidden": F.transform("at", lambda p: F.get("ids", p))})
+    # the names given here are not those read above: a key may be called like either
+    return rows.select(F.col("of").alias(key), "dupe", "sequence_idx", F.col("shown").alias("input_ids"), F.col("places").alias("masked_positions"), F.col("hidden").alias("masked_ids"))
