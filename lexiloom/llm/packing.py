@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +48,9 @@ class Encoder:
     That library takes long over words that it meets for the first time, so where
     the file says nothing that tiktoken doesn't do as well - a plain byte-level rule,
     merges in the order of their ids - tiktoken encodes, from the file's own
-    vocabulary; tests hold its ids against the library's. Other files are the library's.
+    vocabulary; tests hold its ids against the library's. Other files are the library's,
+    and so are texts with a run of white space over which tiktoken's rule, that steps
+    back from the run's end, would fail.
     """
 
     def __init__(self, path: str):
@@ -61,16 +64,29 @@ class Encoder:
         if plain and not any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             ranks = {bytes(map(BYTE_OF.__getitem__, t)): i for t, i in model["vocab"].items() if t not in special}
             known = tiktoken.Encoding(os.path.basename(path), pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
-            self.encode = lambda text: known.encode_to_numpy(text, allowed_special="all")
+            self.encode = lambda text: self.by_library(text) if long_space(text) else known.encode_to_numpy(text, allowed_special="all")
         else:
-            library = Tokenizer.from_file(path)
-            self.encode = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, np.uint32)
+            self.encode = self.by_library
+        self.path, self.library = path, None
+
+    def by_library(self, text: str) -> np.ndarray:
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, text: str) -> bytes:
         """Little-endian, four bytes an id."""
         return self.encode(text).astype("<u4", copy=False).tobytes()
 
 
+#: Characters of white space in a row that tiktoken is still given.
+MOST_SPACE = 100_000
+
+
+def long_space(text: str) -> bool:
+    return len(text) > MOST_SPACE and any(m.end() - m.start() > MOST_SPACE for m in re.finditer(r"\s+", text))
+
+
 def byte_of() -> dict[str, int]:
     """How byte-level vocabularies spell bytes: printable ones as themselves, the others as the characters from 256 on, in order."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

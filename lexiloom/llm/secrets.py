@@ -10,7 +10,7 @@ trigrams are matched against every text.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from itertools import product
 
@@ -57,7 +57,11 @@ Run = set[str] | None  # the lower-cased strings that a part of a pattern must b
 
 
 class Pattern:
-    """Reads the parts of a pattern: literals, classes, groups, alternatives and repeats, as any dialect has them."""
+    """Reads the parts of a pattern as Java's dialect has them.
+
+    Anchors, word boundaries and lookarounds take no characters; classes, back
+    references and repeats may be anything; what is not known here is refused.
+    """
 
     def __init__(self, pattern: str):
         self.text, self.at = pattern, 0
@@ -65,6 +69,9 @@ class Pattern:
         if self.at < len(pattern):
             raise ValueError(f"unmatched parenthesis in {pattern!r}")
 
+    def refuse(self) -> ValueError:
+        return ValueError(f"a part at {self.at} of {self.text!r} that can't be read for trigrams")
+
     def alternatives(self) -> list[Run]:
         branches = [self.sequence()]
         while self.take("|"):
@@ -78,57 +85,113 @@ class Pattern:
         out: list[Run] = []
         while self.at < len(self.text) and self.text[self.at] not in "|)":
             part = self.atom()
-            if self.take("?"):
-                strings = product_of(part)
-                part = [None if strings is None else strings | {""}]
-            elif self.text[self.at : self.at + 1] in ("*", "+", "{"):
-                self.at = self.text.index("}", self.at) + 1 if self.text[self.at] == "{" else self.at + 1
-                part = [None]
+            while self.text[self.at : self.at + 1] in ("?", "*", "+", "{") and self.at < len(self.text):
+                if self.take("?"):
+                    strings = product_of(part)
+                    part = [None if strings is None else strings | {""}]
+                elif self.take("{"):
+                    if not self.text[self.at : self.at + 1].isdigit() or "}" not in self.text[self.at :]:
+                        raise self.refuse()
+                    self.at = self.text.index("}", self.at) + 1
+                    part = [None]
+                else:
+                    self.at += 1
+                    part = [None]
+                self.take("?") or self.take("+")  # lazy or possessive: the same strings at most
             out += part
         return out
 
     def atom(self) -> list[Run]:
         if self.take("("):
-            self.take("?:")
-            part = self.alternatives()
-            if not self.take(")"):
-                raise ValueError(f"unclosed group in {self.text!r}")
-            return part
+            return self.group()
         if self.take("["):
             return [self.characters()]
         if self.take("."):
             return [None]
-        c = self.character()
-        return [None if c is None else {c.lower()}]
+        if self.take("^") or self.take("$"):
+            return [{""}]
+        if self.text[self.at] in "?*+{":
+            raise self.refuse()
+        if self.text[self.at : self.at + 2] in (r"\b", r"\B", r"\A", r"\z", r"\Z", r"\G"):
+            self.at += 2
+            return [{""}]
+        return [lowered([self.character()])]
+
+    def group(self) -> list[Run]:
+        """What follows an opening parenthesis, up to the closing one."""
+        looks = any(self.take(x) for x in ("?=", "?!", "?<=", "?<!"))
+        if not looks and self.take("?"):
+            if self.take("<"):
+                self.at = self.text.index(">", self.at) + 1
+            elif not self.take(">"):
+                first = self.at
+                while self.text[self.at : self.at + 1] in ("i", "m", "s", "d", "-") and self.at < len(self.text):
+                    self.at += 1
+                if self.take(")"):  # flags: none of these changes which lower-cased ASCII a literal is
+                    return [{""}]
+                if not self.take(":"):
+                    self.at = first
+                    raise self.refuse()
+        part = self.alternatives()
+        if not self.take(")"):
+            raise ValueError(f"unclosed group in {self.text!r}")
+        return [{""}] if looks else part
 
     def character(self) -> str | None:
-        """A literal character; None for a class like \\d."""
+        """A literal character; None for a class like \\d and a back reference."""
         c = self.text[self.at]
         self.at += 1
-        if c != "\\":
-            return c
+        return self.escaped() if c == "\\" else c
+
+    def escaped(self) -> str | None:
         c = self.text[self.at]
         self.at += 1
-        if c == "x":
-            self.at += 2
-            return chr(int(self.text[self.at - 2 : self.at], 16))
-        return None if c.isalnum() else c
+        if c == "x" and self.take("{"):
+            end = self.text.index("}", self.at)
+            c, self.at = chr(int(self.text[self.at : end], 16)), end + 1
+            return c
+        if c in "xu":
+            size = 2 if c == "x" else 4
+            self.at += size
+            return chr(int(self.text[self.at - size : self.at], 16))
+        if c in "pP":
+            self.at = self.text.index("}", self.at) + 1 if self.take("{") else self.at + 1
+            return None
+        if c == "k" and self.take("<"):
+            self.at = self.text.index(">", self.at) + 1
+            return None
+        if c in "tnrfea":
+            return {"t": "\t", "n": "\n", "r": "\r", "f": "\f", "e": "\x1b", "a": "\a"}[c]
+        if c in "dDwWsShHvVRX123456789":
+            return None
+        if c.isalnum():
+            self.at -= 1
+            raise self.refuse()
+        return c
 
     def characters(self) -> Run:
-        """A class's characters, if they are few."""
+        """A class's characters, if they are few; classes within and their intersections may be anything."""
         found: set[str] = set()
         open_ = self.take("^")
         first = True
-        while first or self.text[self.at] != "]":
+        while first or self.text[self.at : self.at + 1] != "]":
+            if self.at >= len(self.text):
+                raise ValueError(f"unclosed class in {self.text!r}")
+            if self.take("&&"):
+                open_, first = True, False
+                continue
+            if self.take("["):
+                self.characters()
+                open_, first = True, False
+                continue
             low, first = self.character(), False
             high = low
-            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+            if self.text[self.at : self.at + 1] == "-" and self.text[self.at + 1 : self.at + 2] not in ("]", "["):
                 self.at += 1
                 high = self.character()
-            if low is None or high is None:
-                open_ = True
-            else:
-                found |= {chr(c).lower() for c in range(ord(low), min(ord(high), ord(low) + 2 * _MOST_CHARACTERS) + 1)}
+            several = None if low is None or high is None or ord(high) - ord(low) > 2 * _MOST_CHARACTERS else lowered(map(chr, range(ord(low), ord(high) + 1)))
+            open_ |= several is None
+            found |= several or set()
         self.at += 1
         return None if open_ or len(found) > _MOST_CHARACTERS else found
 
@@ -138,6 +201,12 @@ class Pattern:
         return there
 
 
+def lowered(characters: Iterable[str | None]) -> Run:
+    """Characters as lower-casing a text leaves them; None if one may be anything, or is a letter beyond ASCII with another case."""
+    found = set(characters)
+    return None if any(c is None or (ord(c) > 127 and (c.lower() != c or c.upper() != c)) for c in found) else {c.lower() for c in found}
+
+
 def product_of(runs: list[Run]) -> Run:
     """All the strings of a sequence of runs, None if one is open or there are too many."""
     found = {""}
@@ -152,7 +221,8 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     """The Boolean query of a pattern over lower-cased text: any of these sets of trigrams, all of a set. Empty: no trigram is mandatory.
 
     Neighbouring runs with few possible strings are joined; the query is that of
-    the joined run whose strings all have the most trigrams.
+    the joined run whose strings all have the most trigrams. A pattern with a part
+    that can't be read raises ValueError.
     """
     best: list[frozenset[str]] = []
     joined: set[str] = {""}

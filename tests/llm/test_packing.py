@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lexiloom.llm import packing
@@ -141,3 +142,15 @@ def test_pieces_of_odd_rows(odd, odd_rows, none):
 def test_cut():
     assert packing.cut(5000) == [(0, 904), (904, 2048), (2952, 2048)]
     assert packing.cut(2048) == [(0, 2048)] and packing.cut(1) == [(0, 1)]
+
+
+@pytest.mark.parametrize("space", [" ", "\t", "\n", " \t\n\u3000"])
+def test_long_white_space(spark, space):
+    """Runs of millions of spaces, with and without an end, have the library's ids; they stop no job."""
+    library = Tokenizer.from_file(PATH)
+    texts = ["a" + space * (1_200_000 // len(space)) + "b", space * (1_000_001 // len(space)), "x " + space * 150_000 + "y" + space * 99_000 + "z"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert [len(packing.loaded(PATH).ids(t)) // 4 + 1 for t in texts] == want
+    if space == " ":
+        rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert {r.doc_id: r.n for r in rows.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == dict(enumerate(want))
