@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from lexiloom.functions import encoding, morphology, text
 from lexiloom.functions.encoding import Lookup
 from lexiloom.operators.analysis import in_mode, regex_morphemes
-from lexiloom.operators.vocab import CONTINUED, MOST_WORD_CHARS, SPECIALS, greedy_pieces
+from lexiloom.operators.vocab import MOST_WORD_CHARS, SPECIALS
+from lexiloom.operators.wordpiece import CONTINUED, PieceTrie
 from lexiloom.storage import fresh
 
 SUBWORDS = ("wordpiece", "character", "pos_substitution", "none")
@@ -29,12 +30,12 @@ MOST_CHARS = 1 << 14
 class Tokenizer:
     """Normalize, analyse, project to a word form, split to subwords, encode.
 
-    vocab lists the tokens; a token's id is its place, of duplicates the last. It is
-    of bounded size and travels with the plan. The analyzer is any function from a
+    vocab lists the tokens, whose ids are their places, of duplicates the last, or maps
+    them to their ids. It is of bounded size and travels with the plan. The analyzer is any function from a
     text column to morphemes; split_mode is for one that knows several.
     """
 
-    vocab: Sequence[str] | None = None
+    vocab: Sequence[str] | Mapping[str, int] | None = None
     word_form: str = "surface"
     subword: str = "wordpiece"
     do_strip: bool = False
@@ -53,7 +54,7 @@ class Tokenizer:
             raise ValueError(f"unknown subword type {self.subword!r}; known: {', '.join(SUBWORDS)}")
         if self.vocab is None and self.subword != "none":
             raise ValueError("subwords need a vocabulary")
-        self.ids = {t: i for i, t in enumerate(self.vocab or [])}
+        self.ids = dict(self.vocab) if isinstance(self.vocab, Mapping) else {t: i for i, t in enumerate(self.vocab or [])}
         if self.vocab is not None and self.unk not in self.ids:
             raise ValueError(f"the vocabulary lacks {self.unk}")
         self.form = morphology.word_form(self.word_form, **self.tables)
@@ -74,7 +75,9 @@ class Tokenizer:
         """What describes the tokenizer, for other programs to read; the analyzer isn't part of it."""
         model = {"type": "WordPiece", "unk_token": self.unk, "continuing_subword_prefix": CONTINUED, "max_input_chars_per_word": MOST_WORD_CHARS, "vocab": self.ids}
         normal = {"strip": self.do_strip, "lowercase": self.do_lower_case, "nfkc": self.do_nfkc}
-        return {"normalizer": normal, "pre_tokenizer": None, "word_form": self.word_form, "subword": self.subword, "special_tokens": self.specials, "model": model}
+        named = {"unk": self.unk, "cls": self.cls, "sep": self.sep, "pad": self.pad}
+        out = {"normalizer": normal, "pre_tokenizer": None, "word_form": self.word_form, "subword": self.subword, "split_mode": self.split_mode}
+        return out | {"special_tokens": self.specials, "named_tokens": named, "model": model}
 
     def words(self, s: Column) -> Column:
         tidy = text.input_normalizer(self.do_strip, self.do_lower_case, self.do_nfkc)
@@ -92,7 +95,7 @@ class Tokenizer:
         return encoding.pos_substituted(F.transform(found, self.form), found, self.lookup)
 
     def _pieces(self, words: Column) -> Column:
-        vocab, unk = frozenset(self.ids), self.unk
+        trie = PieceTrie(list(self.ids), self.unk, MOST_WORD_CHARS)
 
         @F.pandas_udf(T.ArrayType(T.StringType()))
         def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -102,7 +105,7 @@ class Tokenizer:
                 if w not in memory:
                     if len(memory) > REMEMBERED:
                         memory.clear()
-                    memory[w] = [] if not w.strip() else greedy_pieces(w, vocab, unk)
+                    memory[w] = [] if not w.strip() else trie.pieces(w)
                 return memory[w]
 
             for rows in batches:
@@ -206,3 +209,12 @@ def write_tokenizer(spark: SparkSession, tokenizer: Tokenizer, path: str, overwr
     one = spark.createDataFrame([(json.dumps(tokenizer.config(), ensure_ascii=False),)], "value string")
     one.coalesce(1).write.mode(mode).text(f"{path}/config")
     write_vocabulary(spark.createDataFrame(list(tokenizer.ids.items()), "token string, id long"), f"{path}/vocab", overwrite)
+
+
+def read_tokenizer(spark: SparkSession, path: str, analyzer: Callable[[Column], Column] = regex_morphemes, **tables: Column) -> Tokenizer:
+    """The tokenizer that write_tokenizer wrote to a path; its analyzer and the tables of its word form aren't in files and are given again."""
+    found = json.loads(spark.read.text(f"{path}/config", wholetext=True).where("value <> ''").first().value)
+    normal, named = found["normalizer"], found["named_tokens"]
+    flags = {"do_strip": normal["strip"], "do_lower_case": normal["lowercase"], "do_nfkc": normal["nfkc"]}
+    vocab = found["model"]["vocab"] or None
+    return Tokenizer(vocab, found["word_form"], found["subword"], analyzer=analyzer, split_mode=found["split_mode"], tables=tables, **flags, **named)

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.encoding import Lookup
+from lexiloom.operators.wordpiece import CONTINUED, PieceTrie, train_distributed
 from lexiloom.storage import ranked
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
-UNK, CONTINUED = "[UNK]", "##"
+UNK = "[UNK]"
 MOST_WORD_CHARS = 100
+#: Distinct words up to which a vocabulary is trained on the driver, some 2 GB of it.
+MOST_LOCAL_WORDS = 4_000_000
 
 
 def word_counts(words: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -67,7 +70,7 @@ def lookup(vocab: DataFrame, unk: str = UNK) -> Lookup:
 
 
 def greedy_pieces(word: str, vocab: set[str], unk: str = UNK) -> list[str]:
-    """Longest pieces first, continuations marked; any failure makes the whole word unk."""
+    """Longest pieces first, continuations marked; any failure makes the whole word unk. What PieceTrie gives, by trying every end."""
     if len(word) > MOST_WORD_CHARS:
         return [unk]
     out, at = [], 0
@@ -84,13 +87,13 @@ def greedy_pieces(word: str, vocab: set[str], unk: str = UNK) -> list[str]:
 
 
 def wordpiece_of_words(words: DataFrame, vocab: Sequence[str], unk: str = UNK) -> DataFrame:
-    """(word) -> (word, pieces): each distinct word is split once, in vectorised batches, with the vocabulary sent to each task once."""
-    known = words.sparkSession.sparkContext.broadcast(frozenset(vocab))
+    """(word) -> (word, pieces): each distinct word is split once, in one pass over its characters, with the vocabulary's trie sent to each task once."""
+    known = words.sparkSession.sparkContext.broadcast(PieceTrie(vocab, unk, MOST_WORD_CHARS))
 
     @F.pandas_udf("array<string>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda w: greedy_pieces(w, known.value, unk))
+            yield s.map(known.value.pieces)
 
     return words.select("word").distinct().withColumn("pieces", split("word"))
 
@@ -100,15 +103,20 @@ def wordpiece(words: DataFrame, vocab: Sequence[str], order: Sequence[str] = ("d
     return words.join(wordpiece_of_words(words, vocab, unk), "word")
 
 
-def train_wordpiece(counts: DataFrame, size: int = 32000, least: int = 1, alphabet: int = 5000, specials: Sequence[str] = SPECIALS) -> list[str]:
+def train_wordpiece(
+    counts: DataFrame, size: int = 32000, least: int = 1, alphabet: int = 5000, specials: Sequence[str] = SPECIALS, most_local: int = MOST_LOCAL_WORDS
+) -> list[str]:
     """A WordPiece vocabulary from (word, freq).
 
-    Spark counts the corpus down to its distinct words, which alone come to the
-    driver; merging the most frequent neighbouring pair, over and over, is
-    sequential. Pairs are kept in an index from pair to words, so a merge touches
-    only the words that hold it. Ids: specials, kept characters by code point,
-    their continuations, then merges; ties by the pair's ids.
+    Merging the most frequent neighbouring pair, over and over, is sequential. Up to
+    most_local distinct words come to the driver, where pairs are kept in an index from
+    pair to words, so a merge touches only the words that hold it. More stay in tables
+    (operators.wordpiece), with the same vocabulary as the outcome. Ids: specials, kept
+    characters by code point, their continuations as the sorted words have them, then
+    merges; ties by the pair's ids.
     """
+    if counts.count() > most_local:
+        return train_distributed(counts, size, least, alphabet, specials)
     rows = [(r.word, r.freq) for r in counts.select("word", "freq").toLocalIterator() if r.word]
     chars: Counter = Counter()
     for w, f in rows:

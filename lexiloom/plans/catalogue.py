@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from lexiloom.functions import encoding, morphology, text
-from lexiloom.operators import analysis, datasets, documents, metrics, pretraining, qa, tokenizer, vocab
+from lexiloom.operators import analysis, datasets, documents, metrics, pretraining, qa, tokenizer, vocab, wordpiece
 from lexiloom.sources import corpus, readers, sinks
 from lexiloom.storage import checkpoint_dir, materialize
 
@@ -303,6 +304,41 @@ def wordpiece_tokens(spark, sf_dir):
     return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
 
 
+@query()
+def wordpiece_rounds(spark, sf_dir):
+    """A small vocabulary trained over all words in tables: ids and tokens. Words of three occurrences and more keep the rounds short."""
+    counts = materialize(counted(spark, sf_dir).where("freq >= 3").select("word", "freq"), "counts")
+    tokens = wordpiece.train_distributed(counts, 220, 1, 5000, vocab.SPECIALS)
+    return spark.createDataFrame(list(enumerate(tokens)), "id int, token string")
+
+
+_SPLIT = "[p for p in ['un', 'the', 'tion', 'er', 'en', 'es', 'th', 'an', 'a', 'e', 'h', 'i', 'n', 'o', 'r', 's', 't', '##tion', '##ed', '##er', '##en', '##th', '##an', '##h', '##a', '##e', '##i', '##n', '##o', '##r', '##s', '##t', '##ing']]"
+#: Pieces of a made vocabulary; most words of English prose here take several.
+PIECES = tuple(re.findall(r"'([^']+)'", _SPLIT))
+
+
+@query(
+    f"""
+WITH RECURSIVE {SENTENCES}, {_MORPHEMES}, words AS (SELECT lower(surface) AS word, count(*) AS freq FROM m GROUP BY 1), p AS (SELECT unnest({_SPLIT}) AS piece),
+cut AS (
+  SELECT word, 0 AS pos, []::VARCHAR[] AS pieces FROM words WHERE length(word) <= 100
+  UNION ALL
+  SELECT word, pos + n, list_append(pieces, piece) FROM (
+    SELECT word, pos, pieces, piece, length(replace(piece, '##', '')) AS n, max(length(replace(piece, '##', ''))) OVER (PARTITION BY word, pos) AS longest
+    FROM cut JOIN p ON (CASE WHEN pos > 0 THEN '##' ELSE '' END || substr(word, pos + 1, length(replace(piece, '##', '')))) = piece AND pos + length(replace(piece, '##', '')) <= length(word)
+  ) WHERE n = longest
+),
+done AS (SELECT words.word, freq, coalesce(pieces, ['[UNK]']) AS pieces FROM words LEFT JOIN cut ON cut.word = words.word AND pos = length(words.word))
+SELECT piece, sum(freq)::BIGINT AS n FROM (SELECT unnest(pieces) AS piece, freq FROM done) GROUP BY piece
+"""
+)
+def wordpiece_split(spark, sf_dir):
+    """Every word in the longest pieces of a made vocabulary, continuations among them."""
+    counts = materialize(counted(spark, sf_dir).select("word", "freq"), "counts")
+    rows = counts.join(vocab.wordpiece_of_words(counts, PIECES), "word").select("freq", F.explode("pieces").alias("piece"))
+    return rows.groupBy("piece").agg(F.sum("freq").alias("n"))
+
+
 @query("SELECT c_custkey AS id, CASE WHEN r <= n - held THEN 'train' WHEN r <= n - tests THEN 'dev' ELSE 'test' END AS split FROM (SELECT *, ceil(n * 2 / 10.0) AS held, ceil(ceil(n * 2 / 10.0) / 2) AS tests FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS r, count(*) OVER () AS n FROM customer))")
 def split_ratio(spark, sf_dir):
     return datasets.split_by_ratio(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id", "8/1/1")
