@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from lexiloom.functions.alignment import aligned
+
 
 def overflow_features(rows: DataFrame, question: str, context: str, offsets: str, length: int, stride: int, specials: int = 3, overlapping: bool = True) -> DataFrame:
     """A row a chunk: feature_idx, chunk and chunk_offsets of the context's tokens.
@@ -38,7 +39,7 @@ def span_labels(offsets: Column, start: Column, end: Column, shift: int | Column
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
 def token_offsets(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Where tokens stand in a text that normalization may have changed, by alignment of characters.
+    """Where tokens stand in a text that normalization may have changed, by alignment of characters (functions.alignment), in time that grows with the text's length.
 
     Tokens that align with nothing take the gap between their neighbours; special tokens are (0, 0).
     """
@@ -54,22 +55,25 @@ def _folded(s: str) -> str:
 def _aligned(text: str, tokens: list[str]) -> list[dict]:
     plain = ["" if t.startswith("[") and t.endswith("]") and len(t) > 2 else t.removeprefix("##") for t in tokens]
     joined = _folded("".join(plain))
-    place: dict[int, int] = {}
-    for a, b, n in difflib.SequenceMatcher(None, joined, _folded(text), autojunk=False).get_matching_blocks():
-        place.update({a + i: b + i for i in range(n)})
+    place = aligned(joined, _folded(text))
     spans: list[tuple[int, int] | None] = []
     at = 0
     for t in plain:
-        hits = [place[i] for i in range(at, at + len(t)) if i in place]
+        hits = [p for p in place[at : at + len(t)] if p >= 0]
         spans.append((min(hits), max(hits) + 1) if hits else None)
         at += len(t)
+    # what the nearest tokens around end and begin at, from both sides in one pass each
+    ends, begins = [0], [len(text)]
+    for span in spans:
+        ends.append(span[1] if span else ends[-1])
+    for span in reversed(spans):
+        begins.append(span[0] if span else begins[-1])
     out = []
     for k, (t, span) in enumerate(zip(plain, spans)):
         if not t:
             span = (0, 0)
         elif span is None:
-            before = next((s[1] for s in reversed(spans[:k]) if s), 0)
-            after = next((s[0] for s in spans[k + 1 :] if s), len(text))
+            before, after = ends[k], begins[len(spans) - 1 - k]
             span = (before, max(before, after))
         out.append({"start": span[0], "end": span[1]})
     return out

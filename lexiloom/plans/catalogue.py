@@ -581,6 +581,24 @@ def morpheme_spans(spark, sf_dir):
     return rows.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(F.col("pos").cast("long") * F.col("m.end")).alias("places"))
 
 
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws, list_slice(regexp_split_to_array(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]'), 1, -2) AS gaps FROM documents),
+g AS (SELECT doc_id, unnest(ws) AS w, unnest(gaps) AS gap, unnest(range(len(ws))) AS pos FROM d),
+o AS (SELECT doc_id, pos, length(w) AS n, sum(length(gap) + length(w)) OVER (PARTITION BY doc_id ORDER BY pos) - length(w) AS start FROM g),
+p AS (SELECT doc_id, pos, k, start + 3 * k AS a, start + least(n, 3 * k + 3) AS b FROM (SELECT *, unnest(range((n + 2) // 3)) AS k FROM o))
+SELECT doc_id, count(*) AS n, md5(string_agg(a::BIGINT || ':' || b::BIGINT, ',' ORDER BY pos, k)) AS offsets FROM p GROUP BY doc_id
+"""
+)
+def aligned_offsets(spark, sf_dir):
+    """Where lower-cased pieces of three characters stand in the whole texts that they come from."""
+    piece = lambda w: F.transform(F.regexp_extract_all(F.lower(w), F.lit("(?s).{1,3}"), F.lit(0)), lambda p, k: F.when(k > 0, F.concat(F.lit("##"), p)).otherwise(p))
+    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.flatten(F.transform(analysis.regex_words(F.col("text")), piece)).alias("tokens"))
+    rows = rows.select("doc_id", qa.token_offsets("text", "tokens").alias("o")).where(F.size("o") > 0)
+    joined = F.array_join(F.transform("o", lambda o: F.concat_ws(":", o["start"], o["end"])), ",")
+    return rows.select("doc_id", F.size("o").cast("long").alias("n"), F.md5(joined.cast("binary")).alias("offsets"))
+
+
 _MODES = {"a": r"\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+|_|[^\p{L}\p{N}_\s]", "b": r"[\p{L}_]+|\p{N}+|[^\p{L}\p{N}_\s]", "c": r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"}
 
 
