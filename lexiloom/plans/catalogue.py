@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from lexiloom.functions import encoding, morphology, text
-from lexiloom.operators import analysis, datasets, documents, metrics, pretraining, qa, tokenizer, vocab, wordpiece
+from lexiloom.operators import analysis, datasets, documents, lexicon, metrics, pretraining, qa, tokenizer, vocab, wordpiece
 from lexiloom.sources import corpus, readers, sinks
 from lexiloom.storage import checkpoint_dir, materialize
 
@@ -581,6 +581,36 @@ def morpheme_spans(spark, sf_dir):
     return rows.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("n"), *sums, F.sum(F.col("pos").cast("long") * F.col("m.end")).alias("places"))
 
 
+#: A made lexicon of syllables: dearer the longer, but for some.
+SYLLABLES = {w: 400 + 150 * len(w) - (350 if w in ("the", "tion", "er") else 0) for w in ("a", "e", "he", "th", "the", "er", "re", "in", "ing", "tion", "on", "ti", "an", "and", "es", "ed", "t", "n", "h")}
+_COSTS = "map {" + ", ".join(f"'{w}': {c}" for w, c in SYLLABLES.items()) + "}"
+_LONGEST = max(map(len, SYLLABLES))
+_BEFORE = "list_filter(list_transform(range(1, 5), lambda l: {'t': cs[l] + coalesce(" + _COSTS + "[substr(sentence, i + 2 - l, l)], CASE WHEN l = 1 THEN 1000 END), 'back': -l}), lambda c: c.t IS NOT NULL AND i + 1 + c.back >= 0)"
+
+
+@query(
+    f"""
+WITH RECURSIVE {SENTENCES}, walk AS (
+  SELECT doc_id, i AS k, sentence, 0::BIGINT AS i, [0::BIGINT] AS cs, [0::BIGINT] AS ns, [0::BIGINT] AS hs FROM s
+  UNION ALL
+  SELECT doc_id, k, sentence, i + 1, list_slice([CASE WHEN blank THEN cs[1] ELSE best.t END] || cs, 1, {_LONGEST}), list_slice([CASE WHEN blank THEN ns[1] ELSE ns[-best.back] + 1 END] || ns, 1, {_LONGEST}),
+    list_slice([CASE WHEN blank THEN hs[1] ELSE (hs[-best.back] * 31 + i + 1) % 1000003 END] || hs, 1, {_LONGEST})
+  FROM (SELECT *, substr(sentence, i + 1, 1) = ' ' AS blank, list_min({_BEFORE}) AS best FROM walk WHERE i < length(sentence))
+)
+SELECT doc_id, k::INT AS i, ns[1] AS n, cs[1] AS cost, hs[1] AS ends FROM walk WHERE i = length(sentence)
+"""
+)
+def lexicon_paths(spark, sf_dir):
+    """The cheapest row of syllables for every sentence: how many, at what cost, and a sum that tells their ends."""
+    entries = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(w).alias("surface"), F.lit(c).alias("cost")) for w, c in SYLLABLES.items()])))
+    analyze = lexicon.lexicon_analyzer(lexicon.lexicon_of(entries, unknown_cost=1000, group_unknown=False), entries)
+    rows = sentences(spark, sf_dir).select("doc_id", "i", analyze(F.col("sentence")).alias("m"))
+    known = F.create_map(*[F.lit(x) for pair in SYLLABLES.items() for x in pair])
+    cost = F.aggregate("m", F.lit(0).cast("long"), lambda a, m: a + F.coalesce(F.try_element_at(known, m["surface"]), F.lit(1000)))
+    ends = F.aggregate("m", F.lit(0).cast("long"), lambda a, m: (a * 31 + m["end"]) % 1000003)
+    return rows.select("doc_id", "i", F.size("m").cast("long").alias("n"), cost.alias("cost"), ends.alias("ends"))
+
+
 @query(
     rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws, list_slice(regexp_split_to_array(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]'), 1, -2) AS gaps FROM documents),
