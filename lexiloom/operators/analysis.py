@@ -80,6 +80,14 @@ def regex_morphemes(s: Column) -> Column:
     return morphemes_of(s, PIECE)
 
 
+def offsets_of(s: Column, piece: str = PIECE) -> Column:
+    """array<struct<start, end>> of a pattern's matches: the places that regex_morphemes gives, alone."""
+    gaps, found = F.split(s, piece), F.regexp_extract_all(s, F.lit(piece), F.lit(0))
+    sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: F.struct((F.char_length(g) + F.char_length(f)).alias("step"), F.char_length(f).alias("size")))
+    ends = running_sums(F.transform(sizes, lambda x: x["step"]))
+    return F.zip_with(sizes, ends, lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end")))
+
+
 #: What mode A finds in a run of word characters: small letters with the capital before them, runs of capitals, of digits, underscores.
 SHORT = r"\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+|_"
 #: What each mode finds; C is the base.
@@ -91,6 +99,23 @@ def split_morphemes(s: Column, mode: SplitMode = SplitMode.C) -> Column:
     return morphemes_of(s, PIECES[mode])
 
 
+def split_words(s: Column, mode: SplitMode = SplitMode.C) -> Column:
+    """The surfaces that split_morphemes gives, alone."""
+    return F.regexp_extract_all(s, F.lit(PIECES[mode]), F.lit(0))
+
+
+#: Word forms that an analyzer has a shorter way to than its morphemes.
+SHORT_WAYS: dict[Analyzer, dict[str, Analyzer]] = {
+    regex_morphemes: {"surface": regex_words} | dict.fromkeys(("dictionary", "normalized"), lambda s: F.transform(regex_words(s), F.lower)),
+}
+
+
+def words_in_form(analyzer: Analyzer, name: str, form: Callable[[Column], Column]) -> Analyzer:
+    """The function from a text to its words in the form of that name; only what the form needs is made."""
+    short = SHORT_WAYS.get(analyzer, {}).get(name)
+    return short or (lambda s: F.transform(analyzer(s), form))
+
+
 def lexicon_morphemes(lexicon: Column, base: Analyzer = regex_morphemes) -> Analyzer:
     """The base analyzer with forms and parts of speech from lexicon, a map from surface to struct<dictionary_form, normalized_form, reading_form, pos>.
 

@@ -8,14 +8,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions import text
 from lexiloom.functions.encoding import joined_runs
 from lexiloom.operators.analysis import regex_morphemes
-from lexiloom.storage import materialize, placed, running_total
+from lexiloom.storage import fresh, materialize, placed, running_total
 
 ARTICLE, PARAGRAPH, NEWLINE = "_START_ARTICLE_", "_START_PARAGRAPH_", "_NEWLINE_"  # fixed values: the markers of article sources
 
@@ -163,11 +163,16 @@ def document_filter(
     names: Sequence[str], least: int = 5, ng_words: Sequence[str] | None = None, analyzer: Callable[[Column], Column] = regex_morphemes
 ) -> Callable[[Column], Column]:
     """True where any of the named filters says drop; ng_words needs its list."""
+    steps = document_filters_of(names, least, ng_words, analyzer)
+    return lambda sentences: reduce(lambda a, b: a | b, [f(sentences) for f in steps], F.lit(False))
+
+
+def document_filters_of(names: Sequence[str], least: int, ng_words: Sequence[str] | None, analyzer: Callable[[Column], Column]) -> list[Callable[[Column], Column]]:
+    """The named filters, each by itself."""
     if "ng_words" in names and ng_words is None:
         raise ValueError("the filter ng_words needs a word list")
     known = {"short_document": lambda s: is_short(s, least), "script": any_script, "ng_words": lambda s: any_ng_word(s, ng_words, analyzer)}
-    steps = [text._named(known, n, "document filter") for n in names]
-    return lambda sentences: reduce(lambda a, b: a | b, [f(sentences) for f in steps], F.lit(False))
+    return [text._named(known, n, "document filter") for n in names]
 
 
 # -- the pipeline ----------------------------------------------------------------
@@ -198,10 +203,37 @@ def clean(
     return docs.where(~drop(F.col("sentences"))) if document_filters else docs
 
 
-def counts_before_and_after(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: documents before and after cleaning."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(before, "n_before").join(one(after, "n_after"))
+def _judged(docs: DataFrame, document_filters: Sequence[str], least_sentences: int, ng_words: Sequence[str] | None, analyzer: Callable[[Column], Column], **shape) -> tuple[DataFrame, Column, list[Column]]:
+    """docs as clean() shapes them, with one array that holds each document filter's answer; the column that keeps, and the counts."""
+    answers = fresh(docs, "answers")
+    size = fresh(docs, "size before")
+    shaped = clean(docs.withColumn(size, F.size("sentences").cast("long")), **shape)
+    steps = document_filters_of(document_filters, least_sentences, ng_words, analyzer)
+    drops = F.array(*[F.coalesce(f(F.col("sentences")), F.lit(False)) for f in steps]) if steps else F.array().cast("array<boolean>")
+    shaped = shaped.withColumn(answers, drops)
+    kept = ~F.array_contains(answers, True)
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    counts = [F.count(F.lit(1)).alias("n_before"), total(kept.cast("long"), "n_after")]
+    counts += [total(F.get(answers, F.lit(i)).cast("long"), f"n_{name}") for i, name in enumerate(document_filters)]
+    counts += [total(F.col(size), "n_sentences_before"), total(F.when(kept, F.size("sentences")), "n_sentences_after")]
+    return shaped, kept, counts
+
+
+def clean_counts(docs: DataFrame, document_filters: Sequence[str] = (), least_sentences: int = 5, ng_words: Sequence[str] | None = None, analyzer: Callable[[Column], Column] = regex_morphemes, **shape) -> DataFrame:
+    """One row about what clean() does with these settings, from one pass over docs.
+
+    n_before and n_after count documents, n_<filter> those that each document filter
+    would drop, whatever others say of them, n_sentences_before and n_sentences_after
+    the sentences of all documents and of those kept.
+    """
+    shaped, _, counts = _judged(docs, document_filters, least_sentences, ng_words, analyzer, **shape)
+    return shaped.agg(*counts)
+
+
+def clean_observed(docs: DataFrame, observation: Observation, document_filters: Sequence[str] = (), least_sentences: int = 5, ng_words: Sequence[str] | None = None, analyzer: Callable[[Column], Column] = regex_morphemes, **shape) -> DataFrame:
+    """clean(), whose counts (see clean_counts) are in observation.get once the result has been written or otherwise used: no second pass."""
+    shaped, kept, counts = _judged(docs, document_filters, least_sentences, ng_words, analyzer, **shape)
+    return shaped.observe(observation, *counts).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def shard_ids(docs: DataFrame, key: str, lines_per_shard: int, sentences: str = "sentences") -> DataFrame:
@@ -220,8 +252,9 @@ def shard_ids(docs: DataFrame, key: str, lines_per_shard: int, sentences: str =
     # A document's shard is one more than the number of cuts before its end; a cut at its own end comes after it.
     both = ends.select("key", F.col("end").alias("at"), F.lit(0).cast("long").alias("cut")).union(cuts.select(F.lit(None), "end", F.lit(1).cast("long")))
     numbered = running_total(both, ["at", "cut"], "cut", "before", "shards").where("cut = 0")
-    named = numbered.select(F.col("key").alias("of"), (F.col("before") + 1).alias("shard_id"))
-    return docs.join(named, docs[key] == named["of"]).drop("of")
+    of = fresh(docs, "of")
+    named = numbered.select(F.col("key").alias(of), (F.col("before") + 1).alias("shard_id"))
+    return docs.join(named, docs[key] == named[of]).drop(of)
 
 
 def closing_ends(ends: DataFrame, lines_per_shard: int) -> DataFrame:

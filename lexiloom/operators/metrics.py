@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +55,23 @@ def answer_characters(s: Column) -> Column:
     return F.filter(F.split(answer_text(s), ""), lambda c: c != "")
 
 
-@F.pandas_udf(T.IntegerType())
-def common_parts(a: pd.Series, b: pd.Series) -> pd.Series:
-    """How many parts two bags share - strings, of characters, or arrays -, each as often as both have it; two counts and a minimum, whatever the bags' sizes."""
-    return pd.Series([None if x is None or y is None else (Counter(x) & Counter(y)).total() for x, y in zip(a, b)], dtype="Int32")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("same", "a", "b")]))
+def common_parts(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """How many parts two bags share - strings, of characters, or arrays -, each as often as both have it, and how many each has."""
+    found = [(None, None, None) if x is None or y is None else (_shared(x, y), len(x), len(y)) for x, y in zip(a, b)]
+    return pd.DataFrame(found, columns=["same", "a", "b"], dtype="Int32")
+
+
+def _shared(a: str | Sequence, b: str | Sequence) -> int:
+    if not isinstance(a, str):
+        return (Counter(a) & Counter(b)).total()
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+    if not len(x) or not len(y):
+        return 0
+    size = int(max(x.max(), y.max())) + 1
+    if size <= len(x) + len(y) + 1024:  # counts by code point, where there aren't many more of these than characters
+        return int(np.minimum(np.bincount(x, minlength=size), np.bincount(y, minlength=size)).sum())
+    return (Counter(a) & Counter(b)).total()
 
 
 def exact_match(gold: Column, predicted: Column, parts: Callable[[Column], Column] = answer_words) -> Column:
@@ -67,12 +81,12 @@ def exact_match(gold: Column, predicted: Column, parts: Callable[[Column], Colum
 def overlap_f1(gold: Column, predicted: Column, parts: Callable[[Column], Column] = answer_words) -> Column:
     """F1 of two bags of parts; where either is empty, whether both are."""
     whole = parts is answer_characters  # a text stands for the bag of its characters
-    a, b = (answer_text(gold), answer_text(predicted)) if whole else (parts(gold), parts(predicted))
-    size = F.char_length if whole else F.size
-    same = common_parts(a, b)
-    precision, recall = same / size(b), same / size(a)
-    empty = (size(a) == 0) | (size(b) == 0)
-    return F.when(empty, (size(a) == size(b)).cast("double")).when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
+    bags = (answer_text(gold), answer_text(predicted)) if whole else (parts(gold), parts(predicted))
+    found = common_parts(*bags)  # sizes come along: no bag is made twice
+    same, a, b = found["same"], found["a"], found["b"]
+    precision, recall = same / b, same / a
+    empty = (a == 0) | (b == 0)
+    return F.when(empty, (a == b).cast("double")).when(same == 0, 0.0).otherwise(2 * precision * recall / (precision + recall))
 
 
 def summary(rows: DataFrame, keys: Sequence[str], stage: str, stages: Sequence[str], metrics: Sequence[str]) -> DataFrame:

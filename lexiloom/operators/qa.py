@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexiloom.functions.alignment import aligned
+from lexiloom.storage import fresh
 
 
 def overflow_features(rows: DataFrame, question: str, context: str, offsets: str, length: int, stride: int, specials: int = 3, overlapping: bool = True) -> DataFrame:
@@ -23,9 +24,12 @@ def overflow_features(rows: DataFrame, question: str, context: str, offsets: str
     step = room - stride
     size = F.size(context)
     last = F.greatest(F.ceil((size - room) / step).cast("int"), F.lit(0)) if overlapping else F.lit(0)
-    out = rows.withColumn("__room", room).withColumn("__step", step).withColumn("feature_idx", F.explode(F.sequence(F.lit(0), last)))
-    first = F.col("feature_idx") * F.col("__step") + 1
-    return out.withColumn("chunk", F.slice(context, first, F.col("__room"))).withColumn("chunk_offsets", F.slice(offsets, first, F.col("__room"))).drop("__room", "__step")
+    first = lambda i: i * step + 1
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.slice(context, first(i), room).alias("chunk"), F.slice(offsets, first(i), room).alias("chunk_offsets")))
+    # each chunk is cut before it becomes a row: no row takes the whole context along unless it is asked for
+    found = fresh(rows, "cut")
+    out = rows.select("*", F.posexplode(cut).alias("feature_idx", found))
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], "feature_idx", F.col(found)["chunk"].alias("chunk"), F.col(found)["chunk_offsets"].alias("chunk_offsets"))
 
 
 def span_labels(offsets: Column, start: Column, end: Column, shift: int | Column = 0, cls: int = 0) -> Column:
@@ -89,14 +93,12 @@ def answers(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_leng
     example's features. chosen is the best text, or empty where null wins by more
     than the threshold. Ties stand by start and end.
     """
-    by_feature = Window.partitionBy("id", "feature_idx")
-
     def best(logits: str, at: str) -> DataFrame:
-        # Each token takes its own logit and offsets along, not the feature's arrays.
-        tokens = F.arrays_zip(F.col(logits).alias("logit"), F.col("offsets").alias("place"))
-        rows = features.select("id", "feature_idx", F.posexplode(tokens).alias(at, "token"))
-        rows = rows.select("id", "feature_idx", at, F.col("token.logit").alias(f"{at}l"), F.col("token.place").alias(f"{at}_place"))
-        return rows.withColumn("place", F.row_number().over(by_feature.orderBy(F.desc(f"{at}l"), at))).where(F.col("place") <= n_best).drop("place")
+        # The best of a feature are taken within its row; each takes its own logit and place along.
+        tokens = F.transform(F.arrays_zip(F.col(logits).alias("logit"), F.col("offsets").alias("place")), lambda x, i: F.struct((-x["logit"]).alias("order"), i.alias("at"), x["logit"].alias("logit"), x["place"].alias("place")))
+        top = F.slice(F.array_sort(F.filter(tokens, lambda x: x["logit"].isNotNull())), F.lit(1), F.lit(n_best))
+        rows = features.select("id", "feature_idx", F.explode(top).alias("token"))
+        return rows.select("id", "feature_idx", F.col("token.at").alias(at), F.col("token.logit").alias(f"{at}l"), F.col("token.place").alias(f"{at}_place"))
 
     starts, ends = best("start_logits", "s"), best("end_logits", "e")
     pairs = starts.join(ends, ["id", "feature_idx"]).where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") + 1 <= max_length))

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lexiloom.functions import encoding, morphology, text
 from lexiloom.functions.encoding import Lookup
-from lexiloom.operators.analysis import in_mode, regex_morphemes
+from lexiloom.operators.analysis import in_mode, regex_morphemes, words_in_form
 from lexiloom.operators.vocab import MOST_WORD_CHARS, SPECIALS
 from lexiloom.operators.wordpiece import CONTINUED, PieceTrie
 from lexiloom.storage import fresh
@@ -81,7 +81,7 @@ class Tokenizer:
 
     def words(self, s: Column) -> Column:
         tidy = text.input_normalizer(self.do_strip, self.do_lower_case, self.do_nfkc)
-        return F.transform(self.analyze(tidy(s)), self.form)
+        return words_in_form(self.analyze, self.word_form, self.form)(tidy(s))
 
     def tokens(self, s: Column) -> Column:
         if self.subword == "none":
@@ -94,18 +94,24 @@ class Tokenizer:
         found = self.analyze(tidy(s))
         return encoding.pos_substituted(F.transform(found, self.form), found, self.lookup)
 
-    def _pieces(self, words: Column) -> Column:
+    def token_ids(self, s: Column) -> Column:
+        """The ids of a text's tokens; words become ids in one step where pieces are asked for."""
+        return self._pieces(self.words(s), self.ids) if self.subword == "wordpiece" else self.lookup.ids(self.tokens(s))
+
+    def _pieces(self, words: Column, ids: Mapping[str, int] | None = None) -> Column:
+        """The pieces of an array of words, or their ids; a task works out each word once, up to REMEMBERED of them."""
         trie = PieceTrie(list(self.ids), self.unk, MOST_WORD_CHARS)
 
-        @F.pandas_udf(T.ArrayType(T.StringType()))
+        @F.pandas_udf(T.ArrayType(T.StringType() if ids is None else T.IntegerType()))
         def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            memory: dict[str, list[str]] = {}
+            memory: dict[str, list] = {}
 
-            def pieces(w: str) -> list[str]:
+            def pieces(w: str) -> list:
                 if w not in memory:
                     if len(memory) > REMEMBERED:
                         memory.clear()
-                    memory[w] = [] if not w.strip() else trie.pieces(w)
+                    found = [] if not w.strip() else trie.pieces(w)
+                    memory[w] = found if ids is None else [ids[p] for p in found]
                 return memory[w]
 
             for rows in batches:
@@ -124,9 +130,9 @@ class Tokenizer:
                 raise ValueError(f"the vocabulary lacks {name}")
         first_ids, second_ids = fresh(rows, "first_ids"), fresh(rows, "second_ids")
         names = rows.columns
-        rows = rows.withColumn(first_ids, self.lookup.ids(self.tokens(F.col(a))))
+        rows = rows.withColumn(first_ids, self.token_ids(F.col(a)))
         if b is not None:
-            rows = rows.withColumn(second_ids, self.lookup.ids(self.tokens(F.col(b))))
+            rows = rows.withColumn(second_ids, self.token_ids(F.col(b)))
         first, second = F.col(first_ids), None if b is None else F.col(second_ids)
         if max_length is not None:
             first, second = (F.slice(first, 1, max_length - 2), None) if second is None else fitting(first, second, max_length - 3)

@@ -62,15 +62,17 @@ def clean_flagship(spark, sf_dir):
 
 
 @query(
-    """
-SELECT (SELECT count(*) FROM documents) AS n_before, (SELECT count(*) FROM (
-  SELECT doc_id FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id
-  HAVING count(*) FILTER (WHERE length(x) BETWEEN 10 AND 200) >= 5)) AS n_after
+    rf"""
+WITH {SENTENCES}, d AS (
+  SELECT doc_id, count(*) AS n_all, count(*) FILTER (WHERE length(sentence) BETWEEN 10 AND 200) AS n, bool_or(length(sentence) BETWEEN 10 AND 200 AND regexp_matches(sentence, '[{{|}}]')) AS script FROM s GROUP BY doc_id
+)
+SELECT count(*) AS n_before, count(*) FILTER (WHERE n >= 5 AND NOT script) AS n_after, count(*) FILTER (WHERE n < 5) AS n_short_document, count(*) FILTER (WHERE script) AS n_script,
+  sum(n_all)::BIGINT AS n_sentences_before, coalesce(sum(n) FILTER (WHERE n >= 5 AND NOT script), 0)::BIGINT AS n_sentences_after FROM d
 """
 )
 def clean_counts(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return documents.counts_before_and_after(rows, documents.clean(rows, sentence_filters=["sequence_length"], document_filters=["short_document"]))
+    """What each filter drops, and what stays, from one pass over the documents."""
+    return documents.clean_counts(docs(spark, sf_dir), ["short_document", "script"], sentence_filters=["sequence_length"])
 
 
 @query(rf"WITH u AS (SELECT url AS x FROM pages UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents) SELECT regexp_matches(x, '(https?|sftp?)://[{RE2_WORD}/:%#$&?()~.=+\-]+') AS has_url, count(*) AS n, sum(length(x))::BIGINT AS chars FROM u GROUP BY 1")
@@ -635,7 +637,7 @@ _MODES = {"a": r"\p{Lu}?[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+|\p{Lu}+|\p{N}+|_|[^\p{L}\p{N
 @query("WITH w AS (SELECT doc_id, " + ", ".join(f"regexp_extract_all(text, '{p}') AS {m}" for m, p in _MODES.items()) + " FROM documents) SELECT doc_id, " + ", ".join(f"len({m}) AS n_{m}, md5(array_to_string({m}, ' ')) AS {m}" for m in _MODES) + " FROM w")
 def split_modes(spark, sf_dir):
     """Units of whole texts, short, middle and long."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", *[F.transform(analysis.in_mode(analysis.split_morphemes, m)(F.col("text")), lambda x: x["surface"]).alias(m) for m in _MODES])
+    rows = read(spark, sf_dir, "documents").select("doc_id", *[analysis.split_words(F.col("text"), analysis.split_mode(m)).alias(m) for m in _MODES])
     parts = [(F.size(m).cast("long").alias(f"n_{m}"), F.md5(F.array_join(m, " ").cast("binary")).alias(m)) for m in _MODES]
     return rows.select("doc_id", *[c for pair in parts for c in pair])
 
@@ -874,7 +876,7 @@ SELECT doc_id, k::INT AS feature_idx, CASE WHEN 40 >= first AND 60 <= last THEN
 )
 def span_labels(spark, sf_dir):
     """Characters 40 to 60 of every text as the answer: its first and last token in each overlapping chunk."""
-    found = F.transform(analysis.regex_morphemes(F.col("text")), lambda m: F.struct(m["begin"].alias("start"), m["end"].alias("end")))
+    found = analysis.offsets_of(F.col("text"))
     rows = read(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("what"), F.lit("?")).alias("q"), found.alias("o")).where(F.size("o") > 0)
     out = qa.overflow_features(rows, "q", "o", "o", length=64, stride=20)
     label = qa.span_labels(F.col("chunk_offsets"), F.lit(40), F.lit(60), shift=3)

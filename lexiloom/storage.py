@@ -11,11 +11,11 @@ from pyspark.sql.window import Window
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; only where that is unset, one in the warehouse, which a cluster's machines share too."""
+    """The shared folder named by spark.checkpoint.dir; where that is unset, the one that the context was given; where there is none, one in the warehouse is set, which a cluster's machines share too."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lexiloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/lexiloom-checkpoints")
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
