@@ -62,16 +62,34 @@ def conjugated(m: Column, rules: Column, types: Column) -> Column:
     form, the form falls back to its general kind. The first rule whose source
     ends the word replaces that ending; no rule leaves the word.
     """
-    pos, word = m["pos"], m["normalized_form"]
-    key = lambda kind, form: F.concat_ws("|", level(pos, 0), kind, form)
-    changed = F.try_element_at(types, F.concat_ws("|", level(pos, 0), m["surface"], m["reading_form"], word, level(pos, 4)))
-    general = F.concat(F.substring_index(level(pos, 5), "-", 1), F.lit("-" + GENERAL))
-    same = F.try_element_at(rules, key(changed, level(pos, 5)))
-    form = F.when(changed.isNull() | same.isNotNull(), level(pos, 5)).otherwise(general)
-    found = F.try_element_at(rules, key(F.coalesce(changed, level(pos, 4)), form))
+    changed = F.try_element_at(types, type_key(m))
+    same = F.try_element_at(rules, rule_key(m, changed, level(m["pos"], 5)))
+    kind, form = kind_and_form(m, changed, same)
+    return inflected(m, changed, form, F.try_element_at(rules, rule_key(m, kind, form)))
+
+
+def type_key(m: Column) -> Column:
+    """What a change of type is listed under."""
+    return F.concat_ws("|", level(m["pos"], 0), m["surface"], m["reading_form"], m["normalized_form"], level(m["pos"], 4))
+
+
+def rule_key(m: Column, kind: Column, form: Column) -> Column:
+    """What rules are listed under."""
+    return F.concat_ws("|", level(m["pos"], 0), kind, form)
+
+
+def kind_and_form(m: Column, changed: Column, same: Column) -> tuple[Column, Column]:
+    """The type and form to inflect to; same: the rules of the changed type and the morpheme's own form, null where there are none."""
+    general = F.concat(F.substring_index(level(m["pos"], 5), "-", 1), F.lit("-" + GENERAL))
+    return F.coalesce(changed, level(m["pos"], 4)), F.when(changed.isNull() | same.isNotNull(), level(m["pos"], 5)).otherwise(general)
+
+
+def inflected(m: Column, changed: Column, form: Column, found: Column) -> Column:
+    """The normalized form by the first rule found whose source ends it."""
+    word = m["normalized_form"]
     fitting = F.get(F.filter(F.coalesce(found, F.array().cast("array<struct<src:string,tgt:string>>")), lambda r: word.endswith(r["src"])), F.lit(0))
     replaced = F.concat(F.substring(word, F.lit(1), F.char_length(word) - F.char_length(fitting["src"])), fitting["tgt"])
-    return F.when(~needs_inflection(pos) | (form == END_FORM) & changed.isNotNull() | fitting.isNull(), word).otherwise(replaced)
+    return F.when(~needs_inflection(m["pos"]) | (form == END_FORM) & changed.isNotNull() | fitting.isNull(), word).otherwise(replaced)
 
 
 def _either(conjugates: Callable[[Column], Column], other: str) -> Callable[[Column], Column]:

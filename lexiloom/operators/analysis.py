@@ -14,11 +14,13 @@ from enum import Enum
 from functools import partial
 from inspect import signature
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions import morphology
 from lexiloom.functions.encoding import running_sums
 from lexiloom.functions.text import WORD
+from lexiloom.storage import fresh
 
 MORPHEMES = "array<struct<surface:string,dictionary_form:string,normalized_form:string,reading_form:string,pos:array<string>,begin:int,end:int>>"
 PIECE = rf"[{WORD}]+|[^{WORD}\s]"
@@ -131,3 +133,29 @@ def lexicon_morphemes(lexicon: Column, base: Analyzer = regex_morphemes) -> Anal
         return F.transform(base(s), known)
 
     return apply
+
+
+def conjugated_by_tables(rows: DataFrame, rules: DataFrame, types: DataFrame, morpheme: str = "m", name: str = "form") -> DataFrame:
+    """rows with `name`, what morphology.conjugated() gives for a column of one morpheme each, by tables of any size.
+
+    rules: (class, key, value), value array<struct<src, tgt>>; types: (class, key, value),
+    value a type; as readers.rule_table gives them, a class and key once each. Keys meet
+    in joins, which Spark broadcasts as far as their sizes allow; only morphemes that
+    need an inflection look for a type. Other columns stay, but for one called `name`.
+    """
+    kept = [c for c in rows.columns if c != name]
+    own, same, found = (fresh(rows, x) for x in ("changed type", "same rules", "rules found"))
+    key = fresh(rows, "key of")
+    m = F.col(f"`{morpheme}`")
+
+    def met(df: DataFrame, where: Column, table: DataFrame, value: str) -> DataFrame:
+        listed = table.select(F.concat_ws("|", "class", "key").alias(key), F.col("value").alias(value))
+        asked = df.withColumn(key + "_", where)
+        return asked.join(listed, F.col(f"`{key}_`") == F.col(f"`{key}`"), "left").drop(key, key + "_")
+
+    out = met(rows, F.when(morphology.needs_inflection(m["pos"]), morphology.type_key(m)), types, own)
+    changed = F.col(f"`{own}`")
+    out = met(out, F.when(changed.isNotNull(), morphology.rule_key(m, changed, morphology.level(m["pos"], 5))), rules, same)
+    kind, form = morphology.kind_and_form(m, changed, F.col(f"`{same}`"))
+    out = met(out, F.when(morphology.needs_inflection(m["pos"]), morphology.rule_key(m, kind, form)), rules, found)
+    return out.select(*[F.col(f"`{c}`") for c in kept], morphology.inflected(m, changed, form, F.col(f"`{found}`")).alias(name))

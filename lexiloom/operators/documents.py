@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexiloom.functions import text
+from lexiloom.functions import text, wordlist
 from lexiloom.functions.encoding import joined_runs
 from lexiloom.operators.analysis import regex_morphemes
 from lexiloom.storage import fresh, materialize, placed, running_total
@@ -127,8 +127,13 @@ def has_ng_word(sentence: Column, morphemes: Column, words: Sequence[str]) -> Co
     """Whether a match of the word list spans exactly one morpheme.
 
     Matches are leftmost and don't overlap, so a longer listed word can hide a
-    shorter one. Offsets of matches come from the text between them.
+    shorter one. A list of literal words is found by an automaton, at the cost of a
+    short one however long it is; where an entry is a pattern, the whole list is one,
+    and offsets of matches come from the text between them.
     """
+    own = F.transform(morphemes, lambda m: F.struct(m["begin"].cast("int").alias("begin"), m["end"].cast("int").alias("end")))
+    if wordlist.are_literal(words):
+        return F.coalesce(F.arrays_overlap(wordlist.listed_spans(sentence, words), own), F.lit(False))
     pattern = ng_pattern(words)
     gaps, found = F.split(sentence, pattern), F.regexp_extract_all(sentence, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("out"))
@@ -141,14 +146,14 @@ def has_ng_word(sentence: Column, morphemes: Column, words: Sequence[str]) -> Co
         return F.struct(end.alias("at"), F.when(p["size"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
     spans = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    own = F.transform(morphemes, lambda m: F.struct(m["begin"].cast("int").alias("begin"), m["end"].cast("int").alias("end")))
     return sentence.rlike(pattern) & F.arrays_overlap(spans, own)
 
 
 def any_ng_word(sentences: Column, words: Sequence[str], analyzer: Callable[[Column], Column] = regex_morphemes) -> Column:
-    """Whether any sentence has a listed word as one morpheme; words don't match line breaks. Only documents in which the pattern matches at all are analysed."""
+    """Whether any sentence has a listed word as one morpheme; words don't match line breaks. Only documents in which a listed word is found at all are analysed."""
     joined = F.array_join(sentences, "\n")
-    worth = F.when(joined.rlike(ng_pattern(words)), joined).otherwise("")
+    met = F.size(wordlist.listed_spans(joined, words)) > 0 if wordlist.are_literal(words) else joined.rlike(ng_pattern(words))
+    worth = F.when(met, joined).otherwise("")
     return has_ng_word(worth, analyzer(worth), words)
 
 
@@ -231,7 +236,10 @@ def clean_counts(docs: DataFrame, document_filters: Sequence[str] = (), least_se
 
 
 def clean_observed(docs: DataFrame, observation: Observation, document_filters: Sequence[str] = (), least_sentences: int = 5, ng_words: Sequence[str] | None = None, analyzer: Callable[[Column], Column] = regex_morphemes, **shape) -> DataFrame:
-    """clean(), whose counts (see clean_counts) are in observation.get once the result has been written or otherwise used: no second pass."""
+    """clean(), whose counts (see clean_counts) are in observation.get once the result has been written or otherwise used: no second pass.
+
+    What reads the result twice, as a sort by ranges does, counts twice.
+    """
     shaped, kept, counts = _judged(docs, document_filters, least_sentences, ng_words, analyzer, **shape)
     return shaped.observe(observation, *counts).where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 

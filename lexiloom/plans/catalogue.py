@@ -483,9 +483,11 @@ def qa_features(spark, sf_dir):
     return out.select("doc_id", "feature_idx", F.size("chunk").alias("n"))
 
 
-@query("SELECT b.x || '_' || l.x || '_' || e.x AS setting FROM (VALUES (16), (32)) b(x), (VALUES ('5e-5'), ('3e-5'), ('2e-5')) l(x), (VALUES (3), (4), (5)) e(x)")
+@query("SELECT p.o_orderpriority || '_' || r.r_name || '_' || n.l_linenumber AS setting FROM (SELECT DISTINCT o_orderpriority FROM orders) p, region r, (SELECT DISTINCT l_linenumber FROM lineitem) n")
 def parameter_grid(spark, sf_dir):
-    grid = datasets.parameter_grid(spark, batch=(16, 32), rate=("5e-5", "3e-5", "2e-5"), epochs=(3, 4, 5))
+    """Every combination of three tables' few values."""
+    values = lambda name, c: [r[0] for r in read(spark, sf_dir, name).select(c).distinct().orderBy(c).collect()]
+    grid = datasets.parameter_grid(spark, batch=values("orders", "o_orderpriority"), rate=values("region", "r_name"), epochs=values("lineitem", "l_linenumber"))
     return grid.select(F.concat_ws("_", "batch", "rate", "epochs").alias("setting"))
 
 
@@ -550,15 +552,16 @@ def conjugated_forms(spark, sf_dir):
 @query(
     f"""WITH {_FORMS} SELECT id, CASE WHEN NOT needs THEN norm WHEN c0 = '動詞' AND c4 = 'サ行変格' AND c5 IN ('連用形-一般', '仮定形-一般', '*') THEN
   CASE c5 WHEN '連用形-一般' THEN left(norm, -1) || 'り' ELSE norm END WHEN c0 = '動詞' AND c4 = '五段' AND c5 = '連用形-一般' THEN left(norm, -1) || 'り' ELSE norm END AS form
-FROM p WHERE NOT (c0 = '動詞' AND c5 = '終止形-一般')"""
+FROM p"""
 )
 def conjugated_types(spark, sf_dir):
-    """Verbs of one type that conjugate as another; where that lacks a form, its general kind."""
-    parts = read(spark, sf_dir, "part").where("p_size % 12 = 0").select("p_name", "p_type").distinct().orderBy("p_name", "p_type").collect()
-    types = {"動詞": {f"{r.p_name}Ａ１|{r.p_name}|{r.p_type}る|サ行変格": "五段" for r in parts}}  # as many as there are names and types
-    rows = made_morphemes(spark, sf_dir).where(~((F.col("m")[0]["pos"][0] == "動詞") & (F.col("m")[0]["pos"][5] == "終止形-一般")))
-    rules = morphology.inflection_rules({"動詞": {"五段|連用形-一般": [["る", "り"]]}})
-    return rows.select("id", morphology.word_forms(F.col("m"), "normalized_conjugation", rules=rules, types=morphology.conjugation_types(types))[0].alias("form"))
+    """Verbs of one type that conjugate as another, by a table with an entry for every name and type; where that lacks a form, its general kind."""
+    parts = read(spark, sf_dir, "part").select("p_name", "p_type").distinct()
+    key = F.concat_ws("|", F.concat("p_name", F.lit("Ａ１")), "p_name", F.concat("p_type", F.lit("る")), F.lit("サ行変格"))
+    types = parts.select(F.lit("動詞").alias("class"), key.alias("key"), F.lit("五段").alias("value"))
+    rules = spark.range(1).selectExpr("'動詞' AS class", "'五段|連用形-一般' AS key", "array(named_struct('src', 'る', 'tgt', 'り')) AS value")
+    rows = made_morphemes(spark, sf_dir).select("id", F.col("m")[0].alias("m"))
+    return analysis.conjugated_by_tables(rows, rules, types).select("id", "form")
 
 
 @query(f"WITH {_FORMS} SELECT conj, c5 = '*' AS plain, needs, count(*) AS n FROM p GROUP BY ALL")
@@ -767,12 +770,15 @@ def tokenizer_ids(spark, sf_dir):
     return found.select("doc_id", "i", F.array_join("input_ids", ",").alias("input_ids"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("attended"))
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, list_position(['de', 'en', 'es', 'fr'], lang)::BIGINT - 1 AS label_id, least(len(ws), 14) + 2 AS n FROM documents JOIN w USING (doc_id)")
+@query(
+    f"""WITH {_WORDS} SELECT doc_id, list_position(['de', 'en', 'es', 'fr'], lang)::BIGINT - 1 AS label_id,
+  array_to_string([2] || list_transform(ws[1:14], lambda x: CASE lower(x) WHEN 'the' THEN 5 WHEN 'la' THEN 6 ELSE 1 END) || [3], ',') AS ids, least(len(ws), 14) + 2 AS n FROM documents JOIN w USING (doc_id)"""
+)
 def class_features(spark, sf_dir):
     known = tokenizer.Tokenizer([*vocab.SPECIALS, "the", "la"], word_form="normalized")
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = tokenizer.classification_features(rows, known, ["text"], "lang", ["de", "en", "es", "fr"], max_length=16)
-    return found.select("doc_id", F.col("label_id").cast("long").alias("label_id"), F.size("input_ids").cast("long").alias("n"))
+    return found.select("doc_id", F.col("label_id").cast("long").alias("label_id"), F.array_join("input_ids", ",").alias("ids"), F.size("input_ids").cast("long").alias("n"))
 
 
 @query(
@@ -1016,18 +1022,25 @@ def article_ranges(spark, sf_dir):
     return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT word, count(*) AS n FROM (VALUES {', '.join(f'({w!r})' for w in LISTED)}) v(word) GROUP BY word")
+@query("SELECT source AS word, count(*) AS n FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL GROUP BY source")
 def word_list_files(spark, sf_dir):
+    """Names on lines with white space after them, blank lines between, written and read."""
     path = folder(spark)
-    ends = F.array(*[F.lit(w + end) for w, end in zip([*LISTED, "", ""], ["\t ", "　", "", " ", "\t"])])
-    spark.range(1).select(F.explode(ends).alias("value")).write.text(path)
+    ends = F.element_at(F.array(*map(F.lit, ("\t ", "　", "", " "))), (F.col("doc_id") % 4 + 1).cast("int"))
+    line = F.when(F.col("doc_id") % 7 == 0, ends).otherwise(F.concat("source", ends))
+    read(spark, sf_dir, "documents").select(F.coalesce(line, F.lit("")).alias("value")).write.text(path)
     return readers.word_list(spark, path).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('V', 't|f', 'a>b'), ('V', 't|g', '>'), ('A', 'x|f', 'c>')) v(class, key, rules)")
+@query("SELECT p_brand AS class, p_type AS key, string_agg(p_size || '>' || p_brand, ',' ORDER BY p_size) AS rules FROM (SELECT DISTINCT p_brand, p_type, p_size FROM part) GROUP BY p_brand, p_type")
 def rule_files(spark, sf_dir):
+    """A nested table of rules, by brand and type, written as one JSON document and read."""
     path = folder(spark)
-    spark.range(1).select(F.lit('{"V": {"t|f": [["a", "b"]], "t|g": [["", ""]]}, "A": {"x|f": [["c", ""]]}}').alias("value")).write.text(path)
+    inner = read(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
+    inner = inner.select("p_brand", F.struct(F.col("p_type"), F.transform("sizes", lambda n: F.array(n.cast("string"), F.col("p_brand"))).alias("rules")).alias("e"))
+    outer = inner.groupBy("p_brand").agg(F.map_from_entries(F.collect_list("e")).alias("rules"))
+    one = outer.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "rules")))).alias("value"))  # a rule table is as large as its classes and keys
+    one.coalesce(1).write.text(path)
     rows = readers.rule_table(spark, f"{path}/part-*", "array<array<string>>").where("class IS NOT NULL")
     return rows.select("class", "key", F.array_join(F.transform("value", lambda r: F.concat_ws(">", r)), ",").alias("rules"))
 
@@ -1065,16 +1078,21 @@ def norm_sequence(spark, sf_dir):
     return sentences(spark, sf_dir).select("doc_id", "i", F.md5(both(dirty).cast("binary")).alias("digest"))
 
 
+_IDS = rf"list_transform(regexp_extract_all(COLUMN, '[{RE2_WORD}]+|[^{RE2_WORD}\s]'), lambda x: CASE x WHEN 'red' THEN 5 WHEN 'small' THEN 6 ELSE 1 END)"
+
+
 @query(
-    rf"""WITH w AS (SELECT p_partkey AS id, len(regexp_extract_all(p_name, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS a, len(regexp_extract_all(p_brand, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS b, len(regexp_extract_all(p_type, '[{RE2_WORD}]+|[^{RE2_WORD}\s]')) AS c FROM part)
-SELECT id, a + b + 3 AS n_0, a + c + 3 AS n_1 FROM w"""
+    f"""WITH w AS (SELECT p_partkey AS id, {_IDS.replace('COLUMN', 'p_name')} AS a, {_IDS.replace('COLUMN', 'p_brand')} AS b, {_IDS.replace('COLUMN', 'p_type')} AS c FROM part)
+SELECT id, array_to_string([2] || a || [3] || b || [3], ',') AS ids_0, array_to_string([2] || a || [3] || c || [3], ',') AS ids_1,
+  repeat('0', len(a) + 2) || repeat('1', len(c) + 1) AS types_1 FROM w"""
 )
 def choice_features(spark, sf_dir):
     """Two choices a question, each encoded with its context."""
     known = tokenizer.Tokenizer([*vocab.SPECIALS, "red", "small"])
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("context"), F.col("p_brand").alias("choice_0"), F.col("p_type").alias("choice_1"))
     out = tokenizer.choice_features(rows, known, ["id"], ["choice_0", "choice_1"], max_length=64)
-    return out.select("id", *[F.size(F.col("input_ids")[i]).cast("long").alias(f"n_{i}") for i in range(2)])
+    ids = [F.array_join(F.col("input_ids")[i], ",").alias(f"ids_{i}") for i in range(2)]
+    return out.select("id", *ids, F.array_join(F.col("token_type_ids")[1], "").alias("types_1"))
 
 
 #: Sequences of the masked examples: their length, and what they ask for at most.
@@ -1086,7 +1104,7 @@ _PIECES = "flatten(list_transform(ws, lambda w: list_transform(regexp_extract_al
 @query(
     f"""
 WITH RECURSIVE {SENTENCES}, {_VOCAB}, ids AS (SELECT token, max(id) AS id FROM v GROUP BY token), n_ids AS (SELECT max(id) + 1 AS n_ids FROM v),
-p AS (SELECT doc_id, i, {_PIECES} AS ts FROM (SELECT *, regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM s)),
+p AS (SELECT doc_id, i, {_PIECES} AS ts FROM (SELECT *, regexp_extract_all(sentence, '[{RE2_WORD}]+|[^{RE2_WORD}\\s]') AS ws FROM s)),
 placed AS (
   SELECT doc_id, i, len(ts) AS n, 0::BIGINT AS c, 0::BIGINT AS f FROM p WHERE i = 0
   UNION ALL
