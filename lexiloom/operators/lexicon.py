@@ -69,7 +69,8 @@ class Lexicon:
 
     def path(self, text: str) -> list[tuple[int, int, Entry]]:
         """(begin, end, entry) of the cheapest path; of equally cheap ones that whose last entry is longest, and so on backwards. White space costs nothing and is left out."""
-        plain = not self.connections
+        if not self.connections:
+            return self._found(text, self._plain(text))
         # for each place, by the part of speech that ends there: cost, begin, entry, part of speech before
         best: list[dict[str, tuple[int, int, Entry | None, str]]] = [{} for _ in range(len(text) + 1)]
         best[0][""] = (0, 0, None, "")
@@ -80,7 +81,7 @@ class Lexicon:
                     if pos not in best[end] or cost < best[end][pos][0]:
                         best[end][pos] = (cost, begin, None, pos)
                 return
-            own = "" if plain else e.pos[0]
+            own = e.pos[0]
             own_cost = self.unknown_cost if e is UNKNOWN else e.cost
             for pos, (cost, _, _, _) in best[begin].items():
                 total = cost + own_cost + self.connections.get((pos, e.pos[0]), 0)
@@ -105,7 +106,39 @@ class Lexicon:
             if e is not None:
                 out.append((begin, at, e))
             at, pos = begin, before
-        return self._grouped(text, out[::-1]) if self.group_unknown else out[::-1]
+        return self._found(text, out[::-1])
+
+    def _plain(self, text: str) -> list[tuple[int, int, Entry]]:
+        """The cheapest path where only entries cost: one cost a place."""
+        size, unknown, follow = len(text), self.unknown_cost, self.root.get
+        cost: list[float] = [0, *[float("inf")] * size]
+        back: list[tuple[int, Entry | None]] = [(0, None)] * (size + 1)
+        for i, c in enumerate(text):
+            so_far = cost[i]
+            if c.isspace():
+                if so_far < cost[i + 1]:
+                    cost[i + 1], back[i + 1] = so_far, (i, None)
+                continue
+            node, j = follow(c), i + 1
+            while node is not None:
+                if "" in node:
+                    for e in node[""]:
+                        if so_far + e.cost < cost[j]:
+                            cost[j], back[j] = so_far + e.cost, (i, e)
+                node = node.get(text[j]) if j < size else None
+                j += 1
+            if so_far + unknown < cost[i + 1]:
+                cost[i + 1], back[i + 1] = so_far + unknown, (i, UNKNOWN)
+        out, at = [], size
+        while at > 0:
+            begin, e = back[at]
+            if e is not None:
+                out.append((begin, at, e))
+            at = begin
+        return out[::-1]
+
+    def _found(self, text: str, path: list[tuple[int, int, Entry]]) -> list[tuple[int, int, Entry]]:
+        return self._grouped(text, path) if self.group_unknown else path
 
     def _grouped(self, text: str, found: list[tuple[int, int, Entry]]) -> list[tuple[int, int, Entry]]:
         kind = lambda c: "d" if c.isdigit() else "l" if c.isalpha() or c == "_" else c
