@@ -49,8 +49,8 @@ class Pieces:
 def huge_count(text: str, pieces: Pieces, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
     """Tokens of a text, encoded chunk by chunk with splices at proven boundaries.
 
-    Chunks after the first begin at a space that follows another character, so
-    that the space the model adds before any text stands for the text's own.
+    A chunk after the first is encoded together with the character before it,
+    whose tokens end at the splice and are left out.
     """
     total, start, size = 0, 0, len(text)
     while True:
@@ -72,36 +72,33 @@ def huge_count(text: str, pieces: Pieces, chunk: int = CHUNK, overlap: int = OVE
 def splice(text: str, start: int, low: int, high: int, pieces: Pieces) -> tuple[int, int] | None:
     """The first splice in [low, high): its offset and the tokens of [start, offset).
 
-    The left chunk is [start, high), the right one begins at a candidate space
-    and reaches to high too; the splice stands if the left encoding has a token
-    boundary there, if the pair of characters is proven stable, and if left and
-    right agree on every boundary of the overlap after it.
+    The left chunk is [start, high), the right one begins at a candidate and
+    reaches to high too; the splice stands if the pair of characters there is
+    proven stable, whatever they are, if the left encoding has a token boundary
+    between them, and if left and right agree on every boundary of the overlap
+    after it.
     """
-    at = text.find(" ", max(low, start + 1), high)
     left: list[int] | None = None
-    while at > 0:
-        if text[at - 1] != " " and pieces.stable(text[at - 1], " "):
+    for at in range(max(low, start + 1), high):
+        if pieces.stable(text[at - 1], text[at]):
             if left is None:
                 left = starts(text, start, high, pieces)
             k = bisect_left(left, at)
             if left[k : k + 1] == [at] and starts(text, at, high, pieces) == left[k:]:
                 return at, k
-        at = text.find(" ", at + 1, high)
     return None
 
 
 def starts(text: str, start: int, end: int, pieces: Pieces) -> list[int]:
     """Offsets in text at which the tokens of [start, end) begin; byte tokens of one character share theirs and all count."""
-    inner = start + (start > 0)  # the space at start is the one that the model adds
-    if inner == end:
-        return [start] * (start > 0)  # that space alone; to an empty text the model adds none
-    raw = np.frombuffer(text[inner:end].encode(), np.uint8)
+    first = max(0, start - 1)  # the space that the model adds stands before the character before start
+    raw = np.frombuffer(text[first:end].encode(), np.uint8)
+    if not len(raw):
+        return []
     chars = np.cumsum((raw & 0xC0) != 0x80) - 1  # the model gives byte offsets
-    begins = np.array([p.begin for p in pieces.model.encode(text[inner:end], return_type="proto").pieces])
-    out = (inner + chars[np.minimum(begins, len(raw) - 1)]).tolist()
-    if out and start > 0:
-        out[0] = start
-    return out
+    begins = np.array([p.begin for p in pieces.model.encode(text[first:end], return_type="proto").pieces])
+    out = first + chars[np.minimum(begins, len(raw) - 1)]
+    return out[out >= start].tolist()
 
 
 @lru_cache(maxsize=4)

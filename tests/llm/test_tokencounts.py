@@ -23,6 +23,18 @@ def test_splices_happen_and_overlaps_widen(monkeypatch):
     assert None in made and sum(x is not None for x in made) > 5
 
 
+def test_texts_without_spaces(monkeypatch):
+    """Two million characters of Chinese and Japanese, spliced between any two; a run of one letter, which has no splice, at once."""
+    pieces, made, r = tokencounts.Pieces(PATH), [], random.Random(4)
+    real = tokencounts.splice
+    monkeypatch.setattr(tokencounts, "splice", lambda *a: made.append((a[3] - a[1], real(*a))) or made[-1][1])
+    text = "".join(chr(r.choice((r.randrange(0x4E00, 0x9FA0), r.randrange(0x3041, 0x3097), 0x61))) for _ in range(2_000_000))
+    assert tokencounts.huge_count(text, pieces) == pieces.counts([text])[0]
+    assert len(made) > 100 and all(x is not None for _, x in made) and max(n for n, _ in made) <= tokencounts.CHUNK + tokencounts.OVERLAP
+    for text in ("a" * 100_000, "的" * 100_000, "=" * 50_000 + "é的" * 50_000):
+        assert tokencounts.huge_count(text, pieces) == pieces.counts([text])[0]
+
+
 def test_stable_boundaries():
     pieces = tokencounts.Pieces(PATH)
     assert pieces.stable("a", " ") and not pieces.stable(" ", " ") and not pieces.stable(" ", "a") and not pieces.stable("t", "h")
