@@ -5,9 +5,10 @@ token's class by q . h + b over all classes, then the token by v . h + b over th
 words of its class. Every word that stands often enough in the training corpus is a
 word of the model, so its vocabulary and the number of its updates grow with the
 corpus; the others share learnt unknown tokens, one a suffix. Classes are runs of the
-words by frequency, of about equal mass. It is trained in numpy by noise-contrastive
-estimation inside tasks, on every training row, in rounds after each of which the
-tasks' parameters are averaged. Batched matrix products normalise it over all classes
+words by frequency, cut where a token is expected to meet one word more. It is trained
+in numpy by noise-contrastive estimation inside tasks, on every training row, in
+rounds: hashes deal the rows to trainers, whose parameters are averaged after each
+round, so that scores don't depend on how the table is partitioned. Batched matrix products normalise it over all classes
 and over a class's words. A word's share of its unknown token comes from the corpus
 counts by absolute discounting, which leaves unseen words a share too, so that all
 probabilities sum to 1.
@@ -35,6 +36,8 @@ SUFFIXES, SUFFIX = 32, 2
 DIMS, NOISE, WORD_NOISE, LEARNING, BATCH = 12, 32, 2, 0.15, 8192
 #: The parts of the training rows, in eighths, that the rounds take: each row is in one. Small corpora are gone over until so many tokens are.
 PARTS, LEAST_UPDATES, MOST_PASSES = (1, 3, 4), 1_500_000, 60
+#: Trainers of a round: one for so many tokens, and so many at most, which then see more tokens each.
+TRAINER_TOKENS, TRAINERS = 1 << 19, 4096
 SEED = 5
 #: Distinct words a task counts before it passes its counts on, and words it remembers.
 HELD = 400_000
@@ -123,12 +126,15 @@ class Ids(dict):
 
 
 def vocabulary_of(head: list[tuple[bytes, int]], suffixes: list[bytes]) -> Vocabulary:
-    """Classes of about equal mass, as many as the square root of the number of words: a token then meets few classes and few words."""
+    """Classes whose share of the tokens times their words is at most 1: each costs a token one output, and one word of a class on average, so the sum of both is about least."""
     counts = np.array([c for _, c in head], np.int64)
-    n = max(1, round(len(counts) ** 0.5))
-    at = (np.cumsum(counts) - counts) * n // max(1, counts.sum())
-    starts = np.concatenate([np.unique(np.searchsorted(at, np.arange(n))), [len(counts)]])
-    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, counts, {x: i for i, x in enumerate(suffixes)}, np.unique(starts))
+    starts, mass, total = [0], 0, max(1, int(counts.sum()))
+    for i, c in enumerate(counts.tolist()):
+        mass += c
+        if i > starts[-1] and mass * (i + 1 - starts[-1]) > total:
+            starts.append(i)
+            mass = c
+    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, counts, {x: i for i, x in enumerate(suffixes)}, np.array([*starts, len(counts)]))
 
 
 def contexts(found: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,47 +242,55 @@ class Trainer:
 
 
 def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, passes: int) -> np.ndarray:
-    """One round over all rows of docs (text): each task trains from the same parameters, whose rows are averaged, weighted by how often a task moved them.
+    """One round over all rows of docs (trainer, place, text): each trainer learns its rows by place from the same parameters, whose rows are averaged, weighted by how often a trainer moved them.
 
-    Sums are added up in two steps, by run of rows and a share of the tasks, then by
-    run alone; a table as large as the parameters comes to the driver.
+    Sums are added up in two steps, by run of rows and a share of the trainers, then
+    by run alone; a table as large as the parameters comes to the driver.
     """
     known = docs.sparkSession.sparkContext.broadcast((vocabulary, class_tokens, rows))
     width = rows.shape[1]
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def learnt(trainer: Trainer, number: int) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), ROWS):
+            n = trainer.touched[i : i + ROWS]
+            if n.any():
+                sums = (trainer.parameters.rows[i : i + ROWS] - known.value[2][i : i + ROWS]) * n[:, None]
+                yield record([i], [number % 64], [number], [n.tobytes()], [sums.tobytes()])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, class_tokens, rows = known.value
-        task = TaskContext.get().partitionId()
-        trainer, ids, end = Trainer(vocabulary, class_tokens, rows, task), Ids(vocabulary), vocabulary.words[END]
+        trainer, number, ids, end = None, -1, Ids(vocabulary), vocabulary.words[END]
         found, size = [], 0
-        for batch in in_slices(batches, 0, SLICE):
-            for text in batch.column(0).cast(pa.binary()).to_pylist():
+        for batch in in_slices(batches, 2, SLICE):
+            for here, text in zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                if here != number or size >= STRETCH:
+                    if found:
+                        trainer.train(found, end, passes)
+                        found, size = [], 0
+                    if here != number:
+                        if trainer is not None:
+                            yield from learnt(trainer, number)
+                        trainer, number = Trainer(vocabulary, class_tokens, rows, here), here
                 found.append(np.fromiter(map(ids.__getitem__, tokens(text)), np.int64))
                 size += len(found[-1])
-                if size >= STRETCH:
-                    trainer.train(found, end, passes)
-                    found, size = [], 0
-        if found:
+        if trainer is not None:
             trainer.train(found, end, passes)
-        for i in range(0, len(rows), ROWS):
-            n = trainer.touched[i : i + ROWS]
-            if n.any():
-                sums = (trainer.parameters.rows[i : i + ROWS] - rows[i : i + ROWS]) * n[:, None]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task % 64], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
+            yield from learnt(trainer, number)
+
+    kinds = {"first": pa.int32(), "share": pa.int32(), "trainer": pa.int32(), "n": pa.binary(), "sums": pa.binary()}
 
-    names = ["first", "share", "n", "sums"]
+    def record(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
         def out() -> pa.RecordBatch:
             (first, share), n, sums = held
-            return pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([share], pa.int32()), pa.array([n.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())], names)
+            return record([first], [share], [share], [n.tobytes()], [sums.tobytes()])
 
-        for batch in in_slices(batches, 3):
-            for first, share, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
+        for batch in in_slices(batches, 4):
+            for first, share, _, n, sums in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and held[0] != (first, share):
                     yield out()
                     held = []
@@ -285,12 +299,12 @@ def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray,
         if held:
             yield out()
 
-    schema = "first int, share int, n binary, sums binary"
-    parts = docs.mapInArrow(thrifty(learn), schema)
-    parts = parts.repartition("first", "share").sortWithinPartitions("first", "share").mapInArrow(thrifty(add), schema)
-    parts = parts.select("first", F.lit(0).alias("share"), "n", "sums").repartition("first").sortWithinPartitions("first").mapInArrow(thrifty(add), schema)
+    schema = "first int, share int, trainer int, n binary, sums binary"
+    parts = docs.repartition("trainer").sortWithinPartitions("trainer", "place").mapInArrow(thrifty(learn), schema)
+    parts = parts.repartition("first", "share").sortWithinPartitions("first", "share", "trainer").mapInArrow(thrifty(add), schema)
+    parts = parts.select("first", F.lit(0).alias("share"), "trainer", "n", "sums").repartition("first").sortWithinPartitions("first", "trainer").mapInArrow(thrifty(add), schema)
     out = rows.copy()
-    for first, _, n, sums in parts.collect():  # as large as the parameters
+    for first, _, _, n, sums in parts.collect():  # as large as the parameters
         n, sums = np.frombuffer(n, np.float32), np.frombuffer(sums, np.float32).reshape(-1, width)
         out[first : first + len(n)] += sums / np.maximum(n, 1)[:, None]
     return out
@@ -389,9 +403,12 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, n
     start.of("v")[:, -1] = np.log((vocabulary.counts + 0.5) / inside)
     rows, before = start.rows, 0
     passes = int(np.clip(LEAST_UPDATES // max(1, n), 1, MOST_PASSES))
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(sum(PARTS)))
+    place = F.xxhash64("doc_id", "text")  # equal rows, which no order tells apart, are alike to a trainer
+    part, rest = F.pmod(place, F.lit(sum(PARTS))), F.shiftrightunsigned(place, 8)
     for size in PARTS if n else ():
-        own = docs.where(~held_out() & part.between(before, before + size - 1)).select("text")
+        trainers = int(np.clip(-(-n * size // (sum(PARTS) * TRAINER_TOKENS)), 1, TRAINERS))
+        own = docs.where(~held_out() & part.between(before, before + size - 1))
+        own = own.select(F.pmod(rest, F.lit(trainers)).cast("int").alias("trainer"), place.alias("place"), "text")
         rows, before = averaged(own, vocabulary, class_tokens, rows, passes), before + size
     return rows
 

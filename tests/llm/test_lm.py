@@ -117,6 +117,29 @@ def test_context_helps_on_held_out_texts(spark, monkeypatch):
     assert len(got) > 20 and sum(x.score for x in got) > sum(x.base_score for x in got) + 0.1 * sum(x.n_tokens for x in got)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, sf, monkeypatch):
+    """The same scores of documents in 1, 4 and 16 partitions, by several trainers."""
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 1 << 13)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = []
+    for n in (1, 4, 16):
+        dealt = docs.repartition(n)
+        model, counts = lm.fit(dealt)
+        got.append(sorted((r.doc_id, r.score) for r in lm.score(dealt, model, counts).collect()))
+    for other in got[1:]:
+        assert [d for d, _ in other] == [d for d, _ in got[0]] and np.allclose([x for _, x in other], [x for _, x in got[0]], rtol=1e-6)
+
+
+def test_score_by_hand_on_documents(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model, counts = lm.fit(docs)
+    train = Counter({bytes(r.word): r.c for r in counts.collect()})
+    got = {r.doc_id: r.score for r in lm.score(docs, model, counts).collect()}
+    some = sorted(rows, key=lambda r: len(r[1] or ""))[:150]  # the walk is slow: short texts
+    assert np.allclose([got[d] for d, _ in some], [by_hand(model, t, train) for _, t in some], rtol=1e-4, atol=2e-2)
+
+
 def test_empty(none):
     model, counts = lm.fit(none)
     assert lm.score(none, model, counts).count() == 0
