@@ -5,8 +5,7 @@ token's class by q . h + b over all classes, then the token by v . h + b over th
 words of its class. Every word that stands often enough in the training corpus is a
 word of the model, so its vocabulary and the number of its updates grow with the
 corpus; the others share learnt unknown tokens, one a suffix. Classes are runs of the
-words by frequency, cut where a token is expected to meet one word more. It is trained
-in numpy by noise-contrastive estimation inside tasks, on every training row, in
+words by frequency, of about equal mass. It is trained in numpy by noise-contrastive estimation inside tasks, on every training row, in
 rounds: hashes deal the rows to trainers, whose parameters are averaged after each
 round, so that scores don't depend on how the table is partitioned. Batched matrix products normalise it over all classes
 and over a class's words. A word's share of its unknown token comes from the corpus
@@ -37,7 +36,7 @@ DIMS, NOISE, WORD_NOISE, LEARNING, BATCH = 12, 32, 2, 0.15, 8192
 #: The parts of the training rows, in eighths, that the rounds take: each row is in one. Small corpora are gone over until so many tokens are.
 PARTS, LEAST_UPDATES, MOST_PASSES = (1, 3, 4), 1_500_000, 60
 #: Trainers of a round: one for so many tokens, and so many at most, which then see more tokens each.
-TRAINER_TOKENS, TRAINERS = 1 << 19, 4096
+TRAINER_TOKENS, TRAINERS = 1 << 20, 4096
 SEED = 5
 #: Distinct words a task counts before it passes its counts on, and words it remembers.
 HELD = 400_000
@@ -126,15 +125,12 @@ class Ids(dict):
 
 
 def vocabulary_of(head: list[tuple[bytes, int]], suffixes: list[bytes]) -> Vocabulary:
-    """Classes whose share of the tokens times their words is at most 1: each costs a token one output, and one word of a class on average, so the sum of both is about least."""
+    """Classes of about equal mass, as many as the square root of the number of words: a token then meets few classes and few words."""
     counts = np.array([c for _, c in head], np.int64)
-    starts, mass, total = [0], 0, max(1, int(counts.sum()))
-    for i, c in enumerate(counts.tolist()):
-        mass += c
-        if i > starts[-1] and mass * (i + 1 - starts[-1]) > total:
-            starts.append(i)
-            mass = c
-    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, counts, {x: i for i, x in enumerate(suffixes)}, np.array([*starts, len(counts)]))
+    n = max(1, round(len(counts) ** 0.5))
+    at = (np.cumsum(counts) - counts) * n // max(1, counts.sum())
+    starts = np.concatenate([np.unique(np.searchsorted(at, np.arange(n))), [len(counts)]])
+    return Vocabulary({w: i for i, (w, _) in enumerate(head)}, counts, {x: i for i, x in enumerate(suffixes)}, np.unique(starts))
 
 
 def contexts(found: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,14 +181,15 @@ class Trainer:
 
     def move(self, name: str, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
         """Move rows by their summed gradients; a row may come several times."""
-        order = np.argsort(at)
+        order = np.argsort(at.astype(np.uint16) if len(self.squares) < 1 << 16 else at, kind="stable")  # by digits, where they are few
         rows = at[order]
         begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
         sums = np.add.reduceat(grads[order], begins, axis=0)
         rows = rows[begins] + self.parameters.places[name].start
         self.squares[rows] += np.einsum("nd,nd->n", sums, sums) / sums.shape[1]
         self.touched[rows] += np.diff(begins, append=len(at))
-        self.parameters.rows[rows] += (rate / np.sqrt(self.squares[rows]))[:, None] * sums
+        sums *= (rate / np.sqrt(self.squares[rows]))[:, None]
+        self.parameters.rows[rows] += sums
 
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rate: float) -> None:
         """One batch: contexts (a, b) and their tokens."""
@@ -202,13 +199,14 @@ class Trainer:
         hidden = ra @ c1[:, :-1] + rb @ c2[:, :-1]
         one = np.ones((n, 1), np.float32)
         known = np.concatenate([hidden, one], axis=1)  # the last column meets the biases
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
         # classes: the token's own against noise that the batch shares
         k = self.class_of[w]
+        qk = q[k]
         noise = np.searchsorted(self.class_sums, self.rng.random(NOISE) * self.class_sums[-1]).clip(max=len(self.class_sums) - 1)
-        own = 1 - sigmoid((known * q[k]).sum(axis=1) - self.class_noise[k])
+        own = 1 - sigmoid(np.einsum("nd,nd->n", known, qk) - self.class_noise[k])
         other = -sigmoid(known @ q[noise].T - self.class_noise[noise])
-        to_hidden = own[:, None] * q[k] + other @ q[noise]
+        to_hidden = other @ q[noise]
+        to_hidden += own[:, None] * qk
         moves = [("q", np.concatenate([k, noise]), np.concatenate([own[:, None] * known, other.T @ known]))]
         # words within their class, against noise words of the same class
         some = np.flatnonzero((w < self.n_words) & (np.diff(self.starts, append=self.starts[-1] + 1)[np.minimum(k, len(self.starts) - 1)] > 1))
@@ -218,10 +216,10 @@ class Trainer:
             drawn = drawn.clip(self.starts[ks][:, None], self.starts[ks + 1][:, None] - 1)
             both = np.concatenate([w[some][:, None], drawn], axis=1)
             vectors = v[both]
-            score = (vectors @ known[some][:, :, None])[:, :, 0] - self.word_noise[both]
+            score = np.einsum("nkd,nd->nk", vectors, known[some]) - self.word_noise[both]
             delta = -sigmoid(score)
             delta[:, 0] += 1
-            to_hidden[some] += (delta[:, None, :] @ vectors)[:, 0]
+            to_hidden[some] += np.einsum("nk,nkd->nd", delta, vectors)
             moves.append(("v", both.ravel(), (delta[:, :, None] * known[some][:, None, :]).reshape(-1, DIMS + 1)))
         to_hidden = to_hidden[:, :-1]
         zero = np.zeros((n, 1), np.float32)
@@ -241,6 +239,15 @@ class Trainer:
                 self.step(a[at], b[at], w[at], LEARNING * (1 - 0.7 * turn / passes))
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place: 1 / (1 + exp(-x))."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, passes: int) -> np.ndarray:
     """One round over all rows of docs (trainer, place, text): each trainer learns its rows by place from the same parameters, whose rows are averaged, weighted by how often a trainer moved them.
 
@@ -341,34 +348,54 @@ class Model:
         return np.log10(np.where((words == 0) | (share <= 0), 1.0, share))
 
     def log_probabilities(self, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 probability of each token w after (a, b): of its class among all, and of a word among its class."""
-        out, starts = np.empty(len(w)), self.vocabulary.starts
+        """log10 probability of each token w after (a, b): of its class among all, and of a word among its class.
+
+        Tokens are taken by context, so that the classes of one that recurs are
+        scored and normalised once.
+        """
+        out, starts, runs = np.empty(len(w)), self.vocabulary.starts, len(self.vocabulary.starts) - 1
+        key = a * len(self.first) + b
+        order = np.argsort(key)
+        a, b, w, fresh = a[order], b[order], w[order], np.ones(len(w), bool)
+        fresh[1:] = np.diff(key[order]) != 0
         for i in range(0, len(w), CHUNK):
-            token = w[i : i + CHUNK]
-            hidden = self.first[a[i : i + CHUNK]] + self.second[b[i : i + CHUNK]]
+            here = slice(i, i + CHUNK)
+            token, new = w[here], fresh[here].copy()
+            new[0] = True
+            heads = np.flatnonzero(new)
+            context = np.cumsum(new) - 1
+            hidden = self.first[a[here][heads]] + self.second[b[here][heads]]
             k = self.class_of[token]
             # classes in pieces that stay in a processor's cache
-            found = np.concatenate([picked(hidden[j : j + PIECE], self.q, k[j : j + PIECE]) for j in range(0, len(k), PIECE)])
-            order = np.argsort(k)
-            ends = np.searchsorted(k[order], np.arange(len(starts)))
+            found = np.concatenate([scored(hidden, self.q, j, context, heads, k) for j in range(0, len(heads), PIECE)])
+            hidden = hidden[context]
+            some = np.argsort(k)
+            ends = np.searchsorted(k[some], np.arange(runs + 1))
             for c in np.flatnonzero(np.diff(ends) * (np.diff(starts) > 1)).tolist():
-                at = order[ends[c] : ends[c + 1]]
-                found[at] += picked(hidden[at], self.words[starts[c] : starts[c + 1]], token[at] - starts[c])
-            out[i : i + CHUNK] = found
+                at = some[ends[c] : ends[c + 1]]
+                found[at] += picked(hidden[at], self.words[starts[c] : starts[c + 1]], np.arange(len(at)), token[at] - starts[c])
+            out[order[here]] = found
         return out / np.log(10)
 
 
-def picked(hidden: np.ndarray, outputs: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax over the outputs, at one of them each: a batched product, normalised."""
+def scored(hidden: np.ndarray, outputs: np.ndarray, first: int, context: np.ndarray, heads: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax, at one output each, of the tokens of the PIECE contexts from the first on; heads are the contexts' first tokens."""
+    last = min(first + PIECE, len(heads))
+    of = slice(heads[first], heads[last] if last < len(heads) else None)
+    return picked(hidden[first:last], outputs, context[of] - first, at[of])
+
+
+def picked(hidden: np.ndarray, outputs: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of hidden rows over the outputs, at (row, output) pairs: a batched product, normalised."""
     score = hidden @ outputs.T
-    own = score[np.arange(len(at)), at]
+    own = score[rows, at]
     with np.errstate(over="ignore"):
         total = np.exp(score, out=score).sum(axis=1)
     if np.isfinite(total).all() and total.all():
-        return own - np.log(total)
+        return own - np.log(total)[rows]
     score = hidden @ outputs.T  # rare: scores so large or small that they must be shifted first
     most = score.max(axis=1)
-    return own - most - np.log(np.exp(score - most[:, None]).sum(axis=1))
+    return own - (most + np.log(np.exp(score - most[:, None]).sum(axis=1)))[rows]
 
 
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
