@@ -248,12 +248,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, passes: int) -> np.ndarray:
+def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, rows: np.ndarray, passes: int, trainers: int) -> np.ndarray:
     """One round over all rows of docs (trainer, place, text): each trainer learns its rows by place from the same parameters, whose rows are averaged, weighted by how often a trainer moved them.
 
     Sums are added up in two steps, by run of rows and a share of the trainers, then
-    by run alone; a table as large as the parameters comes to the driver.
+    by run alone; a table as large as the parameters comes to the driver. Shares are
+    the square root of the trainers, so that the second step meets few sums.
     """
+    shares = max(1, round(trainers**0.5))
     known = docs.sparkSession.sparkContext.broadcast((vocabulary, class_tokens, rows))
     width = rows.shape[1]
 
@@ -262,7 +264,7 @@ def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray,
             n = trainer.touched[i : i + ROWS]
             if n.any():
                 sums = (trainer.parameters.rows[i : i + ROWS] - known.value[2][i : i + ROWS]) * n[:, None]
-                yield record([i], [number % 64], [number], [n.tobytes()], [sums.tobytes()])
+                yield record([i], [number % shares], [number], [n.tobytes()], [sums.tobytes()])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, class_tokens, rows = known.value
@@ -436,7 +438,7 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, n
         trainers = int(np.clip(-(-n * size // (sum(PARTS) * TRAINER_TOKENS)), 1, TRAINERS))
         own = docs.where(~held_out() & part.between(before, before + size - 1))
         own = own.select(F.pmod(rest, F.lit(trainers)).cast("int").alias("trainer"), place.alias("place"), "text")
-        rows, before = averaged(own, vocabulary, class_tokens, rows, passes), before + size
+        rows, before = averaged(own, vocabulary, class_tokens, rows, passes, trainers), before + size
     return rows
 
 
