@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lexiloom.functions.alignment import aligned
+from lexiloom.operators.wordpiece import CONTINUED
 from lexiloom.storage import fresh
 
 
@@ -41,46 +44,74 @@ def span_labels(offsets: Column, start: Column, end: Column, shift: int | Column
     return F.struct(pick(first).alias("start_position"), pick(last).alias("end_position"))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
-def token_offsets(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: Bytes of text whose tokens are placed at a time.
+SLICE = 1 << 20
+
+
+@F.arrow_udf(SPANS)
+def token_offsets(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Where tokens stand in a text that normalization may have changed, by alignment of characters (functions.alignment), in time that grows with the text's length.
 
     Tokens that align with nothing take the gap between their neighbours; special tokens are (0, 0).
+    A task holds the spans of some texts at a time, as two numbers each.
     """
-    for text, tokens in texts:
-        yield pd.Series([_aligned(t, list(k)) if t is not None and k is not None else None for t, k in zip(text, tokens)])
+    for texts, tokens in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + SLICE, "right")))
+            yield _placed(texts.slice(at, to - at), tokens.slice(at, to - at))
+            at = to
 
 
 def _folded(s: str) -> str:
     """Lower case where that keeps every character's place."""
+    low = s.lower()
+    if len(low) == len(s) and "\u03a3" not in s:  # no character grew, and none is a sigma, whose lower case depends on its place
+        return low
     return "".join(c.lower() if len(c.lower()) == 1 else c for c in s)
 
 
+def _placed(texts: pa.Array, tokens: pa.Array) -> pa.Array:
+    """token_offsets of some rows."""
+    known = pc.and_(pc.is_valid(texts), pc.is_valid(tokens))
+    sizes = pc.if_else(known, pc.fill_null(pc.list_value_length(tokens), 0), 0)
+    tokens = pc.if_else(known, tokens, pa.scalar(None, tokens.type))
+    flat = tokens.flatten()
+    special = pc.and_(pc.and_(pc.starts_with(flat, "["), pc.ends_with(flat, "]")), pc.greater(pc.utf8_length(flat), 2))
+    plain = pc.if_else(special, "", pc.if_else(pc.starts_with(flat, CONTINUED), pc.utf8_slice_codeunits(flat, len(CONTINUED)), flat))
+    rows = np.concatenate([[0], np.cumsum(sizes.to_numpy(zero_copy_only=False))]).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows), plain), "")
+    widths = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
+    starts, ends = (np.zeros(len(flat), np.int32) for _ in range(2))
+    for k, (text, own) in enumerate(zip(texts, joined)):
+        here = slice(rows[k], rows[k + 1])
+        if rows[k] < rows[k + 1]:
+            starts[here], ends[here] = _spans(text.as_py(), own.as_py(), widths[here])
+    spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(ends)], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(rows), spans, mask=pc.invert(known))
+
+
+def _spans(text: str, joined: str, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the tokens of these widths, which make up joined, begin and end in the text."""
+    place = aligned(_folded(joined), _folded(text))
+    met = place >= 0
+    before = np.concatenate([[0], np.cumsum(met)])
+    # what the characters around begin and end at, beyond the text's first and last too
+    hits = place[met]
+    begins, ends = np.concatenate([hits, [len(text)]]), np.concatenate([[0], hits + 1])
+    last = np.cumsum(widths)
+    first, end = before[last - widths], before[last]
+    some = end > first
+    start = np.where(some, begins[first], ends[first])
+    stop = np.where(some, ends[end], np.maximum(ends[first], begins[first]))
+    return np.where(widths > 0, start, 0), np.where(widths > 0, stop, 0)
+
+
 def _aligned(text: str, tokens: list[str]) -> list[dict]:
-    plain = ["" if t.startswith("[") and t.endswith("]") and len(t) > 2 else t.removeprefix("##") for t in tokens]
-    joined = _folded("".join(plain))
-    place = aligned(joined, _folded(text))
-    spans: list[tuple[int, int] | None] = []
-    at = 0
-    for t in plain:
-        hits = [p for p in place[at : at + len(t)] if p >= 0]
-        spans.append((min(hits), max(hits) + 1) if hits else None)
-        at += len(t)
-    # what the nearest tokens around end and begin at, from both sides in one pass each
-    ends, begins = [0], [len(text)]
-    for span in spans:
-        ends.append(span[1] if span else ends[-1])
-    for span in reversed(spans):
-        begins.append(span[0] if span else begins[-1])
-    out = []
-    for k, (t, span) in enumerate(zip(plain, spans)):
-        if not t:
-            span = (0, 0)
-        elif span is None:
-            before, after = ends[k], begins[len(spans) - 1 - k]
-            span = (before, max(before, after))
-        out.append({"start": span[0], "end": span[1]})
-    return out
+    """token_offsets of one text."""
+    return _placed(pa.array([text]), pa.array([tokens], pa.list_(pa.string())))[0].as_py()
 
 
 def answers(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_length: int = 30, threshold: float = 0.0, with_null: bool = True) -> DataFrame:

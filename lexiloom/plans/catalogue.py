@@ -628,8 +628,10 @@ SELECT doc_id, count(*) AS n, md5(string_agg(a::BIGINT || ':' || b::BIGINT, ','
 def aligned_offsets(spark, sf_dir):
     """Where lower-cased pieces of three characters stand in the whole texts that they come from."""
     piece = lambda w: F.transform(F.regexp_extract_all(F.lower(w), F.lit("(?s).{1,3}"), F.lit(0)), lambda p, k: F.when(k > 0, F.concat(F.lit("##"), p)).otherwise(p))
-    rows = read(spark, sf_dir, "documents").select("doc_id", "text", F.flatten(F.transform(analysis.regex_words(F.col("text")), piece)).alias("tokens"))
-    rows = rows.select("doc_id", qa.token_offsets("text", "tokens").alias("o")).where(F.size("o") > 0)
+    # texts without a token go before they are analysed: a filter on the offsets would have them found twice
+    rows = read(spark, sf_dir, "documents").where(F.col("text").rlike(analysis.PIECE))
+    rows = rows.select("doc_id", "text", F.flatten(F.transform(analysis.regex_words(F.col("text")), piece)).alias("tokens"))
+    rows = rows.select("doc_id", qa.token_offsets("text", "tokens").alias("o"))
     joined = F.array_join(F.transform("o", lambda o: F.concat_ws(":", o["start"], o["end"])), ",")
     return rows.select("doc_id", F.size("o").cast("long").alias("n"), F.md5(joined.cast("binary")).alias("offsets"))
 

@@ -4,7 +4,7 @@ import unicodedata
 from functools import lru_cache
 
 from lexiloom.functions.alignment import aligned, anchors, fewest_edits
-from lexiloom.operators.qa import _aligned
+from lexiloom.operators.qa import _aligned, _placed, token_offsets
 
 
 def longest(a, b):
@@ -65,3 +65,22 @@ def test_offsets_of_normalized_tokens():
     text = prose(5, 3000)
     assert [text[a:b] for a, b in spans(text, text.upper().split())] == text.split()
     assert unicodedata.normalize("NFKC", "ｱ") == "ア" and spans("xｱy", ["x", "ア", "y"]) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_offsets_of_long_texts_take_little_memory(spark):
+    """A batch of rows is placed some texts at a time; all spans of one as objects took some 200 bytes a token."""
+    import pyarrow as pa
+
+    text = prose(3, 20_000)
+    rows, tokens = 300, [w[i : i + 3] for w in text.lower().split() for i in range(0, len(w), 3)]
+    batch = pa.array([text] * rows), pa.array([tokens] * rows, pa.list_(pa.string()))
+    sizes = [len(part) for part in token_offsets.func(iter([batch]))]
+    assert sum(sizes) == rows and len(sizes) > 10 and max(sizes) * len(text) <= 1 << 20
+    out = _placed(batch[0].slice(0, 2), batch[1].slice(0, 2))
+    assert out.nbytes < 20 * 2 * len(tokens)
+    assert [text[o["start"] : o["end"]].lower() for o in out[1].as_py()] == tokens
+    assert _placed(pa.array(["a", None, "b c"]), pa.array([None, ["a"], ["b", "[CLS]", "##c"]], pa.list_(pa.string()))).to_pylist() == [
+        None,
+        None,
+        [{"start": 0, "end": 1}, {"start": 0, "end": 0}, {"start": 2, "end": 3}],
+    ]
