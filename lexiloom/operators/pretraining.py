@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
+from math import floor
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions import encoding
 from lexiloom.functions.encoding import Lookup
 from lexiloom.operators.vocab import CONTINUED
 
@@ -52,38 +53,74 @@ def sequences(sentences: Column, room: int) -> Column:
     return packed(sentences)
 
 
-def word_groups(tokens: Column) -> Column:
-    """array<struct<start, size>> of words: a token and the continuations after it; a sequence may begin inside a word."""
-    begins = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: (i == 0) | ~F.get(tokens, i).startswith(CONTINUED))
-    ends = lambda k: F.coalesce(F.get(begins, k + 1), F.size(tokens))
-    return F.when(F.size(tokens) > 0, F.transform(begins, lambda s, k: F.struct(s.alias("start"), (ends(k) - s).alias("size")))).otherwise(F.array().cast("array<struct<start:int,size:int>>"))
+def _number(digest: bytes, at: int) -> int:
+    return int.from_bytes(digest[at : at + 4], "big")
 
 
-def token_groups(tokens: Column) -> Column:
-    """Every token by itself, for masks that don't keep words whole."""
-    return F.transform(tokens, lambda t, i: F.struct(i.cast("int").alias("start"), F.lit(1).alias("size")))
+def hidden_positions(name: bytes, begins: Sequence[int], sizes: Sequence[int], most: int) -> list[int]:
+    """Positions of the tokens to predict, ascending: groups in the order of their draws, each if it still fits into `most`.
 
-
-def _draw(*parts: Column | str | int) -> Column:
-    """A hash of what names a draw: the same in any partition, run and engine."""
-    return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
-
-
-def _number(digest: Column, at: int) -> Column:
-    return F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
-
-
-def hidden_positions(groups: Column, name: Column, most: Column) -> Column:
-    """Positions of the tokens to predict, ascending: groups in the order of their draws, each if it still fits into `most`."""
-    drawn = F.array_sort(F.transform(groups, lambda g, k: F.struct(_draw(name, "word", k.cast("string")).alias("draw"), g["start"].alias("start"), g["size"].alias("size"))))
-    nothing = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("at"))
-
-    def step(acc: Column, g: Column) -> Column:
-        n = (acc["n"] + g["size"]).cast("int")
-        own = F.sequence(g["start"], g["start"] + g["size"] - 1)
-        return F.when(n <= most, F.struct(n.alias("n"), F.concat(acc["at"], own).alias("at"))).otherwise(acc)
-
-    return F.array_sort(F.aggregate(drawn, nothing, step, lambda acc: acc["at"]))
+    A draw is a hash of what names it: the same in any partition, run and engine.
+    """
+    drawn = sorted([(md5(name + b":word:%d" % k).digest(), k) for k in range(len(begins))])
+    out: list[int] = []
+    for _, k in drawn:
+        if len(out) + sizes[k] <= most:
+            out += range(begins[k], begins[k] + sizes[k])
+            if len(out) == most:
+                break
+    return sorted(out)
+
+
+def masked(name: Column, sequence_idx: Column, tokens: Column, ids: Column, dupes: int, share: float, most: int, whole_words: bool, cls: int, sep: int, mask: int, n_ids: int) -> Column:
+    """array<struct<dupe, input_ids, masked_positions, masked_ids>> of a sequence, a struct a dupe."""
+
+    @F.arrow_udf("array<struct<dupe:int,input_ids:array<int>,masked_positions:array<int>,masked_ids:array<int>>>")
+    def found(names: pa.Array, numbers: pa.Array, lists: pa.Array, coded: pa.Array) -> pa.Array:
+        flat = coded.flatten()
+        known = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+        values = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False)
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        inside = pc.fill_null(pc.starts_with(lists.flatten(), CONTINUED), True).to_numpy(zero_copy_only=False)
+        # every dupe's tokens between its two specials, one after the other
+        lengths = np.repeat(counts + 2, dupes)
+        ends = np.cumsum(lengths)
+        inputs, valid = np.full(int(lengths.sum()), sep, np.int32), np.ones(int(lengths.sum()), bool)
+        places: list[int] = []
+        hidden: list[int | None] = []
+        chosen = [0]
+        first = row = 0
+        for own, q, n in zip(names.to_pylist(), numbers.to_pylist(), counts.tolist()):
+            here = slice(first, first + n)
+            begins = np.flatnonzero(~inside[here]) if whole_words else np.arange(n)
+            begins = np.union1d(begins, [0])  # a sequence may begin inside a word
+            sizes, begins = np.diff(begins, append=n).tolist(), begins.tolist()
+            wanted = min(most, max(1, floor((n + 2) * share + 0.5)))
+            for dupe in range(dupes):
+                stem = f"{own}:{dupe}:{q}".encode()
+                at = hidden_positions(stem, begins, sizes, wanted)
+                to = int(ends[row]) - n - 1
+                inputs[to - 1], inputs[to : to + n], valid[to : to + n] = cls, values[here], known[here]
+                for i in at:
+                    digest = md5(stem + b":token:%d" % i).digest()
+                    kind = _number(digest, 0) % 10
+                    if kind != 8:
+                        inputs[to + i], valid[to + i] = mask if kind < 8 else _number(digest, 4) % n_ids, True
+                    places.append(i + 1)
+                    hidden.append(int(values[first + i]) if known[first + i] else None)
+                chosen.append(len(places))
+                row += 1
+            first += n
+        lists_of = lambda offsets, items: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items)
+        columns = {
+            "dupe": pa.array(np.tile(np.arange(dupes, dtype=np.int32), len(lists))),
+            "input_ids": lists_of(np.concatenate([[0], ends]), pa.array(inputs, mask=~valid)),
+            "masked_positions": lists_of(chosen, pa.array(places, pa.int32())),
+            "masked_ids": lists_of(chosen, pa.array(hidden, pa.int32())),
+        }
+        return lists_of(np.arange(len(lists) + 1) * dupes, pa.StructArray.from_arrays(list(columns.values()), list(columns)))
+
+    return found(name, sequence_idx, tokens, ids)
 
 
 def masked_examples(
@@ -117,21 +154,12 @@ def masked_examples(
     if dupes < 1 or not 0 < share <= 1:
         raise ValueError("dupes must be at least 1, share above 0 and at most 1")
     packed = docs.select(F.col(f"`{key}`").alias("of"), sequences(F.col(f"`{tokens}`"), max_length - 2).alias("packed"))
-    rows = packed.select("of", F.posexplode("packed").alias("sequence_idx", "own")).withColumn("ids", vocab.ids(F.col("own")))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(dupes - 1))).alias("dupe"))
-    wanted = F.least(F.lit(most), F.greatest(F.lit(1), F.floor((F.size("own") + 2) * F.lit(float(share)) + 0.5).cast("int")))
-    groups = word_groups(F.col("own")) if whole_words else token_groups(F.col("own"))
-    rows = rows.withColumn("name", F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("of", "dupe", "sequence_idx")]))
-    rows = rows.withColumn("at", hidden_positions(groups, F.col("name"), wanted))
+    # an inner explode would have Spark pack once more, to drop documents without tokens beforehand
+    rows = packed.select("of", F.posexplode_outer("packed").alias("sequence_idx", "own")).where("own IS NOT NULL").withColumn("ids", vocab.ids(F.col("own")))
+    rows = rows.withColumn("name", F.concat_ws(":", F.lit(str(seed)), F.col("of").cast("string")))
     n_ids = max(vocab.known.values()) + 1
-
-    def shown(x: Column, i: Column) -> Column:
-        digest = _draw(F.col("name"), "token", i.cast("string"))
-        kind = _number(digest, 1) % 10
-        other = (_number(digest, 9) % F.lit(n_ids)).cast("int")
-        return F.when(~F.array_contains(F.col("at"), i), x).when(kind < 8, F.lit(vocab.known[mask])).when(kind == 8, x).otherwise(other)
-
-    ids = encoding.with_specials(F.transform("ids", shown), cls=vocab.known[cls], sep=vocab.known[sep])
-    rows = rows.withColumns({"shown": ids, "places": F.transform("at", lambda p: p + 1), "hidden": F.transform("at", lambda p: F.get("ids", p))})
+    found = masked(F.col("name"), F.col("sequence_idx"), F.col("own"), F.col("ids"), dupes, float(share), most, whole_words, *[vocab.known[t] for t in (cls, sep, mask)], n_ids)
     # the names given here are not those read above: a key may be called like either
-    return rows.select(F.col("of").alias(key), "dupe", "sequence_idx", F.col("shown").alias("input_ids"), F.col("places").alias("masked_positions"), F.col("hidden").alias("masked_ids"))
+    return rows.select("of", "sequence_idx", F.explode(found).alias("found")).select(
+        F.col("of").alias(key), F.col("found.dupe").alias("dupe"), "sequence_idx", *[F.col(f"found.{c}").alias(c) for c in ("input_ids", "masked_positions", "masked_ids")]
+    )
