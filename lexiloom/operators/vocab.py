@@ -6,20 +6,25 @@ from collections import Counter, defaultdict
 from heapq import heapify, heappop, heappush
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexiloom.functions.encoding import Lookup
 from lexiloom.operators.wordpiece import CONTINUED, PieceTrie, train_distributed
-from lexiloom.storage import ranked
+from lexiloom.storage import fresh, ranked
 
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 UNK = "[UNK]"
 MOST_WORD_CHARS = 100
 #: Distinct words up to which a vocabulary is trained on the driver, some 2 GB of it.
 MOST_LOCAL_WORDS = 4_000_000
+#: Distinct words a task counts before it passes its counts on, and rows it passes on at a time.
+HELD, BATCH_ROWS = 250_000, 20_000
 
 
 def word_counts(words: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -27,6 +32,62 @@ def word_counts(words: DataFrame, order: Sequence[str]) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"), F.min(F.struct(*order)).alias("first"))
 
 
+def array_counts(rows: DataFrame, words: str, order: Sequence[str]) -> DataFrame:
+    """word_counts of rows that hold arrays of words: first is `order`, which tells rows apart, and pos, the place in the array.
+
+    A task adds up its own rows' words before anything is shuffled, HELD distinct ones
+    at a time; what meets is a row a word and task. Null arrays are empty, null words count as a word.
+    """
+    names = [fresh(rows, f"order {i}") for i in range(len(order))]
+    own = rows.select(F.col(f"`{words}`").alias("words"), *[F.col(f"`{c}`").alias(n) for c, n in zip(order, names)])
+    kinds = [own.schema[n].dataType.simpleString() for n in names]
+    schema = f"word string, freq long, pos int, {', '.join(f'`{n}` {k}' for n, k in zip(names, kinds))}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(_counted(pa.Table.from_batches([batch]), names))
+            if sum(x.num_rows for x in held) > 2 * HELD:
+                held = [_added(held, names)]
+                if held[0].num_rows > HELD:
+                    yield from held.pop().combine_chunks().to_batches(BATCH_ROWS)
+        if held:
+            yield from _added(held, names).combine_chunks().to_batches(BATCH_ROWS)
+
+    parts = own.mapInArrow(run, schema)
+    first = F.min(F.struct(*[F.col(f"`{n}`").alias(c) for c, n in zip(order, names)], "pos"))
+    return parts.groupBy("word").agg(F.sum("freq").alias("freq"), first.alias("first"))
+
+
+def _counted(rows: pa.Table, names: Sequence[str]) -> pa.Table:
+    """A batch's words with their counts and the first place of each, by order and then pos."""
+    rows = rows.sort_by([(n, "ascending") for n in names]).combine_chunks()
+    lists = rows.column(0).combine_chunks()
+    flat = lists.flatten()
+    coded = flat.dictionary_encode("encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # of equal codes the last write, the first place, stays
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    of = np.searchsorted(ends, first, "right")
+    columns = {"word": coded.dictionary, "freq": np.bincount(codes, minlength=len(first)), "pos": (first - (ends - sizes)[of]).astype(np.int32)}
+    return pa.table(columns | {n: rows.column(n).take(pa.array(of)) for n in names})
+
+
+def _added(parts: Sequence[pa.Table], names: Sequence[str]) -> pa.Table:
+    """The counts of several, each word once."""
+    rows = pa.concat_tables(parts).sort_by([(n, "ascending") for n in (*names, "pos")])
+    coded = rows.column("word").combine_chunks().dictionary_encode("encode")
+    codes = coded.indices.to_numpy(zero_copy_only=False)
+    first = np.zeros(len(coded.dictionary), np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    freq = np.zeros(len(first), np.int64)
+    np.add.at(freq, codes, rows.column("freq").to_numpy())
+    kept = rows.select(["pos", *names]).take(pa.array(first))
+    return pa.table({"word": coded.dictionary, "freq": freq, **{n: kept.column(n) for n in ("pos", *names)}})
+
+
 def pos_tags(morphemes: DataFrame) -> DataFrame:
     """Distinct tags in ascending order of the tag; needs `tag`."""
     return morphemes.select("tag").distinct().orderBy("tag")

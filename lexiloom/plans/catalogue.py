@@ -193,8 +193,9 @@ _COUNTED = f"{_MORPHEMES}, c AS (SELECT lower(surface) AS word, count(*) AS freq
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = morphemes(spark, sf_dir).select("doc_id", "i", "pos", F.lower("surface").alias("word"))
-    return vocab.word_counts(rows, ["doc_id", "i", "pos"])
+    """Lower-cased words of all sentences, counted."""
+    words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
+    return vocab.array_counts(sentences(spark, sf_dir).select("doc_id", "i", words.alias("words")), "words", ["doc_id", "i"])
 
 
 @query(f"WITH {SENTENCES}, {_COUNTED} SELECT row_number() OVER (ORDER BY freq DESC, first) - 1 AS rank, word, freq FROM c ORDER BY freq DESC, first LIMIT 500")
