@@ -124,17 +124,21 @@ def answers(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_leng
     example's features. chosen is the best text, or empty where null wins by more
     than the threshold. Ties stand by start and end.
     """
-    def best(logits: str, at: str) -> DataFrame:
-        # The best of a feature are taken within its row; each takes its own logit and place along.
+    def best(logits: str) -> Column:
         tokens = F.transform(F.arrays_zip(F.col(logits).alias("logit"), F.col("offsets").alias("place")), lambda x, i: F.struct((-x["logit"]).alias("order"), i.alias("at"), x["logit"].alias("logit"), x["place"].alias("place")))
-        top = F.slice(F.array_sort(F.filter(tokens, lambda x: x["logit"].isNotNull())), F.lit(1), F.lit(n_best))
-        rows = features.select("id", "feature_idx", F.explode(top).alias("token"))
-        return rows.select("id", "feature_idx", F.col("token.at").alias(at), F.col("token.logit").alias(f"{at}l"), F.col("token.place").alias(f"{at}_place"))
-
-    starts, ends = best("start_logits", "s"), best("end_logits", "e")
-    pairs = starts.join(ends, ["id", "feature_idx"]).where((F.col("e") >= F.col("s")) & (F.col("e") - F.col("s") + 1 <= max_length))
-    pairs = pairs.where("s_place IS NOT NULL AND e_place IS NOT NULL")
-    pairs = pairs.select("id", "s", "e", F.col("s_place").alias("a"), F.col("e_place").alias("b"), (F.col("sl") + F.col("el")).alias("score"))
+        return F.slice(F.array_sort(F.filter(tokens, lambda x: x["logit"].isNotNull())), F.lit(1), F.lit(n_best))
+
+    def pair(s: Column, e: Column) -> Column:
+        score = s["logit"] + e["logit"]
+        return F.struct((-score).alias("order"), s["at"].alias("s"), e["at"].alias("e"), s["place"].alias("a"), e["place"].alias("b"), score.alias("score"))
+
+    def follows(p: Column) -> Column:
+        return (p["e"] >= p["s"]) & (p["e"] - p["s"] + 1 <= max_length) & p["a"].isNotNull() & p["b"].isNotNull()
+
+    # An example's best pairs are among each feature's: these are found within its row, and no others become rows.
+    tops = features.select("id", best("start_logits").alias("starts"), best("end_logits").alias("ends"))
+    pairs = F.flatten(F.transform("starts", lambda s: F.transform("ends", lambda e: pair(s, e))))
+    pairs = tops.select("id", F.explode(F.slice(F.array_sort(F.filter(pairs, follows)), F.lit(1), F.lit(n_best))).alias("p")).select("id", "p.s", "p.e", "p.a", "p.b", "p.score")
     nulls = features.groupBy("id").agg(F.min(F.get("start_logits", F.lit(0)) + F.get("end_logits", F.lit(0))).alias("null_score"))
     spans = pairs.join(contexts, "id").select("id", "s", "e", F.substring("context", F.col("a.start") + 1, F.col("b.end") - F.col("a.start")).alias("text"), "score", F.lit(False).alias("is_null"))
     nobody = nulls.select("id", F.lit(-1).alias("s"), F.lit(-1).alias("e"), F.lit("").alias("text"), F.col("null_score").alias("score"), F.lit(True).alias("is_null"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.storage import discard, materialize
 
 #: How csv is written and read: a quote within quotes is doubled.
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -64,12 +65,14 @@ def write_predictions(rows: DataFrame, path: str, order: Sequence[str], overwrit
 
 def write_answers(nbest: DataFrame, path: str, overwrite: bool = False) -> None:
     """predictions and n-best lists of operators.qa.answers as JSON lines, keyed by id."""
+    nbest = materialize(nbest, "nbest")  # found once for the three
     nbest.select("id", F.col("chosen").alias("prediction")).distinct().write.mode(_mode(overwrite)).json(f"{path}/predictions")
     lists = F.array_sort(F.collect_list(F.struct("rank", "text", "score", "probability")))
     nbest.groupBy("id").agg(lists.alias("nbest")).write.mode(_mode(overwrite)).json(f"{path}/nbest_predictions")
     nulls = nbest.where("text = ''").groupBy("id").agg(F.max("score").alias("null_score"))
     best = nbest.where("text <> ''").groupBy("id").agg(F.max("score").alias("best_score"))
     nulls.join(best, "id", "left").select("id", (F.col("null_score") - F.coalesce("best_score", F.lit(0.0))).alias("null_odds")).write.mode(_mode(overwrite)).json(f"{path}/null_odds")
+    discard(nbest)
 
 
 def write_summary(rows: DataFrame, path: str, overwrite: bool = False) -> None:
