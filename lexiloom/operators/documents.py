@@ -5,17 +5,20 @@ Everything here is a projection or a filter of one row: nothing shuffles.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lexiloom.functions import text, wordlist
 from lexiloom.functions.encoding import joined_runs
 from lexiloom.operators.analysis import regex_morphemes
-from lexiloom.storage import fresh, materialize, placed, running_total
+from lexiloom.storage import checkpoint_dir, discard, fresh, materialize, placed, running_total
 
 ARTICLE, PARAGRAPH, NEWLINE = "_START_ARTICLE_", "_START_PARAGRAPH_", "_NEWLINE_"  # fixed values: the markers of article sources
 
@@ -248,10 +251,7 @@ def shard_ids(docs: DataFrame, key: str, lines_per_shard: int, sentences: str =
     """Add shard_id, from 1: greedy bins of whole documents in the order of a unique key.
 
     A document takes its sentences and a blank line; a shard closes at the first
-    blank line after strictly more than lines_per_shard lines. Where a shard closes
-    depends on where the one before closed: each document's end knows the cut that
-    would follow it, and the cuts are those reached from 0, found by leaps of doubled
-    length. Only keys and line counts pass through this, in ranges, no task holds
+    blank line after strictly more than lines_per_shard lines. Only keys and line counts pass through this, in ranges, no task holds
     them all, and texts meet their shard in a join on the key.
     """
     sizes = docs.select(F.col(key).alias("key"), (F.size(sentences) + 1).cast("long").alias("lines"))
@@ -266,22 +266,34 @@ def shard_ids(docs: DataFrame, key: str, lines_per_shard: int, sentences: str =
 
 
 def closing_ends(ends: DataFrame, lines_per_shard: int) -> DataFrame:
-    """(end) at which shards close: the first end over lines_per_shard after 0, the first over as many after that, and so on."""
-    starts = ends.select("end").union(ends.sparkSession.range(1).select(F.lit(0).cast("long")))
-    points = ends.select(F.col("end").alias("at"), F.lit(0).alias("asks"), "end", F.lit(None).cast("long").alias("start"))
-    points = points.union(starts.select(F.col("end") + lines_per_shard, F.lit(1), F.lit(None).cast("long"), F.col("end")))
-    rows = placed(points, ["at", "asks", "start"], "points")
-    after = Window.partitionBy("pid").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    firsts = rows.groupBy(F.col("pid").alias("of")).agg(F.min("end").alias("first"))
-    later = Window.orderBy("of").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.select("of", F.first("first", ignorenulls=True).over(later).alias("beyond"))  # a row a range
-    asked = rows.withColumn("next", F.first("end", ignorenulls=True).over(after)).join(firsts, F.col("pid") == F.col("of")).where("asks = 1")
-    leaps = materialize(asked.select("start", F.coalesce("next", "beyond").alias("next")).where("next IS NOT NULL"), "leaps")
-    found = materialize(leaps.where("start = 0").select(F.col("next").alias("end")), "cuts")
-    while True:
-        more = materialize(found.join(leaps, F.col("end") == F.col("start")).select(F.col("next").alias("end")), "cuts")
-        if not more.limit(1).count():
-            return found
-        found = found.union(more)
-        two = leaps.alias("a").join(leaps.alias("b"), F.col("a.next") == F.col("b.start")).select("a.start", "b.next")
-        leaps = materialize(two, "leaps")
+    """(end) at which shards close: the first end over lines_per_shard after 0, the first over as many after that, and so on.
+
+    Where a shard closes depends on the one before, so ranges of ends are walked one
+    after another, each in a task that knows the last cut and skips from cut to cut;
+    a task sees one range.
+    """
+    spark = ends.sparkSession
+    rows = placed(ends.select("end"), ["end"], "points")
+    path = f"{checkpoint_dir(spark)}/lexiloom/cuts-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "end long").write.parquet(path)
+    found = lambda: spark.read.schema("end long").parquet(path)
+    last = 0
+    for r in rows.select("pid").distinct().orderBy("pid").collect():  # a row a range
+        own = rows.where(F.col("pid") == r.pid).select("end").repartition(1).sortWithinPartitions("end")
+        own.mapInArrow(_cuts_after(last, lines_per_shard), "end long").write.mode("append").parquet(path)
+        last = found().agg(F.max("end")).first()[0] or 0
+    discard(rows)
+    return found()
+
+
+def _cuts_after(last: int, lines: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = last
+        for batch in batches:
+            ends, out = batch.column(0).to_numpy(), []
+            while (i := int(np.searchsorted(ends, at + lines, "right"))) < len(ends):
+                at = int(ends[i])
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["end"])
+
+    return run
