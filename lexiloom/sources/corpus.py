@@ -27,6 +27,8 @@ from lexiloom.operators.documents import ARTICLE
 
 SCHEMAS = {"documents": "path string, at long, sentences array<string>", "articles": "path string, at long, article string"}
 SPLIT_BYTES = 128 << 20
+#: Bytes of ranges that one task reads, fewer where that would leave fewer tasks than these.
+TASK_BYTES, LEAST_TASKS = 16 << 20, 64
 #: Bytes read at a time, and bytes of rows in a batch.
 BLOCK, BATCH = 1 << 20, 1 << 22
 #: The characters that are stripped from lines.
@@ -156,18 +158,37 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class ByteRanges(InputPartition):
+    """What one task reads, range by range: a task of its own would cost more than a small range does."""
+
+    ranges: list[ByteRange]
+
+
 class CorpusReader(DataSourceReader):
     def __init__(self, path: str, kind: str, split_bytes: int):
         self.path, self.kind, self.split_bytes = path, kind, split_bytes
 
-    def partitions(self) -> list[ByteRange]:
-        return [ByteRange(f, at, min(at + self.split_bytes, size)) for f, size in listed(self.path) for at in range(0, size, self.split_bytes)] or [ByteRange("", 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def partitions(self) -> list[ByteRanges]:
+        found = [ByteRange(f, at, min(at + self.split_bytes, size)) for f, size in listed(self.path) for at in range(0, size, self.split_bytes)]
+        most = min(TASK_BYTES, sum(r.end - r.start for r in found) // LEAST_TASKS)
+        out: list[ByteRanges] = []
+        held = most
+        for r in found:
+            if held >= most:
+                out.append(ByteRanges([]))
+                held = 0
+            out[-1].ranges.append(r)
+            held += r.end - r.start
+        return out or [ByteRanges([])]
+
+    def read(self, partition: ByteRanges) -> Iterator[pa.RecordBatch]:
+        for own in partition.ranges:
+            yield from self._rows(own)
+
+    def _rows(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         last = pa.field("sentences", pa.list_(pa.string())) if self.kind == "documents" else pa.field("article", pa.string())
         schema = pa.schema([pa.field("path", pa.string()), pa.field("at", pa.int64()), last])
-        if not partition.path:
-            return
         store, _ = opened(self.path)
         places, values, held = [], [], 0
 
