@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import half_ascii
 
+#: Texts cut at a time.
+ROWS = 64
 # The classes that conjugate, and the names that conjugation rules turn on.
 CONJUGATIVE = ("動詞", "形容詞", "助動詞")
 IRREGULAR, END_FORM, GENERAL = "サ行変格", "終止形-一般", "一般"
@@ -128,10 +133,30 @@ def pretokens(morphemes: Column, text: Column, name: str, **tables: Column) -> C
     """Pieces of a text before subword training: morphemes of some width, as text or, unless surface, in a word form."""
     wide = F.filter(morphemes, lambda m: m["begin"] < m["end"])
     if name == "surface":
-        return F.transform(wide, lambda m: F.substring(text, m["begin"] + 1, m["end"] - m["begin"]))
+        return slices(text, F.transform(wide, lambda m: F.struct(m["begin"].cast("int").alias("start"), m["end"].cast("int").alias("end"))))
     return F.transform(wide, word_form(name, **tables))
 
 
+def slices(text: Column, spans: Column) -> Column:
+    """array<string>: the parts of a text at array<struct<start, end: int>>, in one pass; a substring of its own would walk the text up to each."""
+
+    @F.arrow_udf("array<string>")
+    def cut(texts: pa.Array, places: pa.Array) -> pa.Array:
+        parts = [pa.array([], pa.list_(pa.string()))]
+        for at in range(0, len(texts), ROWS):
+            some = places.slice(at, ROWS)
+            flat, sizes = some.flatten(), pc.fill_null(pc.list_value_length(some), 0)
+            starts, ends = (flat.field(i).to_pylist() for i in range(2))
+            rows = [0, *accumulate(sizes.to_pylist())]
+            own = texts.slice(at, ROWS).to_pylist()
+            found = [None if t is None else t[a:b] for t, i, j in zip(own, rows, rows[1:]) for a, b in zip(starts[i:j], ends[i:j])]
+            missing = pc.or_(some.is_null(), texts.slice(at, ROWS).is_null())
+            parts.append(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(found, pa.string()), mask=missing))
+        return pa.concat_arrays(parts)
+
+    return cut(text, spans)
+
+
 def normalized_text(morphemes: Column, text: Column, name: str, **tables: Column) -> Column:
     """A text of word forms joined without separator; surface leaves the text as it is."""
     return text if name == "surface" else F.array_join(word_forms(morphemes, name, **tables), "")

@@ -7,10 +7,11 @@ import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexiloom.functions import encoding, morphology, text
 from lexiloom.functions.encoding import Lookup
@@ -102,8 +103,10 @@ class Tokenizer:
         """The pieces of an array of words, or their ids; a task works out each word once, up to REMEMBERED of them."""
         trie = PieceTrie(list(self.ids), self.unk, MOST_WORD_CHARS)
 
-        @F.pandas_udf(T.ArrayType(T.StringType() if ids is None else T.IntegerType()))
-        def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kind = pa.string() if ids is None else pa.int32()
+
+        @F.arrow_udf("array<string>" if ids is None else "array<int>")
+        def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             memory: dict[str, list] = {}
 
             def pieces(w: str) -> list:
@@ -114,8 +117,13 @@ class Tokenizer:
                     memory[w] = found if ids is None else [ids[p] for p in found]
                 return memory[w]
 
-            for rows in batches:
-                yield rows.map(lambda ws: None if ws is None else [p for w in ws for p in pieces(w)])
+            for lists in batches:
+                coded = lists.flatten().dictionary_encode("encode")
+                own = pa.array(list(map(pieces, coded.dictionary.to_pylist())), pa.list_(kind)).take(coded.indices)
+                # where a row's words end among all words, their pieces end among all pieces
+                words = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends[words]), own.flatten(), mask=lists.is_null())
 
         return split(words)
 
@@ -172,7 +180,7 @@ def normalize_columns(rows: DataFrame, columns: Sequence[str], word_form: str, a
 
 SEGMENTERS: dict[str | None, Callable[[Column, Callable[[Column], Column]], Column]] = {
     None: lambda s, analyzer: s,
-    "spaced": lambda s, analyzer: morphology.segmented(analyzer(s)),
+    "spaced": lambda s, analyzer: F.array_join(words_in_form(analyzer, "surface", morphology.word_form("surface"))(s), " "),
     "wide": lambda s, analyzer: text.drop_surrogates(F.replace(morphology.segmented(analyzer(text.full_width(s))), F.lit("　"), F.lit(" "))),
 }
 

@@ -216,6 +216,12 @@ def vocab_min_freq(spark, sf_dir):
     return vocab.top_words(counted(spark, sf_dir), least=2).groupBy("freq").agg(F.count(F.lit(1)).alias("n"))
 
 
+def surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(word, freq): every morpheme of the sentences once, as it is written; analysed alone it stays one morpheme."""
+    rows = sentences(spark, sf_dir).select("doc_id", analysis.regex_words(F.col("sentence")).alias("words"))
+    return vocab.array_counts(rows, "words", ["doc_id"]).select("word", "freq")
+
+
 _KIND = rf"CASE WHEN regexp_full_match(surface, '\p{{N}}+') THEN '[number]' WHEN regexp_matches(surface, '^[{RE2_WORD}]') THEN '[noun]' ELSE '[symbol]' END"
 _VOCAB = f"""{_COUNTED}, t AS (SELECT DISTINCT {_KIND} AS tag FROM m), w AS (SELECT word, row_number() OVER (ORDER BY freq DESC, first) AS r FROM c ORDER BY freq DESC, first LIMIT 300),
 u AS (SELECT 0 AS a, n AS b, s AS token FROM (VALUES (0, '[PAD]'), (1, '[UNK]'), (2, '[CLS]'), (3, '[SEP]'), (4, '[MASK]')) x(n, s)
@@ -242,10 +248,10 @@ SELECT token, count(*) AS n FROM x GROUP BY token"""
 )
 def pos_substitute(spark, sf_dir):
     known = vocab.lookup(vocabulary(spark, sf_dir))
-    words = sentences(spark, sf_dir).select(analysis.regex_words(F.col("sentence")).alias("w"))
     found = F.transform("w", lambda w: F.struct(F.array(analysis.regex_kind(w), *[F.lit("*")] * 5).alias("pos")))
-    tokens = encoding.pos_substituted(F.transform("w", F.lower), found, known)
-    return words.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = surfaces(spark, sf_dir).select("freq", F.array("word").alias("w"))
+    tokens = words.select("freq", F.explode(encoding.pos_substituted(F.transform("w", F.lower), found, known)).alias("token"))
+    return tokens.groupBy("token").agg(F.sum("freq").alias("n"))
 
 
 @query(
@@ -277,9 +283,9 @@ SELECT CASE WHEN c IN (SELECT token FROM ch) THEN c ELSE '[UNK]' END AS token, c
 )
 def character_subwords(spark, sf_dir):
     chars = vocab.lookup(vocabulary(spark, sf_dir).where(F.char_length("token") == 1))
-    words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
-    rows = sentences(spark, sf_dir).select(F.explode(encoding.character_subwords(words, chars)).alias("token"))
-    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    words = surfaces(spark, sf_dir)
+    rows = words.select("freq", F.explode(encoding.character_subwords(F.array(F.lower("word")), chars)).alias("token"))
+    return rows.groupBy("token").agg(F.sum("freq").alias("n"))
 
 
 @query(
@@ -653,9 +659,9 @@ def lexicon_forms(spark, sf_dir):
     """A small lexicon over the regular-expression analyzer."""
     entry = "named_struct('dictionary_form', 'ART', 'normalized_form', 'ART', 'reading_form', 'ART', 'pos', array('article', 'common', '*', '*', '*', '*'))"
     lexicon = F.expr(f"map('the', {entry}, 'la', {entry})")
-    rows = sentences(spark, sf_dir).select(F.explode(analysis.lexicon_morphemes(lexicon)(F.col("sentence"))).alias("m"))
+    rows = surfaces(spark, sf_dir).select("freq", F.explode(analysis.lexicon_morphemes(lexicon)(F.col("word"))).alias("m"))
     tag = F.when(F.col("m.pos")[0] == "article", morphology.pos_tag(F.col("m.pos"))).otherwise("[other]")
-    return rows.groupBy(F.col("m.normalized_form").alias("form"), tag.alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(F.col("m.normalized_form").alias("form"), tag.alias("tag")).agg(F.sum("freq").alias("n"))
 
 
 _WORDS = rf"w AS (SELECT doc_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_WORD}\s]') AS ws FROM documents)"
@@ -665,10 +671,10 @@ _WORDS = rf"w AS (SELECT doc_id, regexp_extract_all(text, '[{RE2_WORD}]+|[^{RE2_
 def segmented(spark, sf_dir):
     """Space-separated texts, and pretokens: lower-cased ones, and slices of the text by the offsets."""
     rows = tokenizer.segment_columns(read(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("spaced")), ["spaced"], "spaced")
-    found = analysis.regex_morphemes(F.col("text"))
     digest = lambda c: F.md5(c.cast("binary"))
-    forms = {n: digest(F.array_join(morphology.pretokens(found, F.col("text"), f), "|")).alias(n) for n, f in (("pretokens", "normalized"), ("slices", "surface"))}
-    return rows.select("doc_id", digest(F.col("spaced")).alias("spaced"), *forms.values())
+    lowered = analysis.words_in_form(analysis.regex_morphemes, "normalized", morphology.word_form("normalized"))(F.col("text"))
+    forms = {"pretokens": lowered, "slices": morphology.slices(F.col("text"), analysis.offsets_of(F.col("text")))}
+    return rows.select("doc_id", digest(F.col("spaced")).alias("spaced"), *[digest(F.array_join(c, "|")).alias(n) for n, c in forms.items()])
 
 
 # -- documents --------------------------------------------------------------------
@@ -715,7 +721,8 @@ def decode_ids(spark, sf_dir):
     """Ids back to tokens, and tokens to text."""
     known = vocab.lookup(vocabulary(spark, sf_dir))
     words = F.transform(analysis.regex_words(F.col("sentence")), F.lower)
-    rows = sentences(spark, sf_dir).withColumn("ids", known.ids(words)).where(F.size("ids") > 0)
+    # a filter on the ids would have them looked up twice
+    rows = sentences(spark, sf_dir).where(F.col("sentence").rlike(analysis.PIECE)).withColumn("ids", known.ids(words))
     return rows.select("doc_id", "i", F.md5(encoding.to_text(known.tokens(F.col("ids"))).cast("binary")).alias("digest"))
 
 
@@ -886,7 +893,9 @@ SELECT doc_id, k::INT AS feature_idx, CASE WHEN 40 >= first AND 60 <= last THEN
 def span_labels(spark, sf_dir):
     """Characters 40 to 60 of every text as the answer: its first and last token in each overlapping chunk."""
     found = analysis.offsets_of(F.col("text"))
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.array(F.lit("what"), F.lit("?")).alias("q"), found.alias("o")).where(F.size("o") > 0)
+    # a filter on the offsets would have them found twice
+    rows = read(spark, sf_dir, "documents").where(F.col("text").rlike(analysis.PIECE))
+    rows = rows.select("doc_id", F.array(F.lit("what"), F.lit("?")).alias("q"), found.alias("o"))
     out = qa.overflow_features(rows, "q", "o", "o", length=64, stride=20)
     label = qa.span_labels(F.col("chunk_offsets"), F.lit(40), F.lit(60), shift=3)
     return out.select("doc_id", "feature_idx", label["start_position"].cast("long").alias("start_position"), label["end_position"].cast("long").alias("end_position"))
