@@ -1019,7 +1019,7 @@ def article_files(spark, sf_dir):
     """Marked-up articles written, read, cut into sentences and stripped of their markers."""
     path = folder(spark)
     lines = F.array(F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
-    read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")).write.text(path)
+    sinks.write_articles(read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")), path)
     rows = readers.articles(spark, path).select(documents.strip_markers(documents.article_lines(F.col("article"))).alias("x"))
     return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -13,6 +13,10 @@ from lexiloom.storage import discard, materialize
 CSV = {"header": True, "quote": '"', "escape": '"', "emptyValue": '""', "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+#: Documents a file holds at most, as readers that take a file whole hold all of it.
+FILE_DOCUMENTS = 2000
+
+
 def _mode(overwrite: bool) -> str:
     return "overwrite" if overwrite else "errorifexists"
 
@@ -20,7 +24,12 @@ def _mode(overwrite: bool) -> str:
 def write_corpus(docs: DataFrame, path: str, order: Sequence[str], overwrite: bool = False) -> None:
     """Sentences on lines, a blank line after each document, the last of a part file too, so that reading back loses none; part files in order."""
     text = docs.repartitionByRange(*order).sortWithinPartitions(*order).select(F.array_join("sentences", "\n").alias("value"))
-    text.write.mode(_mode(overwrite)).text(path, lineSep="\n\n")
+    text.write.mode(_mode(overwrite)).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path, lineSep="\n\n")
+
+
+def write_articles(articles: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Marked-up articles, one a row (value), each from its marker's line on; files of FILE_DOCUMENTS at most."""
+    articles.select("value").write.mode(_mode(overwrite)).option("maxRecordsPerFile", FILE_DOCUMENTS).text(path)
 
 
 def write_shards(docs: DataFrame, path: str, order: Sequence[str], overwrite: bool = False) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import morphology
 from lexiloom.operators import analysis, documents, lexicon
 from lexiloom.plans import catalogue
-from lexiloom.sources import corpus
+from lexiloom.sources import corpus, readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,3 +78,13 @@ def test_a_word_is_worked_out_once(monkeypatch):
     assert len(calls) == len(set(calls))
     spaced = lexicon.Lexicon([lexicon.Entry("the cat", 5), lexicon.Entry("the", 10)], unknown_cost=50)
     assert not spaced.parted() and spaced.arrays(texts, analysis.SplitMode.C, {}, False).to_pylist() == [None if t is None else spaced.morphemes(t, analysis.SplitMode.C) for t in texts]
+
+
+def test_files_that_are_read_whole_stay_small(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_DOCUMENTS", 10)
+    rows = spark.range(95).coalesce(1).select("id", F.array(F.lit("a"), F.col("id").cast("string")).alias("sentences"))
+    sinks.write_corpus(rows, str(tmp_path / "c"), ["id"])
+    sinks.write_articles(rows.select(F.concat(F.lit("_START_ARTICLE_\n"), F.col("id").cast("string")).alias("value")), str(tmp_path / "a"))
+    for name, found in (("c", readers.blank_line_documents(spark, str(tmp_path / "c"))), ("a", readers.articles(spark, str(tmp_path / "a")))):
+        sizes = [r["count"] for r in found.groupBy("path").count().collect()]
+        assert sum(sizes) == 95 and max(sizes) == 10
