@@ -21,8 +21,8 @@ from lexiloom.storage import fresh, ranked
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]")
 UNK = "[UNK]"
 MOST_WORD_CHARS = 100
-#: Distinct words up to which a vocabulary is trained on the driver, some 2 GB of it.
-MOST_LOCAL_WORDS = 4_000_000
+#: Distinct words up to which a vocabulary is trained on the driver, some 50 MB of it.
+MOST_LOCAL_WORDS = 50_000
 #: Distinct words a task counts before it passes its counts on, and rows it passes on at a time.
 HELD, BATCH_ROWS = 250_000, 20_000
 

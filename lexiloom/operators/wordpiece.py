@@ -1,21 +1,28 @@
 """WordPiece training on a cluster: words and their pieces stay in tables, the driver holds the vocabulary.
 
 Training merges the most frequent neighbouring pair, over and over. A round counts all
-pairs in the tables, and takes to the driver the most frequent ones with what stands
-beside them. From these, merges follow exactly as one after another would: a merge
-lowers its neighbours' counts and makes new pairs by known numbers. Where merges meet
-each other the numbers become upper bounds; the round ends as soon as a pair that is
-known by a bound alone could be the next, or one that wasn't taken along. Tasks then
-apply the round's merges to their words.
+pairs in the tables and opens the most frequent ones. Pairs only lose places while
+others merge, and a merge's new pairs have no more places than the pair that stood at
+their border, so until the best opened pair is as rare as the best closed one, no
+closed pair can be next: words fall apart at closed pairs, into runs that recur in many
+words. The driver takes the distinct runs, of a bounded number and length, and merges
+in them one pair after another, exactly. Where two ways lead to one token, its pairs may
+have places at closed borders; these have an upper bound, and the round ends before a
+bound could matter. Tasks then replace the runs in their words.
+
+Where even few opened pairs give too long runs or too many, a round of another kind
+takes along what stands beside the most frequent pairs, in place of runs, and follows
+their merges as far as these numbers tell.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +30,14 @@ from pyspark.sql import functions as F
 from lexiloom.storage import discard, materialize
 
 CONTINUED = "##"
-#: Pairs that a round takes to the driver.
+#: Pairs that a round without runs takes to the driver.
 TOP = 1024
+#: Pairs opened in the first round, and at least and at most in others.
+OPENED, LEAST_OPENED, MOST_OPENED = 128, 2, 32_768
+#: Distinct runs that come to the driver, some 1 KB each there, and the pieces of one.
+MOST_RUNS, MOST_RUN = 100_000, 128
+#: Pieces that a task counts or cuts into runs at a time.
+GATHERED = 1 << 20
 
 Pair = tuple[int, int]
 
@@ -125,8 +138,131 @@ def merges_of(found: Round, vocab: Vocabulary, size: int, least: int) -> tuple[l
     return out, found.all or len(vocab.tokens) >= size
 
 
-def apply_merges(ids: list[int], ranks: dict[Pair, tuple[int, int]]) -> list[int]:
-    """A word's pieces after merges, pair -> (rank, merged), in the order of their ranks."""
+@dataclass
+class Opened:
+    """A round's pairs (count, first, second) by count descending, then ids; the first `n` are open."""
+
+    pairs: list[tuple[int, int, int]]
+    n: int
+    all: bool  # whether there are no other pairs
+
+
+class Borders:
+    """Upper bounds for the places that pairs have outside the runs.
+
+    A token's borders are the round's first pieces at which its spellings begin and end:
+    one each, but for tokens that several merges gave.
+    """
+
+    def __init__(self, opened: Opened):
+        self.open = {(a, b) for _, a, b in opened.pairs[: opened.n]}
+        self.closed = {(a, b): c for c, a, b in opened.pairs[opened.n :]}
+        self.rest = 0 if opened.all else opened.pairs[-1][0]
+        self.firsts: dict[int, tuple[int, ...]] = {}
+        self.lasts: dict[int, tuple[int, ...]] = {}
+        self.several: set[int] = set()
+        self.beside: tuple[dict, dict] | None = None
+        #: Of any pair without a place in the runs that a token of several borders may be in.
+        self.unseen = 0
+
+    def add(self, a: int, b: int, m: int, known: bool) -> None:
+        """a and b were merged to m."""
+        first, last = self.firsts.get(a, (a,)), self.lasts.get(b, (b,))
+        if known:
+            first = tuple(dict.fromkeys((*self.firsts.get(m, (m,)), *first)))
+            last = tuple(dict.fromkeys((*self.lasts.get(m, (m,)), *last)))
+        self.firsts[m], self.lasts[m] = first, last
+        if max(len(first), len(last)) == 1:
+            return
+        self.several.add(m)
+        if self.beside is None:
+            self.beside = defaultdict(list), defaultdict(list)
+            for (x, y), c in self.closed.items():
+                self.beside[0][x].append((y, c))
+                self.beside[1][y].append((x, c))
+        for own, beside in ((last, self.beside[0]), (first, self.beside[1])):
+            sums: Counter = Counter()
+            for x in own:
+                for y, c in beside.get(x, ()):
+                    sums[y] += c
+            self.unseen = max(self.unseen, max(sums.values(), default=0) + len(own) * self.rest)
+        for other in self.several:
+            self.unseen = max(self.unseen, self.outside(m, other), self.outside(other, m))
+
+    def outside(self, a: int, b: int) -> int:
+        """The most places that (a, b) may have outside the runs."""
+        if a not in self.several and b not in self.several:
+            return 0  # it has places in the runs, so its one border is open
+        pairs = [(x, y) for x in self.lasts.get(a, (a,)) for y in self.firsts.get(b, (b,))]
+        return sum(self.closed.get(p, self.rest) for p in pairs if p not in self.open)
+
+
+def merge_runs(runs: dict[tuple[int, ...], int], opened: Opened, vocab: Vocabulary, size: int, least: int) -> tuple[list[list[int]], bool]:
+    """The runs (pieces -> count) after all merges that are certain, and whether training has ended. Adds to the vocabulary."""
+    words, freqs = [list(r) for r in runs], list(runs.values())
+    n: Counter = Counter()
+    where: dict[Pair, set[int]] = defaultdict(set)
+    firsts, seconds = defaultdict(set), defaultdict(set)
+    for k, word in enumerate(words):
+        for p in zip(word, word[1:]):
+            n[p] += freqs[k]
+            where[p].add(k)
+    for p in n:
+        firsts[p[0]].add(p)
+        seconds[p[1]].add(p)
+    borders = Borders(opened)
+    most = dict(n)  # with what may stand outside
+    heap = [(-c, p) for p, c in n.items()]
+    heapify(heap)
+    last = None  # no pair after it in this order is certain
+    if opened.n < len(opened.pairs) or opened.pairs and not opened.all:
+        c, a, b = opened.pairs[min(opened.n, len(opened.pairs) - 1)]
+        last = (-c, (a, b))
+    while heap and len(vocab.tokens) < size:
+        entry = heappop(heap)
+        count, best = -entry[0], entry[1]
+        if most.get(best) != count:
+            continue  # counted anew since
+        if n[best] != count or (last is not None and entry > last) or count <= borders.unseen:
+            return words, False
+        if count < max(least, 1):
+            return words, True
+        a, b = best
+        name = vocab.tokens[a] + vocab.tokens[b].removeprefix(CONTINUED)
+        known = name in vocab.ids
+        m = vocab.id(name)
+        borders.add(a, b, m, known)
+        changed = set()
+        for k in list(where[best]):
+            word = words[k]
+            for p in zip(word, word[1:]):
+                n[p] -= freqs[k]
+                where[p].discard(k)
+                changed.add(p)
+            words[k] = word = apply_merges(word, {best: (0, m)}, once=True)
+            for p in zip(word, word[1:]):
+                n[p] += freqs[k]
+                where[p].add(k)
+                changed.add(p)
+        for p in changed:
+            firsts[p[0]].add(p)
+            seconds[p[1]].add(p)
+        if m in borders.several:
+            changed |= firsts[m] | seconds[m]
+        for p in changed:
+            if n[p] <= 0:
+                del n[p]
+                most.pop(p, None)
+                firsts[p[0]].discard(p)
+                seconds[p[1]].discard(p)
+            else:
+                most[p] = n[p] + borders.outside(*p)
+                heappush(heap, (-most[p], p))
+    return words, len(vocab.tokens) >= size or last is None
+
+
+def apply_merges(ids: list[int], ranks: dict[Pair, tuple[int, int]], once: bool = False) -> list[int]:
+    """A word's pieces after merges, pair -> (rank, merged), in the order of their ranks; or after the first of them alone."""
     while len(ids) > 1:
         best = min((ranks[p] for p in zip(ids, ids[1:]) if p in ranks), default=None)
         if best is None:
@@ -140,6 +276,8 @@ def apply_merges(ids: list[int], ranks: dict[Pair, tuple[int, int]]) -> list[int
                 out.append(ids[i])
                 i += 1
         ids = out
+        if once:
+            break
     return ids
 
 
@@ -165,6 +303,27 @@ def counted_round(words: DataFrame, top: int = TOP) -> Round:
     return found
 
 
+def characters(rows: DataFrame) -> DataFrame:
+    """(c, n, first) of words (word, freq): how often a character stands, and the first word, and place in it, that it continues."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        first: dict[str, tuple[str, int]] = {}
+        for batch in batches:
+            for word, freq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for c in word:
+                    n[c] += freq
+                for c in set(word[1:]):
+                    if c not in first or word < first[c][0]:
+                        first[c] = word, word.index(c, 1)
+        words, places = zip(*(first.get(c, (None, None)) for c in n)) if n else ((), ())
+        columns = [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(words, pa.string()), pa.array(places, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["c", "n", "word", "at"])
+
+    found = rows.select("word", F.col("freq").cast("long")).mapInArrow(run, "c string, n long, word string, at int")
+    return found.groupBy("c").agg(F.sum("n").alias("n"), F.min(F.when(F.col("word").isNotNull(), F.struct("word", "at"))).alias("first"))
+
+
 def first_pieces(counts: DataFrame, vocab: Vocabulary, kept: set[str]) -> DataFrame:
     """(word, freq) -> (freq, ids) of words of two kept characters and more."""
     ids = dict(vocab.ids)
@@ -188,32 +347,144 @@ def merged(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
     return words.mapInArrow(run, words.schema).where(F.size("ids") > 1)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of words (freq, ids), some at a time: counts, pieces one after another, where each word ends, and of each two neighbours their code and whether they are in one word."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists = rows.column(1).combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+        code = (flat[:-1].astype(np.int64) << 32) + flat[1:]
+        inside = np.ones(len(code), bool)
+        inside[ends[:-1] - 1] = False
+        return rows.column(0).to_numpy(), flat, ends, code, inside
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(len(x.column(1).flatten()) for x in held) >= GATHERED:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
+def opened_pairs(words: DataFrame, n: int) -> Opened:
+    """The n most frequent pairs of words (freq, ids), open, and as many others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for freq, _, ends, code, inside in gathered(batches):
+            of = np.searchsorted(ends, np.flatnonzero(inside), "right")
+            codes, at = np.unique(code[inside], return_inverse=True)
+            sums = np.zeros(len(codes), np.int64)
+            np.add.at(sums, at, freq[of])
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], ["code", "n"])
+
+    counts = words.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "code").limit(2 * n + 1).toArrow().to_pydict()
+    pairs = [(c, code >> 32, code & 0xFFFFFFFF) for c, code in zip(rows["n"], rows["code"])]
+    return Opened(pairs[: 2 * n], min(n, len(pairs)), len(pairs) <= 2 * n)
+
+
+def stretches(code: np.ndarray, inside: np.ndarray, opened: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of opened pairs begin and end: the places of their first pieces, and of their last."""
+    at = np.searchsorted(opened, code).clip(max=len(opened) - 1)
+    here = np.concatenate([[False], inside & (opened[at] == code), [False]])
+    return np.flatnonzero(here[1:] & ~here[:-1]), np.flatnonzero(~here[1:] & here[:-1])
+
+
+def codes(opened: Opened) -> np.ndarray:
+    return np.sort(np.array([(a << 32) + b for _, a, b in opened.pairs[: opened.n]], np.int64))
+
+
+def runs_of(words: DataFrame, opened: Opened) -> dict[tuple[int, ...], int] | None:
+    """The distinct runs of opened pairs with their counts, or nothing if they are too many or one is too long."""
+    asked, most, longest = codes(opened), MOST_RUNS, 4 * MOST_RUN
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for freq, flat, ends, code, inside in gathered(batches):
+            first, end = stretches(code, inside, asked)
+            bytes_ = flat.tobytes()
+            counts = freq[np.searchsorted(ends, first, "right")].tolist()
+            for i, j, n in zip((4 * first).tolist(), (4 * end + 4).tolist(), counts):
+                found[bytes_[i:j] if j - i <= longest else b""] += n
+            if len(found) > most or b"" in found:  # an empty run tells that there are too many
+                found = Counter({b"": 1})
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["run", "n"])
+
+    counts = words.mapInArrow(run, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy("run").limit(most + 1).toArrow()  # an empty run comes first
+    if rows.num_rows > most or (rows.num_rows and not len(rows.column(0)[0].as_py())):
+        return None
+    return {tuple(np.frombuffer(r, np.int32).tolist()): n for r, n in zip(*(c.to_pylist() for c in rows.columns))}
+
+
+def replaced(words: DataFrame, opened: Opened, runs: dict[tuple[int, ...], int], after: list[list[int]]) -> DataFrame:
+    """words (freq, ids) with the runs as they are after a round."""
+    asked, table = codes(opened), {}
+    for run, ids in zip(runs, after):
+        if len(ids) < len(run):
+            table[np.array(run, np.int32).tobytes()] = np.array(ids + [-1] * (len(run) - len(ids)), np.int32).tobytes()
+    known = words.sparkSession.sparkContext.broadcast((asked, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, table = known.value
+        for freq, flat, ends, code, inside in gathered(batches):
+            first, end = stretches(code, inside, asked)
+            old = flat.tobytes()
+            new = bytearray(old)
+            for i, j in zip((4 * first).tolist(), (4 * end + 4).tolist()):
+                ids = table.get(old[i:j])
+                if ids is not None:
+                    new[i:j] = ids
+            ids = np.frombuffer(new, np.int32)
+            kept = ids >= 0
+            begins = np.cumsum(kept)[ends - 1]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], begins]), pa.int32()), pa.array(ids[kept]))
+            rows = pa.RecordBatch.from_arrays([pa.array(freq), lists], ["freq", "ids"])
+            yield from (rows.slice(i, 10_000) for i in range(0, rows.num_rows, 10_000))
+
+    return words.mapInArrow(run, words.schema).where(F.size("ids") > 1)
+
+
 def train_distributed(counts: DataFrame, size: int, least: int, alphabet: int, specials: Sequence[str], top: int = TOP) -> list[str]:
     """The vocabulary that merging one pair after another over (word, freq) gives, without words on the driver.
 
-    A round reads the words' pieces three times and writes them once. Rows of equal
+    A round reads the words' pieces three times, once more where it must open fewer
+    pairs, and writes them once; the pairs opened follow the runs found. Rows of equal
     words count each; null and empty words are passed over.
     """
     rows = counts.where("word <> ''").select("word", "freq")
-    letters = rows.select("word", "freq", F.posexplode(F.filter(F.split("word", ""), lambda c: c != "")).alias("at", "c"))
     # There are at most as many characters as Unicode has.
-    heavy = letters.groupBy("c").agg(F.sum("freq").alias("n")).orderBy(F.desc("n"), "c").limit(alphabet)
-    kept = {r.c for r in heavy.collect()}
+    letters = characters(rows).collect()
+    heavy = sorted(letters, key=lambda r: (-r.n, r.c))[:alphabet]
+    kept = {r.c for r in heavy}
     vocab = Vocabulary([*specials, *sorted(kept)])
-    inner = letters.where("at > 0").groupBy("c").agg(F.min(F.struct("word", "at")).alias("first")).orderBy("first")
-    initial = letters.where("at = 0").select("c").distinct()
-    begins = {r.c for r in initial.collect()}
-    for r in inner.select("c").collect():
-        if r.c in kept:
-            vocab.id(CONTINUED + r.c)
-    assert begins & kept <= set(vocab.ids)
+    for r in sorted((r for r in heavy if r.first), key=lambda r: r.first):
+        vocab.id(CONTINUED + r.c)
     words = materialize(first_pieces(rows, vocab, kept), "words")
-    while len(vocab.tokens) < size:
-        merges, ended = merges_of(counted_round(words, top), vocab, size, least)
-        if ended or not merges:
+    ended, n = False, OPENED
+    while not ended and len(vocab.tokens) < size:
+        opened = opened_pairs(words, min(n, 2 * (size - len(vocab.tokens)) + LEAST_OPENED))
+        if not opened.pairs:
             break
-        words, old = materialize(merged(words, merges), "words"), words
-        discard(old)
+        while (runs := runs_of(words, opened)) is None and opened.n > LEAST_OPENED:
+            n = max(LEAST_OPENED, opened.n // 4)
+            opened = Opened(opened.pairs, n, opened.all)
+        if runs is None:
+            merges, ended = merges_of(counted_round(words, top), vocab, size, least)
+            after = merged(words, merges)
+        else:
+            done, ended = merge_runs(runs, opened, vocab, size, least)
+            after = replaced(words, opened, runs, done)
+            n = min(MOST_OPENED, n * (4 if len(runs) < MOST_RUNS // 16 else 2 if len(runs) < MOST_RUNS // 2 else 1))
+        if not ended:
+            words, old = materialize(after, "words"), words
+            discard(old)
     discard(words)
     return vocab.tokens[: max(size, len(specials))]
 

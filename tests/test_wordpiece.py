@@ -64,6 +64,68 @@ def test_rounds_equal_single_merges():
     assert merges > 1.5 * rounds
 
 
+def cut(word, opened):
+    out = [[word[0]]]
+    for p in zip(word, word[1:]):
+        if p in opened:
+            out[-1].append(p[1])
+        else:
+            out.append([p[1]])
+    return out
+
+
+def test_runs_equal_single_merges():
+    """Merges in the runs of opened pairs are those of single steps, also where several merges give one token, as marks within words do."""
+    r, tokens_of_two_ways = random.Random(3), 0
+    for _ in range(600):
+        letters = r.choice(["ab#", "a#", "abc##", "ab", "abcdefgh"])
+        words = list({"".join(r.choice(letters) for _ in range(r.randint(1, 16))) for _ in range(r.randint(1, 40))})
+        freqs = [r.choice([1, 1, 2, 3, 10, 30, 100]) for _ in words]
+        tokens = list(dict.fromkeys([*sorted(set("".join(words))), *("##" + c for c in sorted(set("".join(words))))]))
+        size, least = len(tokens) + r.randint(0, 60), r.choice([1, 1, 2, 3])
+        n, listed = r.choice([1, 2, 3, 6, 12, 1000]), r.choice([1, 2, 3])
+        one, many = wordpiece.Vocabulary(tokens), wordpiece.Vocabulary(tokens)
+        split = [[one.ids[("##" if i else "") + c] for i, c in enumerate(w)] for w in words]
+        want = one_by_one(split, freqs, one, size, least)
+        ended = False
+        while not ended and len(many.tokens) < size and any(len(w) > 1 for w in split):
+            found = round_of(split, freqs, n * listed)
+            pairs = wordpiece.Opened(found.pairs, min(n, len(found.pairs)), found.all)
+            opened = {(a, b) for _, a, b in pairs.pairs[: pairs.n]}
+            runs = Counter()
+            for w, f in zip(split, freqs):
+                for x in cut(w, opened):
+                    runs[tuple(x)] += f * (len(x) > 1)
+            runs, before = +runs, len(many.tokens)
+            after, ended = wordpiece.merge_runs(runs, pairs, many, size, least)
+            assert ended or any(len(x) < len(y) for x, y in zip(after, runs))
+            tokens_of_two_ways += len(many.tokens) == before
+            known = dict(zip(runs, after))
+            split = [[i for x in cut(w, opened) for i in known.get(tuple(x), x)] for w in split]
+        assert many.tokens == want
+    assert tokens_of_two_ways
+
+
+def test_rounds_in_tables_are_few(spark, monkeypatch):
+    """300 merges in a few rounds, each with a bounded number of runs on the driver; where runs are too many or too long, the same vocabulary by other rounds."""
+    r = random.Random(4)
+    words = list({"".join(r.choice(["the", "er", "in", "an", "st", "om", "ul"]) for _ in range(r.randint(1, 6))) for _ in range(1500)})
+    counts = spark.createDataFrame([*((w, r.randint(1, 9)) for w in words), ("ab" * 200, 3)], "word string, freq long")
+    want = vocab.train_wordpiece(counts, 330)
+    rounds, merge = [], wordpiece.merge_runs
+    monkeypatch.setattr(wordpiece, "merge_runs", lambda runs, *x: rounds.append(len(runs)) or merge(runs, *x))
+    monkeypatch.setattr(wordpiece, "MOST_RUN", 500)
+    assert vocab.train_wordpiece(counts, 330, most_local=10) == want and len(rounds) <= 12
+    rounds.clear()
+    monkeypatch.setattr(wordpiece, "MOST_RUNS", 100)
+    assert vocab.train_wordpiece(counts, 330, most_local=10) == want and max(rounds) <= 100
+    rounds.clear()
+    monkeypatch.setattr(wordpiece, "MOST_RUNS", 0)
+    assert wordpiece.train_distributed(counts, 40, 1, 5000, vocab.SPECIALS) == want[:40] and not rounds
+    monkeypatch.undo()
+    assert vocab.MOST_LOCAL_WORDS <= 100_000  # more never meet on the driver
+
+
 def test_training_in_tables(spark):
     """The same vocabulary, in the same order, as on the driver; the way is chosen by the number of words."""
     r = random.Random(2)
