@@ -16,8 +16,10 @@ probabilities sum to 1.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, field, replace
+from itertools import count
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,8 @@ from lexiloom.llm.common import in_slices, materialize, table, thrifty
 #: Words of the model: seen this often at least and, of the training tokens, one in LEAST_SHARE, so there are at most as
 #: many; of HEAD_BYTES at most. Every task knows them; counts of others are joined.
 LEAST_COUNT, LEAST_SHARE, HEAD_BYTES = 2, 200_000, 48
+#: At most so many of the most frequent other words have counts that every task knows too; they meet no join.
+COUNTED = 1 << 18
 #: Unknown tokens: one for each of the most frequent suffixes of other words, the last for all else.
 SUFFIXES, SUFFIX = 32, 2
 #: Numbers a vector; noise classes a batch, and noise words a token; how far a step goes; tokens a batch.
@@ -110,19 +114,27 @@ class Vocabulary:
 
 
 class Ids(dict):
-    """Tokens of words: the model's words, and others as they come, HELD of them remembered."""
+    """Tokens of words: the model's words, counted ones by numbers after all tokens, and others as they come, HELD of them remembered."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__(vocabulary.words)
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, counted: Sequence[bytes] = ()):
+        self.vocabulary, self.counted = vocabulary, counted
+        self.fill()
+        self.least = len(self)
+
+    def fill(self) -> None:
+        self.update(self.vocabulary.words)
+        self.update(zip(self.counted, count(self.vocabulary.n_words + SUFFIXES)))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > HELD + self.vocabulary.n_words:
+        if len(self) > HELD + self.least:
             self.clear()
-            self.update(self.vocabulary.words)
+            self.fill()
         k = self[word] = self.vocabulary.unknown(word)
         return k
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(itemgetter(*words)(self) if len(words) > 1 else (self[words[0]],), np.int64, len(words))
+
 
 def vocabulary_of(head: list[tuple[bytes, int]], suffixes: list[bytes]) -> Vocabulary:
     """Classes of about equal mass, as many as the square root of the number of words: a token then meets few classes and few words."""
@@ -179,55 +191,68 @@ class Trainer:
         inside = np.log((vocabulary.counts + 0.5) / np.repeat(self.high - self.low, np.diff(self.starts)))
         self.word_noise = (np.log(WORD_NOISE) + inside).astype(np.float32)
 
-    def move(self, name: str, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
-        """Move rows by their summed gradients; a row may come several times."""
-        order = np.argsort(at.astype(np.uint16) if len(self.squares) < 1 << 16 else at, kind="stable")  # by digits, where they are few
-        rows = at[order]
-        begins = np.concatenate([[0], np.flatnonzero(np.diff(rows)) + 1])
-        sums = np.add.reduceat(grads[order], begins, axis=0)
-        rows = rows[begins] + self.parameters.places[name].start
+    def move(self, name: str, rows: np.ndarray, sums: np.ndarray, times: np.ndarray, rate: float) -> None:
+        """Move rows, each given once, by their summed gradients of so many places."""
+        rows = rows + self.parameters.places[name].start
         self.squares[rows] += np.einsum("nd,nd->n", sums, sums) / sums.shape[1]
-        self.touched[rows] += np.diff(begins, append=len(at))
+        self.touched[rows] += times
         sums *= (rate / np.sqrt(self.squares[rows]))[:, None]
         self.parameters.rows[rows] += sums
 
+    def order(self, at: np.ndarray) -> np.ndarray:
+        return np.argsort(at.astype(np.uint16) if len(self.squares) < 1 << 16 else at, kind="stable")  # by digits, where they are few
+
     def step(self, a: np.ndarray, b: np.ndarray, w: np.ndarray, rate: float) -> None:
-        """One batch: contexts (a, b) and their tokens."""
+        """One batch: contexts (a, b) and their tokens, in the order of the tokens, which is that of their classes."""
         p, n = self.parameters, len(w)
         r, q, v, c1, c2 = (p.of(x) for x in ("r", "q", "v", "c1", "c2"))
-        ra, rb = r[a, :-1], r[b, :-1]
-        hidden = ra @ c1[:, :-1] + rb @ c2[:, :-1]
-        one = np.ones((n, 1), np.float32)
-        known = np.concatenate([hidden, one], axis=1)  # the last column meets the biases
+        square = np.zeros((2, DIMS + 1, DIMS + 1), np.float32)
+        square[0, :-1, :-1], square[1, :-1, :-1] = c1[:, :-1], c2[:, :-1]
+        ra, rb = r.take(a, axis=0), r.take(b, axis=0)
+        known = ra @ square[0]
+        known += rb @ square[1]
+        known[:, -1] = 1  # the last column meets the biases
         # classes: the token's own against noise that the batch shares
         k = self.class_of[w]
-        qk = q[k]
+        qk = q.take(k, axis=0)
         noise = np.searchsorted(self.class_sums, self.rng.random(NOISE) * self.class_sums[-1]).clip(max=len(self.class_sums) - 1)
         own = 1 - sigmoid(np.einsum("nd,nd->n", known, qk) - self.class_noise[k])
         other = -sigmoid(known @ q[noise].T - self.class_noise[noise])
         to_hidden = other @ q[noise]
-        to_hidden += own[:, None] * qk
-        moves = [("q", np.concatenate([k, noise]), np.concatenate([own[:, None] * known, other.T @ known]))]
+        qk *= own[:, None]
+        to_hidden += qk
+        begins = starts_of(k)
+        sums = np.zeros_like(q)
+        sums[k[begins]] = np.add.reduceat(own[:, None] * known, begins, axis=0)
+        np.add.at(sums, noise, other.T @ known)
+        times = np.bincount(k, minlength=len(q)) + np.bincount(noise, minlength=len(q))
+        rows = np.flatnonzero(times)
+        moves = [("q", rows, sums[rows], times[rows])]
         # words within their class, against noise words of the same class
         some = np.flatnonzero((w < self.n_words) & (np.diff(self.starts, append=self.starts[-1] + 1)[np.minimum(k, len(self.starts) - 1)] > 1))
         if len(some):
-            ks, spread = k[some], self.rng.random((len(some), WORD_NOISE))
+            ks, spread, context = k[some], self.rng.random((len(some), WORD_NOISE)), known.take(some, axis=0)
             drawn = np.searchsorted(self.word_sums, self.low[ks][:, None] + spread * (self.high - self.low)[ks][:, None], "right")
             drawn = drawn.clip(self.starts[ks][:, None], self.starts[ks + 1][:, None] - 1)
             both = np.concatenate([w[some][:, None], drawn], axis=1)
-            vectors = v[both]
-            score = np.einsum("nkd,nd->nk", vectors, known[some]) - self.word_noise[both]
-            delta = -sigmoid(score)
+            vectors = v.take(both, axis=0)
+            delta = -sigmoid(np.einsum("nkd,nd->nk", vectors, context) - self.word_noise[both])
             delta[:, 0] += 1
             to_hidden[some] += np.einsum("nk,nkd->nd", delta, vectors)
-            moves.append(("v", both.ravel(), (delta[:, :, None] * known[some][:, None, :]).reshape(-1, DIMS + 1)))
-        to_hidden = to_hidden[:, :-1]
-        zero = np.zeros((n, 1), np.float32)
-        moves.append(("r", np.concatenate([a, b]), np.concatenate([np.concatenate([to_hidden @ c[:, :-1].T, zero], axis=1) for c in (c1, c2)])))
+            both = both.ravel()
+            order = self.order(both)
+            grads = context.take(order // (1 + WORD_NOISE), axis=0)
+            grads *= delta.ravel()[order][:, None]
+            moves.append(("v", *summed(both[order], grads)))
+        to_hidden[:, -1] = 0
+        both = np.concatenate([a, b])
+        order = self.order(both)
+        moves.append(("r", *summed(both[order], np.concatenate([to_hidden @ square[0].T, to_hidden @ square[1].T]).take(order, axis=0))))
+        each = np.arange(DIMS)
         for name, x in (("c1", ra), ("c2", rb)):
-            moves.append((name, np.arange(DIMS), np.concatenate([x.T @ to_hidden, zero[:1].repeat(DIMS, axis=0)], axis=1)))
-        for name, at, grads in moves:
-            self.move(name, at, grads, rate)
+            moves.append((name, each, (x.T @ to_hidden)[:-1], 1))
+        for name, rows, sums, times in moves:
+            self.move(name, rows, sums, times, rate)
 
     def train(self, found: list[np.ndarray], end: int, passes: int) -> None:
         a, b, w = contexts(found, end)
@@ -236,9 +261,21 @@ class Trainer:
             order = self.rng.permutation(len(w))
             for i in range(0, len(w), size):
                 at = order[i : i + size]
+                at = at[self.order(w[at])]
                 self.step(a[at], b[at], w[at], LEARNING * (1 - 0.7 * turn / passes))
 
 
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+
+
+def summed(rows: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order, with repeats, and their gradients -> each row, its sum and its number of places."""
+    begins = starts_of(rows)
+    return rows[begins], np.add.reduceat(grads, begins, axis=0), np.diff(begins, append=len(rows))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """In place: 1 / (1 + exp(-x))."""
     np.clip(x, -30, 30, out=x)
@@ -280,7 +317,7 @@ def averaged(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray,
                         if trainer is not None:
                             yield from learnt(trainer, number)
                         trainer, number = Trainer(vocabulary, class_tokens, rows, here), here
-                found.append(np.fromiter(map(ids.__getitem__, tokens(text)), np.int64))
+                found.append(ids.of(tokens(text)))
                 size += len(found[-1])
         if trainer is not None:
             trainer.train(found, end, passes)
@@ -330,6 +367,8 @@ class Model:
     discount: float
     unknown_tokens: np.ndarray
     unknown_words: np.ndarray
+    counted: list[bytes]
+    counts: np.ndarray  # of the counted words
     first: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
@@ -400,6 +439,18 @@ def picked(hidden: np.ndarray, outputs: np.ndarray, rows: np.ndarray, at: np.nda
     return own - (most + np.log(np.exp(score - most[:, None]).sum(axis=1)))[rows]
 
 
+def most_frequent(counts: DataFrame) -> DataFrame:
+    """The words (word, c) from the least count on, by eighths of its logarithm, that leaves COUNTED at most: no task sorts them, or sees them all."""
+    level = F.floor(F.log2("c") * 8)
+    least, words = 1 << 20, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # eight for each power of two
+        words += r["count"]
+        if words > COUNTED:
+            break
+        least = r.level
+    return counts.where(level >= least).select("word", "c")
+
+
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """The model of docs' training rows, and their word counts, written once. Null texts are empty; an empty table gives a model that knows the end alone."""
     counts = materialize(count_words(docs), "words")
@@ -418,10 +469,11 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     unknown[:, : len(best)] = np.array([(r.tokens, r.words) for r in best], float).reshape(-1, 2).T
     unknown[:, -1] += (all_tokens, all_words) - unknown.sum(axis=1)
     vocabulary = vocabulary_of(head, [bytes(r.s) for r in best])
+    more = most_frequent(other.where(F.length("word") <= HEAD_BYTES)).toArrow()  # COUNTED short words at most
     class_tokens = np.concatenate([np.add.reduceat(vocabulary.counts, vocabulary.starts[:-1]), unknown[0]])
     weights = trained(docs, vocabulary, class_tokens, n)
     discount = once / (once + 2 * twice) if once and twice else 0.5
-    return Model(vocabulary, weights, n, v, discount, unknown[0], unknown[1]), counts
+    return Model(vocabulary, weights, n, v, discount, unknown[0], unknown[1], more.column(0).to_pylist(), more.column(1).to_numpy()), counts
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, n: int) -> np.ndarray:
@@ -445,36 +497,43 @@ def trained(docs: DataFrame, vocabulary: Vocabulary, class_tokens: np.ndarray, n
 def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score and held_out of each row of docs (doc_id, text).
 
-    One pass gives a row for each of a document's words that the model has no token
-    of their own for, the first of them with the sums over all tokens; the words meet
-    their counts in a join, and documents are added up again by a key of their own, so
-    ids may repeat or be null. Documents without such words don't enter the join. Null
+    Documents are added up by a key of their own, so ids may repeat or be null. Null
     texts are empty; an empty table stays empty; extra columns don't matter.
     """
+    return added_up(uncounted(docs, model), model, counts)
+
+
+def uncounted(docs: DataFrame, model: Model) -> DataFrame:
+    """A row for each word of a document whose count the tasks don't know, the first of them with the sums over all tokens; one for a document without such words."""
     known = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "tf"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = known.value
-        ids, size, end = Ids(m.vocabulary), m.vocabulary.n_words, m.vocabulary.words[END]
-        base = m.base(m.vocabulary.counts.astype(float))
+        ids, size, end = Ids(m.vocabulary, m.counted), m.vocabulary.n_words, m.vocabulary.words[END]
+        # By word of the model, unknown token and counted word: its token, its base score, its share of the token, whether training has it.
+        unknown = np.array([m.vocabulary.unknown(w) for w in m.counted], np.int64)
+        zeros = np.zeros(SUFFIXES)
+        token = np.concatenate([np.arange(size + SUFFIXES), unknown])
+        base = np.concatenate([m.base(m.vocabulary.counts.astype(float)), zeros, m.base(m.counts.astype(float))])
+        share = np.concatenate([np.zeros(size), zeros, m.behind(unknown - size, m.counts)])
+        joined = np.concatenate([np.zeros(size, bool), np.ones(SUFFIXES, bool), np.zeros(len(unknown), bool)])
         for batch in in_slices(batches, "text", SLICE):
             found, at, words, tf = [], [], [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 spelled = tokens(text)
-                own = np.fromiter(map(ids.__getitem__, spelled), np.int64, len(spelled))
-                rest = Counter(spelled[j] for j in np.flatnonzero(own >= size).tolist())
+                own = ids.of(spelled)
+                rest = Counter(spelled[j] for j in np.flatnonzero(joined[own]).tolist())
                 found.append(own)
                 at += [i] * max(1, len(rest))
                 words += list(rest) or [None]
                 tf += list(rest.values()) or [0]
-            a, b, w = contexts(found, end)
+            own = np.concatenate(found) if found else np.zeros(0, np.int64)
+            a, b, w = contexts([token[x] for x in found], end)
             doc = np.repeat(np.arange(len(found)), [len(x) for x in found])
             add = lambda x: np.bincount(doc, weights=x, minlength=len(found))
-            inside = w < size
-            bases = np.where(inside, base[np.minimum(w, size - 1)], 0)
-            rows = (add(np.ones(len(w))), add(inside), add(bases), add(m.log_probabilities(a, b, w)))
+            rows = (add(np.ones(len(w))), add(~joined[own]), add(base[own]), add(m.log_probabilities(a, b, w) + share[own]))
             where = np.array(at, np.int64)
             lead = np.ones(len(where), bool)
             lead[1:] = where[1:] != where[:-1]
@@ -487,7 +546,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     keyed = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", held_out().alias("held_out"), "text")
     schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = keyed.mapInArrow(thrifty(run), f"{schema}, word binary, tf long")
+    return keyed.mapInArrow(thrifty(run), f"{schema}, word binary, tf long")
+
+
+def added_up(rows: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """Documents from rows of uncounted(): the words meet their counts in a join, which documents without such words don't enter."""
+    known = rows.sparkSession.sparkContext.broadcast(replace(model, counted=[], counts=model.counts[:0]))
+    names = rows.columns
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[:7])
     # A null word would be one key of all documents without other words: they get keys of their own, which no word has.
     key = F.coalesce("word", F.concat(F.lit(b"\0none"), F.col("uid").cast("string").cast("binary")))
     met = rows.withColumn("key", key).join(counts.select(F.col("word").alias("w"), "c"), F.col("key") == F.col("w"), "left")

@@ -140,6 +140,65 @@ def test_score_by_hand_on_documents(spark, sf):
     assert np.allclose([got[d] for d, _ in some], [by_hand(model, t, train) for _, t in some], rtol=1e-4, atol=2e-2)
 
 
+def test_words_with_known_counts_meet_no_join(spark, sf, monkeypatch):
+    """The same scores however many counts the tasks know; rows for the join are only of words beyond these."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(lm, "LEAST_COUNT", 40)
+    got, joined = [], []
+    for most in (1 << 18, 1000, 0):
+        monkeypatch.setattr(lm, "COUNTED", most)
+        model, counts = lm.fit(docs)
+        assert len(model.counted) <= most and sum(model.counts) == sum(r.c for r in counts.collect() if bytes(r.word) in set(model.counted))
+        joined.append(lm.uncounted(docs, model).where("word IS NOT NULL").count())
+        got.append(sorted(tuple(r) for r in lm.score(docs, model, counts).collect()))
+    known = set(model.vocabulary.words)
+    rare = sum(len({w for w in lm.tokens((r.text or "").encode()) if w not in known}) for r in docs.collect())
+    assert joined[2] == rare and joined[0] < 0.1 * rare and joined[0] < joined[1] < rare
+    for other in got[1:]:
+        assert [x[:4] for x in other] == [x[:4] for x in got[0]] and np.allclose([x[4:] for x in other], [x[4:] for x in got[0]], rtol=1e-9)
+
+
+def test_batches_move_rows_once(monkeypatch):
+    """A step's moves are those of summed gradients, written out token by token."""
+    vocabulary = lm.vocabulary_of([(b"w%d" % i, 60 - i) for i in range(40)] + [(lm.END, 10)], [b"xx"])
+    shares = np.concatenate([np.add.reduceat(vocabulary.counts, vocabulary.starts[:-1]), np.ones(lm.SUFFIXES)])
+    trainer = lm.Trainer(vocabulary, shares, lm.Parameters(vocabulary).rows, 1)
+    rng = np.random.default_rng(0)
+    a, b, w = rng.integers(0, vocabulary.n_words + lm.SUFFIXES, (3, 200))
+    w.sort()
+    moved = {}
+    monkeypatch.setattr(trainer, "move", lambda name, rows, sums, times, rate: moved.__setitem__(name, (rows, sums, times)))
+    p, draws = trainer.parameters, np.random.default_rng([lm.SEED, 1])
+    trainer.step(a, b, w, 0.1)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    r, q, v, c1, c2 = (p.of(x).astype(float) for x in ("r", "q", "v", "c1", "c2"))
+    noise = np.searchsorted(trainer.class_sums, draws.random(lm.NOISE) * trainer.class_sums[-1])
+    k = vocabulary.class_of()[w]
+    inside = [i for i in range(200) if w[i] < vocabulary.n_words and vocabulary.starts[k[i] + 1] - vocabulary.starts[k[i]] > 1]
+    spread = dict(zip(inside, draws.random((len(inside), lm.WORD_NOISE))))
+    want = {x: np.zeros_like(p.of(x), float) for x in ("r", "q", "v", "c1", "c2")}
+    for i in range(200):
+        h = np.append(r[a[i], :-1] @ c1[:, :-1] + r[b[i], :-1] @ c2[:, :-1], 1)
+        back = np.zeros(lm.DIMS + 1)
+        for to, x, g in [("q", k[i], 1 - sigmoid(q[k[i]] @ h - trainer.class_noise[k[i]])), *(("q", j, -sigmoid(q[j] @ h - trainer.class_noise[j])) for j in noise)]:
+            want[to][x] += g * h
+            back += g * q[x]
+        if i in spread:
+            low, high = trainer.low[k[i]], trainer.high[k[i]]
+            drawn = np.searchsorted(trainer.word_sums, low + spread[i] * (high - low), "right")
+            for x, own in [(w[i], 1), *((x, 0) for x in drawn)]:
+                g = own - sigmoid(v[x] @ h - trainer.word_noise[x])
+                want["v"][x] += g * h
+                back += g * v[x]
+        for to, x, c in (("c1", a[i], c1), ("c2", b[i], c2)):
+            want["r"][x, :-1] += c[:, :-1] @ back[:-1]
+            want[to][:, :-1] += np.outer(r[x, :-1], back[:-1])
+    for name, (rows, sums, _) in moved.items():
+        full = np.zeros_like(want[name])
+        full[rows] = sums
+        assert len(set(rows.tolist())) == len(rows) and np.allclose(full, want[name], rtol=1e-3, atol=1e-4), name
+
+
 def test_empty(none):
     model, counts = lm.fit(none)
     assert lm.score(none, model, counts).count() == 0
