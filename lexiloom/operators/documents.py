@@ -21,6 +21,8 @@ from lexiloom.operators.analysis import regex_morphemes
 from lexiloom.storage import checkpoint_dir, discard, fresh, materialize, placed, running_total
 
 ARTICLE, PARAGRAPH, NEWLINE = "_START_ARTICLE_", "_START_PARAGRAPH_", "_NEWLINE_"  # fixed values: the markers of article sources
+#: White space after final punctuation: RE2's, as SQL has it; Java's has the vertical tab as well, and its $ also stands before a last line break of any kind.
+BLANK = r"[\t\n\f\r ]"
 
 
 # -- shaping -------------------------------------------------------------------
@@ -39,7 +41,7 @@ def article_paragraphs(article: Column) -> Column:
 
 def split_sentences(s: Column) -> Column:
     """Sentences by final punctuation: an approximation of a trained splitter, which can be given as a pandas UDF instead."""
-    parts = F.split(F.regexp_replace(s, r"([。！？!?]+|\.(?=\s|$))\s*", "$1\n"), "\n")
+    parts = F.split(F.regexp_replace(s, rf"([。！？!?]+|\.(?={BLANK}|\z)){BLANK}*", "$1\n"), "\n")
     return F.filter(parts, lambda x: x != "")
 
 

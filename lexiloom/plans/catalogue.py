@@ -688,16 +688,25 @@ def sentence_bounds(spark, sf_dir):
     return rows.select("doc_id", F.size("parts").cast("long").alias("n"), F.md5(F.array_join("parts", "|").cast("binary")).alias("digest"))
 
 
+def marked_up(t: Column) -> Column:
+    """A text as the one paragraph of an article, from its marker's line on; null where the text is."""
+    return F.concat(F.lit(f"{documents.ARTICLE}\ntitle\n{documents.PARAGRAPH}\n"), F.replace(t, F.lit("\n"), F.lit(documents.NEWLINE)))
+
+
+def plain_digest(plain: Column) -> Column:
+    """md5 of an article's lines without markers: the first, which is blank and has its line break also where no other follows, and the others."""
+    return F.md5(F.concat(F.get(plain, F.lit(0)), F.lit("\n"), F.array_join(F.slice(plain, F.lit(2), F.array_size(plain)), "\n")).cast("binary"))
+
+
 @query(
     f"""WITH p AS (SELECT doc_id, list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split({_CUT.format('l')}, chr(10)))), lambda x: x <> '') AS parts FROM documents)
 SELECT doc_id, len(parts) + 2 AS n_raw, len(parts) + 1 AS n, md5(chr(10) || array_to_string(parts, chr(10))) AS digest FROM p"""
 )
 def article_corpus(spark, sf_dir):
     """Articles to the lines of a raw corpus, and these without markers."""
-    lines = F.array(F.lit(""), F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
-    rows = read(spark, sf_dir, "documents").select("doc_id", documents.article_lines(F.array_join(lines, "\n")).alias("raw"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", documents.article_lines(F.concat(F.lit("\n"), marked_up(F.col("text")))).alias("raw"))
     rows = rows.withColumn("plain", documents.strip_markers(F.col("raw")))
-    return rows.select("doc_id", F.size("raw").cast("long").alias("n_raw"), F.size("plain").cast("long").alias("n"), F.md5(F.array_join("plain", "\n").cast("binary")).alias("digest"))
+    return rows.select("doc_id", F.array_size("raw").cast("long").alias("n_raw"), F.array_size("plain").cast("long").alias("n"), plain_digest(F.col("plain")).alias("digest"))
 
 
 @query(
