@@ -1020,6 +1020,18 @@ def prediction_files(spark, sf_dir):
     return logs.join(readers.metric_files(spark, path, "dev").select("setting", "exact"), "setting")
 
 
+def written(t: Column) -> Column:
+    """A text as a file holds it: an article without a paragraph where it is null."""
+    return F.coalesce(marked_up(t), F.lit(f"{documents.ARTICLE}\ntitle"))
+
+
+def digests_of_read(articles: DataFrame) -> DataFrame:
+    """(digest, n) of articles that were written(); the line break is given back that readers take from the end, so that an empty paragraph is one."""
+    raw = articles.select(documents.article_lines(F.concat("article", F.lit("\n"))).alias("raw"))
+    rows = raw.withColumn("plain", F.when(F.array_contains("raw", documents.PARAGRAPH), documents.strip_markers(F.col("raw"))))
+    return rows.groupBy(plain_digest(F.col("plain")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     f"""WITH p AS (SELECT list_filter(flatten(list_transform(string_split(text, chr(10)), lambda l: string_split({_CUT.format('l')}, chr(10)))), lambda x: x <> '') AS parts FROM documents)
 SELECT md5(chr(10) || array_to_string(parts, chr(10))) AS digest, count(*) AS n FROM p GROUP BY 1"""
@@ -1027,10 +1039,8 @@ SELECT md5(chr(10) || array_to_string(parts, chr(10))) AS digest, count(*) AS n
 def article_files(spark, sf_dir):
     """Marked-up articles written, read, cut into sentences and stripped of their markers."""
     path = folder(spark)
-    lines = F.array(F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
-    sinks.write_articles(read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")), path)
-    rows = readers.articles(spark, path).select(documents.strip_markers(documents.article_lines(F.col("article"))).alias("x"))
-    return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    sinks.write_articles(read(spark, sf_dir, "documents").select(written(F.col("text")).alias("value")), path)
+    return digests_of_read(readers.articles(spark, path))
 
 
 @query(SQL["article_files"])
