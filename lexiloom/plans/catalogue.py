@@ -1047,10 +1047,8 @@ def article_files(spark, sf_dir):
 def article_ranges(spark, sf_dir):
     """article_files read in byte ranges, several a file."""
     path = folder(spark)
-    lines = F.array(F.lit(documents.ARTICLE), F.lit("title"), F.lit(documents.PARAGRAPH), F.replace("text", F.lit("\n"), F.lit(documents.NEWLINE)))
-    read(spark, sf_dir, "documents").select(F.array_join(lines, "\n").alias("value")).write.text(path)
-    rows = corpus.read_corpus(spark, path, "articles", split_bytes=1 << 17).select(documents.strip_markers(documents.article_lines(F.col("article"))).alias("x"))
-    return rows.groupBy(F.md5(F.array_join("x", "\n").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    read(spark, sf_dir, "documents").select(written(F.col("text")).alias("value")).write.text(path)
+    return digests_of_read(corpus.read_corpus(spark, path, "articles", split_bytes=1 << 17))
 
 
 @query("SELECT source AS word, count(*) AS n FROM documents WHERE doc_id % 7 <> 0 AND source IS NOT NULL GROUP BY source")

@@ -19,7 +19,7 @@ def odd(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["article_corpus", "article_files", "sentence_bounds"])
+@pytest.mark.parametrize("name", ["article_corpus", "article_files", "article_ranges", "sentence_bounds"])
 def test_odd_texts_equal_sql(spark, odd, name):
     with duckdb.connect() as db:
         db.execute(f"create view documents as from '{odd}/documents.parquet'")
