@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -87,6 +88,20 @@ class Lookup:
         return found(first, second)
 
 
+def rolled(lists: pa.ListArray, base: int, modulus: int) -> pa.Array:
+    """For each list the sum a that a = (a * base + number) % modulus gives, from 0 and number by number, all lists at once; a modulus under 2^31, no null lists."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    sizes, numbers = np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]].astype(np.int64)
+    offsets -= offsets[0]
+    powers, step = np.ones(1, np.int64), base % modulus
+    while len(powers) < sizes.max(initial=0):
+        powers, step = np.concatenate([powers, powers * step % modulus]), step * step % modulus
+    after = np.repeat(offsets[1:], sizes) - 1 - np.arange(len(numbers))
+    parts = numbers % modulus * powers[after] % modulus
+    total = np.concatenate([[0], np.cumsum(parts)])[offsets]
+    return pa.array(np.diff(total) % modulus)
+
+
 def running_sums(numbers: Column) -> Column:
     """array<int> -> array<int>: the sum of each number and those before it."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -615,12 +616,10 @@ SELECT doc_id, k::INT AS i, ns[1] AS n, cs[1] AS cost, hs[1] AS ends FROM walk W
 def lexicon_paths(spark, sf_dir):
     """The cheapest row of syllables for every sentence: how many, at what cost, and a sum that tells their ends."""
     entries = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(w).alias("surface"), F.lit(c).alias("cost")) for w, c in SYLLABLES.items()])))
-    analyze = lexicon.lexicon_analyzer(lexicon.lexicon_of(entries, unknown_cost=1000, group_unknown=False), entries)
-    rows = sentences(spark, sf_dir).select("doc_id", "i", analyze(F.col("sentence")).alias("m"))
-    known = F.create_map(*[F.lit(x) for pair in SYLLABLES.items() for x in pair])
-    cost = F.aggregate("m", F.lit(0).cast("long"), lambda a, m: a + F.coalesce(F.try_element_at(known, m["surface"]), F.lit(1000)))
-    ends = F.aggregate("m", F.lit(0).cast("long"), lambda a, m: (a * 31 + m["end"]) % 1000003)
-    return rows.select("doc_id", "i", F.size("m").cast("long").alias("n"), cost.alias("cost"), ends.alias("ends"))
+    known = lexicon.lexicon_of(entries, unknown_cost=1000, group_unknown=False)
+    walked = lexicon.lexicon_ends(known, entries, spaces=" ", fold=partial(encoding.rolled, base=31, modulus=1000003), kind="bigint")
+    rows = sentences(spark, sf_dir).select("doc_id", "i", walked(F.col("sentence")).alias("m"))
+    return rows.select("doc_id", "i", "m.n", "m.cost", "m.ends")
 
 
 @query(

@@ -6,7 +6,7 @@ import pytest
 from lexiloom.plans import catalogue
 
 TEXTS = [None, None, "", "", "\n", "\n\n\n", " ", " \n ", "\t", "One.\n\nTwo!\n", "\n\nlead. in", "cr.\r\nlf. x\r", "!", ".", "a\n.\n!", "... ...", "　", " x. y", "a.\x0c b", "plain"]
-ENDS = ["a.\x0bb. c", "x!\x0by", "end.\x85", "end. ", "q. \nz", "tail \x85\nmore.  x", "\x0b"]
+ENDS = ["a.\x0bb. c", "x!\x0by", "end.\x85", "end. ", "q. \nz", "tail \x85\nmore.  x", "\x0b", "the\ttin\xa0es " + "he\u3000" * 40]
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +19,7 @@ def odd(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["article_corpus", "article_files", "article_ranges", "sentence_bounds"])
+@pytest.mark.parametrize("name", ["article_corpus", "article_files", "article_ranges", "sentence_bounds", "lexicon_paths"])
 def test_odd_texts_equal_sql(spark, odd, name):
     with duckdb.connect() as db:
         db.execute(f"create view documents as from '{odd}/documents.parquet'")
